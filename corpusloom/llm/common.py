@@ -28,6 +28,7 @@ def small_batches(spark: SparkSession) -> None:
     """Documents can be long: keep Arrow batches to a few hundred rows."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -28,9 +28,48 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from judged group by doc_id
 """
 
+
+#: The query's rules: (host, path, verdict).
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list to block: canonical URLs that more than one page carries."""
+    from .url_filter import canonical_url, judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    listed = pages.groupBy(canonical_url(F.col("url")).alias("url")).agg(F.countDistinct("page_id").alias("n")).where("n > 1 and url is not null").select(F.concat(F.lit("http://"), "url").alias("url"))
+    return judge_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = """
+with p as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+listed as (select host, path from p where host <> '' group by host, path having count(distinct page_id) > 1),
+rules(r_host, r_path, r_verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best as (
+  select page_id, arg_max(r_host || r_path, length(r_host || r_path)) as rule, arg_max(r_verdict, length(r_host || r_path)) as rule_verdict
+  from p join rules on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path) group by page_id)
+select p.page_id, p.host, p.path, best.rule, coalesce(rule_verdict, case when listed.host is not null then 'block' end, 'allow') as verdict
+from p left join best on p.page_id = best.page_id left join listed on p.host = listed.host and p.path = listed.path
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    records = read_warc(write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op7_url_filter": OP7_SQL,
 }
