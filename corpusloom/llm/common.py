@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles at a time; bounds a Python worker's memory whatever the rows hold.
