@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles at a time; bounds a Python worker's memory whatever the rows hold.
 STEP_BYTES = 1 << 21
-#: Rows of an Arrow batch: texts may be long, so far fewer than Spark's default of 10,000.
-BATCH_ROWS = "256"
+#: Rows of an Arrow batch (its bytes are bounded too, as texts may be long).
+BATCH_ROWS = "2000"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -76,6 +76,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_near_dedup": op3_near_dedup,
+    "op4_exact_repeats": op4_exact_repeats,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_url_filter": op7_url_filter,
     "op10_warc": op10_warc,
