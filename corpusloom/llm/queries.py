@@ -29,6 +29,12 @@ from judged group by doc_id
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The query's rules: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_repeats": op4_exact_repeats,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
     "op10_warc": op10_warc,
 }
