@@ -63,6 +63,12 @@ from p left join best on p.page_id = best.page_id left join listed on p.host = l
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_warc, write_warc
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
