@@ -63,6 +63,12 @@ from p left join best on p.page_id = best.page_id left join listed on p.host = l
 """
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_decontamination": op6_decontamination,
     "op7_url_filter": op7_url_filter,
+    "op8_html_text": op8_html_text,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
