@@ -1,0 +1,167 @@
+"""Queries: similarity graph, retrieval and expansion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..operators import retrieval as R
+from ..operators.rollups import source_stats
+from .registry import query
+from .views import read, view
+
+COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
+EDGES_SQL = f"""with e as (select a.id as src_id, b.id as dst_id, {COS} as w from f_nodes a join f_nodes b on a.tenant_id = b.tenant_id and a.id <> b.id where {COS} >= 0.3) select src_id, dst_id, round(w, 6) as weight from e qualify row_number() over (partition by src_id order by w desc, dst_id) <= 10"""
+
+
+@query(EDGES_SQL, ("f_nodes",))
+def k2_similarity_edges(spark, d):
+    return G.similarity_edges(view(spark, d, "f_nodes"), 0.3, 10).withColumn("weight", F.round("weight", 6))
+
+
+@query(EDGES_SQL.replace("a.tenant_id = b.tenant_id", "a.client_id = b.client_id").replace("0.3)", "0.2)"), ("f_nodes",))
+def k3_client_edges(spark, d):
+    """Nodes are compared within their client only."""
+    return G.similarity_edges(view(spark, d, "f_nodes"), 0.2, 10, "client_id").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"select a.vec_id as id, round({COS}, 6) as w from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def j8_cosine_expression(spark, d):
+    e = read(spark, d, "embeddings")
+    pair = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
+    return pair.select(F.col("vec_id").alias("id"), F.round(G.cosine(F.col("embedding"), F.col("other")), 6).alias("w"))
+
+
+def chunk_table(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    c = view(spark, d, "f_chunks").where("chunk_index = 0").withColumn("id", F.col("document_id") * 1000)
+    return c.join(e, "document_id", "left")
+
+
+@query(
+    """select 'chunk:' || (c.document_id * 1000 + chunk_index) as node_key, d.client_id, 'Chunk ' || chunk_index as name, case when length(t) > 80 then substring(t, 1, 80) || '…' else t end as description, cast(c.document_id as varchar) as doc
+    from (select *, replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') as t from f_chunks) c join f_documents d on d.id = c.document_id where chunk_index < 2""",
+    ("f_chunks", "f_documents"),
+)
+def k1_chunk_nodes(spark, d):
+    chunks = view(spark, d, "f_chunks").where("chunk_index < 2").withColumn("id", F.col("document_id") * 1000 + F.col("chunk_index"))
+    return G.chunk_nodes(chunks, view(spark, d, "f_documents")).select("node_key", "client_id", "name", "description", F.col("properties")["document_id"].alias("doc"))
+
+
+@query(
+    f"""with c as (select f.document_id as id, f.tenant_id, e.embedding from f_chunks f left join embeddings e on e.vec_id = f.document_id where chunk_index = 0), v as (select * from c where embedding is not null),
+    e as (select a.id as src, b.id as dst from v a join v b on a.tenant_id = b.tenant_id and a.id <> b.id where {COS} >= 0.25 qualify row_number() over (partition by a.id order by {COS} desc, b.id) <= 10)
+    select (select count(*) from c) as fetched, (select count(*) from v) as valid, (select count(*) from c) - (select count(*) from v) as skipped, (select count(*) from e) as edges, (select count(*) from v) as nodes""",
+    ("f_chunks",),
+)
+def k4_build_graph(spark, d):
+    """The whole build and its summary (A6)."""
+    return G.build_graph(chunk_table(spark, d), view(spark, d, "f_documents"), 64, 0.25, 10)[2]
+
+
+@query("select event_type, count(*) filter (where kind = 'Chunk') as valid, count(*) filter (where kind <> 'Chunk') as rejected from (select event_type, case when event_id % 3 = 0 then 'Chunk' else 'Video' end as kind from events) group by event_type")
+def k5_validate_types(spark, d):
+    rows = read(spark, d, "events").select("event_type", F.when(F.col("event_id") % 3 == 0, "Chunk").otherwise("Video").alias("type"))
+    ok, bad = G.validate_node_type(rows)
+    marked = ok.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)))
+    return marked.groupBy("event_type").agg(F.count_if("good").alias("valid"), F.count_if(~F.col("good")).alias("rejected"))
+
+
+def query_table(spark, d):
+    """Every twentieth vector asks."""
+    return read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+HITS = f"""hits as (select a.vec_id as query_id, b.id as node_id, {COS} as sim, row_number() over (partition by a.vec_id order by {COS} desc, b.id) as rank from embeddings a join f_nodes b on true where a.vec_id % 20 = 0 and b.status = 'active' qualify rank <= {{}})"""
+
+
+@query("with " + HITS.format(5) + " select query_id, node_id, round(sim, 6) as similarity, cast(rank as int) as rank from hits", ("f_nodes",))
+def g1_semantic_search(spark, d):
+    return R.semantic_search(view(spark, d, "f_nodes"), query_table(spark, d), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("with " + HITS.format(50) + " select query_id, count(*) as n, round(min(sim), 6) as least from hits group by query_id", ("f_nodes",))
+def g8_all_nodes(spark, d):
+    """The widest dump: 50 nodes a query, the operator's bound."""
+    return R.semantic_search(view(spark, d, "f_nodes"), query_table(spark, d), 50).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("similarity"), 6).alias("least"))
+
+
+NEAR = "near as (select * from (select src_id, dst_id, weight, row_number() over (partition by src_id order by weight desc, dst_id) as k from f_edges where is_active and weight >= 0.2) where k <= 3 and dst_id in (select id from f_nodes where status = 'active'))"
+
+
+@query("with " + NEAR + " select src_id, dst_id, weight, cast(k as int) as k from near", ("f_nodes", "f_edges"))
+def g2_neighbours(spark, d):
+    return R.neighbours(view(spark, d, "f_edges"), view(spark, d, "f_nodes"), 3, 0.2)
+
+
+def searched(spark, d, k=5):
+    nodes = view(spark, d, "f_nodes")
+    return R.graph_search(R.semantic_search(nodes, query_table(spark, d), k), R.neighbours(view(spark, d, "f_edges"), nodes, 3, 0.2))
+
+
+@query()
+def g3_graph_search(spark, d):
+    return searched(spark, d)
+
+
+def hydrated(spark, d):
+    chunks = view(spark, d, "f_chunks").where("chunk_index = 0")
+    texts = chunks.select(F.col("document_id").alias("node_id"), F.when(F.col("document_id") % 5 != 0, F.col("content")).alias("content"), F.when(F.col("document_id") % 10 != 0, F.substring("content", 1, 80)).alias("description"), F.lit("a name").alias("name"), "document_id", "chunk_index")
+    return R.hydrate(searched(spark, d), texts)
+
+
+@query()
+def g4_result_rows(spark, d):
+    """Results with their text, by fallbacks (J7)."""
+    return hydrated(spark, d)
+
+
+@query()
+def g5_expansion_counts(spark, d):
+    return R.expansion_counts(searched(spark, d))
+
+
+@query("with " + HITS.format(5) + " select q.vec_id as query_id, round(coalesce(max(sim), 0), 4) as top_score, case when max(sim) is null then 'empty' when round(max(sim), 4) >= 0.6 then 'answer' else 'low_confidence' end as outcome from embeddings q left join hits on hits.query_id = q.vec_id where q.vec_id % 20 = 0 group by q.vec_id", ("f_nodes",))
+def g6_confidence_gate(spark, d):
+    return R.confidence_gate(searched(spark, d), query_table(spark, d))
+
+
+@query("with " + HITS.format(10) + ", t as (select *, max(sim) over (partition by query_id) as top from hits) select query_id, node_id, cast(rank as int) as rank, case when top >= 0.6 then 1 else 2 end as attempt from t where top < 0.6 or rank <= 5", ("f_nodes",))
+def g7_retry(spark, d):
+    return R.retrieve_with_retry(R.semantic_search(view(spark, d, "f_nodes"), query_table(spark, d), 10)).select("query_id", "node_id", "rank", "attempt")
+
+
+@query()
+def g9_format_sources(spark, d):
+    return R.format_sources(hydrated(spark, d)).select("query_id", F.size("sources").alias("n"), "listing", "scored")
+
+
+@query(
+    "with recursive_base as (select 1), " + NEAR + """, h0 as (select vec_id as query_id, vec_id as node_id from embeddings where vec_id % 20 = 0), h1 as (select query_id, dst_id as node_id, src_id as parent from (select h0.query_id, n.dst_id, n.src_id, n.weight from h0 join near n on n.src_id = h0.node_id where (h0.query_id, n.dst_id) not in (select query_id, node_id from h0)) qualify row_number() over (partition by query_id, dst_id order by weight desc, src_id) = 1),
+    h2 as (select query_id, dst_id as node_id, src_id as parent from (select h1.query_id, n.dst_id, n.src_id, n.weight from h1 join near n on n.src_id = h1.node_id where (h1.query_id, n.dst_id) not in (select query_id, node_id from h0 union all select query_id, node_id from h1)) qualify row_number() over (partition by query_id, dst_id order by weight desc, src_id) = 1)
+    select query_id, node_id, 0 as hop, null::bigint as parent from h0 union all select query_id, node_id, 1, parent from h1 union all select query_id, node_id, 2, parent from h2""",
+    ("f_nodes", "f_edges"),
+)
+def g10_expand_hops(spark, d):
+    near = R.neighbours(view(spark, d, "f_edges"), view(spark, d, "f_nodes"), 3, 0.2)
+    seeds = query_table(spark, d).select("query_id", F.col("query_id").alias("node_id"))
+    return R.expand_hops(seeds, near, 2)
+
+
+@query(
+    "select document_id as query_id, string_agg(case when trim(content, ' ' || chr(9) || chr(13)) <> '' then '[Source ' || rn || ']' || chr(10) || content end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rn) as context from (select *, row_number() over (partition by document_id order by chunk_index) as rn from f_chunks) group by document_id",
+    ("f_chunks",),
+)
+def c1_assemble_context(spark, d):
+    return R.assemble_context(view(spark, d, "f_chunks").select(F.col("document_id").alias("query_id"), F.col("chunk_index").alias("pos"), "content"))
+
+
+@query()
+def a10_ordered_text(spark, d):
+    """The variant that keeps blank texts."""
+    return R.assemble_context(hydrated(spark, d), "Chunk", skip_blank=False)
+
+
+@query()
+def a11_retrieval_stats(spark, d):
+    return source_stats(hydrated(spark, d))
