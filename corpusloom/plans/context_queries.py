@@ -1,0 +1,166 @@
+"""Queries: profiles, JSON and form operators, model calls, streams."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from ..operators import context as C
+from .registry import query
+from .views import read, view
+
+
+@query(
+    """select c_custkey, 'Company / Client Profile:' || chr(10) || 'Industry: ' || c_mktsegment || case when c_custkey % 3 = 0 then '' else chr(10) || 'Headcount: ' || c_custkey end || case when c_custkey % 2 = 0 then chr(10) || 'Location: ' || c_nationkey else '' end || chr(10) as strategic,
+    chr(10) || chr(10) || 'Organization profile:' || chr(10) || 'Industry: ' || c_mktsegment || case when c_custkey % 3 = 0 then '' else chr(10) || 'Headcount: ' || c_custkey || ' employees' end || chr(10) || 'Company: ' || c_name || case when c_custkey % 2 = 0 then chr(10) || 'Location: ' || c_nationkey else '' end as survey from customer"""
+)
+def c2_profile_section(spark, d):
+    none = F.lit(None).cast("string")
+    demo = F.struct(none.alias("age_range"), none.alias("income_bracket"), F.lit("").alias("occupation"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).alias("location"))
+    p = F.struct(F.col("c_mktsegment").alias("industry"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("headcount"), none.alias("revenue"), F.col("c_name").alias("company_name"), none.alias("persona"), demo.alias("demographic"))
+    rows = read(spark, d, "customer").select("c_custkey", p.alias("p"))
+    return rows.select("c_custkey", C.profile_section("p", "strategic").alias("strategic"), C.profile_section("p", "survey").alias("survey"))
+
+
+@query("select c_custkey, case when c_custkey % 4 = 0 then ['a', 'b', 'c'] else [case when c_custkey % 3 = 0 then '' else c_mktsegment || ' ' end || c_name] end as queries from customer")
+def c3_web_queries(spark, d):
+    rows = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("industry"), F.col("c_name").alias("focus"), F.when(F.col("c_custkey") % 4 == 0, F.array(*map(F.lit, "abcd"))).otherwise(F.array().cast("array<string>")).alias("web_queries"))
+    return C.web_queries(rows).select("c_custkey", "queries")
+
+
+@query("select o_custkey as query_id, string_agg('[Web Result ' || k || '] ' || o_orderpriority || chr(10) || 'URL: http://o/' || o_orderkey || chr(10) || o_orderstatus, chr(10) || chr(10) order by k) as context from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders) group by o_custkey")
+def c4_results_context(spark, d):
+    o = read(spark, d, "orders")
+    return C.results_context(o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("http://o/"), F.col("o_orderkey").cast("string")).alias("link"), F.col("o_orderstatus").alias("snippet")))
+
+
+def hash_embedder(texts):
+    """A stand-in for a model: eight figures from a digest."""
+    return [[b / 255 for b in hashlib.md5((t or "").encode()).digest()[:8]] for t in texts]
+
+
+@query()
+def c5_infer(spark, d):
+    rows = view(spark, d, "f_chunks").select("document_id", "chunk_index", F.concat(F.lit("Embed: "), "content").alias("prompt"))
+    return C.infer(rows, "prompt", hash_embedder, "array<double>").select("document_id", "chunk_index", F.size("result").alias("dim"), F.round(F.aggregate("result", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def raw_outputs(spark, d):
+    """Model outputs made of events: plain JSON, fenced JSON, and text."""
+    k = F.col("event_id") % 3
+    body = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "name": "'), F.col("event_type"), F.lit('"}'))
+    raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("no JSON: "), F.col("event_type")))
+    return read(spark, d, "events").select("event_id", raw.alias("raw"))
+
+
+@query("select event_id, case when event_id % 3 < 2 then cast(json_extract(props, '$.k') as bigint) else -1 end as k, case when event_id % 3 < 2 then event_type else 'none' end as name, case when event_id % 3 = 0 then cast(json_extract(props, '$.k') as bigint) else -1 end as strict_k from events")
+def c6_salvage_json(spark, d):
+    """Both ways: with the fenced block (C6) and without (C12)."""
+    none = F.struct(F.lit(-1).alias("k"), F.lit("none").alias("name"))
+    schema = "struct<k:bigint,name:string>"
+    rows = raw_outputs(spark, d).select("event_id", C.salvage_json(F.col("raw"), schema, none).alias("j"), C.ensure_parsed(F.col("raw"), schema, none).alias("s"))
+    return rows.select("event_id", "j.k", "j.name", F.col("s.k").alias("strict_k"))
+
+
+def forms(spark, d):
+    """Question lists made of orders: bare, wrapped twice over, and broken."""
+    q = F.concat(F.lit('{"type": "'), F.when(F.col("o_orderkey") % 2 == 0, "rating").otherwise("multiple_choice"), F.lit('", "text": "About '), F.col("o_orderpriority"), F.lit('", "options": ["x", "y"], "max": 7}'))
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.concat(F.lit("["), q, F.lit(", "), q, F.lit("]"))).when(k == 1, F.concat(F.lit('{"questions": ['), q, F.lit("]}"))).when(k == 2, F.concat(F.lit('```\n{"recommendations": ['), q, F.lit("]}\n```"))).otherwise("{}")
+    return read(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
+
+
+@query("select o_orderkey, case when o_orderkey % 4 = 3 then -1 when o_orderkey % 4 = 0 then 2 else 1 end as n from orders")
+def c7_unwrap_questions(spark, d):
+    return forms(spark, d).select("o_orderkey", F.coalesce(F.size(C.unwrap_questions(F.col("raw"))), F.lit(-1)).alias("n"))
+
+
+@query(
+    """select o_orderkey, case when o_orderkey % 4 = 3 then 'parse_error' else 'complete' end as status, case when o_orderkey % 4 <> 3 then case when o_orderkey % 2 = 0 then 'rating' else 'multiple_choice' end end as type, case when o_orderkey % 4 <> 3 then 'About ' || o_orderpriority end as label,
+    case when o_orderkey % 4 <> 3 and o_orderkey % 2 = 0 then 7 end as max, case when o_orderkey % 4 <> 3 and o_orderkey % 2 = 0 then 'Poor' end as low, case when o_orderkey % 4 = 1 then 2 end as options from orders"""
+)
+def c8_normalize_questions(spark, d):
+    q = F.get("questions", F.lit(0))
+    rows = C.normalize_questions(forms(spark, d), "raw")
+    return rows.select("o_orderkey", "status", q["type"].alias("type"), q["label"].alias("label"), q["max"].alias("max"), q["lowLabel"].alias("low"), F.when(q["options"].isNotNull(), F.size(q["options"])).alias("options"))
+
+
+@query(
+    """select o_custkey as survey_id, string_agg('Q' || k || '. [' || o_orderstatus || '] ' || o_orderpriority || case when o_orderkey % 2 = 0 then chr(10) || '   Options: x, y' else '' end || case when o_orderkey % 3 = 0 then chr(10) || '   Response summary: ' || o_orderkey else '' end, chr(10) || chr(10) order by k) as text
+    from (select *, row_number() over (partition by o_custkey order by o_orderkey) as k from orders) group by o_custkey"""
+)
+def c9_render_survey(spark, d):
+    o = read(spark, d, "orders")
+    options = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    return C.render_survey(o.select(F.col("o_custkey").alias("survey_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("label"), options.alias("options"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey").cast("string")).alias("response_summary")))
+
+
+@query("select p_partkey, 'Q1: ' || case when length(p_name) + 1 < 10 then 'too short — may lack clarity' else 'OK' end || chr(10) || 'Q2: does not end with ''?''; yes/no question — consider rephrasing as open-ended' as feedback from part")
+def c10_lint_questions(spark, d):
+    text = F.concat("p_name", F.lit("? | | Do you like "), "p_brand", F.lit("s"))
+    return read(spark, d, "part").select("p_partkey", C.lint_questions(text).alias("feedback"))
+
+
+@query("select p_partkey, '{\"title\":\"' || p_brand || '\",\"description\":\"d\",\"questions\":[{\"id\":1,\"text\":\"' || p_name || '?\",\"type\":\"open_ended\"},{\"id\":2,\"text\":\"Why?\",\"type\":\"open_ended\"}]}' as survey from part")
+def c11_pipe_survey(spark, d):
+    return read(spark, d, "part").select("p_partkey", C.pipe_survey(F.col("p_brand"), F.lit("d"), F.concat("p_name", F.lit("? || Why? |"))).alias("survey"))
+
+
+@query("select event_id, case event_type when 'purchase' then 'buy' || chr(10) || 'sign' when 'signup' then 'sign' else 'sign' end as text from events")
+def c13_type_instructions(spark, d):
+    e = read(spark, d, "events").select("event_id", F.array("event_type", F.lit("signup"), F.lit("unknown")).alias("t"), "event_type")
+    t = F.when(F.col("event_type") == "signup", F.array(F.lit("signup"))).otherwise(F.col("t"))
+    return e.select("event_id", C.type_instructions(t, {"purchase": "buy", "signup": "sign"}).alias("text"))
+
+
+@query("select event_id, case when event_id % 3 = 2 then 'no JSON: ' || event_type else '' end as summary, 'neutral' as dominant_sentiment, 0 as themes, case when event_id % 3 = 2 then 0.34::double end as neutral from events")
+def c14_project_result(spark, d):
+    rows = C.project_result(raw_outputs(spark, d), "raw", "sentiment")
+    return rows.select("event_id", "summary", "dominant_sentiment", F.size("themes").alias("themes"), F.col("overall_sentiment.neutral").alias("neutral"))
+
+
+@query(
+    """select doc_id as client_id, unnest(list_filter([case when doc_id % 2 = 0 then 'fractions do not sum to 1' end, case when doc_id % 3 = 0 then 'dominant is not the largest' end, case when doc_id % 5 = 0 then 'themes not 3 to 8' end, case when doc_id % 7 = 0 then 'quote not in the transcript' end], lambda x: x is not null)) as violation from documents where length(text) > 0"""
+)
+def c15_check_results(spark, d):
+    docs = read(spark, d, "documents").where("length(text) > 0")
+    i = F.col("doc_id")
+    s = F.struct(F.when(i % 2 == 0, 0.6).otherwise(0.5).alias("positive"), F.lit(0.25).alias("negative"), F.lit(0.25).alias("neutral"))
+    quote = F.substring("text", 1, 12)
+    quotes = F.array(quote, quote, F.when(i % 7 == 0, "~never~").otherwise(quote))
+    themes = F.when(i % 5 == 0, F.array(F.lit("a"))).otherwise(F.array(*map(F.lit, "abc")))
+    results = docs.select(i.alias("client_id"), s.alias("overall_sentiment"), F.when(i % 3 == 0, "negative").otherwise("positive").alias("dominant_sentiment"), themes.alias("themes"), quotes.alias("notable_quotes"))
+    return C.check_results(results, docs.select(i.alias("client_id"), "text"))
+
+
+@query("select document_id, count(*) as chunks from f_chunks group by document_id", ("f_chunks",))
+def r1_incremental_ingest(spark, d):
+    """Documents read as a stream, one chunk a line, upserted by document and index: equal to the batch."""
+    from ..session import work_folder
+    from ..streaming import ingest
+
+    def chunks(docs):
+        rows = docs.select(F.col("lang").alias("tenant_id"), F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
+        return rows.where("trim(content) <> ''")
+
+    target = ingest.run(spark, f"{d}/documents.parquet", chunks, work_folder(spark, "ingest"), "2024-01-20")
+    return target.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("select conv_id as transcript_id, cast((k - 1) // 3 + 1 as int) as page, count(*) as cues from (select conv_id, row_number() over (partition by conv_id order by idx) as k from f_cues) group by all", ("f_cues",))
+def r2_live_pages(spark, d):
+    """Conversations read as a stream of cues; pages equal those of the batch operator."""
+    from ..session import work_folder
+    from ..streaming import live_pages
+
+    out = live_pages.run(spark, f"{d}/conversations.parquet", work_folder(spark, "live"))
+    return out.select("transcript_id", "page", F.col("cues").cast("long").alias("cues"))
+
+
+@query("select batch_id, count(*) as total, count(*) filter (where status = 'complete') as completed, count(*) filter (where status = 'failed') as failed, case when count(*) filter (where status = 'failed') = count(*) then 'failed' when count(*) filter (where status = 'failed') > 0 then 'partial_failure' else 'complete' end as status from f_items group by batch_id", ("f_items",))
+def r3_live_status(spark, d):
+    from ..session import work_folder
+    from ..streaming import live_status
+
+    return live_status.run(spark, f"{d}/events.parquet", work_folder(spark, "status"))
