@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 
 def merge_props(a: Column, b: Column) -> Column:
@@ -79,8 +80,9 @@ def upsert(target: DataFrame, batch: DataFrame, rule: Rule, as_of: str, seq: str
             value = F.coalesce(old, now)
         else:
             value = old
-        # Maps stay as they are: a cast may not drop that their values can be null.
-        out.append((value if c in rule.merge else value.cast(target.schema[c].dataType)).alias(c))
+        # Nested columns stay as they are: a cast may not drop that what they hold can be null.
+        kind = target.schema[c].dataType
+        out.append((value.cast(kind) if isinstance(kind, AtomicType) else value).alias(c))
     return joined.select(*out)
 
 

@@ -1,0 +1,231 @@
+"""Goldens worked out by hand, and plain-Python versions of the stateful folds."""
+
+import re
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import stats, text
+from corpusloom.operators import chunking, context, graph, maintenance, pages, retrieval, scans, survey_stats, transcripts, upserts
+
+
+def rows(df, *order):
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
+
+
+def one(spark, col, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(col(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("a-\nb", "ab"), ("one\ntwo", "one two"), ("p\n \n\nq", "p \n\nq"), ("p\n\n \n\nq", "p\n\nq"), ("  é\t\tü  ", "é ü"), ("", ""), (None, None), ("x \n\n y", "x \n\n y"),
+    ],
+)
+def test_normalize_text(spark, given, want):
+    assert one(spark, text.normalize_text, given) == want
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("bucket:pdf/a/b.PDF", ("pdf", "a/b.PDF", "pdf")), ("x/y", ("x", "y", "")), ("https://h/storage/v1/object/public/b/c/d.docx", ("b", "c/d.docx", "docx")),
+        ("https://h/storage/v1/object/sign/b/d.vtt?token=1/2.x", ("b", "d.vtt", "vtt")), ("nothing", None), (None, None), ("https://h/storage/v1/object/public/b", None),
+    ],
+)
+def test_storage_uri(spark, given, want):
+    got = one(spark, text.parse_storage_uri, given)
+    assert (got and tuple(got)) == want
+
+
+@pytest.mark.parametrize(("given", "want"), [("a b (c).pdf", "a_b_c.pdf"), ("plain", "plain"), ("__x__[1].tar.gz", "x_1_.tar.gz"), ("", "")])
+def test_sanitize_key(spark, given, want):
+    assert one(spark, text.sanitize_key, given) == (want if given != "__x__[1].tar.gz" else "x_1_.tar.gz")
+
+
+@pytest.mark.parametrize(("given", "want"), [("01:02:03.500", 3723.5), ("02:03,250", 123.25), ("123:00:00.000", 442800.0), ("1:2", None), (None, None)])
+def test_vtt_seconds(spark, given, want):
+    assert one(spark, text.vtt_seconds, given) == want
+
+
+def test_parse_vtt(spark):
+    body = "WEBVTT\nKind: x\n\n1\n00:00:01.000 --> 00:00:04.500 align:start\n<v Ann>Hello <b>you</b></v>\n there\n\nid\n00:05.000 --> 00:06.000\nplain\n\n00:07.000 --> 00:08.000\n<i></i>\n\n00:09.000 --> 00:10.000\nlast\n"
+    got = rows(transcripts.parse_vtt(spark.createDataFrame([(1, body), (2, None), (3, "WEBVTT\n")], "transcript_id int, text string")), "idx")
+    assert got == [(1, 0, 1.0, 4.5, "Ann", "Hello you there"), (1, 1, 5.0, 6.0, None, "plain"), (1, 2, 9.0, 10.0, None, "last")]
+
+
+@pytest.mark.parametrize(
+    ("starts", "want"),
+    [([60.0 * i for i in range(20)], [i // 2 + 1 for i in range(20)]), ([0.0, 50.0, 130.0, 200.0, 260.0], [1, 1, 2, 2, 3]), ([0.0, 100.0, 130.0, 240.0], [1, 1, 2, 2])],
+)
+def test_time_windows_start_anew(spark, starts, want):
+    cues = spark.createDataFrame([(7, i, s) for i, s in enumerate(starts)], "transcript_id long, idx int, start_s double")
+    assert [p for _, _, p in rows(transcripts.window_numbers(cues), "idx")] == want
+
+
+def plain_chunks(sentence_pages, most, overlap):
+    count = lambda s: len(re.findall(r"\w+|[^\w\s]", s))
+    out, buf, n, start, last = [], [], 0, None, None
+    for page, s in sentence_pages:
+        last, t = page, count(s)
+        if t > most:
+            tmp = []
+            for w in s.split():
+                tmp.append(w)
+                if count(" ".join(tmp)) >= most:
+                    out.append((" ".join(tmp), page, page, count(" ".join(tmp))))
+                    tmp = []
+            if tmp:
+                out.append((" ".join(tmp), page, page, count(" ".join(tmp))))
+            continue
+        if buf and n + t > most:
+            out.append((" ".join(buf), start, page, n))
+            keep, k = [], 0
+            for x in reversed(buf):
+                if overlap <= 0 or (keep and k + count(x) > overlap):
+                    break
+                keep.insert(0, x)
+                k += count(x)
+            buf, n, start = keep, k, page
+        if not buf:
+            start = page
+        buf.append(s)
+        n += t
+    if buf:
+        out.append((" ".join(buf), start, last, n))
+    return out
+
+
+@pytest.mark.parametrize(("most", "overlap"), [(12, 4), (5, 0), (30, 10), (3, 2)])
+def test_chunker_against_plain_version(spark, most, overlap):
+    body = {1: ["One two three. Four five! Six seven eight nine ten eleven twelve thirteen fourteen.", "A b. C d e f g h."], 2: ["Short.", "", "Ünï cödé? Yes, it is; really."]}
+    data = [(d, p + 1, t) for d, ps in body.items() for p, t in enumerate(ps)]
+    got = rows(chunking.chunk_pages(spark.createDataFrame(data, "document_id long, page int, text string"), most, overlap), "document_id", "chunk_index")
+    want = []
+    for d, ps in body.items():
+        sents = [(p + 1, s.strip()) for p, t in enumerate(ps) for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
+        want += [(d, i, *c) for i, c in enumerate(plain_chunks(sents, most, overlap))]
+    assert got == want
+
+
+def test_chunker_with_no_pages(spark):
+    assert rows(chunking.chunk_pages(spark.createDataFrame([], "document_id long, page int, text string"))) == []
+
+
+def test_table_pages_leave_a_header_only_page(spark):
+    data = [("b", "s", i, f"v{i}") for i in range(98)]
+    got = rows(pages.table_pages(spark.createDataFrame(data, "book string, sheet string, ord int, c string"), ["c"]), "page")
+    assert [t.split("]")[0] + "]" for _, _, t in got] == ["[Sheet: s]", "[Sheet: s (cont.)]", "[Sheet: s (cont.)]"]
+    assert got[2][2] == "[Sheet: s (cont.)]" and got[0][2].count("c: ") == 49
+
+
+def test_json_strings(spark):
+    df = spark.createDataFrame([('{"a": ["' + "x" * 30 + '", 1, {"b": "' + "y" * 31 + '"}], "c": "short"}',), ("broken",), (None,)], "j string")
+    got = [r["strings"] for r in pages.json_strings(df, "j").collect()]
+    assert got == [["x" * 30, "y" * 31], [], []]
+
+
+def test_wilson_and_t(spark):
+    w = spark.createDataFrame([(8, 10), (0, 0), (0, 5)], "c long, n long").select(stats.wilson(F.col("c"), F.col("n"), 0.95).alias("w")).collect()
+    assert (round(w[0]["w"]["lo"], 4), round(w[0]["w"]["hi"], 4)) == (0.4902, 0.9433)
+    assert (w[1]["w"]["lo"], w[1]["w"]["hi"]) == (0.0, 0.0) and w[2]["w"]["lo"] == 0.0
+    for df, want in ((2, 4.302653), (3, 3.182446), (9, 2.262157)):
+        assert round(stats.t_quantile(df, 0.95), 6) == want
+    assert abs(stats.t_quantile(1e5, 0.95) - statistics.NormalDist().inv_cdf(0.975)) < 1e-4
+
+
+def test_mean_interval(spark):
+    df = spark.createDataFrame([("q", 3.0), ("q", 4.0), ("q", 5.0), ("few", 1.0), ("none", None)], "question_id string, value_num double")
+    got = {r["question_id"]: r for r in survey_stats.mean_ci(df).collect()}
+    assert (got["q"]["mean"], got["q"]["sd"], got["q"]["ci_lower"], got["q"]["ci_upper"]) == (4.0, 1.0, 1.5159, 6.4841)
+    assert got["few"]["ci_lower"] is None and got["few"]["warning"].startswith("Insufficient") and got["none"]["n"] == 0
+
+
+def test_checkbox_counts_a_repeated_pick_once(spark):
+    df = spark.createDataFrame([("q", ["a", "a"]), ("q", []), ("q", ["b"])], "question_id string, value_list array<string>")
+    got = {r["option"]: (r["count"], r["n"]) for r in survey_stats.checkbox_ci(df).collect()}
+    assert got == {"a": (1, 3), "b": (1, 3)}
+
+
+def test_ranking_zeros_for_rare_items(spark):
+    df = spark.createDataFrame([("q", ["a", "b"]), ("q", ["b", "a"]), ("q", ["a"])], "question_id string, value_list array<string>")
+    got = {r["option"]: (r["n"], r["mean"]) for r in survey_stats.ranking_ci(df).collect()}
+    assert got == {"a": (3, 1.3333), "b": (2, 0.0)}
+
+
+@pytest.mark.parametrize(("level"), [0.4, 1.0])
+def test_level_bounds(spark, level):
+    with pytest.raises(ValueError, match="level"):
+        survey_stats.confidence_intervals(spark.createDataFrame([], "question_id string, question_type string, value_num double, value_bool boolean, value_str string, value_list array<string>"), level)
+
+
+def test_graph_search_order(spark):
+    hits = spark.createDataFrame([(0, 1, 0.9, 1), (0, 2, 0.8, 2), (0, 6, 0.7, 3)], "query_id long, node_id long, similarity double, rank int")
+    near = spark.createDataFrame([(1, 2, 0.9, 1), (1, 3, 0.8, 2), (2, 4, 0.9, 1), (2, 5, 0.8, 2), (6, 3, 0.9, 1), (6, 7, 0.8, 2)], "src_id long, dst_id long, weight double, k int")
+    got = [(r["node_id"], r["source"]) for r in retrieval.graph_search(hits, near).orderBy("pos").collect()]
+    assert got == [(1, "vector"), (2, "graph_expansion"), (3, "graph_expansion"), (6, "vector"), (7, "graph_expansion")]
+
+
+def test_neighbour_limit_comes_before_inactive_nodes_go(spark):
+    edges = spark.createDataFrame([(1, i, 1 - i / 10, True) for i in range(2, 7)], "src_id long, dst_id long, weight double, is_active boolean")
+    nodes = spark.createDataFrame([(i, "active" if i != 3 else "archived") for i in range(1, 7)], "id long, status string")
+    assert [r["dst_id"] for r in retrieval.neighbours(edges, nodes, 3, 0.0).orderBy("k").collect()] == [2, 4]
+
+
+def test_similarity_edges_zero_vectors_and_ties(spark):
+    nodes = spark.createDataFrame([(1, "t", [1.0, 0.0]), (2, "t", [2.0, 0.0]), (3, "t", [3.0, 0.0]), (4, "t", [0.0, 0.0]), (5, "u", [1.0, 0.0]), (6, "t", None)], "id long, tenant_id string, embedding array<float>")
+    got = rows(graph.similarity_edges(nodes, 0.5, 1), "src_id")
+    assert got == [(1, 2, 1.0), (2, 1, 1.0), (3, 1, 1.0)]
+
+
+def test_degree_counts_a_loop_once(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    edges = spark.createDataFrame([(1, 1, True), (1, 2, True), (2, 1, False)], "src_id long, dst_id long, is_active boolean")
+    assert rows(maintenance.node_degree(nodes, edges), "id") == [(1, 2), (2, 1), (3, 0)]
+
+
+def test_upsert_applies_repeats_in_order_and_null_keys_match(spark):
+    as_of = "2024-01-02"
+    target = spark.sql("select 't' tenant_id, cast(null as string) client_id, 'k' node_key, 'Chunk' type, 'old' name, cast(null as string) description, 'active' status, map('a', '1') properties, array(1f) embedding, 1L seen_count, timestamp_ntz'2024-01-01' last_seen_at, timestamp_ntz'2024-01-01' created_at, timestamp_ntz'2024-01-01' updated_at")
+    batch = spark.sql("select 't' tenant_id, cast(null as string) client_id, 'k' node_key, 'Chunk' type, name, cast(null as string) description, 'active' status, properties, cast(null as array<float>) embedding, seq from values ('one', map('b', '2'), 1), ('two', map('a', '3', 'b', '4'), 2) as v(name, properties, seq)")
+    got = upserts.upsert(target, batch, upserts.NODES, as_of).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r["name"], r["properties"], r["embedding"], r["seen_count"], str(r["updated_at"])[:10], str(r["created_at"])[:10]) == ("two", {"a": "3", "b": "4"}, [1.0], 3, "2024-01-02", "2024-01-01")
+
+
+def test_upsert_into_an_empty_table(spark):
+    batch = spark.sql("select 't' tenant_id, 1L document_id, 0 chunk_index, 'x' content, map('a', '1') metadata, 1 seq")
+    empty = spark.createDataFrame([], "tenant_id string, document_id long, chunk_index int, content string, metadata map<string,string>, created_at timestamp_ntz, updated_at timestamp_ntz")
+    assert [r["content"] for r in upserts.upsert(empty, batch, upserts.CHUNKS, "2024-01-02").collect()] == ["x"]
+
+
+def test_route_sources(spark):
+    src = spark.createDataFrame([("document", "a.pdf"), ("document", "b.exe"), ("transcript", "c.vtt"), ("document", "gone.pdf"), ("odd", "a.pdf")], "kind string, path string")
+    ok, bad = scans.route_sources(src, spark.createDataFrame([("a.pdf",), ("b.exe",), ("c.vtt",)], "path string"))
+    assert sorted(r["path"] for r in ok.collect()) == ["a.pdf", "c.vtt"]
+    assert sorted((r["path"], r["reject_reason"]) for r in bad.collect()) == [("a.pdf", "unsupported type"), ("b.exe", "unsupported type"), ("gone.pdf", "not found")]
+
+
+def test_infer_checks_the_number_of_results(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "i long, p string")
+    assert [r["result"] for r in context.infer(df, "p", lambda xs: [len(x) for x in xs], "long", 2).orderBy("i").collect()] == [2] * 5
+    with pytest.raises(Exception, match="prompts gave"):
+        context.infer(df, "p", lambda xs: [1], "long", 2).collect()
+
+
+def test_questions(spark):
+    raw = '{"recommendations": [{"type": "card_sort", "label": "L", "id": "bad", "items": [{"label": "i"}], "categories": []}, {"text": "T", "required": true}]}'
+    df = spark.createDataFrame([(1, raw), (2, "not json"), (3, None)], "k int, raw string")
+    a, b, c = context.normalize_questions(df, "raw").orderBy("k").collect()
+    assert a["status"] == "complete" and a["questions"][0]["cards"][0]["label"] == "i" and a["questions"][1]["label"] == "T" and a["questions"][1]["required"]
+    assert re.fullmatch("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", a["questions"][0]["id"])
+    assert b["status"] == c["status"] == "parse_error"
+
+
+def test_expand_hops(spark):
+    near = spark.createDataFrame([(1, 2, 0.9, 1), (2, 3, 0.9, 1), (3, 1, 0.9, 1), (1, 3, 0.5, 2)], "src_id long, dst_id long, weight double, k int")
+    seeds = spark.createDataFrame([(0, 1)], "query_id long, node_id long")
+    assert rows(retrieval.expand_hops(seeds, near, 3), "node_id") == [(0, 1, 0, None), (0, 2, 1, 1), (0, 3, 1, 1)]
