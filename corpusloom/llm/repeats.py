@@ -135,8 +135,16 @@ def _seen(length: int):
     """Rows sorted by (h, doc_id, a): spans [s, e) of windows equal to an earlier one with the same anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, np.empty(0, np.uint64)
+        last, seen, before = None, np.empty(0, np.uint64), None
         for batch in batches:
+            # A row given twice in the input comes twice here, too: the second says nothing new.
+            cols = [batch.column(c).to_numpy() for c in ("h", "doc_id", "th", "a")]
+            again = np.ones(len(batch), bool)
+            for c, x in zip(cols, before or [None] * 4, strict=True):
+                again[1:] &= c[1:] == c[:-1]
+                again[:1] &= x is not None and c[:1] == x
+            before = [c[-1] for c in cols] if len(batch) else before
+            batch = batch.filter(pa.array(~again))
             if not len(batch):
                 continue
             h, doc, th, a, n = (batch.column(c).to_numpy() for c in ("h", "doc_id", "th", "a", "n"))
