@@ -9,7 +9,9 @@ full sets are fetched (a pair of 0.75 fails the screen with probability below 1e
 Equal sets are one node from the start. Links matter only for what they connect, so the join works in two passes: each
 node is first confirmed against the one centre (a bucket's least node) with which it shares most keys; after joining up
 what that links, only pairs of different components within a bucket are compared, large buckets in blocks of
-``BLOCK`` rows that spread over tasks. No pair is capped, and groups of copies never expand into all pairs.
+``BLOCK`` rows that spread over tasks. A pair is taken up in the first key that it shares only, and not at all if its
+known distances to one centre differ by more than the threshold allows (Jaccard distance is a metric). No pair is
+capped, and groups of copies never expand into all pairs.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set and is linked with nothing; fewer
 than five words make one shingle; a null ``doc_id`` is linked with nothing and kept, its component null; repeated rows
@@ -29,7 +31,7 @@ from .common import small_batches, text_steps, written
 from .components import components
 from .vectext import mix64, shingle_sets
 
-SLOTS, CHUNKS, WIDTH = 96, 9, 4
+SLOTS, CHUNKS, WIDTH = 256, 9, 4
 INDEXED = CHUNKS * WIDTH
 #: Equal 8-bit slots a pair must have: five deviations under the mean at a similarity of 0.75.
 SCREEN = int(SLOTS * 0.75 - 5 * (SLOTS * 0.75 * 0.25) ** 0.5)
@@ -88,19 +90,19 @@ def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, at = None, None
         for batch in batches:
-            a_out, b_out = [], []
+            out: list[tuple[int, int, bool, float]] = []
             for a, z in text_steps(batch, "text"):
                 part = batch.slice(a, z - a)
                 rows = zip(*(part.column(c).to_pylist() for c in ("c", "salt", "side", "v")), shingle_sets(part.column("text"), width), strict=True)
                 for c, salt, side, v, u in rows:
                     if side == 0:
                         head, at = u, (c, salt)
-                    elif at == (c, salt):
+                    elif at == (c, salt) and len(u):
                         both = np.intersect1d(head, u, assume_unique=True).size
-                        if len(u) and 100 * both >= percent * (len(head) + len(u) - both):
-                            a_out.append(c)
-                            b_out.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                        either = len(head) + len(u) - both
+                        out.append((c, v, 100 * both >= percent * either, both / either))
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, types, strict=True)], names=["a", "b", "linked", "j"])
 
     return run
 
@@ -111,17 +113,30 @@ def _compare(best_only: bool, percent: int):
     best_only: for each pair of components just the pair most alike; else all pairs.
     """
 
-    def pairs(rows: list[tuple], bi: int, bj: int) -> Iterator[tuple[int, int]]:
-        block, rep, comp, n, sig = (np.array(x) if i < 4 else np.frombuffer(b"".join(x), np.uint8).reshape(len(rows), SLOTS) for i, x in enumerate(zip(*rows, strict=True)))
+    def pairs(rows: list[tuple], key: int, bi: int, bj: int) -> Iterator[tuple[int, int]]:
+        cols = list(zip(*rows, strict=True))
+        block, rep, comp, n, pivot, near = (np.array(x) for x in cols[:6])
+        sig = np.frombuffer(b"".join(cols[6]), np.uint8).reshape(len(rows), SLOTS)
+        idx = np.frombuffer(b"".join(cols[7]), "<u2").reshape(len(rows), CHUNKS, WIDTH)
+        chunk, out = divmod(key >> 48, WIDTH)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i in range(len(rows)):
             if bi != bj and block[i] != bi:
                 continue
             ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (block == bj)
+            ok &= (pivot != pivot[i]) | (np.abs(near - near[i]) <= 1 - percent / 100 + 1e-9)
             ok[: i + 1] &= bi != bj
             where = np.flatnonzero(ok)
-            same = (sig[where] == sig[i]).sum(axis=1) if len(where) else where
-            for j, m in zip(where[same >= SCREEN], same[same >= SCREEN], strict=True):
+            if not len(where):
+                continue
+            same = (sig[where] == sig[i]).sum(axis=1)
+            where, same = where[same >= SCREEN], same[same >= SCREEN]
+            # Only in the first key that the two share: the first chunk with at most one difference, the slot that differs left out.
+            equal = idx[where] == idx[i]
+            first = (equal.sum(axis=2) >= WIDTH - 1).argmax(axis=1)
+            left_out = np.where(equal[np.arange(len(where)), first].all(axis=1), 0, equal[np.arange(len(where)), first].argmin(axis=1))
+            mine = (first == chunk) & (left_out == out)
+            for j, m in zip(where[mine], same[mine], strict=True):
                 pair = (min(rep[i], rep[j]), max(rep[i], rep[j]))
                 if not best_only:
                     yield pair
@@ -138,28 +153,28 @@ def _compare(best_only: bool, percent: int):
 
         at, rows, found = None, [], set()
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "bi", "bj", "block", "rep", "comp", "n", "sig")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "bi", "bj", "block", "rep", "comp", "n", "pivot", "near", "sig", "idx")), strict=True):
                 if r[:3] != at:
-                    found.update(pairs(rows, at[1], at[2]) if rows else ())
+                    found.update(pairs(rows, *at) if rows else ())
                     at, rows = r[:3], []
                 rows.append(r[3:])
             if len(found) > 50_000:
                 yield out(found)
                 found = set()
-        found.update(pairs(rows, at[1], at[2]) if rows else ())
+        found.update(pairs(rows, *at) if rows else ())
         yield out(found)
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (c, v) whose full sets pass. Members meet their centre's text MEMBERS at a time."""
+    """(a, b, linked, j): similarity of the full sets of pairs (c, v). Members meet their centre's text MEMBERS at a time."""
     counts = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("m")).select("c", F.ceil(F.col("m") / MEMBERS).alias("salts"))
     members = pairs.join(counts, "c").select("c", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), "v")
     heads = counts.select("c", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.lit(0).alias("side"), F.col("c").alias("v"))
     rows = members.unionByName(heads).join(texts.withColumnRenamed("doc_id", "v"), "v")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "side")
-    return written(rows.select("c", "salt", "side", "v", "text").mapInArrow(_confirm(width, percent), "a long, b long"), "links")
+    return written(rows.select("c", "salt", "side", "v", "text").mapInArrow(_confirm(width, percent), "a long, b long, linked boolean, j double"), "links")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -177,21 +192,24 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     first = written(star.groupBy(F.col("rep").alias("v")).agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c")).select("c", "v"), "first-pairs")
     needed = shared.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links = _links(first, texts, width, percent)
+    judged = _links(first, texts, width, percent)
+    links = judged.where("linked")
+    pivots = judged.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), F.col("j").alias("near"))
 
     for best_only in (True, False):
         comps = written(components(links), "components")
         marked = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
         mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rows = marked.join(mixed, "key", "left_semi").join(reps.select("rep", "sig"), "rep")
+        rows = marked.join(mixed, "key", "left_semi").join(reps.select("rep", "sig", "idx"), "rep").join(pivots, "rep", "left")
+        rows = rows.withColumns({"pivot": F.coalesce("pivot", "rep"), "near": F.coalesce("near", F.lit(1.0))})
         rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "rep"), "blocks").cast("int"))
         rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         rows = rows.withColumns({"bi": F.least("block", "with"), "bj": F.greatest("block", "with")})
         rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-        found = rows.select("key", "bi", "bj", "block", "rep", "comp", "n", "sig").mapInArrow(_compare(best_only, percent), "c long, v long").distinct()
+        found = rows.select("key", "bi", "bj", "block", "rep", "comp", "n", "pivot", "near", "sig", "idx").mapInArrow(_compare(best_only, percent), "c long, v long").distinct()
         found = written(found.join(first, ["c", "v"], "left_anti"), "pairs")
         first = first.unionByName(found)
-        links = links.unionByName(_links(found, texts, width, percent))
+        links = links.unionByName(_links(found, texts, width, percent).where("linked"))
 
     comps = components(links).withColumnRenamed("node", "rep")
     classes = reps.select("s1", "s2", "n", "rep").join(comps, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
