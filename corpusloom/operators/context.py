@@ -70,9 +70,12 @@ def ensure_parsed(col: Column, schema: str, fallback: Column) -> Column:
     return salvage_json(col, schema, fallback, fence=False)
 
 
-def unwrap_questions(col: Column) -> Column:
+def json_variant(col: Column) -> Column:
+    return F.coalesce(F.try_parse_json(col), F.try_parse_json(F.regexp_extract(col, FENCE, 1)))
+
+
+def unwrap_questions(v: Column) -> Column:
     """Array of questions as variants, from an array or from ``questions`` or ``recommendations`` of an object; else null."""
-    v = F.try_parse_json(json_text(col))
     return F.coalesce(*[F.try_variant_get(v, path, "array<variant>") for path in ("$", "$.questions", "$.recommendations")])
 
 
@@ -104,8 +107,9 @@ def normalize_questions(df: DataFrame, col: str) -> DataFrame:
             of(["ranking"], strings("items")).alias("items"), of(["card_sort"], cards("items")).alias("cards"), of(["card_sort"], cards("categories")).alias("categories"),
         )
 
-    out = df.withColumn("_q", unwrap_questions(F.col(col)))
-    return out.withColumns({"questions": F.transform("_q", one), "status": F.when(F.col("_q").isNull(), "parse_error").otherwise("complete")}).drop("_q")
+    # explode(array(x)) has x made once: the planner would else repeat it in every field that reads it.
+    out = df.withColumn("_v", F.explode(F.array(json_variant(F.col(col))))).withColumn("_q", F.explode(F.array(unwrap_questions(F.col("_v")))))
+    return out.withColumns({"questions": F.transform("_q", one), "status": F.when(F.col("_q").isNull(), "parse_error").otherwise("complete")}).drop("_q", "_v")
 
 
 def render_survey(questions: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def forms(spark, d):
 
 @query("select o_orderkey, case when o_orderkey % 4 = 3 then -1 when o_orderkey % 4 = 0 then 2 else 1 end as n from orders")
 def c7_unwrap_questions(spark, d):
-    return forms(spark, d).select("o_orderkey", F.coalesce(F.size(C.unwrap_questions(F.col("raw"))), F.lit(-1)).alias("n"))
+    return forms(spark, d).select("o_orderkey", F.coalesce(F.size(C.unwrap_questions(C.json_variant(F.col("raw")))), F.lit(-1)).alias("n"))
 
 
 @query(
@@ -81,8 +81,8 @@ def c7_unwrap_questions(spark, d):
     case when o_orderkey % 4 <> 3 and o_orderkey % 2 = 0 then 7 end as max, case when o_orderkey % 4 <> 3 and o_orderkey % 2 = 0 then 'Poor' end as low, case when o_orderkey % 4 = 1 then 2 end as options from orders"""
 )
 def c8_normalize_questions(spark, d):
-    q = F.get("questions", F.lit(0))
-    rows = C.normalize_questions(forms(spark, d), "raw")
+    rows = C.normalize_questions(forms(spark, d), "raw").withColumn("q", F.explode(F.array(F.get("questions", F.lit(0)))))
+    q = F.col("q")
     return rows.select("o_orderkey", "status", q["type"].alias("type"), q["label"].alias("label"), q["max"].alias("max"), q["lowLabel"].alias("low"), F.when(q["options"].isNotNull(), F.size(q["options"])).alias("options"))
 
 

@@ -89,9 +89,9 @@ def t1_normalize_text(spark, d):
     return read(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
 
-@query("select doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_\\s]')) as tokens from documents where lang = 'en'")
+@query("select doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}_]+|[^\\p{L}\\p{N}\\p{M}_\\s]')) as tokens from documents")
 def t2_token_len(spark, d):
-    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", T.token_len(F.col("text")).alias("tokens"))
+    return read(spark, d, "documents").select("doc_id", T.token_len(F.col("text")).alias("tokens"))
 
 
 @query()
