@@ -84,7 +84,14 @@ def s12_number_pages(spark, d):
     return pages.number_pages(sites(spark, d).select("site", F.col("page_id").alias("ordinal"), "title", "url", "text"))
 
 
-@query()
+W = "[\\p{L}\\p{N}\\p{M}_]"
+#: Without lookaround: runs of newlines are set aside as chr(1) while single ones become blanks.
+T1_SQL = f"""with a as (select doc_id, regexp_replace(text, '({W})-\\n({W})', '\\1\\2', 'g') as t from documents),
+    b as (select doc_id, replace(replace(replace(replace(t, chr(10) || chr(10), chr(1) || chr(1)), chr(1) || chr(10), chr(1) || chr(1)), chr(10), ' '), chr(1), chr(10)) as t from a)
+    select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '[ \\t]+', ' ', 'g') as text from b"""
+
+
+@query(T1_SQL)
 def t1_normalize_text(spark, d):
     return read(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
@@ -94,7 +101,7 @@ def t2_token_len(spark, d):
     return read(spark, d, "documents").select("doc_id", T.token_len(F.col("text")).alias("tokens"))
 
 
-@query()
+@query("select doc_id, cast(len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S'))) as int) as sentences from documents")
 def t3_sentences(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
 
@@ -171,7 +178,7 @@ def t12_link_frontier(spark, d):
     return pages.link_frontier(pages.extract_html(read(spark, d, "pages")), read(spark, d, "pages").select("url"))
 
 
-@query()
+@query("select page_id, list_filter([length(url), length(html), length(url)], lambda x: x >= 30) as lengths from pages")
 def t13_json_strings(spark, d):
     rows = read(spark, d, "pages").select("page_id", F.to_json(F.struct("url", F.struct(F.col("html").alias("body"), F.array("url", F.lit("short")).alias("more")).alias("x"))).alias("j"))
     return pages.json_strings(rows, "j").select("page_id", F.transform("strings", F.length).alias("lengths"))

@@ -98,7 +98,20 @@ def n11_sample_warning(spark, d):
     return rows.withColumn("warning", S.sample_warning(F.col("n")))
 
 
-@query()
+def _share(sql: str) -> str:
+    return "select question_id, option, n, proportion as estimate, ci_lower, ci_upper from (" + SHARE_SQL.format(sql) + ")"
+
+
+N1_SQL = " union all ".join([
+    "select question_id, null as option, n, mean as estimate, ci_lower, ci_upper from (" + MEAN_SQL.format("f_rating") + ")",
+    _share("select question_id, 'Yes' as option, count(*) filter (where value_bool)::double as count, count(*)::double as n from f_yes_no group by 1 union all select question_id, 'No', count(*) filter (where not value_bool), count(*) from f_yes_no group by 1"),
+    _share("select question_id, value_str as option, count(*)::double as count, (select count(*) from f_choice)::double as n from f_choice group by 1, 2"),
+    _share("select question_id, value_str as option, count(*)::double as count, (select count(*) from (select distinct respondent_id, day from f_picks))::double as n from f_picks group by 1, 2"),
+    "select question_id, option, n, mean as estimate, ci_lower, ci_upper from (" + RANK_SQL + ")",
+])
+
+
+@query(N1_SQL, ("f_rating", "f_yes_no", "f_choice", "f_picks", "f_ranks"))
 def n1_confidence_intervals(spark, d):
     """A mixed table of all question types and one that has no interval."""
     kinds = {"value_num": "double", "value_bool": "boolean", "value_str": "string", "value_list": "array<string>"}
