@@ -54,26 +54,30 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64((c[GRAM:] - c[:n]) * powers(INVERSE, n)) if n > 0 else np.empty(0, np.uint64)
 
 
-def cgk_keys(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """(len(starts), WALKS * SAMPLES) keys of the windows of size bytes at starts; beyond the data is byte 0."""
-    steps = min(3 * size, _STEPS)
-    keys = np.empty((len(starts), WALKS * SAMPLES), np.int64)
-    padded = np.append(data, np.zeros(size + 1, np.uint8))
-    for w in range(WALKS):
-        wanted = (PICKS[w] * steps).astype(int)
-        out = {j: None for j in wanted.ravel()}
-        i = np.zeros(len(starts), np.int64)
-        for j in range(max(out) + 1):
-            symbol = np.where(i < size, padded[starts + np.minimum(i, size)], np.uint8(0))
-            if j in out:
-                out[j] = symbol.astype(np.int64)
-            i += MOVES[w, j][symbol]
-        for s in range(SAMPLES):
-            key = np.full(len(starts), w * SAMPLES + s, np.int64)
-            for j in wanted[s]:
-                key = key << 8 | out[j]
-            keys[:, w * SAMPLES + s] = key
-    return keys
+def cgk_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(len(starts), WALKS * SAMPLES) keys of the windows of sizes bytes at starts; beyond the data is byte 0.
+
+    All walks of all windows step together; a key holds its sample's number and the picked symbols.
+    """
+    n = len(starts)
+    steps = np.minimum(3 * sizes, _STEPS)
+    most = int(steps.max())
+    padded = np.append(data, np.zeros(int(sizes.max()) + 1, np.uint8))
+    at, ends = np.tile(starts, WALKS), np.tile(starts + sizes, WALKS)
+    walk = np.repeat(np.arange(WALKS), n)
+    out = np.empty((most, WALKS * n), np.uint8)
+    for j in range(most):
+        symbol = padded[np.minimum(at, ends)] * (at < ends)
+        out[j] = symbol
+        at = at + MOVES[walk, j, symbol]
+    # picks: (walks, samples, picked, windows)
+    picks = (PICKS[:, :, :, None] * steps).astype(np.int64)
+    lane = np.arange(WALKS)[:, None, None, None] * n + np.arange(n)
+    symbols = out[picks, lane].astype(np.int64)
+    keys = np.broadcast_to(np.arange(WALKS * SAMPLES).reshape(WALKS, SAMPLES, 1), (WALKS, SAMPLES, n)).astype(np.int64)
+    for k in range(PICKED):
+        keys = keys << 8 | symbols[:, :, k]
+    return keys.reshape(WALKS * SAMPLES, n).T
 
 
 class Items:
@@ -122,7 +126,7 @@ class Items:
 
 
 def _windows(held):
-    """Item-sized windows at the word starts around each region, with their LSH keys."""
+    """Each region with the LSH keys of its item-sized windows, one at every word start near the estimated one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = held.value
@@ -131,25 +135,27 @@ def _windows(held):
             for x, z in text_steps(batch, "text"):
                 part = batch.slice(x, z - x)
                 data, offsets = normalised(*text_bytes(part.column("text")))
-                ids, seen = part.column("doc_id").to_pylist(), {}
-                for d, t, start in items.regions(data, offsets):
-                    size = int(items.sizes[t])
+                ids = part.column("doc_id").to_pylist()
+                found = sorted({(d, start, int(items.sizes[t])) for d, t, start in items.regions(data, offsets)})
+                starts, sizes, owner = [], [], []
+                for r, (d, start, size) in enumerate(found):
                     reach = SLACK + int(RATE * size) + 1
                     a, e = max(int(offsets[d]), start - reach), min(int(offsets[d + 1]), start + reach + 1)
-                    here = data[max(a - 1, 0) : e]
-                    words = [i for i in range(a, e) if i == offsets[d] or data[i - 1] == 32] if len(here) else []
-                    for s in sorted({*words, min(max(start, a), e)}):
-                        seen.setdefault((d, s, size), None)
+                    words = np.flatnonzero(data[max(a - 1, 0) : e] == 32) + max(a - 1, 0) + 1
+                    mine = np.unique(np.concatenate([words[(words >= a) & (words < e)], [min(max(start, a), e)], [offsets[d]] if a == offsets[d] else []]).astype(np.int64))
+                    starts.append(mine)
+                    sizes += [size] * len(mine)
+                    owner += [r] * len(mine)
+                if not found:
+                    continue
+                keys = cgk_keys(data, np.concatenate(starts), np.array(sizes, np.int64))
+                first = np.searchsorted(owner, np.arange(len(found) + 1))
                 rows = []
-                for size in sorted({k[2] for k in seen}):
-                    here = [k for k in seen if k[2] == size]
-                    keys = cgk_keys(data, np.array([k[1] for k in here], np.int64), size)
-                    reach = SLACK + 2 * int(RATE * size)
-                    for (d, s, _), key in zip(here, keys, strict=True):
-                        a, e = max(int(offsets[d]), s - reach), min(int(offsets[d + 1]), s + size + reach)
-                        rows.append({"doc_id": ids[d], "start": a - int(offsets[d]), "size": size, "region": data[a:e].tobytes(), "keys": key.tolist()})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                for r, (d, start, size) in enumerate(found):
+                    reach = 2 * (SLACK + int(RATE * size)) + 2
+                    a, e = max(int(offsets[d]), start - reach), min(int(offsets[d + 1]), start + size + reach)
+                    rows.append({"doc_id": ids[d], "start": a - int(offsets[d]), "size": size, "region": data[a:e].tobytes(), "keys": np.unique(keys[first[r] : first[r + 1]]).tolist()})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
@@ -179,7 +185,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, item_id, start, region, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "start", "region", "item")), strict=True):
-            distance, end = edit_distance_within(item, region)
+            exact = region.find(item)
+            distance, end = (0, exact + len(item)) if exact >= 0 else edit_distance_within(item, region)
             if distance <= RATE * len(item):
                 rows.append((doc_id, item_id, distance, start + end))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], names=["doc_id", "item_id", "distance", "ends_at"])
@@ -199,10 +206,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
         windows = docs.mapInArrow(_windows(held), "doc_id long, start long, size long, region binary, keys array<long>")
         keyed = windows.select("doc_id", "start", "size", "region", F.explode("keys").alias("key"))
-        table = [(i, len(x), bytearray(x.tobytes()), cgk_keys(x, np.zeros(1, np.int64), len(x))[0].tolist()) for i, x in zip(block.ids, block.bytes, strict=True)]
-        known = spark.createDataFrame(table, "item_id long, size long, item binary, keys array<long>").select("item_id", "size", "item", F.explode("keys").alias("key"))
-        pairs = keyed.join(known, ["size", "key"]).groupBy("doc_id", "item_id", "start", "region", "item").agg(F.count(F.lit(1)).alias("agreed"))
-        found = pairs.mapInArrow(_verify, "doc_id long, item_id long, distance long, ends_at long")
+        keys = cgk_keys(np.concatenate([*block.bytes, np.zeros(1, np.uint8)]), np.append(0, np.cumsum(block.sizes))[:-1], block.sizes) if len(block.sizes) else np.empty((0, 1), np.int64)
+        table = [(i, len(x), bytearray(x.tobytes()), k.tolist()) for i, x, k in zip(block.ids, block.bytes, keys, strict=True)]
+        known = spark.createDataFrame(table, "item_id long, size long, item binary, keys array<long>")
+        # ITEM_BLOCK * WALKS * SAMPLES keys at most, so they go to every task; items follow their pairs.
+        pairs = keyed.join(F.broadcast(known.select("item_id", "size", F.explode("keys").alias("key"))), ["size", "key"]).select("doc_id", "item_id", "start", "region").distinct()
+        found = pairs.join(known.select("item_id", "item"), "item_id").mapInArrow(_verify, "doc_id long, item_id long, distance long, ends_at long")
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "ends_at")).alias("x"))
     return best.select("doc_id", "item_id", "x.distance", "x.ends_at")
