@@ -10,8 +10,8 @@ from .registry import query
 from .views import read, view
 
 Z = S.z_value(0.95)
-#: Student's t from the normal quantile (Cornish-Fisher); right to 4 decimals from about 30 degrees of freedom on.
-T_SQL = f"({Z!r} + ({Z**3 + Z!r}) / (4 * (n - 1)) + ({5 * Z**5 + 16 * Z**3 + 3 * Z!r}) / (96 * (n - 1) ** 2) + ({3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z!r}) / (384 * (n - 1) ** 3))"
+#: Student's t from the normal quantile (Cornish-Fisher); right to 4 decimals from about 12 degrees of freedom on.
+T_SQL = f"({Z!r} + ({Z**3 + Z!r}) / (4 * (n - 1)) + ({5 * Z**5 + 16 * Z**3 + 3 * Z!r}) / (96 * (n - 1) ** 2) + ({3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z!r}) / (384 * (n - 1) ** 3) + ({79 * Z**9 + 776 * Z**7 + 1482 * Z**5 - 1920 * Z**3 - 945 * Z!r}) / (92160 * (n - 1) ** 4))"
 WARN_SQL = "case when n < 3 then 'Insufficient data: ' || n || ' responses (minimum 3 required).' when n < 10 then 'Small sample size (' || n || '): confidence interval may be very wide.' end"
 MEAN_SQL = "with a as (select question_id, count(value_num) as n, avg(value_num) as m, stddev_samp(value_num) as s from {} group by question_id) select question_id, n, round(m, 4) as mean, round(s, 4) as sd, round(m - " + T_SQL + " * s / sqrt(n), 4) as ci_lower, round(m + " + T_SQL + " * s / sqrt(n), 4) as ci_upper, " + WARN_SQL + " as warning from a"
 WILSON_SQL = f"greatest(0.0, (count / n + {Z * Z!r} / (2 * n)) / (1 + {Z * Z!r} / n) - {Z!r} / (1 + {Z * Z!r} / n) * sqrt(count / n * (1 - count / n) / n + {Z * Z!r} / (4 * n * n))) as lo, least(1.0, (count / n + {Z * Z!r} / (2 * n)) / (1 + {Z * Z!r} / n) + {Z!r} / (1 + {Z * Z!r} / n) * sqrt(count / n * (1 - count / n) / n + {Z * Z!r} / (4 * n * n))) as hi"
