@@ -99,7 +99,21 @@ def searched(spark, d, k=5):
     return R.graph_search(R.semantic_search(nodes, query_table(spark, d), k), R.neighbours(view(spark, d, "f_edges"), nodes, 3, 0.2))
 
 
-@query()
+#: The expansion as a fold over each query's seeds by rank.
+SEARCH = (
+    HITS.format(5) + ", " + NEAR + """, lists as (select src_id, list(dst_id order by k) as near from near group by src_id),
+    seeds as (select query_id, list({'node': node_id, 'sim': round(sim, 4), 'near': coalesce(near, []::bigint[]), 'found': []::struct(node bigint, source varchar, sim double)[]} order by rank) as seeds from hits left join lists on src_id = node_id group by query_id),
+    folded as (select query_id, list_reduce(seeds, lambda a, s: {'node': a.node, 'sim': a.sim, 'near': a.near, 'found': case when list_contains(list_transform(a.found, lambda r: r.node), s.node) then a.found
+      else a.found || [{'node': s.node, 'source': 'vector', 'sim': s.sim}] || list_transform(list_filter(s.near, lambda x: x <> s.node and not list_contains(list_transform(a.found, lambda r: r.node), x)), lambda x: {'node': x, 'source': 'graph_expansion', 'sim': null::double}) end},
+      {'node': 0::bigint, 'sim': 0::double, 'near': []::bigint[], 'found': []::struct(node bigint, source varchar, sim double)[]}) as f from seeds),
+    searched as (select query_id, pos - 1 as pos, r.node as node_id, r.source as source, r.sim as similarity from (select query_id, unnest(f.found) as r, generate_subscripts(f.found, 1) as pos from folded))"""
+)
+HYDRATED = SEARCH + """, firsts as (select document_id, chunk_index, content from f_chunks where chunk_index = 0),
+    hydrated as (select s.*, case when c.document_id is null then '' when c.document_id % 5 <> 0 and content <> '' then content when c.document_id % 10 <> 0 and substring(content, 1, 80) <> '' then substring(content, 1, 80) else 'a name' end as content, c.document_id, c.chunk_index from searched s left join firsts c on c.document_id = s.node_id)"""
+HYDRATED_VIEWS = ("f_nodes", "f_edges", "f_chunks")
+
+
+@query("with " + SEARCH + " select * from searched", ("f_nodes", "f_edges"))
 def g3_graph_search(spark, d):
     return searched(spark, d)
 
@@ -110,13 +124,13 @@ def hydrated(spark, d):
     return R.hydrate(searched(spark, d), texts)
 
 
-@query()
+@query("with " + HYDRATED + " select * from hydrated", HYDRATED_VIEWS)
 def g4_result_rows(spark, d):
     """Results with their text, by fallbacks (J7)."""
     return hydrated(spark, d)
 
 
-@query()
+@query("with " + SEARCH + " select query_id, count(*) filter (where source = 'vector') as seed_nodes, count(*) filter (where source = 'graph_expansion') as expanded_nodes from searched group by query_id", ("f_nodes", "f_edges"))
 def g5_expansion_counts(spark, d):
     return R.expansion_counts(searched(spark, d))
 
@@ -131,7 +145,11 @@ def g7_retry(spark, d):
     return R.retrieve_with_retry(R.semantic_search(view(spark, d, "f_nodes"), query_table(spark, d), 10)).select("query_id", "node_id", "rank", "attempt")
 
 
-@query()
+@query(
+    "with " + HYDRATED + """ select query_id, cast(count(*) as int) as n, string_agg('- ' || coalesce(cast(document_id as varchar), 'unknown') || ' (chunk ' || coalesce(cast(chunk_index as varchar), '?') || ')', chr(10) order by pos) filter (where pos < 5) as listing,
+    string_agg('[' || source || ' | Score: ' || coalesce(cast(similarity as varchar), 'N/A') || '] ' || substring(content, 1, 500), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as scored from hydrated group by query_id""",
+    HYDRATED_VIEWS,
+)
 def g9_format_sources(spark, d):
     return R.format_sources(hydrated(spark, d)).select("query_id", F.size("sources").alias("n"), "listing", "scored")
 
@@ -156,12 +174,12 @@ def c1_assemble_context(spark, d):
     return R.assemble_context(view(spark, d, "f_chunks").select(F.col("document_id").alias("query_id"), F.col("chunk_index").alias("pos"), "content"))
 
 
-@query()
+@query("with " + HYDRATED + " select query_id, string_agg('[Chunk ' || (pos + 1) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context from hydrated group by query_id", HYDRATED_VIEWS)
 def a10_ordered_text(spark, d):
     """The variant that keeps blank texts."""
     return R.assemble_context(hydrated(spark, d), "Chunk", skip_blank=False)
 
 
-@query()
+@query("with " + HYDRATED + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_VIEWS)
 def a11_retrieval_stats(spark, d):
     return source_stats(hydrated(spark, d))
