@@ -15,6 +15,26 @@ def s1_scope(spark, d):
     return scans.scope(view(spark, d, "f_documents"), "en", "src3").select("id", "source_type")
 
 
+W = "[\\p{L}\\p{N}\\p{M}_]"
+def norm_sql(x: str) -> str:
+    """Text normalisation without lookaround: runs of newlines are set aside as chr(1) while single ones become blanks."""
+    t = f"regexp_replace({x}, '({W})-\\n({W})', '\\1\\2', 'g')"
+    t = f"replace(replace(replace(replace({t}, chr(10) || chr(10), chr(1) || chr(1)), chr(1) || chr(10), chr(1) || chr(1)), chr(10), ' '), chr(1), chr(10))"
+    return f"regexp_replace(regexp_replace(regexp_replace({t}, '\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '[ \\t]+', ' ', 'g')"
+
+
+HIDDEN = "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "nav", "header", "footer", "noscript", "head")) + "|<!--.*?-->"
+REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def html_sql() -> str:
+    t = f"regexp_replace(regexp_replace(coalesce(html, ''), '(?is){HIDDEN}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for ref, sign in REFS:
+        t = f"replace({t}, '{ref.replace(chr(39), chr(39) * 2)}', '{sign}')"
+    return f"""extracted as (select page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_replace({t}, '\\s+', ' ', 'g')) as text,
+    regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']*)', 1) as links, lower(regexp_extract(url, '://([^/?#]*)', 1)) as site from pages)"""
+
+
 EMBEDDED = "select c.document_id, c.tenant_id, d.client_id, c.chunk_index, length(c.content) as n from f_chunks c join embeddings e on e.vec_id = c.document_id and c.chunk_index < 3 join f_documents d on d.id = c.document_id"
 
 
@@ -79,19 +99,12 @@ def sites(spark, d):
     return pages.extract_html(p).withColumn("site", F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)))
 
 
-@query()
+@query("with " + html_sql() + " select site, cast(row_number() over (partition by site order by page_id, url) as int) as page, 'Title: ' || title || chr(10) || chr(10) || 'URL: ' || url || chr(10) || chr(10) || text as text from extracted where text <> ''")
 def s12_number_pages(spark, d):
     return pages.number_pages(sites(spark, d).select("site", F.col("page_id").alias("ordinal"), "title", "url", "text"))
 
 
-W = "[\\p{L}\\p{N}\\p{M}_]"
-#: Without lookaround: runs of newlines are set aside as chr(1) while single ones become blanks.
-T1_SQL = f"""with a as (select doc_id, regexp_replace(text, '({W})-\\n({W})', '\\1\\2', 'g') as t from documents),
-    b as (select doc_id, replace(replace(replace(replace(t, chr(10) || chr(10), chr(1) || chr(1)), chr(1) || chr(10), chr(1) || chr(1)), chr(10), ' '), chr(1), chr(10)) as t from a)
-    select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\n\\s*\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '[ \\t]+', ' ', 'g') as text from b"""
-
-
-@query(T1_SQL)
+@query("select doc_id, " + norm_sql("text") + " as text from documents")
 def t1_normalize_text(spark, d):
     return read(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
@@ -159,12 +172,12 @@ def t9_to_chunks(spark, d):
     return chunking.to_chunks(view(spark, d, "f_documents"), {"docx": paragraphs, "web": web}, max_tokens=200, overlap_tokens=30)
 
 
-@query()
+@query("with " + html_sql() + " select site, page_id as page, " + norm_sql("text") + " as text from extracted where text <> ''")
 def t10_web_pages(spark, d):
     return pages.web_pages(sites(spark, d).select("site", F.col("page_id").alias("page"), "text"))
 
 
-@query()
+@query("with " + html_sql() + " select page_id, url, title, text, links from extracted")
 def t11_extract_html(spark, d):
     return pages.extract_html(read(spark, d, "pages"))
 
@@ -234,7 +247,7 @@ def v3_cue_windows(spark, d):
     return transcripts.window_numbers(cues(spark, d)).groupBy("transcript_id", "page").agg(F.count(F.lit(1)).alias("cues"))
 
 
-@query()
+@query("select conv_id as transcript_id, cast((k - 1) // 3 + 1 as int) as page, " + norm_sql("string_agg('[' || speaker || ']: ' || text, chr(10) order by k)") + " as text from (select *, row_number() over (partition by conv_id order by idx) as k from f_cues) group by conv_id, (k - 1) // 3", ("f_cues",))
 def v3_cue_pages(spark, d):
     return transcripts.cue_pages(cues(spark, d))
 
