@@ -18,9 +18,9 @@ def read_scraped_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vtt(spark: SparkSession, path: str) -> DataFrame:
-    """(transcript_id, text) of WebVTT files; bytes that are no UTF-8 are replaced."""
+    """(transcript_id, text) of WebVTT files; bytes that are no UTF-8 are replaced, empty files give no row."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("transcript_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("transcript_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def with_expiry(df: DataFrame, as_of: str, days: int = 7) -> DataFrame:
