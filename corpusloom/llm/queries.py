@@ -108,6 +108,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Base32 of a SHA-1, 20 bits at a time.
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+d as (select page_id, octet_length(encode(html)) as n, h, array_to_string(list_transform(range(32), lambda i:
+  substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substring(h, 5 * (i // 4) + 1, 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31 as int) + 1, 1)), '') as digest, min(page_id) over (partition by h) as first_page from p)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when page_id = first_page then 'response' else 'revisit' end as record_type, case when page_id <> first_page then first_page end as refers_to from d
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_media_columns": op2_media_columns,
@@ -123,4 +131,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op7_url_filter": OP7_SQL,
+    "op10_warc": OP10_SQL,
 }
