@@ -99,7 +99,7 @@ def json_strings(df: DataFrame, col: str, min_len: int = 30) -> DataFrame:
                     if len(x) >= min_len:
                         yield x
                 elif isinstance(x, (list, dict)):
-                    stack.extend(reversed(x.values() if isinstance(x, dict) else x) if isinstance(x, list) else reversed(list(x.values())))
+                    stack.extend(reversed(list(x.values()) if isinstance(x, dict) else x))
 
         def one(text):
             try:

@@ -40,7 +40,10 @@ def hash_embedder(texts):
     return [[b / 255 for b in hashlib.md5((t or "").encode()).digest()[:8]] for t in texts]
 
 
-@query()
+@query(
+    """select document_id, chunk_index, 8 as dim, round(list_sum(list_transform(range(8), lambda i: cast('0x' || substring(md5('Embed: ' || content), 2 * i + 1, 2) as int) / 255.0)), 6) as total from f_chunks""",
+    ("f_chunks",),
+)
 def c5_infer(spark, d):
     rows = view(spark, d, "f_chunks").select("document_id", "chunk_index", F.concat(F.lit("Embed: "), "content").alias("prompt"))
     return C.infer(rows, "prompt", hash_embedder, "array<double>").select("document_id", "chunk_index", F.size("result").alias("dim"), F.round(F.aggregate("result", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
