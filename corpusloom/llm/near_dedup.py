@@ -4,7 +4,7 @@ Each shingle set gets ``SLOTS`` min-hashes. The first ``CHUNKS * WIDTH`` of them
 into ``CHUNKS`` chunks, every chunk gives one key for each slot left out, so two sets share a key if some chunk differs
 in at most one slot. By pigeonhole that finds all pairs whose indexed signatures differ in fewer than 2 * CHUNKS slots,
 and misses a pair of similarity 0.75 with probability 6e-6. The 8-bit signature of all slots screens pairs before
-full sets are fetched (a pair of 0.75 fails the screen with probability below 1e-6).
+full sets are fetched (a pair of 0.75 fails the screen with probability 5e-6).
 
 Equal sets are one node from the start. Links matter only for what they connect, so the join works in two passes: each
 node is first confirmed against the one centre (a bucket's least node) with which it shares most keys; after joining up
@@ -31,10 +31,10 @@ from .common import small_batches, text_steps, written
 from .components import components
 from .vectext import mix64, shingle_sets
 
-SLOTS, CHUNKS, WIDTH = 256, 9, 4
+SLOTS, CHUNKS, WIDTH = 512, 9, 4
 INDEXED = CHUNKS * WIDTH
-#: Equal 8-bit slots a pair must have: five deviations under the mean at a similarity of 0.75.
-SCREEN = int(SLOTS * 0.75 - 5 * (SLOTS * 0.75 * 0.25) ** 0.5)
+#: Equal 8-bit slots a pair must have: 4.4 deviations under the mean at a similarity of 0.75, as safe as the index.
+SCREEN = int(SLOTS * 0.75 - 4.4 * (SLOTS * 0.75 * 0.25) ** 0.5)
 BLOCK, MEMBERS = 512, 512
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 1 << 64, SLOTS, dtype=np.uint64) | np.uint64(1)
 
