@@ -48,6 +48,22 @@ def k1_chunk_nodes(spark, d):
     return G.chunk_nodes(chunks, view(spark, d, "f_documents")).select("node_key", "client_id", "name", "description", F.col("properties")["document_id"].alias("doc"))
 
 
+def chunk_id():
+    """One number for each chunk: no two documents share one, however many lines they have."""
+    return F.col("document_id").cast("long") * (1 << 32) + F.col("chunk_index")
+
+
+@query(
+    """select 'chunk:' || (cast(c.document_id as bigint) * 4294967296 + chunk_index) as node_key, d.client_id, 'Chunk ' || chunk_index as name, case when length(t) > 80 then substring(t, 1, 80) || '…' else t end as description, cast(c.document_id as varchar) as doc
+    from (select *, replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') as t from f_chunks) c join f_documents d on d.id = c.document_id""",
+    ("f_chunks", "f_documents"),
+)
+def k1_all_chunk_nodes(spark, d):
+    """A node for every chunk; k1_chunk_nodes and its SQL take the first two lines of a document."""
+    chunks = view(spark, d, "f_chunks").withColumn("id", chunk_id())
+    return G.chunk_nodes(chunks, view(spark, d, "f_documents")).select("node_key", "client_id", "name", "description", F.col("properties")["document_id"].alias("doc"))
+
+
 @query(
     f"""with c as (select f.document_id as id, f.tenant_id, e.embedding from f_chunks f left join embeddings e on e.vec_id = f.document_id where chunk_index = 0), v as (select * from c where embedding is not null),
     e as (select a.id as src, b.id as dst from v a join v b on a.tenant_id = b.tenant_id and a.id <> b.id where {COS} >= 0.25 qualify row_number() over (partition by a.id order by {COS} desc, b.id) <= 10)
