@@ -35,13 +35,14 @@ def validate_node_type(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def chunk_nodes(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """One active node for each chunk; its client is its document's."""
+    """One active node for each chunk, with its embedding if chunks have one; its client is its document's."""
     of = docs.select(F.col("id").alias("document_id"), F.col("client_id"))
     rows = chunks.drop("client_id").join(of, "document_id", "left")
     props = F.create_map(*[x for c in ("id", "document_id", "chunk_index") for x in (F.lit("chunk_id" if c == "id" else c), F.col(c).cast("string"))])
     return rows.select(
         "tenant_id", "client_id", F.concat(F.lit("chunk:"), F.col("id").cast("string")).alias("node_key"), F.lit("Chunk").alias("type"),
         F.concat(F.lit("Chunk "), F.col("chunk_index").cast("string")).alias("name"), preview(F.col("content")).alias("description"), props.alias("properties"), F.lit("active").alias("status"),
+        *(["embedding"] if "embedding" in chunks.columns else []),
     )
 
 
@@ -123,14 +124,30 @@ def similarity_edges(nodes: DataFrame, threshold: float = 0.82, max_edges: int |
     return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_edges).drop("k")
 
 
+def merge_graph(nodes: DataFrame, edges: DataFrame, stored_nodes: DataFrame, stored_edges: DataFrame, as_of: str, rel_type: str = "related_to") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) tables after a build's rows are upserted (U1, U2). nodes: as of build_graph, whose edges join chunk ids;
+    an edge takes its source's tenant and client."""
+    from . import upserts as U
+
+    of = nodes.select("tenant_id", "client_id", F.col("properties")["chunk_id"].cast("long").alias("src_id"))
+    batch = edges.join(of, "src_id").select("tenant_id", "client_id", "src_id", "dst_id", F.lit(rel_type).alias("rel_type"), "weight", F.create_map(F.lit("method"), F.lit('"chunk_embedding_cosine"')).alias("properties"), F.lit(1).alias("seq"))
+    return U.upsert(stored_nodes, nodes.withColumn("seq", F.lit(1)), U.NODES, as_of), U.upsert(stored_edges, batch, U.EDGES, as_of)
+
+
 def build_graph(chunks: DataFrame, docs: DataFrame, dim: int, threshold: float = 0.82, max_edges: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, one-row summary) from embedded chunks with ids."""
+    """(nodes, edges, one-row summary) from embedded chunks with ids; valid chunks and edges are written once and read again."""
+    from ..session import work_folder
     from .scans import valid_embeddings
 
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = work_folder(df.sparkSession, name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     checked = valid_embeddings(chunks, dim)
-    valid = checked.where("is_valid").drop("is_valid")
+    valid = written(checked.where("is_valid").drop("is_valid"), "valid")
     nodes = chunk_nodes(valid, docs)
-    edges = similarity_edges(valid, threshold, max_edges)
+    edges = written(similarity_edges(valid, threshold, max_edges), "edges")
     summary = checked.agg(F.count(F.lit(1)).alias("fetched"), F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("skipped"))
     summary = summary.join(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges")))).withColumn("nodes", F.col("valid"))
     return nodes, edges, summary

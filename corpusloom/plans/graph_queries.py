@@ -75,6 +75,31 @@ def k4_build_graph(spark, d):
     return G.build_graph(chunk_table(spark, d), view(spark, d, "f_documents"), 64, 0.25, 10)[2]
 
 
+STORED = "tenant_id string, client_id string, {}, properties map<string,string>, seen_count long, last_seen_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
+
+
+@query(
+    f"""with firsts as (select document_id, min(chunk_index) as chunk_index from f_chunks group by document_id),
+    c as (select cast(f.document_id as bigint) * 4294967296 + f.chunk_index as id, f.tenant_id, e.embedding from f_chunks f left join firsts using (document_id, chunk_index) left join embeddings e on e.vec_id = firsts.document_id), v as (select * from c where embedding is not null),
+    e as (select a.id as src, b.id as dst from v a join v b on a.tenant_id = b.tenant_id and a.id <> b.id where {COS} >= 0.25 qualify row_number() over (partition by a.id order by {COS} desc, b.id) <= 10)
+    select (select count(*) from c) as fetched, (select count(*) from v) as valid, (select count(*) from c) - (select count(*) from v) as skipped, (select count(*) from e) as edges, (select count(*) from v) as nodes, (select count(distinct id) from v) as stored_nodes, (select count(*) from (select distinct src, dst from e)) as stored_edges""",
+    ("f_chunks",),
+)
+def k4_all_build_graph(spark, d):
+    """The build over every chunk, merged into empty tables. A document's vector is its first chunk's; the others are skipped. k4_build_graph and its SQL take chunks of index 0."""
+    chunks = view(spark, d, "f_chunks")
+    firsts = chunks.groupBy("document_id").agg(F.min("chunk_index").alias("chunk_index"))
+    vectors = firsts.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id")
+    chunks = chunks.withColumn("id", chunk_id()).join(vectors, ["document_id", "chunk_index"], "left")
+    nodes, edges, summary = G.build_graph(chunks, view(spark, d, "f_documents"), 64, 0.25, 10)
+    stored_nodes = spark.createDataFrame([], STORED.format("node_key string, type string, name string, description string, status string, embedding array<float>"))
+    stored_edges = spark.createDataFrame([], STORED.format("src_id long, dst_id long, rel_type string, weight double, is_active boolean"))
+    kept = G.merge_graph(nodes, edges, stored_nodes, stored_edges, "2024-01-01")
+    for name, table in zip(("stored_nodes", "stored_edges"), kept, strict=True):
+        summary = summary.join(F.broadcast(table.agg(F.count(F.lit(1)).alias(name))))
+    return summary
+
+
 @query("select event_type, count(*) filter (where kind = 'Chunk') as valid, count(*) filter (where kind <> 'Chunk') as rejected from (select event_type, case when event_id % 3 = 0 then 'Chunk' else 'Video' end as kind from events) group by event_type")
 def k5_validate_types(spark, d):
     rows = read(spark, d, "events").select("event_type", F.when(F.col("event_id") % 3 == 0, "Chunk").otherwise("Video").alias("type"))
@@ -127,6 +152,10 @@ SEARCH = (
 HYDRATED = SEARCH + """, firsts as (select document_id, chunk_index, content from f_chunks where chunk_index = 0),
     hydrated as (select s.*, case when c.document_id is null then '' when c.document_id % 5 <> 0 and content <> '' then content when c.document_id % 10 <> 0 and substring(content, 1, 80) <> '' then substring(content, 1, 80) else 'a name' end as content, c.document_id, c.chunk_index from searched s left join firsts c on c.document_id = s.node_id)"""
 HYDRATED_VIEWS = ("f_nodes", "f_edges", "f_chunks")
+#: The same with a node's whole text, which no single chunk index names.
+FIRSTS = "select document_id, chunk_index, content from f_chunks where chunk_index = 0"
+HYDRATED_ALL = HYDRATED.replace(FIRSTS, "select id as document_id, cast(null as int) as chunk_index, text as content from f_documents")
+HYDRATED_ALL_VIEWS = ("f_nodes", "f_edges", "f_documents")
 
 
 @query("with " + SEARCH + " select * from searched", ("f_nodes", "f_edges"))
@@ -134,8 +163,12 @@ def g3_graph_search(spark, d):
     return searched(spark, d)
 
 
-def hydrated(spark, d):
-    chunks = view(spark, d, "f_chunks").where("chunk_index = 0")
+def hydrated(spark, d, whole=False):
+    """whole: with a node's whole text, else with its first line."""
+    if whole:
+        chunks = view(spark, d, "f_documents").select(F.col("id").alias("document_id"), F.lit(None).cast("int").alias("chunk_index"), F.col("text").alias("content"))
+    else:
+        chunks = view(spark, d, "f_chunks").where("chunk_index = 0")
     texts = chunks.select(F.col("document_id").alias("node_id"), F.when(F.col("document_id") % 5 != 0, F.col("content")).alias("content"), F.when(F.col("document_id") % 10 != 0, F.substring("content", 1, 80)).alias("description"), F.lit("a name").alias("name"), "document_id", "chunk_index")
     return R.hydrate(searched(spark, d), texts)
 
@@ -146,6 +179,11 @@ def g4_result_rows(spark, d):
     return hydrated(spark, d)
 
 
+@query("with " + HYDRATED_ALL + " select * from hydrated", HYDRATED_ALL_VIEWS)
+def g4_all_result_rows(spark, d):
+    return hydrated(spark, d, whole=True)
+
+
 @query("with " + SEARCH + " select query_id, count(*) filter (where source = 'vector') as seed_nodes, count(*) filter (where source = 'graph_expansion') as expanded_nodes from searched group by query_id", ("f_nodes", "f_edges"))
 def g5_expansion_counts(spark, d):
     return R.expansion_counts(searched(spark, d))
@@ -170,6 +208,15 @@ def g9_format_sources(spark, d):
     return R.format_sources(hydrated(spark, d)).select("query_id", F.size("sources").alias("n"), "listing", "scored")
 
 
+@query(
+    "with " + HYDRATED_ALL + """ select query_id, cast(count(*) as int) as n, string_agg('- ' || coalesce(cast(document_id as varchar), 'unknown') || ' (chunk ' || coalesce(cast(chunk_index as varchar), '?') || ')', chr(10) order by pos) filter (where pos < 5) as listing,
+    string_agg('[' || source || ' | Score: ' || coalesce(cast(similarity as varchar), 'N/A') || '] ' || substring(content, 1, 500), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as scored from hydrated group by query_id""",
+    HYDRATED_ALL_VIEWS,
+)
+def g9_all_format_sources(spark, d):
+    return R.format_sources(hydrated(spark, d, whole=True)).select("query_id", F.size("sources").alias("n"), "listing", "scored")
+
+
 @query(
     "with recursive_base as (select 1), " + NEAR + """, h0 as (select vec_id as query_id, vec_id as node_id from embeddings where vec_id % 20 = 0), h1 as (select query_id, dst_id as node_id, src_id as parent from (select h0.query_id, n.dst_id, n.src_id, n.weight from h0 join near n on n.src_id = h0.node_id where (h0.query_id, n.dst_id) not in (select query_id, node_id from h0)) qualify row_number() over (partition by query_id, dst_id order by weight desc, src_id) = 1),
     h2 as (select query_id, dst_id as node_id, src_id as parent from (select h1.query_id, n.dst_id, n.src_id, n.weight from h1 join near n on n.src_id = h1.node_id where (h1.query_id, n.dst_id) not in (select query_id, node_id from h0 union all select query_id, node_id from h1)) qualify row_number() over (partition by query_id, dst_id order by weight desc, src_id) = 1)
@@ -196,6 +243,16 @@ def a10_ordered_text(spark, d):
     return R.assemble_context(hydrated(spark, d), "Chunk", skip_blank=False)
 
 
+@query("with " + HYDRATED_ALL + " select query_id, string_agg('[Chunk ' || (pos + 1) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context from hydrated group by query_id", HYDRATED_ALL_VIEWS)
+def a10_all_ordered_text(spark, d):
+    return R.assemble_context(hydrated(spark, d, whole=True), "Chunk", skip_blank=False)
+
+
 @query("with " + HYDRATED + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_VIEWS)
 def a11_retrieval_stats(spark, d):
     return source_stats(hydrated(spark, d))
+
+
+@query("with " + HYDRATED_ALL + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_ALL_VIEWS)
+def a11_all_retrieval_stats(spark, d):
+    return source_stats(hydrated(spark, d, whole=True))

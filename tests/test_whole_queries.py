@@ -2,6 +2,8 @@
 
 import pytest
 
+from corpusloom.operators import graph
+from corpusloom.plans.graph_queries import STORED
 from corpusloom.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +24,28 @@ def test_every_chunk_has_a_node_of_its_own(spark, long_tables):
     assert sorted(r["name"] for r in got if r["doc"] != "1") == ["Chunk 0", "Chunk 1", "Chunk 2"]
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert QUERIES["k1_all_chunk_nodes"](spark, SF).count() == sum(x.strip(" ") != "" for t in texts if t is not None for x in t.split("\n"))
+
+
+def test_the_build_takes_every_chunk_and_is_merged(spark, long_tables):
+    vectors = [(i, [1.0] + [0.0] * 62 + [float(i)], 0) for i in (1, 2, 3)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{long_tables}/embeddings.parquet")
+    got = QUERIES["k4_all_build_graph"](spark, long_tables).first().asDict()
+    assert got == {"fetched": 1203, "valid": 3, "skipped": 1200, "nodes": 3, "edges": 6, "stored_nodes": 3, "stored_edges": 6}
+
+
+def test_a_second_build_adds_no_rows(spark):
+    docs = spark.createDataFrame([(1, "c1"), (2, "c2")], "id long, client_id string")
+    chunks = spark.createDataFrame([("t", 10, 1, 0, "a", [1.0, 0.0]), ("t", 20, 2, 0, "b", [1.0, 0.1]), ("t", 21, 2, 1, "c", None)], "tenant_id string, id long, document_id long, chunk_index int, content string, embedding array<float>")
+    nodes, edges, _ = graph.build_graph(chunks, docs, 2, 0.5)
+    old = [spark.createDataFrame([], STORED.format(x)) for x in ("node_key string, name string, embedding array<float>", "src_id long, dst_id long, rel_type string, weight double, is_active boolean")]
+    for _ in range(2):
+        old = graph.merge_graph(nodes, edges, *old, "2024-01-01")
+    assert sorted((r["client_id"], r["node_key"], r["seen_count"], r["embedding"][0]) for r in old[0].collect()) == [("c1", "chunk:10", 2, 1.0), ("c2", "chunk:20", 2, 1.0)]
+    assert sorted((r["client_id"], r["src_id"], r["dst_id"], r["seen_count"], r["is_active"], r["rel_type"]) for r in old[1].collect()) == [("c1", 10, 20, 2, True, "related_to"), ("c2", 20, 10, 2, True, "related_to")]
+
+
+def test_results_have_the_whole_text(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = [r for r in QUERIES["g4_all_result_rows"](spark, SF).collect() if r["node_id"] in texts and r["node_id"] % 5]
+    assert any("\n" in r["content"] for r in got)
+    assert all(r["content"] == texts[r["node_id"]] for r in got if texts[r["node_id"]])
