@@ -7,6 +7,9 @@ repeated samples of the walks' output are the keys of an LSH join, and exact edi
 window decides. A pair within ``RATE`` of the item's length is found if it keeps two such grams (always, up to 3 % edits
 spread evenly; nearly always at 10 %) and agrees in one of ``WALKS * SAMPLES`` samples.
 
+Items over ``LONG`` bytes take no walk: samples of long walks agree too seldom, and such items have few places with two
+grams. Each of these places, joined where they lie close, goes to the exact edit distance at once.
+
 Items are taken ``ITEM_BLOCK`` at a time, so what is broadcast has a bound whatever the benchmark's size.
 
 Defined cases: a null or empty text holds no item; items shorter than 12 bytes once normalised are too short to tell and
@@ -33,6 +36,8 @@ SLACK, BAND = 8, 32
 FILTER_BITS = 22
 _RNG = np.random.default_rng(11)
 _STEPS = 1 << 12
+#: Bytes of an item up to which its walk, of 3 steps a byte, fits in the moves.
+LONG = _STEPS // 3
 MOVES = _RNG.integers(0, 2, (WALKS, _STEPS, 256), dtype=np.uint8)
 PICKS = _RNG.random((WALKS, SAMPLES, PICKED))
 
@@ -60,7 +65,9 @@ def cgk_keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     All walks of all windows step together; a key holds its sample's number and the picked symbols.
     """
     n = len(starts)
-    steps = np.minimum(3 * sizes, _STEPS)
+    if not n:
+        return np.empty((0, WALKS * SAMPLES), np.int64)
+    steps = 3 * sizes
     most = int(steps.max())
     padded = np.append(data, np.zeros(int(sizes.max()) + 1, np.uint8))
     at, ends = np.tile(starts, WALKS), np.tile(starts + sizes, WALKS)
@@ -91,6 +98,7 @@ class Items:
         kept = [(i, x) for (i, _), x in zip(rows, data, strict=True) if len(x) >= GRAM]
         self.ids, self.bytes = [i for i, _ in kept], [x for _, x in kept]
         self.sizes = np.array([len(x) for x in self.bytes], np.int64)
+        self.long = self.sizes > LONG
         grams = [gram_hashes(x) for x in self.bytes]
         self.gram = np.concatenate([*grams, np.empty(0, np.uint64)])
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -100,6 +108,16 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.gram & np.uint64((1 << FILTER_BITS) - 1)] = True
 
+    def keys(self) -> list[list[int]]:
+        """Of each item: the keys of its walks, or a number of its own below 0 if it is long."""
+        short = np.flatnonzero(~self.long)
+        sizes = self.sizes[short]
+        walked = cgk_keys(np.concatenate([*(self.bytes[k] for k in short), np.zeros(1, np.uint8)]), np.append(0, np.cumsum(sizes))[:-1], sizes)
+        out = [[-1 - k] for k in range(len(self.sizes))]
+        for k, row in zip(short.tolist(), walked.tolist(), strict=True):
+            out[k] = row
+        return out
+
     def regions(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, estimated start) where two grams of an item that don't overlap lie at about one offset."""
         g = gram_hashes(data)
@@ -125,6 +143,17 @@ class Items:
         return sorted(found)
 
 
+def joined(places: list[tuple[int, int, int]], sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, first start, last start) of places (text, item, start) in order, joined where their starts lie within an item's reach."""
+    out: list[tuple[int, int, int, int]] = []
+    for d, t, start in places:
+        if out and out[-1][:2] == (d, t) and start - out[-1][3] <= SLACK + int(RATE * sizes[t]) + 1:
+            out[-1] = (*out[-1][:3], start)
+        else:
+            out.append((d, t, start, start))
+    return out
+
+
 def _windows(held):
     """Each region with the LSH keys of its item-sized windows, one at every word start near the estimated one."""
 
@@ -136,7 +165,9 @@ def _windows(held):
                 part = batch.slice(x, z - x)
                 data, offsets = normalised(*text_bytes(part.column("text")))
                 ids = part.column("doc_id").to_pylist()
-                found = sorted({(d, start, int(items.sizes[t])) for d, t, start in items.regions(data, offsets)})
+                places = items.regions(data, offsets)
+                found = sorted({(d, start, int(items.sizes[t])) for d, t, start in places if not items.long[t]})
+                whole = joined([x for x in places if items.long[x[1]]], items.sizes)
                 starts, sizes, owner = [], [], []
                 for r, (d, start, size) in enumerate(found):
                     reach = SLACK + int(RATE * size) + 1
@@ -146,15 +177,16 @@ def _windows(held):
                     starts.append(mine)
                     sizes += [size] * len(mine)
                     owner += [r] * len(mine)
-                if not found:
+                if not found and not whole:
                     continue
-                keys = cgk_keys(data, np.concatenate(starts), np.array(sizes, np.int64))
+                keys = cgk_keys(data, np.concatenate([*starts, np.empty(0, np.int64)]), np.array(sizes, np.int64))
                 first = np.searchsorted(owner, np.arange(len(found) + 1))
                 rows = []
-                for r, (d, start, size) in enumerate(found):
+                spans = [(d, start, start, size, np.unique(keys[first[r] : first[r + 1]]).tolist()) for r, (d, start, size) in enumerate(found)]
+                for d, start, last, size, k in spans + [(d, start, last, int(items.sizes[t]), [-1 - t]) for d, t, start, last in whole]:
                     reach = 2 * (SLACK + int(RATE * size)) + 2
-                    a, e = max(int(offsets[d]), start - reach), min(int(offsets[d + 1]), start + size + reach)
-                    rows.append({"doc_id": ids[d], "start": a - int(offsets[d]), "size": size, "region": data[a:e].tobytes(), "keys": np.unique(keys[first[r] : first[r + 1]]).tolist()})
+                    a, e = max(int(offsets[d]), start - reach), min(int(offsets[d + 1]), last + size + reach)
+                    rows.append({"doc_id": ids[d], "start": a - int(offsets[d]), "size": size, "region": data[a:e].tobytes(), "keys": k})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -206,8 +238,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
         windows = docs.mapInArrow(_windows(held), "doc_id long, start long, size long, region binary, keys array<long>")
         keyed = windows.select("doc_id", "start", "size", "region", F.explode("keys").alias("key"))
-        keys = cgk_keys(np.concatenate([*block.bytes, np.zeros(1, np.uint8)]), np.append(0, np.cumsum(block.sizes))[:-1], block.sizes) if len(block.sizes) else np.empty((0, 1), np.int64)
-        table = [(i, len(x), bytearray(x.tobytes()), k.tolist()) for i, x, k in zip(block.ids, block.bytes, keys, strict=True)]
+        table = [(i, len(x), bytearray(x.tobytes()), k) for i, x, k in zip(block.ids, block.bytes, block.keys(), strict=True)]
         known = spark.createDataFrame(table, "item_id long, size long, item binary, keys array<long>")
         # ITEM_BLOCK * WALKS * SAMPLES keys at most, so they go to every task; items follow their pairs.
         pairs = keyed.join(F.broadcast(known.select("item_id", "size", F.explode("keys").alias("key"))), ["size", "key"]).select("doc_id", "item_id", "start", "region").distinct()
