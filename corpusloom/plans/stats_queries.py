@@ -80,11 +80,18 @@ def n8_to_bool(spark, d):
 
 @query("select n, round(" + T_SQL + ", 3) as t from (select distinct count(*) + 100 as n from orders group by o_custkey)")
 def n9_t_table(spark, d):
-    """Critical values for the sample sizes that customers' orders give."""
+    """Critical values for the sample sizes that customers' orders give and 100 more, where the SQL is exact enough; n9_all_t_table has the sizes themselves."""
     n = read(spark, d, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) + 100).alias("n")).select("n").distinct()
     return n.select("n", F.round(S.t_critical(0.95)((F.col("n") - 1).cast("double")), 3).alias("t"))
 
 
+@query()
+def n9_all_t_table(spark, d):
+    """Critical values for the sample sizes, two or more, that customers' orders give; SQL is not exact enough at few degrees of freedom."""
+    n = read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("n").distinct()
+    return n.select("n", F.round(S.t_critical(0.95)((F.col("n") - 1).cast("double")), 3).alias("t"))
+
+
 @query("select key, round(lo, 4) as lo, round(hi, 4) as hi from (select key, " + WILSON_SQL + " from (select l_suppkey as key, count(*) filter (where l_returnflag = 'R')::double as count, count(*)::double as n from lineitem group by l_suppkey))")
 def n10_wilson(spark, d):
     rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.count_if(F.col("l_returnflag") == "R").alias("count"), F.count(F.lit(1)).alias("n"))

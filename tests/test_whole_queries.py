@@ -49,3 +49,10 @@ def test_results_have_the_whole_text(spark):
     got = [r for r in QUERIES["g4_all_result_rows"](spark, SF).collect() if r["node_id"] in texts and r["node_id"] % 5]
     assert any("\n" in r["content"] for r in got)
     assert all(r["content"] == texts[r["node_id"]] for r in got if texts[r["node_id"]])
+
+
+def test_critical_values_of_small_samples(spark, tmp_path):
+    """Two-sided 95 % values from printed tables."""
+    known = {2: 12.706, 3: 4.303, 4: 3.182, 6: 2.571, 11: 2.228, 31: 2.042}
+    spark.createDataFrame([(n,) for n in [1, *known] for _ in range(n)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["n"]: r["t"] for r in QUERIES["n9_all_t_table"](spark, str(tmp_path)).collect()} == known
