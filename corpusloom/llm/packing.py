@@ -4,21 +4,29 @@ Documents are tokenised where they are read; only their pieces (id, length, chec
 number of pieces of each length, at most ``size`` numbers whatever the corpus, so it runs on the driver: the reduction
 permanently fixes bins of one to three pieces that provably dominate every other bin holding their largest piece, then
 best-fit decreasing packs what is left. The plan is a list of patterns (lengths in a bin, number of such bins). Pieces
-find their place by their rank among those of equal length: ranks come from counts of small blocks of a length, so a
-length that a third of all documents share still spreads over many tasks.
+find their place by their rank among those of equal length: a length is split into blocks of about ``BLOCK_ROWS`` pieces,
+each ranked by itself after the counts of the blocks before it, so a length that most documents share spreads over
+many tasks.
+
+Tokens are those of the tokenizer file, its added tokens included. The tokenizer splits a text before it merges, and
+merges within a split only, so each distinct split is encoded once and kept in a worker (``KEPT_WORDS`` at most); texts
+with letters beyond Latin ones, or with an added token, go to the tokenizer whole.
 
 Defined cases: a null or empty text is one piece holding only the end token; a document longer than ``size`` is cut
-into full pieces after a first piece that takes the remainder; repeated rows and null ids are packed like any others;
-other columns are ignored; an empty table packs into no sequence.
+into full pieces after a first piece that takes the remainder, however long it is; pieces of equal length are placed by
+doc_id, piece and checksum, and those that tie in all three may change places; repeated rows and null ids are packed
+like any others; other columns are ignored; an empty table packs into no sequence.
 """
 
 from __future__ import annotations
 
-import base64
 import bisect
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +34,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import small_batches, written
+from .common import small_batches, text_steps, written
 
-#: Pieces of a length are ranked in so many blocks.
-BLOCKS = 32
+#: Pieces of one length that a task ranks, about; blocks of lengths that are broadcast, beyond which they are joined by a shuffle.
+BLOCK_ROWS, BROADCAST_ROWS = 200_000, 1_000_000
+#: Encoded splits a worker keeps, and the code points whose classes splitting knows.
+KEPT_WORDS, KNOWN = 400_000, 0x250
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def byte_bpe_encoder(ranks_path: str, pattern: str):
-    """Token ids of a text; the ranks file holds the byte-level vocabulary of the tokenizer's own file."""
-    import tiktoken
+def _letters(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(KNOWN) if unicodedata.category(chr(c))[0] == kind)
+
+
+def splitter() -> re.Pattern:
+    """The byte-level tokenizer's splits of a text of known code points: contractions, letters, digits, signs, white space."""
+    letter, digit, space = _letters("L"), _letters("N"), r"\t-\r \x85\xa0"
+    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+class Encoder:
+    """Token ids of texts by a tokenizer file, the ids of a split kept for the next time."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([rf"[^\x00-{chr(KNOWN - 1)}]", *map(re.escape, added)]))
+        self.split, self.known = splitter().findall, {}
+
+    def ids(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        splits = [None if self.whole.search(t) else self.split(t) for t in texts]
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        new = list({w for s in splits if s for w in s}.difference(self.known))
+        self.known.update((w, e.ids) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
+        for text, s in zip(texts, splits, strict=True):
+            yield self.tokenizer.encode(text, add_special_tokens=False).ids if s is None else chain.from_iterable(map(self.known.__getitem__, s))
+
 
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+#: One encoder for each tokenizer file in a worker, so that what it keeps serves all of the worker's tasks.
+_encoders: dict[str, Encoder] = {}
 
 
-def _pieces(ranks_path: str, pattern: str, size: int, end_id: int):
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _pieces(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, schema = byte_bpe_encoder(ranks_path, pattern), pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        encode = encoder(path).ids
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
-                cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                rows += [(doc_id, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+            for x, z in text_steps(batch, "text"):
+                part = batch.slice(x, z - x)
+                rows: list[tuple] = []
+                for doc_id, found in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids = np.array([*found, end_id], dtype="<u4")
+                    cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
+                    rows += [(doc_id, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema, strict=True)], schema=schema)
 
     return run
 
@@ -59,51 +108,61 @@ def _pieces(ranks_path: str, pattern: str, size: int, end_id: int):
 def reduce_instance(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Bins that dominance fixes, as (lengths, number of bins), and the counts left.
 
-    For the largest piece j: if not even the smallest other fits beside it, {j} dominates. If any fits, b is the largest
-    that does. {j, b} dominates when it fills the bin, when no two others fit beside j, or, if no three do, when no
-    two that fit beside j come to more than b. Equal cases are fixed together.
+    Every length is tried as the largest piece of a bin, from the longest on; one without a dominating bin is left and
+    the next is tried, over and over until nothing more can be fixed. What a bin dominates only grows less as
+    pieces go, so equal bins are fixed together while their pieces last.
+    """
+    left = {w: n for w, n in counts.items() if n > 0}
+    lengths, fixed, changed = sorted(left), [], True
+    while changed:
+        changed = False
+        for j in lengths[::-1]:
+            while left.get(j) and (take := dominating(lengths, left, j, size - j)):
+                times = min(left[w] // n for w, n in Counter(take).items())
+                fixed.append((take, times))
+                for w in take:
+                    left[w] -= times
+                for w in {w for w in take if not left[w]}:
+                    del left[w]
+                    lengths.pop(bisect.bisect_left(lengths, w))
+                changed = True
+    return fixed, left
+
+
+def dominating(lengths: list[int], left: dict[int, int], j: int, room: int) -> tuple[int, ...] | None:
+    """A bin of j and up to two more that dominates all bins holding j; None if there is none of this kind.
+
+    A bin dominates another if the other's pieces can be dealt into groups, each no longer than a piece of its own. With b
+    the longest piece that fits beside j: {j} does if there is no b; {j, b} if b fills the bin, or no two others fit, or
+    (no three fitting) no two come to more than b; {j, b, a}, a the longest that fits beside both, if no three others fit
+    and any two, both longer than a, come to no more than b.
     """
-    left = Counter({w: n for w, n in counts.items() if n > 0})
-    lengths, fixed = sorted(left), []
 
-    def largest(most: int, j: int) -> int | None:
-        """The largest length up to most of which one is left besides a j."""
+    def longest(most: int, besides: tuple[int, ...]) -> int | None:
         i = bisect.bisect_right(lengths, most)
-        while i and left[lengths[i - 1]] - (lengths[i - 1] == j) <= 0:
+        while i and left[lengths[i - 1]] <= besides.count(lengths[i - 1]):
             i -= 1
         return lengths[i - 1] if i else None
 
-    def smallest(k: int, j: int) -> list[int]:
-        out: list[int] = []
-        for w in lengths:
-            out += [w] * min(k - len(out), left[w] - (w == j))
-            if len(out) >= k:
-                break
-        return out
-
-    while lengths:
-        j = lengths[-1]
-        room, low = size - j, smallest(3, j)
-        if not low or low[0] > room:
-            take, times = (j,), left[j] if not low or low[0] > room and low[0] != j else 1
-        else:
-            b = largest(room, j)
-            fits_two, fits_three = len(low) > 1 and sum(low[:2]) <= room, len(low) > 2 and sum(low) <= room
-            if b == room or not fits_two or (not fits_three and _best_pair(lengths, left, j, room) <= b):
-                take = (j, b)
-                times = max(1, left[j] // 2 if b == j else min(left[j], left[b]))
-                if b != room:  # what is smallest may change: fix one at a time near the end of a length
-                    times = max(1, min(times, min(left[w] for w in {*low[:2], b}) // 2))
-            else:
-                return fixed, {w: left[w] for w in lengths}
-        fixed.append((take, times))
-        for w in take:
-            left[w] -= times
-        lengths = [w for w in lengths if left[w] > 0] if any(left[w] <= 0 for w in take) else lengths
-    return fixed, {}
-
-
-def _best_pair(lengths: list[int], left: Counter, j: int, room: int) -> int:
+    low: list[int] = []
+    for w in lengths:
+        low += [w] * min(3 - len(low), left[w] - (w == j))
+        if len(low) == 3:
+            break
+    if not low or low[0] > room:
+        return (j,)
+    b = longest(room, (j,))
+    if b == room or len(low) < 2 or sum(low[:2]) > room:
+        return (j, b)
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    if _best_pair(lengths, left, j, room) <= b:
+        return (j, b)
+    a = longest(room - b, (j, b))
+    return (j, b, a) if a and _best_pair(lengths[bisect.bisect_right(lengths, a) :], left, j, room) <= b else None
+
+
+def _best_pair(lengths: list[int], left: dict[int, int], j: int, room: int) -> int:
     """The largest sum up to room of two pieces besides a j."""
     free = [w for w in lengths if left[w] - (w == j) > 0]
     a, z, best = 0, len(free) - 1, 0
@@ -188,26 +247,25 @@ def _place(slots: dict[int, list[tuple[int, int, int]]]):
     return run
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_pieces(ranks_path, pattern, size, end_id), PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, size, end_id), PIECE_SCHEMA)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, ranks_path, pattern, size, end_id), "pieces")
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BLOCKS)))
-    # At most size x BLOCKS rows, however many documents there are.
-    blocks = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")).orderBy("length", "block").collect()
-    counts, firsts = Counter(), []
-    for r in blocks:
-        firsts.append((r["length"], r["block"], counts[r["length"]]))
-        counts[r["length"]] += r["n"]
+    pieces = written(token_pieces(docs, tokenizer_path, size, end_id), "pieces")
+    # size rows at most, however many documents there are.
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(plan(counts, size)))
-    first = spark.createDataFrame(firsts, "length long, block long, first long")
+    blocks = spark.createDataFrame([(w, -(-n // BLOCK_ROWS)) for w, n in counts.items()], "length long, blocks long")
+    pieces = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "blocks")).drop("blocks")
+    before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")).select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    first = F.broadcast(first) if sum(counts.values()) // BLOCK_ROWS < BROADCAST_ROWS - size else first
     inside = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("k", F.row_number().over(inside)).join(F.broadcast(first), ["length", "block"])
+    ranked = pieces.withColumn("k", F.row_number().over(inside)).join(first, ["length", "block"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("k") - 1).alias("rank"))
 
     def place(batches):
