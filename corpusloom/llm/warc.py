@@ -5,11 +5,15 @@ A bundle is one binary value of a Spark table (so any store Spark can write will
 seekable format. The index has, for each record, the bundle, its frame and the offset inside that frame, so one
 record is read by decompressing one frame. Payloads that repeat are written as ``revisit`` records referring to the
 smallest page that has them: digests meet in a map-side combined minimum, so groups of copies of any size never
-gather anywhere.
-
-Defined cases: a null html is an empty payload; payloads of fewer than ``min_payload`` bytes are never revisits; a
-null page_id gets a record that nothing refers to; repeated rows of a page get a record each, the repeats being
-revisits of the page itself only if another page holds the payload under a smaller id; other columns are ignored.
+gather anywhere. Records are WARC/1.1: a response holds an HTTP message, a revisit the head of that message, whose
+Content-Length tells the payload's bytes.
+
+Defined cases: a null html is an empty payload; a null url is written as the record's own URN and read back as null;
+payloads of fewer than ``min_payload`` bytes are never revisits; a null page_id gets a record that nothing refers to;
+repeated rows of a page get a record with an id each, the repeats being revisits only if another page holds the payload
+under a smaller id; two payloads under one page_id are judged each by itself; of equal payloads the smallest page_id is
+the response; a payload of any length is one record, in a frame of its own if it is longer than a frame; other columns
+are ignored; an empty table gives no bundle.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import small_batches, written
 
@@ -37,17 +42,19 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def warc_record(record_id: str, kind: str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}")]
+def warc_record(record_id: str, kind: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", record_id if url is None else url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if kind == "revisit":
-        head += [("WARC-Refers-To", f"<{page_urn(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Length", str(len(payload)))]
-        payload = b""
-    head += [("Content-Type", "text/html"), ("Content-Length", str(len(payload)))]
-    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + payload + b"\r\n\r\n"
+        head += [("WARC-Refers-To", f"<{page_urn(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    block = http + (payload if kind == "response" else b"")
+    head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
-def page_urn(page_id: int | None) -> str:
-    return f"urn:page:{'none' if page_id is None else page_id}"
+def page_urn(page_id: int | None, repeat: int | None = None) -> str:
+    """The URN of a page's record; repeat tells further rows of the page apart."""
+    return f"urn:page:{'none' if page_id is None else page_id}{'' if repeat is None else f':{repeat}'}"
 
 
 class BundleWriter:
@@ -95,6 +102,7 @@ def read_frame(bundle: bytes, offset: int, packed: int) -> bytes:
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """The named fields and the block of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -103,7 +111,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bundles(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     schema = pa.schema([("bundle_id", pa.string()), ("bundle", pa.binary()), ("n_records", pa.int64()), ("index", pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("frame_offset", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())])))])
@@ -120,23 +128,37 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             payload = (r["html"] or "").encode()
             kind = "response" if r["refers_to"] is None else "revisit"
-            urn = page_urn(r["page_id"])
-            writer.add(urn, r["page_id"], warc_record(urn, kind, r["url"], payload, sha1_base32(payload), r["refers_to"]))
+            urn = page_urn(r["page_id"], r["repeat"])
+            writer.add(urn, r["page_id"], warc_record(urn, kind, r["url"], payload, sha1_base32(payload), r["refers_to"], date))
             if writer.written >= BUNDLE_BYTES:
                 yield out()
     if writer.index:
         yield out()
 
 
-def write_warc(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Write every page's record; the written table of bundles with their record index."""
+def write_warc(pages: DataFrame, min_payload: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Write every page's record; the written table of bundles with their record index. date: when pages were fetched."""
     small_batches(pages.sparkSession)
-    html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n")).where(F.col("page_id").isNotNull() & (F.col("n") >= min_payload))
-    first = keyed.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page")).where("first_page < last_page").drop("last_page")
-    revisits = keyed.join(first, "digest").where("page_id > first_page").select("page_id", F.col("first_page").alias("refers_to")).distinct()
-    records = pages.select("page_id", "url", "html").join(revisits, "page_id", "left").sortWithinPartitions("page_id")
-    return written(records.mapInArrow(_bundles, BUNDLE_SCHEMA), "warc")
+    pages, html = pages.select("page_id", "url", "html"), F.coalesce("html", F.lit(""))
+    keyed = pages.where("page_id is not null").select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n"))
+    long = keyed.where(F.col("n") >= min_payload)
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page")).where("first_page < last_page").drop("last_page")
+    revisits = long.join(first, "digest").where("page_id > first_page").select("page_id", "digest", F.col("first_page").alias("refers_to")).distinct()
+    revisits = revisits.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "refers_to"))).alias("of"))  # as many as a page has payloads
+    records = pages.join(revisits, "page_id", "left").select("page_id", "url", "html", F.try_element_at("of", F.sha1(html)).alias("refers_to"))
+    # Pages given more than once, no row as a rule: their first row keeps the plain URN, the others are numbered.
+    repeated = written(keyed.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id"), "repeated-pages")
+    alone = records.withColumn("repeat", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()))
+    if not repeated.isEmpty():
+        number = F.row_number().over(Window.partitionBy("page_id").orderBy("url", F.sha1(html)))
+        numbered = records.join(repeated, "page_id", "left_semi").withColumn("repeat", F.when(number > 1, number.cast("long")))
+        alone = alone.join(repeated, "page_id", "left_anti").unionByName(numbered)
+    records = alone
+
+    def run(batches):
+        yield from _bundles(batches, date)
+
+    return written(records.sortWithinPartitions("page_id").mapInArrow(run, BUNDLE_SCHEMA), "warc")
 
 
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -157,12 +179,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     held, plain, rows = x["frame"], read_frame(bundle, at, packed), []
-                fields, payload = parse_record(plain[x["offset"] : x["offset"] + x["length"]])
+                fields, block = parse_record(plain[x["offset"] : x["offset"] + x["length"]])
+                head, _, payload = block.partition(b"\r\n\r\n")
+                size = int(dict(h.split(b": ", 1) for h in head.split(b"\r\n")[1:])[b"Content-Length"])
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 refers = fields.get("WARC-Refers-To", "").removeprefix("<urn:page:").rstrip(">")
-                if not refers and sha1_base32(payload) != digest:
+                if not refers and (len(payload) != size or sha1_base32(payload) != digest):
                     raise ValueError(f"payload of {x['record_id']} is damaged")
-                rows.append({"page_id": x["page_id"], "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": int(refers) if refers else None, "payload_bytes": int(fields.get("WARC-Payload-Length", len(payload))), "payload_digest": digest, "payload": payload})
+                rows.append({"page_id": x["page_id"], "url": None if fields["WARC-Target-URI"] == x["record_id"] else fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": int(refers) if refers else None, "payload_bytes": size, "payload_digest": digest, "payload": payload})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -424,11 +424,54 @@ def test_warc(spark):
     for b in bundles.collect():
         frames = warc.seek_table(bytes(b["bundle"]))
         assert {x["frame"] for x in b["index"]} == set(range(len(frames)))
+    ids = [x["record_id"] for b in bundles.collect() for x in b["index"]]
+    assert len(set(ids)) == len(htmls) and {f"urn:page:{i}" for i in (3, 5, 7, 8, 9, 10)} <= set(ids)
+    assert {r["page_id"]: r["url"] for r in out}[7] is None
     small = {r["page_id"]: r["record_type"] for r in warc.read_warc(warc.write_warc(pages, min_payload=9)).collect()}
     assert small[5] == small[8] == "response"
     assert warc.read_warc(warc.write_warc(pages.where("false"))).count() == 0
 
 
+def strict_records(data: bytes):
+    """A reader of its own, by the text of the WARC 1.1 standard: yields (fields, HTTP head, payload)."""
+    import http.client
+    import io
+
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        lines = data[at:end].decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = dict(re.fullmatch(r"([A-Za-z-]+): (.*)", x).groups() for x in lines[1:])
+        assert len(fields) == len(lines) - 1 and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Target-URI"} <= set(fields)
+        assert re.fullmatch(r"<[a-z]+:[^<> ]+>", fields["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        n = int(fields["Content-Length"])
+        block = data[end + 4 : end + 4 + n]
+        assert data[end + 4 + n : end + 8 + n] == b"\r\n\r\n" and fields["Content-Type"].startswith("application/http")
+        status, _, rest = block.partition(b"\r\n")
+        assert status == b"HTTP/1.1 200 OK"
+        stream = io.BytesIO(rest)
+        yield fields, http.client.parse_headers(stream), stream.read()
+        at = end + 8 + n
+
+
+def test_warc_bundles_by_another_reader(spark):
+    import zstandard
+
+    rows = [(i, f"http://h/{i}", ["<p>a</p>", "<p>b</p>", "é" * (i + 1), None][i % 4]) for i in range(40)]
+    bundles = warc.write_warc(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")).collect()
+    found = [r for b in bundles for r in strict_records(zstandard.ZstdDecompressor().stream_reader(bytes(b["bundle"]), read_across_frames=True).read())]
+    assert len(found) == 41 and len({f["WARC-Record-ID"] for f, _, _ in found}) == 41
+    ids = {f["WARC-Record-ID"]: f for f, _, _ in found}
+    for fields, head, payload in found:
+        page = int(fields["WARC-Record-ID"].split(":")[2].rstrip(">"))
+        want = (rows[page][2] or "").encode()
+        assert int(head["Content-Length"]) == len(want) and fields["WARC-Payload-Digest"] == "sha1:" + warc.sha1_base32(want)
+        assert payload == (want if fields["WARC-Type"] == "response" else b"")
+        if fields["WARC-Type"] == "revisit":
+            assert ids[fields["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[fields["WARC-Refers-To"]]["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+
+
 def test_shingles_equal_plain_ones():
     import pyarrow as pa
 
