@@ -8,14 +8,15 @@ full sets are fetched (a pair of 0.75 fails the screen with probability 5e-6).
 
 Equal sets are one node from the start. Links matter only for what they connect, so the join works in two passes: each
 node is first confirmed against the one centre (a bucket's least node) with which it shares most keys; after joining up
-what that links, only pairs of different components within a bucket are compared, large buckets in blocks of
-``BLOCK`` rows that spread over tasks. A pair is taken up in the first key that it shares only, and not at all if its
+what that links, only rows outside the component of a bucket's centre are compared with the rest of the bucket and with
+each other, in blocks of ``BLOCK`` rows that spread over tasks. A pair is taken up in the first key that it shares only, and not at all if its
 known distances to one centre differ by more than the threshold allows (Jaccard distance is a metric). No pair is
 capped, and groups of copies never expand into all pairs.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set and is linked with nothing; fewer
 than five words make one shingle; a null ``doc_id`` is linked with nothing and kept, its component null; repeated rows
-of an id get equal results; ties go to the smaller id; other columns are ignored; an empty table gives no rows.
+of an id get equal results; two texts under one id are one document: what either links to is in its component; ties go
+to the smaller id; a text of any length is one set; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ INDEXED = CHUNKS * WIDTH
 #: Equal 8-bit slots a pair must have: 4.4 deviations under the mean at a similarity of 0.75, as safe as the index.
 SCREEN = int(SLOTS * 0.75 - 4.4 * (SLOTS * 0.75 * 0.25) ** 0.5)
 BLOCK, MEMBERS = 512, 512
+#: Rows of counted tables (large buckets, centres of many members) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 1 << 64, SLOTS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -56,11 +59,11 @@ def _signatures(width: int):
                 hashes = [min_hashes(u) if len(u) else None for u in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
+                        part.column("doc_id"), part.column("th"), pa.array([len(u) for u in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]),
                         pa.array([None if h is None else (h & np.uint64(0xFF)).astype(np.uint8).tobytes() for h in hashes], pa.binary()),
                         pa.array([None if h is None else (h[:INDEXED] >> np.uint64(8) & np.uint64(0xFFFF)).astype("<u2").tobytes() for h in hashes], pa.binary()),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "sig", "idx"],
+                    names=["doc_id", "th", "n", "s1", "s2", "sig", "idx"],
                 )
 
     return run
@@ -167,54 +170,81 @@ def _compare(best_only: bool, percent: int):
     return run
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """df, written and counted: for a broadcast if it has few rows."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, linked, j): similarity of the full sets of pairs (c, v). Members meet their centre's text MEMBERS at a time."""
-    counts = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("m")).select("c", F.ceil(F.col("m") / MEMBERS).alias("salts"))
-    members = pairs.join(counts, "c").select("c", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), "v")
-    heads = counts.select("c", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.lit(0).alias("side"), F.col("c").alias("v"))
-    rows = members.unionByName(heads).join(texts.withColumnRenamed("doc_id", "v"), "v")
+    many = _small(pairs.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > MEMBERS).select("c", F.ceil(F.col("m") / MEMBERS).alias("salts")), "many-members")
+    members = pairs.join(many, "c", "left").select("c", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("side"), "v")
+    heads = members.select("c", "salt").distinct().select("c", "salt", F.lit(0).alias("side"), F.col("c").alias("v"))
+    rows = members.unionByName(heads).join(texts.withColumnRenamed("rep", "v"), "v")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", "side")
     return written(rows.select("c", "salt", "side", "v", "text").mapInArrow(_confirm(width, percent), "a long, b long, linked boolean, j double"), "links")
 
 
+def _across(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, once for each pair of blocks (bi, bj) they take part in.
+
+    A bucket's main component is that of its first node. Blocks of rows outside it are numbered from 0, those of the
+    main component below 0; every block outside meets all the others, blocks of the main component don't meet each other.
+    """
+    comp = F.coalesce("component", "rep")
+    marked = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", comp.alias("comp"))
+    mixed = marked.groupBy("key").agg(F.min_by("comp", "rep").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
+    rows = marked.join(mixed, "key")
+    others = rows.where("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("others"))
+    rows = rows.join(others, "key").withColumns({"outer": F.ceil(F.col("others") / BLOCK).cast("int"), "inner": F.ceil((F.col("size") - F.col("others")) / BLOCK).cast("int")})
+    is_main = F.col("comp") == F.col("main")
+    block = F.pmod(F.xxhash64(F.lit(3), "rep"), F.when(is_main, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = rows.withColumn("block", F.when(is_main, -1 - block).otherwise(block))
+    outside = F.sequence(F.lit(0), F.col("outer") - 1)
+    rows = rows.withColumn("with", F.explode(F.when(is_main, outside).otherwise(F.concat(F.sequence(-F.col("inner"), F.lit(-1)), outside))))
+    return rows.withColumns({"bi": F.least("block", "with"), "bj": F.greatest("block", "with")})
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    signed = written(docs.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long, sig binary, idx binary"), "signatures")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    signed = written(docs.mapInArrow(_signatures(width), "doc_id long, th long, n long, s1 long, s2 long, sig binary, idx binary"), "signatures")
     full = signed.where("n > 0 and doc_id is not null")
-    reps = written(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sig", "idx"), "doc_id").alias("x")).select("s1", "s2", "n", "rep", "x.sig", "x.idx"), "sets")
+    # A node for each different set, numbered as written; its least document gives the text.
+    sets = full.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.min_by(F.struct("sig", "idx"), "doc_id").alias("x"))
+    reps = written(sets.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "n", "of.doc_id", "of.th", "x.sig", "x.idx"), "sets")
+    members = written(signed.select("doc_id", "n", "s1", "s2").join(reps.select("rep", "s1", "s2", "n"), ["s1", "s2", "n"], "left").select("doc_id", "n", "rep"), "members")
+    same = members.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    under_one_id = members.join(_small(same, "ids-with-several-texts"), "doc_id").where("rep is not null and rep <> a").select("a", F.col("rep").alias("b"), F.lit(True).alias("linked"), F.lit(0.0).alias("j"))
     buckets = written(reps.select("rep", "n", "idx").mapInArrow(_keys, "key long, rep long, n long"), "buckets")
     centres = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("c.rep < last").select("key", "size", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"))
     shared = written(buckets.join(centres, "key"), "shared-buckets")
 
     star = shared.where("rep <> c").where(100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")).groupBy("c", "rep").agg(F.count(F.lit(1)).alias("k"))
     first = written(star.groupBy(F.col("rep").alias("v")).agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c")).select("c", "v"), "first-pairs")
-    needed = shared.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    needed = reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "th")
+    texts = written(docs.join(needed, ["doc_id", "th"]).dropDuplicates(["rep"]).select("rep", "text"), "texts")
     judged = _links(first, texts, width, percent)
-    links = judged.where("linked")
+    links = judged.where("linked").unionByName(under_one_id)
     pivots = judged.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), F.col("j").alias("near"))
 
     for best_only in (True, False):
         comps = written(components(links), "components")
-        marked = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("comp"))
-        mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rows = marked.join(mixed, "key", "left_semi").join(reps.select("rep", "sig", "idx"), "rep").join(pivots, "rep", "left")
+        rows = _across(shared, comps).join(reps.select("rep", "sig", "idx"), "rep").join(pivots, "rep", "left")
         rows = rows.withColumns({"pivot": F.coalesce("pivot", "rep"), "near": F.coalesce("near", F.lit(1.0))})
-        rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "rep"), "blocks").cast("int"))
-        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-        rows = rows.withColumns({"bi": F.least("block", "with"), "bj": F.greatest("block", "with")})
         rows = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         found = rows.select("key", "bi", "bj", "block", "rep", "comp", "n", "pivot", "near", "sig", "idx").mapInArrow(_compare(best_only, percent), "c long, v long").distinct()
         found = written(found.join(first, ["c", "v"], "left_anti"), "pairs")
         first = first.unionByName(found)
         links = links.unionByName(_links(found, texts, width, percent).where("linked"))
 
-    comps = components(links).withColumnRenamed("node", "rep")
-    classes = reps.select("s1", "s2", "n", "rep").join(comps, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
-    comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
+    comps = written(components(links).withColumnRenamed("node", "rep"), "components")
+    least = reps.join(comps, "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = reps.join(comps.join(least, "component"), "rep", "left").select("rep", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = members.join(classes, "rep", "left")
+    comp = F.when(F.col("doc_id").isNull() | (F.col("n") == 0) & F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -153,6 +153,32 @@ def test_near_dedup(docs, none):
     assert near_dedup.near_components(none).count() == 0
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_near_dedup_of_two_texts_under_one_id(spark, turn):
+    rng = random.Random(3)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, words(rng, 30)), (1, None)][::turn]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(d, c, k) for d, n, c, k in got if n} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
+def test_near_dedup_in_buckets_of_many_blocks(spark, monkeypatch):
+    """Rows outside the main component meet each other and all of it, over many blocks and centres of many members."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 5)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    rng = random.Random(12)
+    base = words(rng, 70).split()
+    rows = []
+    for i in range(150):
+        c = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            c[rng.randrange(len(c))] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(c)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(dict(rows))
+
+
 def test_near_dedup_in_a_large_loose_group(spark):
     """Edits of one text, many of them past the threshold: links through third texts must not be lost."""
     rng = random.Random(9)
