@@ -1,15 +1,18 @@
 """HTML extraction: main text by a linear-chain conditional random field over a page's leaf blocks.
 
 A page is cut into leaf blocks, runs of text between block-level tags in page order. Each block has features of its
-ancestors (tags, words of class, id and role) and of its text (length, links, stops); a two-label CRF scores blocks and
-the steps between them, and Viterbi picks the labels. The CRF is fitted by gradient steps on exact forward-backward
-marginals over labelled pages: pages of a bounded sample that mark their article with ``<article>`` or ``<main>``, and
-pages composed of that sample's texts in other layouts (sidebars, notices, forms, comments, plain ``<div>`` articles), so
-the model does not lean on one layout. ``SAMPLE`` bounds what is fitted on; every page is extracted, whole.
-
-Defined cases: a null or empty html has empty text; unclosed tags, comments and scripts end with the page; text before any
-tag is a block; ties in Viterbi go to leaving out; repeated rows give equal rows; a null page_id or url stays null; without
-labelled pages in the sample the composed pages alone, on stock sentences, are fitted; other columns are ignored.
+ancestors (tags, words of class, id and role), of its text (length, links, stops) and of its neighbours' links; a
+two-label CRF scores blocks and the steps between them, and Viterbi picks the labels. The CRF is fitted by gradient
+steps on exact forward-backward marginals over labelled pages, a bounded sample (``SAMPLE``) of two kinds: pages whose
+author marks the article with ``<article>`` or ``<main>``, once as they are and once with these marks hidden, so that the
+other features have to tell; and pages composed of the sample's texts in other layouts (sidebars, notices, forms,
+comments, tables, columns, plain text), labelled as they are made. Every page is extracted, whole.
+
+Defined cases: a null or empty html has empty text; unclosed tags, comments and scripts end with the page; a quote that
+is never closed is no quote; text before any tag, or without any, is a block; pages are read once from left to right, so
+time grows with their length only, whatever is left open; pages of any length are taken; ties in Viterbi go to leaving
+out; repeated rows give equal rows; a null page_id or url stays null; without labelled pages in the sample the composed
+pages alone, on stock sentences, are fitted; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,86 +30,165 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-SAMPLE, COMPOSED, STEPS = 250, 350, 150
+#: Pages that are sampled and composed, gradient steps, blocks of a labelled page that are fitted as one sequence (a longer page is several).
+SAMPLE, COMPOSED, STEPS, SEQUENCE = 250, 700, 200, 200
 #: Elements whose text is never shown, elements that don't end a block, elements without an end tag.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "ruby", "rt", "rp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+#: Elements that end where another of their kind begins.
+ENDED = {"li", "tr", "td", "th", "dd", "dt", "option"}
+TAG, STOP = re.compile(r"(/?)([a-zA-Z][^\s/>]*)"), re.compile("[>\"']")
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in HIDDEN}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "tags", "names", "linked")
+    """A leaf block: its text, its innermost block-level element, features of what it is inside of, characters within links."""
 
-    def __init__(self, text: str, tags: list[str], names: list[str], linked: int):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    __slots__ = ("text", "parent", "inside", "linked")
 
+    def __init__(self, text: str, parent: str, inside: frozenset[str], linked: int):
+        self.text, self.parent, self.inside, self.linked = text, parent, inside, linked
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    blocks, stack, parts, linked = [], [], [], 0
+
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose attributes begin at at; last: the last place of each quote."""
+    while True:
+        m = STOP.search(page, at)
+        if m is None:
+            return len(page)
+        if m[0] == ">":
+            return m.end()
+        at = page.find(m[0], m.end()) + 1 if m.start() < last[m[0]] else m.end()
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", tag, attributes) and ("close", tag, "") in order; comments and hidden elements left out."""
+    at, size, last = 0, len(page), {q: page.rfind(q) for q in "\"'"}
+
+    def after(found: int, width: int) -> int:
+        return size if found < 0 else found + width
+
+    while at < size:
+        lt = page.find("<", at)
+        lt = size if lt < 0 else lt
+        if lt > at:
+            yield "text", page[at:lt], ""
+        tag = TAG.match(page, lt + 1)
+        if tag is None:
+            if page.startswith("!--", lt + 1):
+                at = after(page.find("-->", lt + 4), 3)
+            elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                at = after(page.find(">", lt), 1)
+            else:
+                at = lt + 1
+                if lt < size:
+                    yield "text", "<", ""
+            continue
+        at, name = tag_end(page, tag.end(), last), tag[2].lower()
+        if name in HIDDEN and not tag[1]:
+            end = ENDS[name].search(page, at)
+            at = size if end is None else after(page.find(">", end.end()), 1)
+        else:
+            yield "close" if tag[1] else "open", name, "" if tag[1] else page[tag.end() : at - 1]
+
+
+class Open:
+    """The elements open at a place, and the features of being inside of them. known: the features to count (None: all)."""
+
+    def __init__(self, known: set[str] | None):
+        self.stack: list[tuple[str, list[str]]] = []
+        self.outer: list[int] = []  # places in the stack of block-level elements
+        self.tags, self.features, self.known, self.held = Counter(), Counter(), known, frozenset()
+
+    def push(self, tag: str, attrs: str) -> None:
+        features = [f"name={w}" for a in NAMES.findall(attrs) for w in WORD.findall(a.lower())]
+        if tag not in INLINE:
+            self.outer.append(len(self.stack))
+            features.append(f"in={tag}")
+        features = [f for f in features if self.known is None or f in self.known]
+        self.stack.append((tag, features))
+        self.tags[tag] += 1
+        self.features.update(features)
+        self.held = None
+
+    def cut(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, features = self.stack.pop()
+            self.tags[tag] -= 1
+            self.features.subtract(features)
+        while self.outer and self.outer[-1] >= k:
+            self.outer.pop()
+        self.held = None
+
+    def close(self, tag: str) -> None:
+        if self.tags[tag]:
+            k = len(self.stack) - 1
+            while self.stack[k][0] != tag:
+                k -= 1
+            self.cut(k)
+
+    def parent(self) -> str:
+        return self.stack[self.outer[-1]][0] if self.outer else "none"
+
+    def inside(self) -> frozenset[str]:
+        if self.held is None:
+            self.features = +self.features
+            self.held = frozenset(self.features)
+        return self.held
+
+
+def leaf_blocks(page: str | None, known: set[str] | None = None) -> list[Block]:
+    blocks, at, parts, linked = [], Open(known), [], 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(text, [t for t, _ in stack], [w for _, ws in stack for w in ws], linked))
+            blocks.append(Block(text, at.parent(), at.inside(), linked))
         parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
-        whole = m[0]
-        tag = m[3] or m[6]
-        if tag is None:
-            if whole[0] != "<" or whole == "<":
-                parts.append(whole)
-                linked += len(whole) if any(t == "a" for t, _ in stack) else 0
+    for kind, value, attrs in tokens(page or ""):
+        if kind == "text":
+            parts.append(value)
+            linked += len(value) if at.tags["a"] else 0
             continue
-        tag, closing, attrs = tag.lower(), m[2] or m[5], (m[4] if m[3] else m[7]) or ""
-        if tag == "br":
+        if value == "br":
             parts.append(" ")
-        if tag not in INLINE:
+        elif value not in INLINE:
             flush()
-        if closing:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+        if kind == "close":
+            at.close(value)
             continue
         # A paragraph or list item ends where the next block begins.
-        if tag not in INLINE:
-            ends = {"p"} | ({tag} if tag in {"li", "tr", "td", "th", "dd", "dt", "option"} else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag not in VOID and not attrs.rstrip().endswith("/"):
-            names = [w for a in NAMES.findall(attrs) for w in WORD.findall(a.lower())]
-            stack.append((tag, names))
+        if value not in INLINE and (at.parent() == "p" or value in ENDED and at.parent() == value):
+            at.cut(at.outer[-1])
+        if value not in VOID and not attrs.rstrip().endswith("/"):
+            at.push(value, attrs)
     flush()
     return blocks
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
-    out = []
+    links = [min(3, round(3 * b.linked / max(1, len(b.text)))) for b in blocks]
+    out, titled = [], False
     for i, b in enumerate(blocks):
         words = b.text.split()
-        n, tags = len(words), [t for t in b.tags if t not in INLINE]
         stops = sum(w[-1] in ".!?" for w in words)
-        f = ["1", "parent=" + (tags[-1] if tags else "none"), f"words={min(6, n.bit_length())}", f"links={min(3, round(3 * b.linked / max(1, len(b.text))))}", f"stops={min(3, stops)}"]
-        f += [f"in={t}" for t in set(tags)] + [f"name={w}" for w in set(b.names)]
+        f = ["1", f"parent={b.parent}", f"words={min(6, len(words).bit_length())}", f"links={links[i]}", f"stops={min(3, stops)}", *b.inside]
+        f += [f"before={links[i - 1] if i else 'none'}", f"after={links[i + 1] if i + 1 < len(blocks) else 'none'}", f"titled={titled}"]
+        titled |= b.parent == "h1"
         if i == 0:
             f.append("first")
         if i == len(blocks) - 1:
             f.append("last")
+        if len(blocks) == 1:
+            f.append("only")
         if re.search(r"[©®]|\ball rights\b|\bcopyright\b", b.text, re.I):
-            f.append("rights")
+            f += ["rights", f"rights={'last' if i == len(blocks) - 1 else 'before'}", f"rights parent={b.parent}"]
         out.append(f)
     return out
 
@@ -171,12 +254,23 @@ class Crf:
         return path[::-1]
 
 
+#: Elements and names of what is no article, though it may stand inside of one.
+OUTSIDE = {"in=nav", "in=footer", "in=aside", "in=form", "in=head"}
+ASIDE = {f"name={w}" for w in ("comment", "comments", "reply", "replies", "respond", "responses", "discussion", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "share", "social", "newsletter", "cookie")}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+MARKS = {"in=article", "in=main"}
+
+
 def marked_labels(blocks: list[Block]) -> list[int] | None:
-    """Labels of a page that marks its article itself; None of others."""
-    outside = {"nav", "footer", "header", "aside", "form", "head"}
-    if not any(t in ("article", "main") for b in blocks for t in b.tags):
+    """Labels of a page that marks its article itself; None of others. A header keeps its headings."""
+    if not any(MARKS & b.inside for b in blocks):
         return None
-    return [int(any(t in ("article", "main") for t in b.tags) and not any(t in outside for t in b.tags)) for b in blocks]
+    return [int(bool(MARKS & b.inside) and not (OUTSIDE | ASIDE) & b.inside and ("in=header" not in b.inside or b.parent in HEADINGS)) for b in blocks]
+
+
+def unmarked(blocks: list[Block]) -> list[Block]:
+    """The same page written with plain divisions for the marks."""
+    return [Block(b.text, "div" if b.parent in ("article", "main") else b.parent, b.inside - MARKS | ({"in=div"} if MARKS & b.inside else set()), b.linked) for b in blocks]
 
 
 #: Sentences for pages composed where the sample has no text.
@@ -203,7 +297,14 @@ def compose(rng: random.Random, prose: list[str], notes: list[str]) -> tuple[str
         return f' {rng.choice(["class", "id"])}="{rng.choice(names)}"'
 
     def junk() -> str:
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
+        if kind == 9:
+            items = "".join(f"<li><a href='/{i}'>{say([x[:60] for x in prose], False)}</a></li>" for i in range(rng.randint(2, 7)))
+            return f"<{(t := rng.choice(['div', 'section', 'div', 'td']))}{rng.choice(['', named('most-read', 'popular', 'trending', 'right', 'side', 'box')])}><h3>{say(['Most read', 'Popular now', 'Mehr', 'Lire aussi', 'More stories', 'Lo mas leido'], False)}</h3><{(u := rng.choice(['ul', 'ol']))}>{items}</{u}></{t}>"
+        if kind == 10:
+            return f"<{(t := rng.choice(['p', 'div']))}>" + rng.choice([" | ", " ", " &middot; "]).join(f"<a href=/{i}>{say([x[:20] for x in notes], False)}</a>" for i in range(rng.randint(2, 7))) + f"</{t}>"
+        if kind == 11:
+            return f"<div{named('byline', 'meta', 'author', 'date', 'dateline', 'timestamp')}>{rng.choice(['By ', 'Von ', 'Par ', ''])}{say([x[:20] for x in notes], False)}</div>"
         if kind == 0:
             return menu("nav", rng.choice(["", named("menu", "navbar", "navigation")]))
         if kind == 1:
@@ -242,13 +343,33 @@ def compose(rng: random.Random, prose: list[str], notes: list[str]) -> tuple[str
             return f"<figure><img src=x><figcaption>{say([x[:60] for x in prose], True)}</figcaption></figure>"
         return f"<p>{say(prose, True)}" + rng.choice(["</p>", "</p>", ""])
 
-    body = f"<h1>{say([x[:60] for x in prose], True)}</h1>" + "".join(junk() if rng.random() < 0.08 else paragraph() for _ in range(rng.randint(1, 14)))
-    opened = rng.choice(["article", "article", "main", "div" + named("content", "post", "entry", "article", "story", "main-content", "article-body", "post-content", "text"), "section" + named("content", "article", "story", "post"), "div"])
+    def talk() -> str:
+        """Reader comments, which may well stand inside the article."""
+        items = "".join(f"<div class=\"{rng.choice(['comment', 'comment-body', 'reply'])}\"><p>{say(prose, False)}</p></div>" for _ in range(rng.randint(1, 4)))
+        return f"<div{named('comments', 'comment-list', 'discussion', 'responses', 'reader-comments')}><h3>{say(['Comments', 'Kommentare', 'What readers say'], False)}</h3>{items}</div>"
+
+    if rng.random() < 0.05:  # plain text: no element at all, or a single one
+        text = rng.choice(["\n", " "]).join(say(prose, True) for _ in range(rng.randint(1, 6)))
+        return rng.choice(["{}", "<pre>{}</pre>", "<html><body>{}</body></html>", "<p>{}"]).format(text), kept
+    title = f"<h1>{say([x[:60] for x in prose], True)}</h1>"
+    if rng.random() < 0.25:
+        title = f"<header{rng.choice(['', named('article-header', 'entry-header', 'post-header')])}>{title}{rng.choice(['', '<p>' + say([x[:20] for x in notes], False) + '</p>'])}</header>"
+    body = title + "".join(junk() if rng.random() < 0.15 else paragraph() for _ in range(rng.randint(1, 14))) + (talk() if rng.random() < 0.2 else "")
+    opened = rng.choice(["article", "article", "main", "div" + named("content", "post", "entry", "article", "story", "main-content", "article-body", "post-content", "text"), "section" + named("content", "article", "story", "post"), "div", "td", "columns"])
     if opened == "main" and rng.random() < 0.5:
         body = f"<article>{body}</article>"
     page = f"<{opened}>{body}</{opened.split()[0]}>"
+    if opened == "td":  # a table for a layout
+        sides = ["".join(f"<a href=/{i}>{say([x[:24] for x in notes], False)}</a>{rng.choice(['<br>', ' '])}" for i in range(rng.randint(2, 7))) if rng.random() < 0.6 else junk() for _ in range(rng.randint(1, 2))]
+        cells = [f"<td{rng.choice(['', ' width=20%', ' valign=top'])}>{x}</td>" for x in sides]
+        cells.insert(rng.randint(0, len(cells)), page)
+        page = f"<table>{rng.choice(['', '<tr><td colspan=3>' + say(notes, False) + '</td></tr>'])}<tr>{''.join(cells)}</tr>{rng.choice(['', '<tr><td colspan=3>&copy; ' + say(notes, False) + '</td></tr>'])}</table>"
+    elif opened == "columns":
+        sides = [f"<div{rng.choice(['', named('col', 'left', 'right', 'side', 'column')])}>{junk()}{junk()}</div>" for _ in range(rng.randint(1, 2))]
+        sides.insert(rng.randint(0, len(sides)), f"<div{rng.choice(['', named('col', 'left', 'middle', 'wide', 'column')])}>{body}</div>")
+        page = f"<div{rng.choice(['', named('row', 'columns', 'wrap', 'container')])}>{''.join(sides)}</div>"
     before, after = "".join(junk() for _ in range(rng.randint(0, 4))), "".join(junk() for _ in range(rng.randint(0, 4)))
-    foot = f"<footer>&copy; {say(notes, False)} &middot; {esc(rng.choice(notes))}</footer>" if rng.random() < 0.7 else f"<div{named('footer', 'site-footer', 'copyright', 'legal')}>&copy; {say(notes, False)}</div>"
+    foot = f"<footer>&copy; {say(notes, False)} &middot; {esc(rng.choice(notes))}</footer>" if (r := rng.random()) < 0.6 else "" if r < 0.7 else f"<div{named('footer', 'site-footer', 'copyright', 'legal')}>&copy; {say(notes, False)}</div>"
     return f"<html><head><title>x</title></head><body>{before}{page}{after}{foot}</body></html>", kept
 
 
@@ -265,28 +386,27 @@ def fit_sample(sample: list[str]) -> Crf:
     for page in sample:
         blocks = leaf_blocks(page)
         lab = marked_labels(blocks)
-        if lab and len(blocks) <= 400:
-            seqs.append(block_features(blocks))
-            labels.append(lab)
-        prose += [b.text[:400] for b in blocks if len(b.text) > 60][:8]
-        notes += [b.text[:80] for b in blocks if len(b.text) <= 80][:6]
-    prose, notes = prose or STOCK, (notes or [x[:40] for x in STOCK])
+        if lab:
+            seqs += [block_features(blocks), block_features(unmarked(blocks))]
+            labels += [lab, lab]
+        prose += [b.text for b in blocks if len(b.text) > 60]
+        notes += [b.text for b in blocks if len(b.text) <= 60]
+    prose, notes = prose or STOCK, notes or [x[:40] for x in STOCK]
     for _ in range(COMPOSED):
         page, kept = compose(rng, prose, notes)
         blocks = leaf_blocks(page)
-        lab = [int(any(m in b.text for m in kept if "⁣" in b.text)) for b in blocks]
+        lab = [int(any(m in kept for m in re.findall("⁣[0-9]+⁣", b.text))) for b in blocks]
         for b in blocks:
             b.text = re.sub("⁣[0-9]+⁣", "", b.text) or "x"
         seqs.append(block_features(blocks))
         labels.append(lab)
-    kept = [i for i, s in enumerate(seqs) if s]
-    seqs, labels = [seqs[i] for i in kept], [labels[i] for i in kept]
-    names = sorted({f for s in seqs for fs in s for f in fs})
-    return Crf({f: i for i, f in enumerate(names)}).fit(seqs, labels)
+    cut = [(s[k : k + SEQUENCE], y[k : k + SEQUENCE]) for s, y in zip(seqs, labels, strict=True) for k in range(0, len(s), SEQUENCE)]
+    names = sorted({f for s, _ in cut for fs in s for f in fs})
+    return Crf({f: i for i, f in enumerate(names)}).fit([s for s, _ in cut], [y for _, y in cut])
 
 
 def main_text(crf: Crf, page: str | None) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, crf.features.keys())
     return " ".join(b.text for b, y in zip(blocks, crf.viterbi(block_features(blocks)), strict=True) if y)
 
 
