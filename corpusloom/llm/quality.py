@@ -3,15 +3,20 @@
 A document is accepted if it is labelled good and not toxic. The text view is a logistic model over the presence of
 vocabulary words; the metadata view one over binned figures of the document (size, lines, letter cases, symbols,
 repetition), language and source. Over ``ROUNDS`` rounds each view labels the pool documents that it is sure of for the
-other. Held-out labelled documents calibrate each view (Platt) and fit how the two combine; every document is scored.
+other. Labelled documents kept out of fitting calibrate each view (Platt); others, kept out of both, fit how the two
+combine; a last part, kept out of all of these, only measures (``Model.held_out``). Every document is scored.
 
-Fitting uses at most about ``LABELLED`` labelled and ``POOL`` unlabelled documents, chosen by a hash of doc_id (documented
-bounds, whatever the corpus); word counts of that sample are made in Spark, and models have a fixed size, so what is
-broadcast does not grow. Whole texts are read, in fitting and in scoring.
+Fitting uses at most about ``LABELLED`` labelled documents, half of them of each kind where there are as many, and
+``POOL`` unlabelled ones, chosen by a hash of doc_id (documented bounds, whatever the corpus); word counts of that sample
+are made in Spark. Languages and sources are counted over all documents, the ``NAMES`` most frequent of each have a weight
+of their own. Models have a fixed size, so what is broadcast does not grow. Whole texts are read, in fitting and in scoring.
 
 Defined cases: a null text is empty; a null language, source or ``doc_id`` is a value like others; labels with nulls are
-left out; with fewer than ``LEAST`` labelled documents of either kind nothing is rejected and scores are 1; repeated rows
-score equally; other columns are kept by ``accepted``.
+left out, and of two labels of a document the worse counts; without a labelled document of either kind nothing can be told
+apart, so nothing is rejected and scores are 1, else it is fitted on those there are; repeated rows score equally, two texts
+under one id each by itself in ``quality_scores``, and both go in ``accepted`` if one is rejected; a score equal to the
+threshold is kept; texts of any length are read whole, a few megabytes at a time or one text at a time; other columns are
+kept by ``accepted``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_steps, written
 from .vectext import lower_ascii, text_bytes, word_hashes, word_spans
 
-LABELLED, POOL, VOCABULARY, ROUNDS, LEAST = 4000, 4000, 4000, 3, 20
-SURE, HELD_OUT, DEVIATIONS = 0.95, 0.25, 4.0
+LABELLED, POOL, VOCABULARY, ROUNDS, NAMES = 8000, 4000, 4000, 3, 500
+SURE, DEVIATIONS = 0.95, 4.0
+#: Shares of the labelled documents that calibrate the views, join them, and measure; the rest is fitted on.
+CALIBRATE, JOIN, MEASURE = 0.1, 0.06, 0.1
 #: Lengths in bytes of the word beginnings that count as words too, and the quantiles that bin figures.
 STEMS = (4, 5, 6)
 QUANTILES = np.array([0.01, 0.02, 0.05, *np.arange(0.1, 0.91, 0.1), 0.93, 0.95, 0.97, 0.98, 0.99])
@@ -136,6 +143,8 @@ class Model:
     text_platt: np.ndarray = None
     meta_platt: np.ndarray = None
     joint: np.ndarray = None
+    #: Of labelled documents kept out of all fitting: how many there are, and the shares kept of good and rejected of bad ones.
+    held_out: dict[str, float] = field(default_factory=dict)
 
     def word_features(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n = [len(s) for s in sets]
@@ -169,13 +178,23 @@ def _take(features: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np
     return idx[at], np.append(0, np.cumsum(n))
 
 
-def co_train(model: Model, words: tuple, metas: tuple, y: np.ndarray) -> Model:
-    """y: 1 accepted, 0 rejected, -1 not labelled."""
-    rng = np.random.default_rng(5)
-    labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    held = np.zeros(len(y), bool)
-    held[rng.permutation(labelled)[: int(HELD_OUT * len(labelled))]] = True
-    base, held = labelled[~held[labelled]], np.flatnonzero(held)
+def parts_of(y: np.ndarray) -> list[np.ndarray]:
+    """Labelled rows dealt at random within each kind: to fit on, to calibrate, to join, to measure. A kind with too few rows for a
+    part lends that part its rows to fit on."""
+    rng, parts = np.random.default_rng(5), [[], [], [], []]
+    for kind in (0, 1):
+        rows = rng.permutation(np.flatnonzero(y == kind))
+        cuts = np.cumsum([int(share * len(rows)) for share in (CALIBRATE, JOIN, MEASURE)])
+        calibrate, join, measure, base = np.split(rows, cuts)
+        for part, found in zip(parts, (base, calibrate, join, measure), strict=True):
+            part.append(found if len(found) or part is parts[3] else base)
+    return [np.concatenate(p) for p in parts]
+
+
+def co_train(model: Model, words: tuple, metas: tuple, y: np.ndarray, prior: float = 0.0) -> Model:
+    """y: 1 accepted, 0 rejected, -1 not labelled. prior: what the sample's log-odds of being accepted lack, as kinds are drawn apart."""
+    pool = np.flatnonzero(y < 0)
+    base, calibrate, join, measure = parts_of(y)
     told = {"text": {}, "meta": {}}  # pool row -> label that the other view gave
     for turn in range(ROUNDS + 1):
         views = {}
@@ -183,7 +202,7 @@ def co_train(model: Model, words: tuple, metas: tuple, y: np.ndarray) -> Model:
             rows = np.append(base, np.array(list(told[view]), np.int64))
             labels = np.append(y[base], np.array(list(told[view].values()), np.int64)).astype(float)
             fitted = Logistic(size).fit(*_take(features, rows), labels)
-            scale = platt(fitted.logits(*_take(features, held))[:, None], y[held].astype(float))
+            scale = platt(fitted.logits(*_take(features, calibrate))[:, None], y[calibrate].astype(float)) + [0, prior]
             views[view] = (fitted, scale)
         if turn < ROUNDS and len(pool):
             for view, features, other in (("text", words, "meta"), ("meta", metas, "text")):
@@ -193,8 +212,11 @@ def co_train(model: Model, words: tuple, metas: tuple, y: np.ndarray) -> Model:
                     told[other].update((int(i), label) for i in pool[sure])
     model.text, model.text_platt = views["text"]
     model.meta, model.meta_platt = views["meta"]
-    t, m = (f.logits(*_take(x, held)) for f, x in ((model.text, words), (model.meta, metas)))
-    model.joint = platt(np.column_stack([t, m]), y[held].astype(float))
+    t, m = (f.logits(*_take(x, join)) for f, x in ((model.text, words), (model.meta, metas)))
+    model.joint = platt(np.column_stack([t, m]), y[join].astype(float)) + [0, 0, prior]
+    keep = model.scores(_take(words, measure), _take(metas, measure))[2] >= 0.5
+    good = y[measure] == 1
+    model.held_out = {"documents": len(measure), "good_kept": float(keep[good].mean()) if good.any() else np.nan, "bad_rejected": float(1 - keep[~good].mean()) if (~good).any() else np.nan}
     return model
 
 
@@ -206,21 +228,32 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("lang").cast(pa.string()), part.column("source").cast(pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(list(figures), pa.list_(pa.float64()))], names=["doc_id", "y", "lang", "source", "words", "figures"])
 
 
+def frequent(docs: DataFrame, column: str) -> list[str]:
+    """The NAMES most frequent values over all documents, as the names of features."""
+    found = docs.groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(NAMES).collect()
+    return [f"{column}:{r['v']}" for r in found]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model, or None if there are too few labelled documents of a kind."""
+    """The model, or None if there is no labelled document of a kind."""
     spark = docs.sparkSession
     small_batches(spark)
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
     y = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(good).alias("y"))
-    n_labels, n_docs = y.count(), docs.count()
+    there = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_docs = docs.count()
+    if len(there) < 2 or not n_docs:
+        return None
     draw = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    in_l, in_p = LABELLED / max(1, n_labels), POOL / max(1, n_docs)
+    of_kind = F.when(F.col("y") == 1, LABELLED / 2 / there[1]).otherwise(LABELLED / 2 / there[0])
+    in_p = POOL / n_docs
     # Both draws are read off the same number, so labelled rows in the pool's share keep their labels.
-    chosen = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).where(draw < max(in_l, in_p)).join(y, "doc_id", "left")
-    chosen = chosen.withColumn("y", F.when(draw < in_l, F.col("y"))).where((draw < in_p) | F.col("y").isNotNull()).withColumn("y", F.coalesce("y", F.lit(-1)))
+    label = F.broadcast(y.where(draw < of_kind))  # about LABELLED rows
+    chosen = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).join(label, "doc_id", "left")
+    chosen = chosen.where(F.col("y").isNotNull() | (draw < in_p)).withColumn("y", F.coalesce("y", F.lit(-1)))
     sample = written(chosen.mapInArrow(_sampled, "doc_id long, y int, lang string, source string, words array<long>, figures array<double>"), "quality-sample")
     kinds = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if min(kinds.get(0, 0), kinds.get(1, 0)) < LEAST:
+    if not (kinds.get(0) and kinds.get(1)):
         return None
     # Vocabulary: words of labelled sample documents that tell the kinds apart; VOCABULARY is the model's size.
     counts = sample.where("y >= 0").select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where("p + q >= 5")
@@ -233,12 +266,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = pairs.orderBy("doc_id").collect()
     figures = np.array([r["figures"] for r in rows])
     edges = np.array([np.quantile(figures[:, j], QUANTILES) for j in range(len(FIGURES))])
-    names = sorted({f"lang:{r['lang']}" for r in rows} | {f"source:{r['source']}" for r in rows})
+    names = sorted({*frequent(docs, "lang"), *frequent(docs, "source")})
     model = Model(words, edges, {v: i + 1 for i, v in enumerate(names)})
     sets = [np.sort(np.array(r["k"], np.int64)) for r in rows]
     features = np.concatenate([*sets, np.empty(0, np.int64)]), np.append(0, np.cumsum([len(s) for s in sets]))
     metas = model.meta_features(figures, [r["lang"] for r in rows], [r["source"] for r in rows])
-    return co_train(model, features, metas, np.array([r["y"] for r in rows]))
+    prior = np.log(there[1] / kinds[1]) - np.log(there[0] / kinds[0])
+    return co_train(model, features, metas, np.array([r["y"] for r in rows]), prior)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

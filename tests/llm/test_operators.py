@@ -436,6 +436,27 @@ def test_quality(spark, none):
     assert quality.accepted(d, lab.where("false")).count() == len(rows) and quality.quality_scores(none, lab).count() == 0
 
 
+def test_quality_on_documents_kept_out_of_fitting(spark):
+    """Labelled documents of the given tables: those that neither fitted a view, nor calibrated it, nor joined the two."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.fit(docs, labels).held_out
+    assert found["documents"] >= 200 and found["good_kept"] >= 0.97 and found["bad_rejected"] >= 0.9, found
+
+
+def test_quality_with_few_or_rare_labels(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(w.upper() + "!!" for w in words(rng, 40).split()) if i % 10 == 0 else words(rng, 40), "en", "s", 0) for i in range(300)] + [(7, "two texts under one id", "en", "s", 0), (400, words(rng, 300_000), "en", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    for few in ([(0, 0, 0), (1, 1, 0)], [(i, int(i % 10 != 0), 0) for i in range(60)]):
+        out = quality.quality_scores(d, spark.createDataFrame(few, "doc_id long, quality int, toxic int")).collect()
+        assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    bad = [r["keep"] for r in out if r["doc_id"] % 10 == 0 and r["doc_id"] < 300]
+    assert sum(bad) <= 0.1 * len(bad)
+    y = __import__("numpy").array([1] * 40 + [0] * 3 + [-1] * 5)
+    parts = quality.parts_of(y)
+    assert all({0, 1} <= set(y[p]) for p in parts[:3]) and not set(parts[0]) & set(parts[3])
+
+
 def test_warc(spark):
     htmls = [(5, "u5", "<p>x</p>"), (3, "u3", "<p>x</p>"), (7, None, None), (8, "u8", ""), (9, "a\r\nb", "é" * 1000), (10, "u", "z" * 600_000), (3, "u3", "<p>x</p>"), (None, "n", "<p>x</p>")]
     pages = spark.createDataFrame(htmls, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "refers_to": F.lit(4)})
