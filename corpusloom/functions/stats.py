@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 MIN_SAMPLE = 3
 
 
@@ -17,17 +19,32 @@ def z_value(level: float) -> float:
     return NormalDist().inv_cdf(1 - (1 - level) / 2)
 
 
+#: A number as text: sign, digits with single underscores between them, a fraction, an exponent.
+_DIGITS = r"[0-9](?:_?[0-9])*"
+NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+
+
+def _is(col: Column, *kinds: str) -> Column:
+    """Whether the column's type is one of kinds; known when a query is planned."""
+    return F.typeof(col).isin(*kinds)
+
+
 def to_double(col: Column) -> Column:
-    """Numbers of a text or number column; what is no number is null, as is not-a-number."""
-    x = F.coalesce(col.try_cast("double"), col.cast("string").try_cast("boolean").cast("double"))
-    return F.when(~F.isnan(x), x)
+    """Numbers of a text, number or boolean column. Text counts only if all of it, blanks at its ends aside, is a number or an
+    infinity; a typed boolean is 1 or 0; all else, not-a-number included, is null."""
+    text = strip(col.cast("string"))
+    infinite = F.regexp_extract(text, r"^(?i)([+-]?)inf(?:inity)?$", 1)
+    x = F.when(_is(col, "boolean"), F.when(text == "true", 1.0).when(text == "false", 0.0))
+    x = x.when(text.rlike(NUMBER), F.replace(text, F.lit("_")).try_cast("double"))
+    return x.when(text.rlike(r"^(?i)[+-]?inf(?:inity)?$"), F.when(infinite == "-", F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
 
 
 def to_bool(col: Column) -> Column:
-    """yes, true, 1 and no, false, 0 in any case; other numbers are true unless 0; else null."""
-    word = F.lower(F.trim(col.cast("string")))
-    number = word.try_cast("double")
-    return F.when(word.isin("yes", "true", "1"), True).when(word.isin("no", "false", "0"), False).when(number.isNotNull() & ~F.isnan(number), number != 0)
+    """Typed booleans as they are; numbers are true unless 0; text is true for yes, true, 1 and false for no, false, 0 in any case,
+    with nothing around it; else null."""
+    text = F.lower(col.cast("string"))
+    word = F.when(text.isin("yes", "true", "1"), True).when(text.isin("no", "false", "0"), False)
+    return F.when(_is(col, "string", "boolean"), word).otherwise(col.cast("string").try_cast("double") != 0)
 
 
 def wilson(count: Column, n: Column, level: float) -> Column:

@@ -1,8 +1,10 @@
 """Graph building: chunk nodes and cosine-similarity edges.
 
-Vectors are compared in blocks: every row of a block meets every block of candidates in numpy, as float64 products, and
-a block's best ``k`` per source are kept before anything is shuffled. The candidate side travels as packed blocks, so
-the number of rows moved is (rows / block)^2 blocks, not pairs.
+Vectors are compared in numpy, as float64 products. Sources are dealt into bands of about ``HELD`` rows, by the nearest of
+a few pivots where there are many, and each band is held in memory while candidates stream by. A candidate is sent only
+to bands it can reach the threshold in (angles obey the triangle inequality: none is lost), and not at all twice to a
+band; a band is split over tasks by dealing its candidates out, each part keeps the best ``k`` of each source, and the
+parts' bests are merged. So n rows are moved n / HELD times at most, fewer where the threshold prunes.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
 
-#: Rows of vectors in a block.
-BLOCK = 512
+#: Sources that a task holds, candidates that it compares at least before work is dealt to another one, and the most
+#: bytes of pivots.
+HELD, PART, PIVOT_BYTES = 32_768, 4096, 64 << 20
 #: Kinds of nodes.
 NODE_TYPES = ["WebPage", "PDF", "Image", "PowerPoint", "Docx", "VideoTranscript", "ChatTranscript", "ChatSnapshot", "Chunk"]
 
@@ -46,68 +50,211 @@ def chunk_nodes(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def packed_blocks(vectors: DataFrame, group: str | None, tag: str) -> DataFrame:
-    """(grp, b, ids, data): vectors in blocks of about BLOCK rows, unit length, as float64 bytes.
-
-    vectors: id, embedding and the group column. The number of blocks of a group comes from its count.
-    """
+def _unit(vectors: DataFrame, group: str | None, key: str = "id") -> DataFrame:
+    """(grp, id, x): vectors of unit length as float64 bytes. Rows without a vector, or one that holds a null, are left out."""
     grp = F.col(group).cast("string") if group else F.lit("")
-    rows = vectors.where("embedding is not null").select(grp.alias("grp"), "id", "embedding")
-    sizes = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.repartition("grp", "b").sortWithinPartitions("grp", "b", "id")
+    rows = vectors.where("embedding is not null").where(~F.exists("embedding", lambda x: x.isNull())).select(F.coalesce(grp, F.lit("")).alias("grp"), F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = batch.column("e")
+            flat, n = e.flatten().to_numpy(zero_copy_only=False), e.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(n)), n)
+            norm = np.sqrt(np.bincount(row, weights=flat * flat, minlength=len(n)))
+            unit = flat / np.where(norm == 0, 1.0, norm)[row]
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("id"), pa.array([unit[z - k : z].tobytes() for z, k in zip(ends, n, strict=True)], pa.binary())], names=["grp", "id", "x"])
+
+    return rows.mapInArrow(run, "grp string, id long, x binary")
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+
+
+class Bands:
+    """How a group's rows are dealt: its pivots (None: by id), each pivot's reach, its sub-bands, and parts of candidates."""
+
+    def __init__(self, pivots: np.ndarray | None, reach: np.ndarray, subs: np.ndarray, parts: int):
+        self.pivots, self.reach, self.subs, self.parts = pivots, reach, subs, parts
+
+
+def _nearest(held, size: int):
+    """(grp, home, angle) of each source of a group with pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grp, rows, x in _by_group(batch, size):
+                if grp in held.value:
+                    a = _angles(x, held.value[grp])
+                    home = a.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([grp] * len(rows)), pa.array(home.astype(np.int32)), pa.array(a[np.arange(len(rows)), home])], names=["grp", "home", "angle"])
+
+    return run
+
+
+def _by_group(batch: pa.RecordBatch, size: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(group, its rows, their vectors) of a batch; vectors of another size are left out."""
+    grp, x = np.array(batch.column("grp").to_pylist(), object), batch.column("x")
+    fits = pa.compute.binary_length(x).to_numpy() == 8 * size
+    for g in sorted(set(grp[fits])):
+        rows = np.flatnonzero(fits & (grp == g))
+        yield g, rows, np.frombuffer(b"".join(x.take(pa.array(rows)).to_pylist()), np.float64).reshape(len(rows), size)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, vecs, blocks = None, [], [], 0
 
-        def out() -> pa.RecordBatch:
-            x = np.array(vecs, np.float64)
-            norm = np.linalg.norm(x, axis=1)
-            x /= np.where(norm == 0, 1.0, norm)[:, None]
-            return pa.RecordBatch.from_pylist([{"grp": at[0], "b": at[1], "blocks": blocks, "ids": ids, "data": x.tobytes()}], schema=pa.schema([("grp", pa.string()), ("b", pa.int32()), ("blocks", pa.int32()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())]))
+def _dealt(held, size: int, sources: bool, threshold: float):
+    """Rows with the (band, part) that they go to: a source to all parts of its band, a candidate to one part of each band in reach."""
+    alone = Bands(None, np.array([np.pi]), np.array([1]), 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, b, n, i, v in zip(*(batch.column(c).to_pylist() for c in ("grp", "b", "blocks", "id", "embedding")), strict=True):
-                if at is not None and (g, b) != at:
-                    yield out()
-                    ids, vecs = [], []
-                at, blocks = (g, b), n
-                ids.append(i)
-                vecs.append(v)
-        if at is not None:
-            yield out()
+            ids = batch.column("id").to_numpy()
+            for grp, rows, x in _by_group(batch, size):
+                b = held.value.get(grp, alone)
+                mixed = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                angle = np.zeros((len(rows), 1)) if b.pivots is None else _angles(x, b.pivots)
+                first = np.append(0, np.cumsum(b.subs))  # a pivot's first band
+                if sources:
+                    home = angle.argmin(axis=1)
+                    band = first[home] + (mixed % b.subs[home].astype(np.uint64)).astype(np.int64)
+                    at, band, part = np.repeat(np.arange(len(rows)), b.parts), np.repeat(band, b.parts), np.tile(np.arange(b.parts), len(rows))
+                else:
+                    # Within reach: some source of the band may make an angle no wider than the threshold's.
+                    near = angle - b.reach <= np.arccos(max(-1.0, threshold)) + 1e-9 if threshold > -1 else np.ones(angle.shape, bool)
+                    at, pivot = np.nonzero(near)
+                    n = b.subs[pivot]
+                    at, band = np.repeat(at, n), np.repeat(first[pivot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    part = (mixed[at] % np.uint64(b.parts)).astype(np.int64)
+                take = pa.array(rows[at])
+                yield pa.RecordBatch.from_arrays([batch.column("grp").take(take), pa.array(band.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.full(len(at), 0 if sources else 1, np.int32)), batch.column("id").take(take), batch.column("x").take(take)], names=["grp", "band", "part", "side", "id", "x"])
 
-    packed = rows.select("grp", "b", "blocks", F.col("id").cast("long").alias("id"), "embedding").mapInArrow(pack, "grp string, b int, blocks int, ids array<long>, data binary")
-    return packed.select(*[F.col(c).alias(f"{tag}_{c}" if c != "grp" else "grp") for c in packed.columns])
+    return run
 
 
-def _best(k: int | None, threshold: float, same: bool):
-    """Pairs of two blocks at or over the threshold, each source's best k (by weight, then id)."""
+class _Best:
+    """A band's sources and, as candidates come, each source's best k at or over the threshold; all of them where k is None."""
+
+    def __init__(self, k: int | None, threshold: float, same: bool, size: int):
+        self.k, self.threshold, self.same, self.size = k, threshold, same, size
+        self.ids, self.rows, self.x = [], [], None
+        self.found: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+    def hold(self, ids: list[int], rows: list[bytes]) -> None:
+        self.ids += ids
+        self.rows += rows
+
+    def meet(self, ids: list[int], rows: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if self.x is None:
+            self.x, self.ids, self.rows = np.frombuffer(b"".join(self.rows), np.float64).reshape(-1, self.size), np.array(self.ids, np.int64), []
+        if not len(self.x):
+            return
+        b, y = np.array(ids, np.int64), np.frombuffer(b"".join(rows), np.float64).reshape(-1, self.size)
+        for a in range(0, len(b), 512):
+            w = self.x @ y[a : a + 512].T
+            ok = w >= self.threshold
+            if self.same:
+                ok &= self.ids[:, None] != b[None, a : a + 512]
+            i, j = np.nonzero(ok)
+            self.found = [np.concatenate(p) for p in zip(self.found, (i, b[a + j], w[i, j]), strict=True)]
+            if self.k is None:
+                yield self.out()
+            elif len(self.found[0]) > 4 * self.k * len(self.x):
+                self.cut()
+
+    def cut(self) -> None:
+        i, j, w = self.found
+        order = np.lexsort((j, -w, i))
+        i = i[order]
+        keep = order[np.arange(len(i)) - np.searchsorted(i, i) < self.k]
+        self.found = [p[keep] for p in self.found]
+
+    def out(self) -> pa.RecordBatch:
+        if self.k is not None:
+            self.cut()
+        i, j, w = self.found
+        self.found = [x[:0] for x in self.found]
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(self.ids, np.int64)[i]), pa.array(j), pa.array(w)], names=["src_id", "dst_id", "weight"])
+
+
+def _matched(k: int | None, threshold: float, same: bool, size: int):
+    """Rows sorted by (grp, band, part, side): sources first, then candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = np.array(row["a_ids"]), np.array(row["b_ids"])
-                x, y = (np.frombuffer(row[f"{t}_data"], np.float64).reshape(len(i), -1) for t, i in (("a", a), ("b", b)))
-                w = x @ y.T
-                ok = w >= threshold
-                if same:
-                    ok &= a[:, None] != b[None, :]
-                i, j = np.nonzero(ok)
-                if k is not None and len(i):
-                    order = np.lexsort((b[j], -w[i, j], i))
-                    i, j = i[order], j[order]
-                    rank = np.arange(len(i)) - np.searchsorted(i, i)
-                    i, j = i[rank < k], j[rank < k]
-                yield pa.RecordBatch.from_arrays([pa.array(a[i], pa.int64()), pa.array(b[j], pa.int64()), pa.array(w[i, j], pa.float64())], names=["src_id", "dst_id", "weight"])
+            cols = [batch.column(c).to_pylist() for c in ("grp", "band", "part", "side")]
+            keys, ids, rows = list(zip(*cols, strict=True)), batch.column("id").to_pylist(), batch.column("x").to_pylist()
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                if keys[a][:3] != at:
+                    if best is not None:
+                        yield best.out()
+                    at, best = keys[a][:3], _Best(k, threshold, same, size)
+                if keys[a][3] == 0:
+                    best.hold(ids[a:z], rows[a:z])
+                else:
+                    yield from best.meet(ids[a:z], rows[a:z])
+        if best is not None:
+            yield best.out()
 
     return run
 
 
-def block_pairs(a: DataFrame, b: DataFrame, k: int | None, threshold: float, same: bool) -> DataFrame:
-    """(src_id, dst_id, weight) over packed blocks that share a group; each pair of blocks is one row of work."""
-    pairs = a.join(b, "grp").repartition("a_b", "b_b", "grp")
-    return pairs.select("a_ids", "a_data", "b_ids", "b_data").mapInArrow(_best(k, threshold, same), "src_id long, dst_id long, weight double")
+def _bands(sources: DataFrame, candidates: DataFrame, size: int, threshold: float) -> dict[str, Bands]:
+    """Bands of the groups that have more than a task's work: a row for each PART candidates or sources reaches the driver at most."""
+    spark = sources.sparkSession
+    count = lambda df: {r["grp"]: r["n"] for r in df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).collect()}
+    n_a, n_b = count(sources), count(candidates)
+    wide = {g: n for g, n in n_a.items() if n > HELD and threshold > -1}
+    pivots: dict[str, np.ndarray] = {}
+    if wide:
+        share = min(1 / HELD, PIVOT_BYTES / (8 * size) / sum(wide.values()))
+        draw = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) / float(1 << 30)
+        rows = sources.where(F.col("grp").isin(*wide) & (draw < 4 * share) & (F.length("x") == 8 * size)).select("grp", "x").collect()
+        for g in wide:
+            mine = [r["x"] for r in rows if r["grp"] == g]
+            if mine:
+                pivots[g] = np.frombuffer(b"".join(mine), np.float64).reshape(-1, size)
+    homes: dict[str, list] = {}
+    if pivots:
+        held = spark.sparkContext.broadcast(pivots)
+        near = sources.mapInArrow(_nearest(held, size), "grp string, home int, angle double")
+        for r in near.groupBy("grp", "home").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("reach")).collect():
+            homes.setdefault(r["grp"], []).append(r)
+    out = {}
+    for g in n_a.keys() | n_b.keys():
+        n, m = n_a.get(g, PART), n_b.get(g, PART)
+        reach, subs = np.array([np.pi]), np.array([-(-n // HELD)])
+        if g in homes:
+            reach, subs = np.full(len(pivots[g]), -10.0), np.ones(len(pivots[g]), np.int64)
+            for r in homes[g]:
+                reach[r["home"]], subs[r["home"]] = r["reach"], -(-r["n"] // HELD)
+        # Parts: as many copies of sources as of candidates at most, but enough to spread a group over a few tasks.
+        out[g] = Bands(pivots.get(g) if g in homes else None, reach, subs, int(max(1, min(-(-m // PART), max(8, int(subs.sum()))))))
+    return out
+
+
+def best_pairs(sources: DataFrame, candidates: DataFrame, k: int | None, threshold: float, same: bool, group: str | None) -> DataFrame:
+    """(src_id, dst_id, weight): pairs of a group at or over the threshold; of each source its best k (ties to the smaller id), or
+    all where k is None. Vectors whose length is not the most frequent one of the sources are left out (see valid_embeddings)."""
+    spark = sources.sparkSession
+    sizes = sources.where("embedding is not null").groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
+    if not sizes or not sizes[0]["n"]:
+        return spark.createDataFrame([], "src_id long, dst_id long, weight double")
+    size = sizes[0]["n"]
+    a = _unit(sources, group)
+    b = a if candidates is sources else _unit(candidates, group)
+    held = spark.sparkContext.broadcast(_bands(a, b, size, threshold))
+    schema = "grp string, band int, part int, side int, id long, x binary"
+    rows = a.mapInArrow(_dealt(held, size, True, threshold), schema).unionByName(b.mapInArrow(_dealt(held, size, False, threshold), schema))
+    rows = rows.repartition("grp", "band", "part").sortWithinPartitions("grp", "band", "part", "side")
+    found = rows.mapInArrow(_matched(k, threshold, same, size), "src_id long, dst_id long, weight double")
+    if k is None:
+        return found
+    w = Window.partitionBy("src_id").orderBy(F.desc("weight"), "dst_id")
+    return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).drop("k")
 
 
 def similarity_edges(nodes: DataFrame, threshold: float = 0.82, max_edges: int | None = 10, group: str | None = "tenant_id") -> DataFrame:
@@ -115,13 +262,8 @@ def similarity_edges(nodes: DataFrame, threshold: float = 0.82, max_edges: int |
 
     group: nodes are compared within a tenant, or within "client_id" (or None: all with all).
     """
-    cols = ["id", "embedding", *([group] if group else [])]
-    a, b = (packed_blocks(nodes.select(*cols), group, t) for t in ("a", "b"))
-    found = block_pairs(a, b, max_edges, threshold, True)
-    if max_edges is None:
-        return found
-    w = Window.partitionBy("src_id").orderBy(F.desc("weight"), "dst_id")
-    return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_edges).drop("k")
+    rows = nodes.select("id", "embedding", *([group] if group else []))
+    return best_pairs(rows, rows, max_edges, threshold, True, group)
 
 
 def merge_graph(nodes: DataFrame, edges: DataFrame, stored_nodes: DataFrame, stored_edges: DataFrame, as_of: str, rel_type: str = "related_to") -> tuple[DataFrame, DataFrame]:

@@ -6,22 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import numbered_texts
-from .graph import block_pairs, packed_blocks
+from .graph import best_pairs
 
 
 def semantic_search(nodes: DataFrame, queries: DataFrame, top_k: int = 5, group: str | None = None) -> DataFrame:
     """(query_id, node_id, similarity, rank): each query's best active nodes, exactly; ties to the smaller id.
 
-    queries: query_id, embedding (and the group column). Blocks of queries meet blocks of nodes; each block keeps its best.
+    queries: query_id, embedding (and the group column). Queries are held, nodes stream by; each part keeps its best.
     """
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must lie in 1 to 50")
     cols = [group] if group else []
-    q = packed_blocks(queries.select(F.col("query_id").alias("id"), "embedding", *cols), group, "a")
-    n = packed_blocks(nodes.where("status = 'active'").select("id", "embedding", *cols), group, "b")
-    found = block_pairs(q, n, top_k, -2.0, False)
+    q = queries.select(F.col("query_id").alias("id"), "embedding", *cols)
+    found = best_pairs(q, nodes.where("status = 'active'").select("id", "embedding", *cols), top_k, -2.0, False, group)
     rank = F.row_number().over(Window.partitionBy("src_id").orderBy(F.desc("weight"), "dst_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_k).select(F.col("src_id").alias("query_id"), F.col("dst_id").alias("node_id"), F.col("weight").alias("similarity"), "rank")
+    return found.select(F.col("src_id").alias("query_id"), F.col("dst_id").alias("node_id"), F.col("weight").alias("similarity"), rank.alias("rank"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, max_neighbours: int = 3, min_weight: float = 0.75) -> DataFrame:

@@ -6,6 +6,8 @@ Property columns are maps of JSON-encoded values, so a JSON null differs from a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +43,15 @@ def fold_batch(batch: DataFrame, rule: Rule, seq: str = "seq") -> DataFrame:
     """One row for each key, as if the batch's rows came one after another in order of seq."""
     aggs = [F.max_by(c, seq).alias(c) for c in rule.overwrite if c in batch.columns]
     aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in rule.keep_old if c in batch.columns]
+    out = batch.groupBy(*rule.key).agg(F.count(F.lit(1)).alias("_times"), *aggs)
     for c in (c for c in rule.merge if c in batch.columns):
-        # The last value of each property: rows in order, later ones win.
-        rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.map_entries(F.coalesce(c, F.create_map().cast("map<string,string>"))).alias("m")))), lambda x: x["m"])
-        aggs.append(F.aggregate(F.transform(rows, F.map_from_entries), F.create_map().cast("map<string,string>"), merge_props).alias(c))
-    return batch.groupBy(*rule.key).agg(F.count(F.lit(1)).alias("_times"), *aggs)
+        # The last value of each property, key by key and property by property, so that no task gathers a key's rows.
+        last = batch.select(*rule.key, seq, F.explode(c).alias("_p", "_v")).groupBy(*rule.key, "_p").agg(F.max(F.struct(F.col(seq).alias("s"), F.col("_v").alias("v"))).alias("_x"))
+        maps = last.groupBy(*rule.key).agg(F.map_from_entries(F.collect_list(F.struct("_p", "_x.v"))).alias(c))
+        o, m = out.alias("o"), maps.alias("m")
+        same = reduce(and_, [F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}")) for k in rule.key])
+        out = o.join(m, same, "left").select("o.*", F.coalesce(f"m.{c}", F.create_map().cast("map<string,string>")).alias(c))
+    return out
 
 
 def upsert(target: DataFrame, batch: DataFrame, rule: Rule, as_of: str, seq: str = "seq") -> DataFrame:
@@ -53,10 +59,7 @@ def upsert(target: DataFrame, batch: DataFrame, rule: Rule, as_of: str, seq: str
     now = F.lit(as_of).cast(target.schema["updated_at"].dataType)
     new = fold_batch(batch, rule, seq)
     t, n = target.alias("t"), new.alias("n")
-    same = None
-    for k in rule.key:
-        test = F.col(f"t.{k}").eqNullSafe(F.col(f"n.{k}"))
-        same = test if same is None else same & test
+    same = reduce(and_, [F.col(f"t.{k}").eqNullSafe(F.col(f"n.{k}")) for k in rule.key])
     joined = t.withColumn("_t", F.lit(True)).alias("t").join(n, same, "full")
     is_old, is_new = F.col("t._t").isNotNull(), F.col("n._times").isNotNull()
     out = []

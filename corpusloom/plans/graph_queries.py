@@ -32,22 +32,6 @@ def j8_cosine_expression(spark, d):
     return pair.select(F.col("vec_id").alias("id"), F.round(G.cosine(F.col("embedding"), F.col("other")), 6).alias("w"))
 
 
-def chunk_table(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    c = view(spark, d, "f_chunks").where("chunk_index = 0").withColumn("id", F.col("document_id") * 1000)
-    return c.join(e, "document_id", "left")
-
-
-@query(
-    """select 'chunk:' || (c.document_id * 1000 + chunk_index) as node_key, d.client_id, 'Chunk ' || chunk_index as name, case when length(t) > 80 then substring(t, 1, 80) || '…' else t end as description, cast(c.document_id as varchar) as doc
-    from (select *, replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') as t from f_chunks) c join f_documents d on d.id = c.document_id where chunk_index < 2""",
-    ("f_chunks", "f_documents"),
-)
-def k1_chunk_nodes(spark, d):
-    chunks = view(spark, d, "f_chunks").where("chunk_index < 2").withColumn("id", F.col("document_id") * 1000 + F.col("chunk_index"))
-    return G.chunk_nodes(chunks, view(spark, d, "f_documents")).select("node_key", "client_id", "name", "description", F.col("properties")["document_id"].alias("doc"))
-
-
 def chunk_id():
     """One number for each chunk: no two documents share one, however many lines they have."""
     return F.col("document_id").cast("long") * (1 << 32) + F.col("chunk_index")
@@ -56,25 +40,13 @@ def chunk_id():
 @query(
     """select 'chunk:' || (cast(c.document_id as bigint) * 4294967296 + chunk_index) as node_key, d.client_id, 'Chunk ' || chunk_index as name, case when length(t) > 80 then substring(t, 1, 80) || '…' else t end as description, cast(c.document_id as varchar) as doc
     from (select *, replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') as t from f_chunks) c join f_documents d on d.id = c.document_id""",
-    ("f_chunks", "f_documents"),
-)
-def k1_all_chunk_nodes(spark, d):
-    """A node for every chunk; k1_chunk_nodes and its SQL take the first two lines of a document."""
+    ("f_chunks", "f_documents"), also=("k1_all_chunk_nodes",))
+def k1_chunk_nodes(spark, d):
+    """A node for every chunk."""
     chunks = view(spark, d, "f_chunks").withColumn("id", chunk_id())
     return G.chunk_nodes(chunks, view(spark, d, "f_documents")).select("node_key", "client_id", "name", "description", F.col("properties")["document_id"].alias("doc"))
 
 
-@query(
-    f"""with c as (select f.document_id as id, f.tenant_id, e.embedding from f_chunks f left join embeddings e on e.vec_id = f.document_id where chunk_index = 0), v as (select * from c where embedding is not null),
-    e as (select a.id as src, b.id as dst from v a join v b on a.tenant_id = b.tenant_id and a.id <> b.id where {COS} >= 0.25 qualify row_number() over (partition by a.id order by {COS} desc, b.id) <= 10)
-    select (select count(*) from c) as fetched, (select count(*) from v) as valid, (select count(*) from c) - (select count(*) from v) as skipped, (select count(*) from e) as edges, (select count(*) from v) as nodes""",
-    ("f_chunks",),
-)
-def k4_build_graph(spark, d):
-    """The whole build and its summary (A6)."""
-    return G.build_graph(chunk_table(spark, d), view(spark, d, "f_documents"), 64, 0.25, 10)[2]
-
-
 STORED = "tenant_id string, client_id string, {}, properties map<string,string>, seen_count long, last_seen_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
 
 
@@ -83,10 +55,9 @@ STORED = "tenant_id string, client_id string, {}, properties map<string,string>,
     c as (select cast(f.document_id as bigint) * 4294967296 + f.chunk_index as id, f.tenant_id, e.embedding from f_chunks f left join firsts using (document_id, chunk_index) left join embeddings e on e.vec_id = firsts.document_id), v as (select * from c where embedding is not null),
     e as (select a.id as src, b.id as dst from v a join v b on a.tenant_id = b.tenant_id and a.id <> b.id where {COS} >= 0.25 qualify row_number() over (partition by a.id order by {COS} desc, b.id) <= 10)
     select (select count(*) from c) as fetched, (select count(*) from v) as valid, (select count(*) from c) - (select count(*) from v) as skipped, (select count(*) from e) as edges, (select count(*) from v) as nodes, (select count(distinct id) from v) as stored_nodes, (select count(*) from (select distinct src, dst from e)) as stored_edges""",
-    ("f_chunks",),
-)
-def k4_all_build_graph(spark, d):
-    """The build over every chunk, merged into empty tables. A document's vector is its first chunk's; the others are skipped. k4_build_graph and its SQL take chunks of index 0."""
+    ("f_chunks",), also=("k4_all_build_graph",))
+def k4_build_graph(spark, d):
+    """The build over every chunk, merged into empty tables, and its summary (A6). A document's vector is its first chunk's; the others are skipped."""
     chunks = view(spark, d, "f_chunks")
     firsts = chunks.groupBy("document_id").agg(F.min("chunk_index").alias("chunk_index"))
     vectors = firsts.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding"), "document_id")
@@ -121,10 +92,10 @@ def g1_semantic_search(spark, d):
     return R.semantic_search(view(spark, d, "f_nodes"), query_table(spark, d), 5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("with " + HITS.format(50) + " select query_id, count(*) as n, round(min(sim), 6) as least from hits group by query_id", ("f_nodes",))
+@query("with " + HITS.format(50) + " select query_id, node_id, cast(rank as int) as rank, round(sim, 6) as similarity from hits", ("f_nodes",))
 def g8_all_nodes(spark, d):
     """The widest dump: 50 nodes a query, the operator's bound."""
-    return R.semantic_search(view(spark, d, "f_nodes"), query_table(spark, d), 50).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("similarity"), 6).alias("least"))
+    return R.semantic_search(view(spark, d, "f_nodes"), query_table(spark, d), 50).withColumn("similarity", F.round("similarity", 6))
 
 
 NEAR = "near as (select * from (select src_id, dst_id, weight, row_number() over (partition by src_id order by weight desc, dst_id) as k from f_edges where is_active and weight >= 0.2) where k <= 3 and dst_id in (select id from f_nodes where status = 'active'))"
@@ -149,13 +120,10 @@ SEARCH = (
       {'node': 0::bigint, 'sim': 0::double, 'near': []::bigint[], 'found': []::struct(node bigint, source varchar, sim double)[]}) as f from seeds),
     searched as (select query_id, pos - 1 as pos, r.node as node_id, r.source as source, r.sim as similarity from (select query_id, unnest(f.found) as r, generate_subscripts(f.found, 1) as pos from folded))"""
 )
-HYDRATED = SEARCH + """, firsts as (select document_id, chunk_index, content from f_chunks where chunk_index = 0),
+#: Results with a node's whole text, which no single chunk index names.
+HYDRATED = SEARCH + """, firsts as (select id as document_id, cast(null as int) as chunk_index, text as content from f_documents),
     hydrated as (select s.*, case when c.document_id is null then '' when c.document_id % 5 <> 0 and content <> '' then content when c.document_id % 10 <> 0 and substring(content, 1, 80) <> '' then substring(content, 1, 80) else 'a name' end as content, c.document_id, c.chunk_index from searched s left join firsts c on c.document_id = s.node_id)"""
-HYDRATED_VIEWS = ("f_nodes", "f_edges", "f_chunks")
-#: The same with a node's whole text, which no single chunk index names.
-FIRSTS = "select document_id, chunk_index, content from f_chunks where chunk_index = 0"
-HYDRATED_ALL = HYDRATED.replace(FIRSTS, "select id as document_id, cast(null as int) as chunk_index, text as content from f_documents")
-HYDRATED_ALL_VIEWS = ("f_nodes", "f_edges", "f_documents")
+HYDRATED_VIEWS = ("f_nodes", "f_edges", "f_documents")
 
 
 @query("with " + SEARCH + " select * from searched", ("f_nodes", "f_edges"))
@@ -163,27 +131,18 @@ def g3_graph_search(spark, d):
     return searched(spark, d)
 
 
-def hydrated(spark, d, whole=False):
-    """whole: with a node's whole text, else with its first line."""
-    if whole:
-        chunks = view(spark, d, "f_documents").select(F.col("id").alias("document_id"), F.lit(None).cast("int").alias("chunk_index"), F.col("text").alias("content"))
-    else:
-        chunks = view(spark, d, "f_chunks").where("chunk_index = 0")
+def hydrated(spark, d):
+    chunks = view(spark, d, "f_documents").select(F.col("id").alias("document_id"), F.lit(None).cast("int").alias("chunk_index"), F.col("text").alias("content"))
     texts = chunks.select(F.col("document_id").alias("node_id"), F.when(F.col("document_id") % 5 != 0, F.col("content")).alias("content"), F.when(F.col("document_id") % 10 != 0, F.substring("content", 1, 80)).alias("description"), F.lit("a name").alias("name"), "document_id", "chunk_index")
     return R.hydrate(searched(spark, d), texts)
 
 
-@query("with " + HYDRATED + " select * from hydrated", HYDRATED_VIEWS)
+@query("with " + HYDRATED + " select * from hydrated", HYDRATED_VIEWS, also=("g4_all_result_rows",))
 def g4_result_rows(spark, d):
     """Results with their text, by fallbacks (J7)."""
     return hydrated(spark, d)
 
 
-@query("with " + HYDRATED_ALL + " select * from hydrated", HYDRATED_ALL_VIEWS)
-def g4_all_result_rows(spark, d):
-    return hydrated(spark, d, whole=True)
-
-
 @query("with " + SEARCH + " select query_id, count(*) filter (where source = 'vector') as seed_nodes, count(*) filter (where source = 'graph_expansion') as expanded_nodes from searched group by query_id", ("f_nodes", "f_edges"))
 def g5_expansion_counts(spark, d):
     return R.expansion_counts(searched(spark, d))
@@ -202,21 +161,11 @@ def g7_retry(spark, d):
 @query(
     "with " + HYDRATED + """ select query_id, cast(count(*) as int) as n, string_agg('- ' || coalesce(cast(document_id as varchar), 'unknown') || ' (chunk ' || coalesce(cast(chunk_index as varchar), '?') || ')', chr(10) order by pos) filter (where pos < 5) as listing,
     string_agg('[' || source || ' | Score: ' || coalesce(cast(similarity as varchar), 'N/A') || '] ' || substring(content, 1, 500), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as scored from hydrated group by query_id""",
-    HYDRATED_VIEWS,
-)
+    HYDRATED_VIEWS, also=("g9_all_format_sources",))
 def g9_format_sources(spark, d):
     return R.format_sources(hydrated(spark, d)).select("query_id", F.size("sources").alias("n"), "listing", "scored")
 
 
-@query(
-    "with " + HYDRATED_ALL + """ select query_id, cast(count(*) as int) as n, string_agg('- ' || coalesce(cast(document_id as varchar), 'unknown') || ' (chunk ' || coalesce(cast(chunk_index as varchar), '?') || ')', chr(10) order by pos) filter (where pos < 5) as listing,
-    string_agg('[' || source || ' | Score: ' || coalesce(cast(similarity as varchar), 'N/A') || '] ' || substring(content, 1, 500), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as scored from hydrated group by query_id""",
-    HYDRATED_ALL_VIEWS,
-)
-def g9_all_format_sources(spark, d):
-    return R.format_sources(hydrated(spark, d, whole=True)).select("query_id", F.size("sources").alias("n"), "listing", "scored")
-
-
 @query(
     "with recursive_base as (select 1), " + NEAR + """, h0 as (select vec_id as query_id, vec_id as node_id from embeddings where vec_id % 20 = 0), h1 as (select query_id, dst_id as node_id, src_id as parent from (select h0.query_id, n.dst_id, n.src_id, n.weight from h0 join near n on n.src_id = h0.node_id where (h0.query_id, n.dst_id) not in (select query_id, node_id from h0)) qualify row_number() over (partition by query_id, dst_id order by weight desc, src_id) = 1),
     h2 as (select query_id, dst_id as node_id, src_id as parent from (select h1.query_id, n.dst_id, n.src_id, n.weight from h1 join near n on n.src_id = h1.node_id where (h1.query_id, n.dst_id) not in (select query_id, node_id from h0 union all select query_id, node_id from h1)) qualify row_number() over (partition by query_id, dst_id order by weight desc, src_id) = 1)
@@ -237,22 +186,12 @@ def c1_assemble_context(spark, d):
     return R.assemble_context(view(spark, d, "f_chunks").select(F.col("document_id").alias("query_id"), F.col("chunk_index").alias("pos"), "content"))
 
 
-@query("with " + HYDRATED + " select query_id, string_agg('[Chunk ' || (pos + 1) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context from hydrated group by query_id", HYDRATED_VIEWS)
+@query("with " + HYDRATED + " select query_id, string_agg('[Chunk ' || (pos + 1) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context from hydrated group by query_id", HYDRATED_VIEWS, also=("a10_all_ordered_text",))
 def a10_ordered_text(spark, d):
     """The variant that keeps blank texts."""
     return R.assemble_context(hydrated(spark, d), "Chunk", skip_blank=False)
 
 
-@query("with " + HYDRATED_ALL + " select query_id, string_agg('[Chunk ' || (pos + 1) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context from hydrated group by query_id", HYDRATED_ALL_VIEWS)
-def a10_all_ordered_text(spark, d):
-    return R.assemble_context(hydrated(spark, d, whole=True), "Chunk", skip_blank=False)
-
-
-@query("with " + HYDRATED + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_VIEWS)
+@query("with " + HYDRATED + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_VIEWS, also=("a11_all_retrieval_stats",))
 def a11_retrieval_stats(spark, d):
     return source_stats(hydrated(spark, d))
-
-
-@query("with " + HYDRATED_ALL + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_ALL_VIEWS)
-def a11_all_retrieval_stats(spark, d):
-    return source_stats(hydrated(spark, d, whole=True))

@@ -64,30 +64,47 @@ def n6_ranking_ci(spark, d):
     return O.ranking_ci(rankings(spark, d))
 
 
-@query("select l_orderkey, l_linenumber, case when l_linenumber % 4 = 0 then null when l_linenumber % 4 = 1 then l_quantity when l_linenumber % 4 = 2 then 1.0 else 0.0 end::double as x from lineitem")
+#: Answers as text, and what each is as a number and as a boolean, by the rules of float() and of the accepted words.
+ANSWERS = [("n/a", None, None), (" 7.50 ", 7.5, None), ("true", None, True), ("yes", None, True), ("y", None, None), ("1d", None, None), ("2.5f", None, None), ("1_000", 1000.0, None), ("2.5", 2.5, None), (" yes ", None, None), ("NO", None, False), ("-1e3", -1000.0, None), ("0", 0.0, False), ("1", 1.0, True), ("", None, None), (".5", 0.5, None), ("5.", 5.0, None), ("0x10", None, None), ("t", None, None), ("False", None, False)]
+
+
+def _cases(k: str, values: list) -> str:
+    return f"case {k} " + " ".join(f"when {i} then {v}" for i, v in enumerate(values) if v is not None) + " end"
+
+
+def answers(df, k):
+    return F.element_at(F.array(*[F.lit(a) for a, _, _ in ANSWERS]), (k + 1).cast("int"))
+
+
+@query(f"select l_orderkey, l_linenumber, {_cases(f'(l_orderkey + l_linenumber) % {len(ANSWERS)}', [x for _, x, _ in ANSWERS])}::double as x, l_quantity::double as typed, case when l_returnflag = 'R' then 1.0 else 0.0 end::double as flag from lineitem")
 def n7_to_double(spark, d):
-    k = F.col("l_linenumber") % 4
-    raw = F.when(k == 0, "n/a").when(k == 1, F.concat(F.lit(" "), F.col("l_quantity").cast("double").cast("string"))).when(k == 2, "true").otherwise("false")
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.to_double(raw).alias("x"))
+    """Text, numbers and typed booleans."""
+    rows = read(spark, d, "lineitem")
+    raw = answers(rows, (F.col("l_orderkey") + F.col("l_linenumber")) % len(ANSWERS))
+    return rows.select("l_orderkey", "l_linenumber", S.to_double(raw).alias("x"), S.to_double(F.col("l_quantity")).alias("typed"), S.to_double(F.col("l_returnflag") == "R").alias("flag"))
 
 
-@query("select event_id, case event_id % 6 when 0 then true when 1 then false when 2 then true when 3 then false when 4 then true end as b from events")
+@query(f"select event_id, {_cases(f'event_id % {len(ANSWERS)}', [None if b is None else str(b).lower() for _, _, b in ANSWERS])} as b, value <> 0 as typed, event_type = 'error' as flag from events")
 def n8_to_bool(spark, d):
-    k = F.col("event_id") % 6
-    raw = F.when(k == 0, "Yes").when(k == 1, "NO").when(k == 2, "1").when(k == 3, "false").when(k == 4, "2.5").otherwise("maybe")
-    return read(spark, d, "events").select("event_id", S.to_bool(raw).alias("b"))
+    """Text, numbers and typed booleans."""
+    rows = read(spark, d, "events")
+    return rows.select("event_id", S.to_bool(answers(rows, F.col("event_id") % len(ANSWERS))).alias("b"), S.to_bool(F.col("value")).alias("typed"), S.to_bool(F.col("event_type") == "error").alias("flag"))
 
 
-@query("select n, round(" + T_SQL + ", 3) as t from (select distinct count(*) + 100 as n from orders group by o_custkey)")
-def n9_t_table(spark, d):
-    """Critical values for the sample sizes that customers' orders give and 100 more, where the SQL is exact enough; n9_all_t_table has the sizes themselves."""
-    n = read(spark, d, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) + 100).alias("n")).select("n").distinct()
-    return n.select("n", F.round(S.t_critical(0.95)((F.col("n") - 1).cast("double")), 3).alias("t"))
+#: Student's t by bisection on its two-sided probability, a finite sum of powers of a cosine for whole degrees of freedom.
+_ANGLE, _DF = "atan((low + high) / 2 / sqrt(n - 1))", "(n - 1)"
+_EVEN = f"sin({_ANGLE}) * coalesce(list_sum(list_transform(range(0, {_DF} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(cos({_ANGLE}), 2 * k))), 0)"
+_ODD = f"2 / pi() * ({_ANGLE} + sin({_ANGLE}) * coalesce(list_sum(list_transform(range(0, ({_DF} - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(cos({_ANGLE}), 2 * k + 1))), 0))"
+_SHARE = f"(case when {_DF} % 2 = 0 then {_EVEN} else {_ODD} end)"
 
 
-@query()
-def n9_all_t_table(spark, d):
-    """Critical values for the sample sizes, two or more, that customers' orders give; SQL is not exact enough at few degrees of freedom."""
+@query(
+    f"""with recursive sizes as (select distinct count(*) as n from orders group by o_custkey having count(*) >= 2), steps(n, low, high, i) as (select n, 0.0::double, 1000.0::double, 0 from sizes union all
+    select n, case when {_SHARE} < 0.95 then (low + high) / 2 else low end, case when {_SHARE} < 0.95 then high else (low + high) / 2 end, i + 1 from steps where i < 60) select n, round(low, 3) as t from steps where i = 60""",
+    also=("n9_all_t_table",),
+)
+def n9_t_table(spark, d):
+    """Critical values for the sample sizes, two or more, that customers' orders give."""
     n = read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("n").distinct()
     return n.select("n", F.round(S.t_critical(0.95)((F.col("n") - 1).cast("double")), 3).alias("t"))
 

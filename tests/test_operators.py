@@ -229,3 +229,44 @@ def test_expand_hops(spark):
     near = spark.createDataFrame([(1, 2, 0.9, 1), (2, 3, 0.9, 1), (3, 1, 0.9, 1), (1, 3, 0.5, 2)], "src_id long, dst_id long, weight double, k int")
     seeds = spark.createDataFrame([(0, 1)], "query_id long, node_id long")
     assert rows(retrieval.expand_hops(seeds, near, 3), "node_id") == [(0, 1, 0, None), (0, 2, 1, 1), (0, 3, 1, 1)]
+
+
+def test_vectors_over_several_bands_and_parts(spark, monkeypatch):
+    """Clustered vectors with bands of a few rows and pivots: the same pairs as all against all; odd vectors left out."""
+    import numpy as np
+
+    from corpusloom.operators import graph
+
+    monkeypatch.setattr(graph, "HELD", 40)
+    monkeypatch.setattr(graph, "PART", 25)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(9, 16))
+    x = centres[rng.integers(0, 9, 300)] + 0.25 * rng.normal(size=(300, 16))
+    rows = [(i, "a" if i % 3 else "b", [float(v) for v in r]) for i, r in enumerate(x)] + [(900, "a", [1.0, 2.0]), (901, "a", None), (902, "a", [None] * 16), (903, None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "id long, tenant_id string, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    w = unit @ unit.T
+    for most, threshold in ((3, 0.8), (None, 0.85), (4, -2.0)):
+        got = {(r["src_id"], r["dst_id"]): r["weight"] for r in graph.similarity_edges(df, threshold, most).collect()}
+        want = set()
+        for i in range(300):
+            found = sorted((-w[i, j], j) for j in range(300) if i != j and (i % 3 == 0) == (j % 3 == 0) and w[i, j] >= threshold)
+            want |= {(i, j) for _, j in found[:most]}
+        assert set(got) == want
+        assert all(abs(v - w[p]) < 1e-9 for p, v in got.items())
+    assert graph.similarity_edges(df.where("false"), 0.5, 3).count() == 0
+
+
+def test_numbers_and_booleans_of_answers(spark):
+    from corpusloom.functions import stats
+
+    texts = ["yes", "y", "t", "true", "no", "1d", "2.5f", " 2.5 ", " yes ", "1_0", "1__0", "_1", "inf", "-Infinity", "nan", "", None, "0", "1", "1e3", "+.5", "5.", "."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: (r["x"], r["b"]) for r in df.select("t", stats.to_double(F.col("t")).alias("x"), stats.to_bool(F.col("t")).alias("b")).collect()}
+    inf = float("inf")
+    numbers = {" 2.5 ": 2.5, "1_0": 10.0, "inf": inf, "-Infinity": -inf, "0": 0.0, "1": 1.0, "1e3": 1000.0, "+.5": 0.5, "5.": 5.0}
+    words = {"yes": True, "true": True, "1": True, "no": False, "0": False}
+    assert got == {t: (numbers.get(t), words.get(t)) for t in texts}
+    typed = spark.createDataFrame([(True, 2.0, 0), (False, 0.0, 7), (None, None, None)], "b boolean, x double, n int")
+    out = [tuple(r) for r in typed.select(stats.to_double(F.col("b")), stats.to_double(F.col("x")), stats.to_bool(F.col("b")), stats.to_bool(F.col("x")), stats.to_bool(F.col("n"))).collect()]
+    assert out == [(1.0, 2.0, True, True, False), (0.0, 0.0, False, False, True), (None,) * 5]
