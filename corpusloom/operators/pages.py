@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, strip
@@ -56,16 +57,23 @@ def web_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", normalize_text(F.col("text"))).where("text <> ''")
 
 
+def decoded(col: Column) -> Column:
+    """Text with its character references, named and numbered, as characters; texts without any stay in Spark."""
+
+    @F.pandas_udf("string")
+    def unescaped(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.when(col.contains("&"), unescaped(F.when(col.contains("&"), col))).otherwise(col)
+
+
 def extract_html(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, text, links) from stored pages; scripts, styles and navigation go, tags become blanks."""
     h = F.coalesce("html", F.lit(""))
     body = F.regexp_replace(h, r"(?is)<(script|style|nav|header|footer|noscript|head)\b.*?</\1\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(body, r"(?s)<[^>]*>", " ")
-    # The common character references.
-    for ref, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(ref), F.lit(sign))
+    text = decoded(F.regexp_replace(body, r"(?s)<[^>]*>", " "))
     text = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    return pages.select("page_id", "url", strip(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), text.alias("text"), F.regexp_extract_all(h, F.lit(r"(?i)<a\s[^>]*href=[\"']([^\"']*)"), F.lit(1)).alias("links"))
+    return pages.select("page_id", "url", strip(decoded(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"), text.alias("text"), F.regexp_extract_all(h, F.lit(r"(?i)<a\s[^>]*href=[\"']([^\"']*)"), F.lit(1)).alias("links"))
 
 
 def link_frontier(pages: DataFrame, visited: DataFrame, cap: int | None = 20) -> DataFrame:

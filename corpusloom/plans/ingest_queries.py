@@ -29,9 +29,10 @@ REFS = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;
 
 def html_sql() -> str:
     t = f"regexp_replace(regexp_replace(coalesce(html, ''), '(?is){HIDDEN}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
     for ref, sign in REFS:
-        t = f"replace({t}, '{ref.replace(chr(39), chr(39) * 2)}', '{sign}')"
-    return f"""extracted as (select page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_replace({t}, '\\s+', ' ', 'g')) as text,
+        t, title = (f"replace({x}, '{ref.replace(chr(39), chr(39) * 2)}', '{sign}')" for x in (t, title))
+    return f"""extracted as (select page_id, url, trim({title}) as title, trim(regexp_replace({t}, '\\s+', ' ', 'g')) as text,
     regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']*)', 1) as links, lower(regexp_extract(url, '://([^/?#]*)', 1)) as site from pages)"""
 
 
@@ -114,27 +115,57 @@ def t2_token_len(spark, d):
     return read(spark, d, "documents").select("doc_id", T.token_len(F.col("text")).alias("tokens"))
 
 
-@query("select doc_id, cast(len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '\\S'))) as int) as sentences from documents")
+def sentences_sql(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+def tokens_sql(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]'))"
+
+
+def chunks_sql(pages: str, most: int, overlap: int) -> str:
+    """CTEs up to chunks: chunk ranges by recursion over the running sums of each document's sentences, and of long sentences' words."""
+    sums = "[0] || list(total order by {0})"
+    ends = lambda start: f"len(list_filter(p, lambda x: x <= p[{start} + 1] + {most})) - 1"
+    tail = f"least(c.past - 1, greatest(c.first, len(list_filter(p, lambda x: x < p[c.past + 1] - {overlap}))))" if overlap else "c.past"
+    return f"""with recursive pages_in as ({pages}), raw as (select document_id, page, unnest({sentences_sql('text')}) as s, generate_subscripts({sentences_sql('text')}, 1) as k from pages_in),
+    s as (select document_id, page, s, row_number() over (partition by document_id order by page, k) as pos, {tokens_sql('s')} as n from raw), last as (select document_id, max(page) as last from pages_in group by 1),
+    short as (select document_id, list(s order by pos) as ss, list(page order by pos) as pg, list(pos order by pos) as ps, {sums.format('pos')} as p, count(*) as m from (select *, cast(sum(n) over (partition by document_id order by pos) as bigint) as total from s where n <= {most}) group by 1),
+    c(document_id, first, past, start) as (select document_id, 0, greatest(1, {ends('0')}), pg[1] from short
+      union all select document_id, first, greatest(past_before + 1, {ends('first')}), start from (select c.document_id, {tail} as first, c.past as past_before, short.pg[c.past + 1] as start, short.p from c join short using (document_id) where c.past < m)),
+    w as (select document_id, page, pos, w, row_number() over (partition by document_id, pos order by k) as k, {tokens_sql('w')} as n from (select document_id, page, pos, unnest(regexp_split_to_array(s, '\\s+')) as w, generate_subscripts(regexp_split_to_array(s, '\\s+'), 1) as k from s where n > {most})),
+    long as (select document_id, page, pos, list(w order by k) as ws, {sums.format('k')} as p, count(*) as m from (select *, cast(sum(n) over (partition by document_id, pos order by k) as bigint) as total from w) group by all),
+    l(document_id, pos, first, past) as (select document_id, pos, 0, least(m, len(list_filter(p, lambda x: x < {most}))) from long
+      union all select l.document_id, l.pos, l.past, least(m, len(list_filter(p, lambda x: x < p[l.past + 1] + {most}))) from l join long using (document_id, pos) where l.past < m),
+    chunks as (select document_id, cast(row_number() over (partition by document_id order by place, first) - 1 as int) as chunk_index, text, cast(start_page as int) as start_page, cast(end_page as int) as end_page, cast(token_count as int) as token_count from (
+      select document_id, case when past < m then ps[past + 1] else 1000000000 end as place, first, array_to_string(ss[first + 1:past], ' ') as text, start as start_page, case when past < m then pg[past + 1] else last end as end_page, p[past + 1] - p[first + 1] as token_count from c join short using (document_id) join last using (document_id)
+      union all select document_id, pos, first, array_to_string(ws[first + 1:past], ' '), page, page, p[past + 1] - p[first + 1] from l join long using (document_id, pos)))"""
+
+
+@query(f"select doc_id, array_to_string({sentences_sql('text')}, chr(10) || '|') as sentences from documents")
 def t3_sentences(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.sentences(F.col("text")), "\n|").alias("sentences"))
+
+
+LINES = "select document_id, chunk_index + 1 as page, content as text from f_chunks"
 
 
 def line_pages(spark, d):
     return view(spark, d, "f_chunks").select("document_id", (F.col("chunk_index") + 1).alias("page"), F.col("content").alias("text"))
 
 
-@query()
+@query(chunks_sql(LINES, 200, 30) + " select * from chunks", ("f_chunks",))
 def t4_chunk_pages(spark, d):
     return chunking.chunk_pages(line_pages(spark, d), 200, 30)
 
 
-@query()
+@query(chunks_sql(LINES, 12, 0) + " select * from chunks", ("f_chunks",))
 def t5_split_sentences(spark, d):
     """A bound so low that most sentences are split by words."""
     return chunking.chunk_pages(line_pages(spark, d), 12, 0)
 
 
-@query()
+@query(chunks_sql(LINES, 60, 40) + " select * from chunks", ("f_chunks",))
 def t6_overlap(spark, d):
     return chunking.chunk_pages(line_pages(spark, d), 60, 40)
 
@@ -160,16 +191,74 @@ def t8_table_pages(spark, d):
     return pages.table_pages(c, ["c_custkey", "c_name"], rows_per_page=10)
 
 
-@query()
+TYPED = (
+    "select document_id, page, " + norm_sql("body") + """ as text from (select document_id, cast((rn - 1) // 8 + 1 as int) as page, string_agg(trim(content), chr(10) || chr(10) order by chunk_index) as body
+    from (select *, row_number() over (partition by document_id order by chunk_index) as rn from f_chunks where document_id % 5 = 2) group by document_id, (rn - 1) // 8)
+    union all select id, 1, """ + norm_sql("text") + " from f_documents where source_type in ('web', 'pdf', 'vtt')"
+)
+
+
+@query(chunks_sql(TYPED, 200, 30) + " select * from chunks union all select id, null, 'unsupported type: ' || source_type, null, null, null from f_documents where source_type = 'xlsx'", ("f_chunks", "f_documents"))
 def t9_to_chunks(spark, d):
-    """Word documents by paragraphs, web pages as they are."""
+    """Word documents by paragraphs, web pages, transcripts and files as one page each; sheets have no builder here and are rejected."""
+
     def paragraphs(df):
         return pages.paragraph_pages(df.select(F.col("id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))).select("document_id", "page", T.normalize_text(F.col("text")).alias("text"))
 
-    def web(df):
+    def one_page(df):
         return pages.web_pages(df.select(F.col("id").alias("document_id"), F.lit(1).alias("page"), "text"))
 
-    return chunking.to_chunks(view(spark, d, "f_documents"), {"docx": paragraphs, "web": web}, max_tokens=200, overlap_tokens=30)
+    chunks, rejects = chunking.to_chunks(view(spark, d, "f_documents"), {"docx": paragraphs, "web": one_page, "pdf": one_page, "vtt": one_page}, max_tokens=200, overlap_tokens=30)
+    return chunks.unionByName(rejects.select(F.col("id").alias("document_id"), F.col("reject_reason").alias("text")), allowMissingColumns=True)
+
+
+@query(
+    """select 0 as branch, id as ordinal, source_uri as source from f_documents where source_type not in ('vtt', 'web') union all select 1, id, source_uri from f_documents where source_type = 'vtt' union all select 2, page_id, url from pages""",
+    ("f_documents",),
+)
+def x2_branches(spark, d):
+    """Files, then transcripts, then links."""
+    docs = view(spark, d, "f_documents").select(F.col("id").alias("position"), F.col("source_uri").alias("source"), "source_type")
+    links = read(spark, d, "pages").select(F.col("page_id").alias("position"), F.col("url").alias("source"))
+    return chunking.branches_in_order(docs.where("source_type not in ('vtt', 'web')"), docs.where("source_type = 'vtt'"), links).select("branch", "ordinal", "source")
+
+
+@query("select batch_id, idx from f_items qualify row_number() over (partition by batch_id order by idx) <= 50", ("f_items",))
+def o6_capped_items(spark, d):
+    """Fifty items of a batch, the web branch's feature."""
+    return chunking.capped_items(view(spark, d, "f_items")).select("batch_id", "idx")
+
+
+def scratch(spark, name):
+    from ..session import work_folder
+
+    return work_folder(spark, name)
+
+
+@query("select page_id as ordinal, url, html as text, lower(regexp_extract(url, '://([^/?#]*)', 1)) as source_url, cast(row_number() over (partition by lower(regexp_extract(url, '://([^/?#]*)', 1)) order by page_id) as int) as page from pages where trim(html, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def s4_scraped_json(spark, d):
+    """Pages written as one JSON document for each site, and read back."""
+    from ..sources.readers import read_scraped_json
+
+    rows = read(spark, d, "pages").select(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)).alias("source_url"), F.struct("page_id", "url", "html").alias("p"))
+    sites = rows.groupBy("source_url").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    shown = F.transform("p", lambda x, i: F.struct((i + 1).cast("int").alias("page"), x["url"].alias("url"), x["page_id"].cast("string").alias("title"), x["html"].alias("text")))
+    path = scratch(spark, "sites")
+    sites.select(F.to_json(F.struct("source_url", F.lit("2024-01-20").alias("scraped_at"), F.size("p").alias("total_pages"), shown.alias("pages"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return read_scraped_json(spark, path).select(F.col("title").cast("long").alias("ordinal"), "url", "text", "source_url", "page")
+
+
+@query("select conv_id, 'WEBVTT' || chr(10) || string_agg(turn || ': ' || coalesce(text, ''), chr(10) order by turn) as text from conversations group by conv_id")
+def s5_read_vtt(spark, d):
+    """Conversations written as one file each, and read back whole."""
+    from ..sources.readers import read_vtt
+
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat(F.col("turn").cast("string"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line")))), lambda x: x["line"]), "\n")
+    talks = read(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n"), lines).alias("text"))
+    path = scratch(spark, "transcripts")
+    talks.select(F.concat(F.col("conv_id").cast("string"), F.lit("\n"), "text").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    parts = F.split("text", "\n", 2)
+    return read_vtt(spark, path).select(parts[0].cast("long").alias("conv_id"), F.regexp_replace(parts[1], "\n$", "").alias("text"))
 
 
 @query("with " + html_sql() + " select site, page_id as page, " + norm_sql("text") + " as text from extracted where text <> ''")

@@ -21,12 +21,13 @@ def props(*pairs):
     return F.create_map(*[x for k, v in pairs for x in (F.lit(k), v.cast("string"))])
 
 
-@query(
-    """with new as (select n_key as k, count(*) as times, arg_max(nm, seq) as nm, max(seq) as last from (select vec_id % 400 as n_key, 'new ' || vec_id as nm, vec_id as seq from embeddings where vec_id % 2 = 1) group by 1),
+U1_SQL = """with new as (select n_key as k, count(*) as times, arg_max(nm, seq) as nm, max(seq) as last from (select vec_id % 400 as n_key, 'new ' || vec_id as nm, vec_id as seq from embeddings where vec_id % 2 = 1) group by 1),
     old as (select vec_id as k, 'old ' || vec_id as nm, vec_id from embeddings where vec_id % 2 = 0 or vec_id % 3 = 0)
     select cast(coalesce(old.k, new.k) as varchar) as node_key, coalesce(new.nm, old.nm) as name, coalesce(case when old.k is not null then 1 else 0 end, 0) + coalesce(times, 0) as seen_count,
     case when old.k is not null then cast(old.k as varchar) end as p_old, cast(new.last as varchar) as p_new, case when new.k is not null then 'new' else 'old' end as p_both, new.k is not null as touched from old full join new on old.k = new.k"""
-)
+
+
+@query(U1_SQL)
 def u1_upsert_nodes(spark, d):
     """The old table's nodes are even or divisible by three, the batch repeats keys."""
     e = read(spark, d, "embeddings")
@@ -39,6 +40,18 @@ def u1_upsert_nodes(spark, d):
     return out.select("node_key", "name", "seen_count", p["old"].alias("p_old"), p["new"].alias("p_new"), p["both"].alias("p_both"), (F.col("updated_at") == F.lit(AS_OF).cast("timestamp_ntz")).alias("touched"))
 
 
+@query(U1_SQL)
+def s10_published_nodes(spark, d):
+    """The old nodes published as a version, the merged ones as the next, which is read."""
+    from ..session import work_folder
+    from ..sources.readers import current, publish
+
+    folder = work_folder(spark, "nodes")
+    publish(u1_upsert_nodes(spark, d).where("false"), folder)
+    publish(u1_upsert_nodes(spark, d), folder)
+    return current(spark, folder)
+
+
 @query(
     """with t as (select src_id, dst_id, weight, is_active from f_edges where id % 2 = 0), b as (select src_id, (dst_id + id % 2) % 150 as dst_id, case when id % 5 = 0 then null else weight end as weight, id from f_edges),
     n as (select src_id, dst_id, arg_max(weight, id) filter (where weight is not null) as weight, count(*) as times from b group by all)

@@ -45,5 +45,6 @@ def oracle(body: str, *names: str) -> str:
     """SQL for DuckDB with the views it needs in front."""
     parts = [f"{n} as ({s if isinstance(s, str) else s[1]})" for n in names for _, s in [VIEWS[n]]]
     body = body.strip()
-    rest = body[5:] if body.lower().startswith("with ") else None
-    return ("with " + ", ".join(parts) + (", " + rest if rest else " " + body)) if parts else body
+    head = "with recursive " if body.lower().startswith("with recursive ") else "with "
+    rest = body[len(head) :] if body.lower().startswith("with ") else None
+    return (head + ", ".join(parts) + (", " + rest if rest else " " + body)) if parts else body

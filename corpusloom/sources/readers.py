@@ -1,4 +1,4 @@
-"""Readers and writers: scraped-site JSON, WebVTT files, outputs with an expiry."""
+"""Readers and writers: scraped-site JSON, WebVTT files, outputs with an expiry, tables that are swapped as a whole."""
 
 from __future__ import annotations
 
@@ -31,3 +31,39 @@ def with_expiry(df: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 def append_outputs(df: DataFrame, path: str, as_of: str, days: int = 7) -> None:
     """Append outputs that expire ``days`` days after as_of."""
     with_expiry(df, as_of, days).write.mode("append").parquet(path)
+
+
+MANIFEST = "version long, path string"
+
+
+def publish(df: DataFrame, folder: str) -> int:
+    """Make df the table's next version and return its number.
+
+    A version is a folder of its own, written in full before a single row of the manifest names it: readers see the version
+    before or this one, never a mixture, and a writer that dies leaves the table as it was. df may read the table itself.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    version, path = (_newest(spark, folder) or (0, None))[0] + 1, f"{folder}/data/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    spark.createDataFrame([(version, path)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return version
+
+
+def _newest(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("version"), "path").limit(1).collect()
+    except AnalysisException:  # no version has been published
+        return None
+    return (rows[0]["version"], rows[0]["path"]) if rows else None
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a published table."""
+    newest = _newest(spark, folder)
+    if newest is None:
+        raise FileNotFoundError(f"no version under {folder}")
+    return spark.read.parquet(newest[1])
