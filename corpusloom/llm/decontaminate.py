@@ -119,7 +119,8 @@ def byte_keys(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def all_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: list[int], stride: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, keys) for the shapes, and short sizes, that items of these sizes have; stride: as in documents, else every byte."""
     for shape in sorted({shape_of(n) for n in sizes if n >= EXACT}):
-        at = walk_starts(starts, ends, shape.stride if stride else 1)
+        # A walk moves on half a byte a step: one that begins too near a text's end would see little else than the gap.
+        at = walk_starts(starts, np.maximum(ends - shape.steps // 3, starts), shape.stride if stride else 1)
         for keys in walk_keys(data, at, shape):
             yield at, keys
     for n in sorted({n for n in sizes if n < EXACT}):
