@@ -7,7 +7,7 @@ and misses a pair of similarity 0.75 with probability 6e-6. The 8-bit signature
 full sets are fetched (a pair of 0.75 fails the screen with probability 5e-6).
 
 Equal sets are one node from the start. Links matter only for what they connect, so the join works in two passes: each
-node is first confirmed against the one centre (a bucket's least node) with which it shares most keys; after joining up
+node is first confirmed against the one centre (a bucket's node of the smallest document) with which it shares most keys; after joining up
 what that links, only rows outside the component of a bucket's centre are compared with the rest of the bucket and with
 each other, in blocks of ``BLOCK`` rows that spread over tasks. A pair is taken up in the first key that it shares only, and not at all if its
 known distances to one centre differ by more than the threshold allows (Jaccard distance is a metric). No pair is
@@ -84,7 +84,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = key << 16 | idx[:, :, k]
             keys[:, :, out] = key
         each = CHUNKS * WIDTH
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("rep").to_numpy(), each)), pa.array(np.repeat(batch.column("n").to_numpy(), each))], names=["key", "rep", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(batch.column(c).to_numpy(), each)) for c in ("rep", "n", "doc_id"))], names=["key", "rep", "n", "doc_id"])
 
 
 def _confirm(width: int, percent: int):
@@ -189,12 +189,12 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 def _across(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of buckets that hold several components, once for each pair of blocks (bi, bj) they take part in.
 
-    A bucket's main component is that of its first node. Blocks of rows outside it are numbered from 0, those of the
+    A bucket's main component is that of its centre. Blocks of rows outside it are numbered from 0, those of the
     main component below 0; every block outside meets all the others, blocks of the main component don't meet each other.
     """
     comp = F.coalesce("component", "rep")
-    marked = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", comp.alias("comp"))
-    mixed = marked.groupBy("key").agg(F.min_by("comp", "rep").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
+    marked = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "size", "c", comp.alias("comp"))
+    mixed = marked.groupBy("key").agg(F.max(F.when(F.col("rep") == F.col("c"), F.col("comp"))).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "main")
     rows = marked.join(mixed, "key")
     others = rows.where("comp <> main").groupBy("key").agg(F.count(F.lit(1)).alias("others"))
     rows = rows.join(others, "key").withColumns({"outer": F.ceil(F.col("others") / BLOCK).cast("int"), "inner": F.ceil((F.col("size") - F.col("others")) / BLOCK).cast("int")})
@@ -218,9 +218,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     members = written(signed.select("doc_id", "n", "s1", "s2").join(reps.select("rep", "s1", "s2", "n"), ["s1", "s2", "n"], "left").select("doc_id", "n", "rep"), "members")
     same = members.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     under_one_id = members.join(_small(same, "ids-with-several-texts"), "doc_id").where("rep is not null and rep <> a").select("a", F.col("rep").alias("b"), F.lit(True).alias("linked"), F.lit(0.0).alias("j"))
-    buckets = written(reps.select("rep", "n", "idx").mapInArrow(_keys, "key long, rep long, n long"), "buckets")
-    centres = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("c.rep < last").select("key", "size", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"))
-    shared = written(buckets.join(centres, "key"), "shared-buckets")
+    buckets = written(reps.select("rep", "n", "doc_id", "idx").mapInArrow(_keys, "key long, rep long, n long, doc_id long"), "buckets")
+    centres = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "rep", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "size", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n"))
+    shared = written(buckets.drop("doc_id").join(centres, "key"), "shared-buckets")
 
     star = shared.where("rep <> c").where(100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")).groupBy("c", "rep").agg(F.count(F.lit(1)).alias("k"))
     first = written(star.groupBy(F.col("rep").alias("v")).agg(F.max_by("c", F.struct("k", -F.col("c"))).alias("c")).select("c", "v"), "first-pairs")
