@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from .common import small_batches, text_steps, written
 #: Pieces of one length that a task ranks, about; blocks of lengths that are broadcast, beyond which they are joined by a shuffle.
 BLOCK_ROWS, BROADCAST_ROWS = 200_000, 1_000_000
 #: Encoded splits a worker keeps, and the code points whose classes splitting knows.
-KEPT_WORDS, KNOWN = 400_000, 0x250
+KEPT_WORDS, KNOWN = 800_000, 0x250
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,16 +63,33 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([rf"[^\x00-{chr(KNOWN - 1)}]", *map(re.escape, added)]))
         self.split, self.known = splitter().findall, {}
-
-    def ids(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text."""
+        self.line_end = self.plain("\n")
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes splits of a text many at a time, a line each: a line end is a split of its own between others than white space."""
+        for w in [w for w in words if w.isspace()]:
+            self.known[w] = self.plain(w)
+        words = [w for w in words if not w.isspace()]
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
+            ids = np.frombuffer(self.plain("\n".join(some)), "<u4")
+            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0]), len(ids))
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not keep lines apart")
+            body, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
+            self.known.update((w, body[4 * x : 4 * z]) for w, x, z in zip(some, starts.tolist(), ends.tolist(), strict=True))
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
         splits = [None if self.whole.search(t) else self.split(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        new = list({w for s in splits if s for w in s}.difference(self.known))
-        self.known.update((w, e.ids) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
+        self.learn(list(set().union(*(s for s in splits if s)).difference(self.known)))
         for text, s in zip(texts, splits, strict=True):
-            yield self.tokenizer.encode(text, add_special_tokens=False).ids if s is None else chain.from_iterable(map(self.known.__getitem__, s))
+            yield self.plain(text) if s is None else b"".join(map(self.known.__getitem__, s))
 
 
 #: One encoder for each tokenizer file in a worker, so that what it keeps serves all of the worker's tasks.
@@ -91,15 +108,16 @@ def _pieces(path: str, size: int, end_id: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        encode = encoder(path).ids
+        encode, end = encoder(path).ids, struct.pack("<I", end_id)
         for batch in batches:
             for x, z in text_steps(batch, "text"):
                 part = batch.slice(x, z - x)
                 rows: list[tuple] = []
                 for doc_id, found in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = np.array([*found, end_id], dtype="<u4")
-                    cuts = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
-                    rows += [(doc_id, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
+                    ids = found + end
+                    n = len(ids) // 4
+                    cuts = [0, *range(n % size or size, n + 1, size)]
+                    rows += [(doc_id, k, a, z - a, zlib.crc32(ids[4 * a : 4 * z])) for k, (a, z) in enumerate(zip(cuts, cuts[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [[]] * 5, schema, strict=True)], schema=schema)
 
     return run
