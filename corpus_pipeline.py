@@ -2,6 +2,12 @@
 
 Quality classifier, line dedup, MinHash near-dedup, benchmark decontamination and best-fit packing, in this order; each
 works on what the one before it kept. A document whose lines all go stays, with an empty text.
+
+Defined cases, alike in all stages: columns beyond those of documents stay as they are, whatever their names; an empty table
+passes through and packs into nothing; texts of any length are read whole. A row with a null id is never a copy and never
+dropped as one; it goes only if the classifier judges ids of its kind, and is packed. A null text is empty: judged by the
+classifier, it holds no line, no shingle and no item, and packs into one token. Repeated rows fare alike. Ties go to the
+smaller id.
 """
 
 from __future__ import annotations
