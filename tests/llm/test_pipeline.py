@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql.functions import lit
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from corpusloom.llm import queries  # noqa: E402
@@ -22,7 +23,26 @@ def test_against_sql(spark, name):
     assert sorted(repr(tuple(r[x] for x in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
-def test_stages(spark):
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns of clashing names and an empty table through every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = [(None, None, None, None, None), (900001, None, "en", "src1", 0), (900002, "", None, None, 0), (900003, " \n\t", "en", "src1", 4), (900004, "word " * 30_000, "en", "src1", 150_000)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).unionByName(docs.limit(1))
+    clash = {"key": "x", "th": 1, "rep": 2, "size": 3, "piece": 4, "y": 5, "keep": True, "n_lines": "z"}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.where("false"), SF)
+        assert none.count() == 0, name
+        wide = rows.select("*", *[lit(v).alias(k) for k, v in clash.items()])
+        out = stage(spark, wide, SF)
+        if name != "best-fit packing":
+            assert set(docs.columns) <= set(out.columns) and out.count() <= wide.count(), name
+            assert out.where("doc_id = 900002").count() <= 1 and out.select(docs.columns).schema.simpleString() == docs.schema.simpleString(), name
+        else:
+            packed = out.groupBy("doc_id").sum("length").collect()
+            assert {r["doc_id"]: r[1] for r in packed}[900002] == 1 and {r["doc_id"]: r[1] for r in packed}[900001] == 1
+
+
+def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     columns, seen = docs.columns, {r["doc_id"] for r in docs.collect()}
@@ -32,7 +52,7 @@ def test_stages(spark):
         assert ids <= seen
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns and docs.count() == len(ids)
-            docs.write.mode("overwrite").parquet(path := f"/tmp/spark-pipeline-test/{k}")
+            docs.write.mode("overwrite").parquet(path := f"{tmp_path}/{k}")
             docs = spark.read.parquet(path)
         if name == "quality classifier":
             clean = {d for d, r in labels.items() if r["quality"] == 1 and r["toxic"] == 0}
