@@ -44,6 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a Python worker keeps from task to task, such as encoded words; workers outlive a stage.
+KEPT: dict = {}
+
+
 def text_steps(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts come to about step bytes (at least one row each)."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_steps, written
+from .common import KEPT, small_batches, text_steps, written
 from .components import components
 from .vectext import mix64, shingle_sets
 
@@ -51,6 +51,7 @@ def min_hashes(u: np.ndarray) -> np.ndarray:
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        KEPT.clear()
         for batch in batches:
             for a, z in text_steps(batch, "text"):
                 part = batch.slice(a, z - a)

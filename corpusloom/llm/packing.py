@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import small_batches, text_steps, written
+from .common import KEPT, small_batches, text_steps, written
 
 #: Pieces of one length that a task ranks, about; blocks of lengths that are broadcast, beyond which they are joined by a shuffle.
 BLOCK_ROWS, BROADCAST_ROWS = 200_000, 1_000_000
 #: Encoded splits a worker keeps, and the code points whose classes splitting knows.
-KEPT_WORDS, KNOWN = 800_000, 0x250
+KEPT_WORDS, KNOWN = 400_000, 0x250
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -92,14 +92,11 @@ class Encoder:
             yield self.plain(text) if s is None else b"".join(map(self.known.__getitem__, s))
 
 
-#: One encoder for each tokenizer file in a worker, so that what it keeps serves all of the worker's tasks.
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each tokenizer file in a worker, so that what it keeps serves all of the worker's tasks; others release it."""
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
 
 
 def _pieces(path: str, size: int, end_id: int):

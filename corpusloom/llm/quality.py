@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_steps, written
+from .common import KEPT, small_batches, text_steps, written
 from .vectext import lower_ascii, text_bytes, word_hashes, word_spans
 
-LABELLED, POOL, VOCABULARY, ROUNDS, NAMES = 8000, 4000, 4000, 3, 500
+LABELLED, POOL, VOCABULARY, ROUNDS, NAMES = 6000, 4000, 4000, 3, 500
 SURE, DEVIATIONS = 0.95, 4.0
 #: Shares of the labelled documents that calibrate the views, join them, and measure; the rest is fitted on.
 CALIBRATE, JOIN, MEASURE = 0.1, 0.06, 0.1
@@ -221,6 +221,7 @@ def co_train(model: Model, words: tuple, metas: tuple, y: np.ndarray, prior: flo
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    KEPT.clear()
     for batch in batches:
         for a, z in text_steps(batch, "text"):
             part = batch.slice(a, z - a)
@@ -284,6 +285,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        KEPT.clear()
         model = held.value
         for batch in batches:
             for a, z in text_steps(batch, "text"):
