@@ -131,11 +131,29 @@ def _snippets(length: int):
     return run
 
 
+def holds(runs: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Which keys one of the sorted runs holds."""
+    found = np.zeros(len(keys), bool)
+    for run in runs:
+        found |= run[np.minimum(np.searchsorted(run, keys), len(run) - 1)] == keys
+    return found
+
+
+def put(runs: list[np.ndarray], new: np.ndarray) -> None:
+    """Add a sorted run. Each run is at least twice as long as the next, so there are few and each key is moved few times."""
+    while runs and len(runs[-1]) < 2 * len(new):
+        new = np.sort(np.concatenate([runs.pop(), new]), kind="stable")
+    if len(new):
+        runs.append(new)
+
+
 def _seen(length: int):
-    """Rows sorted by (h, doc_id, a): spans [s, e) of windows equal to an earlier one with the same anchor."""
+    """Rows sorted by (h, doc_id, a): spans [s, e) of windows equal to an earlier one with the same anchor.
+
+    Eight bytes are held for each different window of the current anchor, in sorted runs, whatever the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, before = None, np.empty(0, np.uint64), None
+        last, seen, before = None, [], None
         for batch in batches:
             # A row given twice in the input comes twice here, too: the second says nothing new.
             cols = [batch.column(c).to_numpy() for c in ("h", "doc_id", "th", "a")]
@@ -158,10 +176,10 @@ def _seen(length: int):
             old[at] = False
             if last is not None and h[0] == last:
                 with_last = h[row] == last
-                old[with_last] |= np.isin(keys[with_last], seen)
-            mine = np.unique(keys[h[row] == h[-1]])
-            seen = np.union1d(seen, mine) if h[-1] == last else mine
-            last = h[-1]
+                old[with_last] |= holds(seen, keys[with_last])
+            if h[-1] != last:
+                last, seen = h[-1], []
+            put(seen, np.unique(keys[(h[row] == last) & ~old]))
             start = old.copy()
             start[1:] &= ~old[:-1] | (row[1:] != row[:-1])
             end = old.copy()

@@ -201,9 +201,9 @@ def test_components(spark):
     assert {r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
 
 
-def test_exact_repeats(docs, none):
+def brute_repeats(texts):
     seen, want = set(), {}
-    for d, t in sorted(texts_of(docs).items()):
+    for d, t in sorted(texts.items()):
         b = t.encode()
         gone = bytearray(len(b))
         for k in range(len(b) - 99):
@@ -212,12 +212,44 @@ def test_exact_repeats(docs, none):
                 gone[k : k + 100] = b"\1" * 100
             seen.add(w)
         want[d] = (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest())
+    return want
+
+
+def test_exact_repeats(docs, none):
+    want = brute_repeats(texts_of(docs))
     out = repeats.remove_repeats(docs.withColumns({"th": F.lit(1), "spans": F.lit(2)}).repartition(3)).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out if r["doc_id"] is not None} == want
     assert [r["n_removed"] for r in out if r["doc_id"] is None] == [0] and len(out) == docs.count()
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_exact_repeats_with_a_passage_in_every_document(spark):
+    """The anchors at the passage's ends see other windows in each document, over many Arrow batches."""
+    rng = random.Random(11)
+    passage, key = words(rng, 40), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    texts = {i: f"{words(rng, rng.randint(0, 12))} {passage} {words(rng, rng.randint(0, 12)) if i % 3 else 'one tail that some of them share'}" for i in range(150)}
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        out = repeats.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute_repeats(texts)
+
+
+def test_sorted_runs_hold_what_was_put():
+    import numpy as np
+
+    rng, runs, held = np.random.default_rng(3), [], set()
+    for _ in range(300):
+        keys = np.unique(rng.integers(0, 5000, rng.integers(0, 60)).astype(np.uint64))
+        old = repeats.holds(runs, keys)
+        assert old.tolist() == [k in held for k in keys.tolist()]
+        repeats.put(runs, keys[~old])
+        held.update(keys.tolist())
+    assert len(runs) <= 14 and sum(map(len, runs)) == len(held)
+
+
 def test_window_runs_cover_every_window_once():
     import numpy as np
 
