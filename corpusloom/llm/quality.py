@@ -231,6 +231,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), part.column("lang").cast(pa.string()), part.column("source").cast(pa.string()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(list(figures), pa.list_(pa.float64()))], names=["doc_id", "y", "lang", "source", "words", "figures"])
 
 
+def _numbered(held):
+    """Words as numbers of the vocabulary, others left out: no row for each word, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Model(held.value, None, {})
+        for batch in batches:
+            sets = [w.values.to_numpy().view(np.uint64) for w in batch.column("words")]
+            k, off = vocabulary.word_features(sets)
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(k.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "y", "lang", "source", "figures")), lists], names=["doc_id", "y", "lang", "source", "figures", "k"])
+
+    return run
+
+
 def frequent(docs: DataFrame, column: str) -> list[str]:
     """The NAMES most frequent values over all documents, as the names of features."""
     found = docs.groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(NAMES).collect()
@@ -263,15 +277,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     # Log-odds in units of their own deviation, less what chance gives.
     tells = F.abs(F.log((F.col("p") + 1) / (kinds[1] + 2)) - F.log((F.col("q") + 1) / (kinds[0] + 2))) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
     words = np.sort(np.array([r["w"] for r in counts.where(tells >= DEVIATIONS).orderBy(tells.desc(), "w").limit(VOCABULARY).collect()], np.int64).view(np.uint64))
-    known = spark.createDataFrame([(int(w), i) for i, w in enumerate(words.view(np.int64))] or [(0, -1)], "w long, k int")
-    # Sent to the driver: LABELLED + POOL rows of vocabulary numbers and figures.
-    pairs = sample.select("doc_id", "y", "lang", "source", "figures", F.explode_outer("words").alias("w")).join(F.broadcast(known), "w", "left").groupBy("doc_id", "y", "lang", "source", "figures").agg(F.collect_set("k").alias("k"))
-    rows = pairs.orderBy("doc_id").collect()
+    held = spark.sparkContext.broadcast(words)
+    # Sent to the driver: LABELLED + POOL rows of vocabulary numbers and figures, a repeated row once.
+    numbered = sample.mapInArrow(_numbered(held), "doc_id long, y int, lang string, source string, figures array<double>, k array<int>")
+    rows = numbered.dropDuplicates().orderBy("doc_id", "figures").collect()
+    held.unpersist()
     figures = np.array([r["figures"] for r in rows])
     edges = np.array([np.quantile(figures[:, j], QUANTILES) for j in range(len(FIGURES))])
     names = sorted({*frequent(docs, "lang"), *frequent(docs, "source")})
     model = Model(words, edges, {v: i + 1 for i, v in enumerate(names)})
-    sets = [np.sort(np.array(r["k"], np.int64)) for r in rows]
+    sets = [np.array(r["k"], np.int64) for r in rows]
     features = np.concatenate([*sets, np.empty(0, np.int64)]), np.append(0, np.cumsum([len(s) for s in sets]))
     metas = model.meta_features(figures, [r["lang"] for r in rows], [r["source"] for r in rows])
     prior = np.log(there[1] / kinds[1]) - np.log(there[0] / kinds[0])
