@@ -74,19 +74,26 @@ def forms(spark, d):
     return read(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
 
 
-@query("select o_orderkey, case when o_orderkey % 4 = 3 then -1 when o_orderkey % 4 = 0 then 2 else 1 end as n from orders")
+@query(
+    """select o_orderkey, p as pos, case when p is not null then case when o_orderkey % 2 = 0 then 'rating' else 'multiple_choice' end end as type, case when p is not null then 'About ' || o_orderpriority end as text, case when p is not null then 'x,y' end as options
+    from (select *, unnest(case o_orderkey % 4 when 3 then [null::int] when 0 then [0::int, 1::int] else [0::int] end) as p from orders)"""
+)
 def c7_unwrap_questions(spark, d):
-    return forms(spark, d).select("o_orderkey", F.coalesce(F.size(C.unwrap_questions(C.json_variant(F.col("raw")))), F.lit(-1)).alias("n"))
+    """Every question of every form, in order; a form without any is one row of nulls."""
+    rows = forms(spark, d).select("o_orderkey", F.posexplode_outer(C.unwrap_questions(C.json_variant(F.col("raw")))).alias("pos", "q"))
+    get = lambda p, t="string": F.try_variant_get("q", f"$.{p}", t)
+    return rows.select("o_orderkey", "pos", get("type").alias("type"), get("text").alias("text"), F.array_join(get("options", "array<string>"), ",").alias("options"))
 
 
 @query(
-    """select o_orderkey, case when o_orderkey % 4 = 3 then 'parse_error' else 'complete' end as status, case when o_orderkey % 4 <> 3 then case when o_orderkey % 2 = 0 then 'rating' else 'multiple_choice' end end as type, case when o_orderkey % 4 <> 3 then 'About ' || o_orderpriority end as label,
+    """select o_orderkey, unnest(case o_orderkey % 4 when 3 then [null::int] when 0 then [0::int, 1::int] else [0::int] end) as pos, case when o_orderkey % 4 = 3 then 'parse_error' else 'complete' end as status, case when o_orderkey % 4 <> 3 then case when o_orderkey % 2 = 0 then 'rating' else 'multiple_choice' end end as type, case when o_orderkey % 4 <> 3 then 'About ' || o_orderpriority end as label,
     case when o_orderkey % 4 <> 3 and o_orderkey % 2 = 0 then 7 end as max, case when o_orderkey % 4 <> 3 and o_orderkey % 2 = 0 then 'Poor' end as low, case when o_orderkey % 4 = 1 then 2 end as options from orders"""
 )
 def c8_normalize_questions(spark, d):
-    rows = C.normalize_questions(forms(spark, d), "raw").withColumn("q", F.explode(F.array(F.get("questions", F.lit(0)))))
+    """Every question of every form; a form without any is one row of nulls."""
+    rows = C.normalize_questions(forms(spark, d), "raw").select("o_orderkey", "status", F.posexplode_outer("questions").alias("pos", "q"))
     q = F.col("q")
-    return rows.select("o_orderkey", "status", q["type"].alias("type"), q["label"].alias("label"), q["max"].alias("max"), q["lowLabel"].alias("low"), F.when(q["options"].isNotNull(), F.size(q["options"])).alias("options"))
+    return rows.select("o_orderkey", "pos", "status", q["type"].alias("type"), q["label"].alias("label"), q["max"].alias("max"), q["lowLabel"].alias("low"), F.when(q["options"].isNotNull(), F.size(q["options"])).alias("options"))
 
 
 @query(
@@ -151,14 +158,18 @@ def r1_incremental_ingest(spark, d):
     return target.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("select conv_id as transcript_id, cast((k - 1) // 3 + 1 as int) as page, count(*) as cues from (select conv_id, row_number() over (partition by conv_id order by idx) as k from f_cues) group by all", ("f_cues",))
+@query(
+    """select conv_id as transcript_id, cast((k - 1) // 3 + 1 as int) as page, count(*) as cues, string_agg('[' || coalesce(speaker, '') || ']: ' || coalesce(text, ''), chr(10) order by idx) as text
+    from (select *, row_number() over (partition by conv_id order by idx) as k from f_cues) group by conv_id, (k - 1) // 3""",
+    ("f_cues",),
+)
 def r2_live_pages(spark, d):
-    """Conversations read as a stream of cues; pages equal those of the batch operator."""
+    """Conversations read as a stream of cues; every page, closed or still open, is what the stream sent."""
     from ..session import work_folder
     from ..streaming import live_pages
 
-    out = live_pages.run(spark, f"{d}/conversations.parquet", work_folder(spark, "live"))
-    return out.select("transcript_id", "page", F.col("cues").cast("long").alias("cues"))
+    out = live_pages.newest_pages(live_pages.run(spark, f"{d}/conversations.parquet", work_folder(spark, "live")))
+    return out.select("transcript_id", "page", F.col("cues").cast("long").alias("cues"), "text")
 
 
 @query("select batch_id, count(*) as total, count(*) filter (where status = 'complete') as completed, count(*) filter (where status = 'failed') as failed, case when count(*) filter (where status = 'failed') = count(*) then 'failed' when count(*) filter (where status = 'failed') > 0 then 'partial_failure' else 'complete' end as status from f_items group by batch_id", ("f_items",))

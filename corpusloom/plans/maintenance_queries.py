@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
 from ..operators import upserts as U
+from .graph_queries import chunk_id
 from .registry import query
 from .views import read, view
 
@@ -174,6 +177,12 @@ def d1_expire_outputs(spark, d):
     return M.expire_outputs(view(spark, d, "f_outputs"), AS_OF)[1]
 
 
+@query("select id, client_id, output_type from f_outputs where expires_at is null or expires_at >= timestamp '2024-01-20'", ("f_outputs",))
+def d1_outputs_left(spark, d):
+    """The rows that an expiry leaves."""
+    return M.expire_outputs(view(spark, d, "f_outputs"), AS_OF)[0].select("id", "client_id", "output_type")
+
+
 @query("select id, created_at from f_outputs where expires_at >= timestamp '2024-01-20' and output_type = 'purchase'", ("f_outputs",))
 def o2_newest_outputs(spark, d):
     return M.newest_outputs(view(spark, d, "f_outputs"), AS_OF, "purchase").select("id", "created_at")
@@ -181,20 +190,30 @@ def o2_newest_outputs(spark, d):
 
 def deletion(spark, d, nodes=False):
     docs = view(spark, d, "f_documents")
-    chunks = view(spark, d, "f_chunks").withColumn("id", F.col("document_id") * 1000 + F.col("chunk_index"))
-    evidence = read(spark, d, "events").select("event_id", ((F.col("event_id") % 1000) * 1000 + F.col("event_id") % 7).alias("chunk_id"))
+    chunks = view(spark, d, "f_chunks").withColumn("id", chunk_id())
+    evidence = read(spark, d, "events").select("event_id", ((F.col("event_id") % 1000) * (1 << 32) + F.col("event_id") % 7).alias("chunk_id"))
     keys = chunks.select(F.concat(F.lit("chunk:"), F.col("id").cast("string")).alias("node_key")) if nodes else None
     return M.delete_documents(docs.where("source_type = 'pdf'").select("id"), docs, chunks, evidence, keys)
 
 
-DELETED = "with gone as (select c.document_id * 1000 + c.chunk_index as chunk_id from f_chunks c join f_documents f on c.document_id = f.id where f.source_type = 'pdf')"
+DELETED = """with key as (select cast(document_id as bigint) * 4294967296 + chunk_index as id, source_type from f_chunks join f_documents f on document_id = f.id), gone as (select id from key where source_type = 'pdf'),
+    evidence as (select event_id, (event_id % 1000) * 4294967296 + event_id % 7 as chunk_id from events), remains as (select 'documents' as kind, cast(id as varchar) as k from f_documents where source_type <> 'pdf'
+    union all select 'chunks', cast(id as varchar) from key where source_type <> 'pdf' union all select 'evidence', cast(event_id as varchar) from evidence where chunk_id not in (select id from gone) union all select 'nodes', 'chunk:' || id from key where source_type <> 'pdf')"""
 
 
-@query(
-    DELETED + """ select 'documents' as kind, count(*) as n from f_documents where source_type <> 'pdf' union all select 'chunks', count(*) from f_chunks c join f_documents f on c.document_id = f.id where f.source_type <> 'pdf'
-    union all select 'evidence', count(*) from events where (event_id % 1000) * 1000 + event_id % 7 not in (select chunk_id from gone) union all select 'nodes', count(*) from f_chunks c join f_documents f on c.document_id = f.id where f.source_type <> 'pdf'""",
-    ("f_documents", "f_chunks"),
-)
+def remains(parts, keys):
+    """(kind, k): the keys of several tables in one."""
+    rows = [df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("k")) for (kind, key), df in zip(keys, parts, strict=True)]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query(DELETED + " select kind, k from remains", ("f_documents", "f_chunks"))
+def d2_rows_left(spark, d):
+    """Which rows a deletion leaves in each table, the graph purged as well."""
+    return remains(deletion(spark, d, True), [("documents", "id"), ("chunks", "id"), ("evidence", "event_id"), ("nodes", "node_key")])
+
+
+@query(DELETED + " select kind, count(*) as n from remains group by kind", ("f_documents", "f_chunks"))
 def d2_delete_documents(spark, d):
     """What is left of each table, the graph purged as well."""
     names = ("documents", "chunks", "evidence", "nodes")
@@ -208,6 +227,17 @@ def d3_delete_nodes(spark, d):
     return M.delete_nodes(nodes.where("status = 'archived'").select("id"), nodes, view(spark, d, "f_edges"), view(spark, d, "f_evidence"))[1].select("id")
 
 
+@query(
+    """with gone as (select id from f_nodes where status = 'archived') select 'nodes' as kind, cast(id as varchar) as k from f_nodes where id not in (select id from gone)
+    union all select 'edges', cast(id as varchar) from f_edges where src_id not in (select id from gone) and dst_id not in (select id from gone) union all select 'evidence', cast(id as varchar) from f_evidence where node_id not in (select id from gone)""",
+    ("f_nodes", "f_edges", "f_evidence"),
+)
+def d3_rows_left(spark, d):
+    """Which nodes, edges and evidence a node deletion leaves."""
+    nodes = view(spark, d, "f_nodes")
+    return remains(M.delete_nodes(nodes.where("status = 'archived'").select("id"), nodes, view(spark, d, "f_edges"), view(spark, d, "f_evidence")), [("nodes", "id"), ("edges", "id"), ("evidence", "id")])
+
+
 @query("with k as (select distinct tenant_id, client_id from f_documents), s as (select distinct tenant_id, client_id from f_documents where tenant_id <> 'de') select k.tenant_id, k.client_id, s.tenant_id is not null as deleted from k left join s on k.tenant_id = s.tenant_id and k.client_id = s.client_id", ("f_documents",))
 def d4_delete_summaries(spark, d):
     keys = view(spark, d, "f_documents").select("tenant_id", "client_id").distinct()

@@ -1,7 +1,8 @@
 """Live transcript pages: time-window pages over cues that arrive as a stream.
 
-State for each transcript is the open page: its number, its start and its cues so far. A page is sent when a cue opens
-the next one; a timer on event time closes a page that stays idle. Cues behind a page already sent go to a reject row.
+State for each transcript is the open page: its number, its start and its cues so far. A page is sent closed when a cue
+opens the next one or when it stays idle on event time, and sent open, as it stands, at the end of each batch that adds
+to it. So what was sent names every page: its fullest row counts. Cues before the open page's start go to a reject row.
 """
 
 from __future__ import annotations
@@ -13,50 +14,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "transcript_id long, page int, cues int, text string, late boolean"
-STATE = "page int, begun double, cues int, text string"
+#: When the given conversations began, 2024-01-01 UTC. Not the epoch: a stream's first watermark is, and what is not after it is dropped.
+STARTED = 1704067200
+OUT = "transcript_id long, page int, cues int, text string, state string"
+COLUMNS = ["transcript_id", "page", "cues", "text", "state"]
+CLOSED, OPEN, LATE = "closed", "open", "late"
+STATE = "page int, least double, cues int, text string, seen long"
+COLUMNS = ["transcript_id", "page", "cues", "text", "state"]
+CLOSED, OPEN, LATE = "closed", "open", "late"
 
 
 def pages_of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, seconds: float = 120.0) -> Iterator[pd.DataFrame]:
-    out: list[tuple] = []
+    """least: where the open page starts or, if none is open, the earliest start that the next one may have."""
     if state.hasTimedOut:
-        page, _, cues, text = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], page, cues, text, False)], columns=["transcript_id", "page", "cues", "text", "late"])
+        page, least, cues, text, seen = state.get
+        # Numbers go on where they were if the transcript is taken up again.
+        state.update((page + 1, least + seconds, 0, "", seen))
+        yield pd.DataFrame([(key[0], page, cues, text, CLOSED)], columns=COLUMNS)
         return
-    page, begun, cues, text = state.get if state.exists else (1, None, 0, "")
+    out: list[tuple] = []
+    page, least, cues, text, seen = state.get if state.exists else (1, float("-inf"), 0, "", 0)
     rows = pd.concat(list(frames)).sort_values(["start_s", "idx"])
     for r in rows.itertuples():
-        if begun is None:
-            begun = r.start_s
-        if r.start_s < begun:
-            out.append((key[0], page, 1, r.line, True))
+        if r.start_s < least:
+            out.append((key[0], page, 1, r.line, LATE))
             continue
-        if r.start_s - begun >= seconds and cues:
-            out.append((key[0], page, cues, text, False))
-            page, begun, cues, text = page + 1, r.start_s, 0, ""
-        cues, text = cues + 1, f"{text}\n{r.line}" if text else r.line
-    state.update((page, float(begun), cues, text))
-    state.setTimeoutTimestamp(max(int(state.getCurrentWatermarkMs()) + 1, int(1000 * (begun + seconds))))
-    yield pd.DataFrame(out, columns=["transcript_id", "page", "cues", "text", "late"])
+        if cues and r.start_s - least >= seconds:
+            out.append((key[0], page, cues, text, CLOSED))
+            page, cues, text = page + 1, 0, ""
+        if not cues:
+            least = float(r.start_s)
+        cues, text, seen = cues + 1, f"{text}\n{r.line}" if cues else r.line, max(seen, int(r.event_ms))
+    state.update((page, least, cues, text, seen))
+    if cues:
+        out.append((key[0], page, cues, text, OPEN))
+        state.setTimeoutTimestamp(max(int(state.getCurrentWatermarkMs()) + 1, seen + int(1000 * seconds)))
+    yield pd.DataFrame(out, columns=COLUMNS)
 
 
 def page_stream(cues: DataFrame, seconds: float = 120.0, lateness: str = "10 minutes") -> DataFrame:
-    """cues: a stream of transcript_id, idx, start_s, line, event_time."""
-    return cues.withWatermark("event_time", lateness).groupBy("transcript_id").applyInPandasWithState(lambda k, f, s: pages_of(k, f, s, seconds), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """cues: a stream of transcript_id, idx, start_s, line, event_time. Cues behind the watermark never get here: Spark drops
+    and counts them, so lateness has to cover how late a cue may come."""
+    rows = cues.withWatermark("event_time", lateness).withColumn("event_ms", F.unix_millis("event_time"))
+    return rows.groupBy("transcript_id").applyInPandasWithState(lambda k, f, s: pages_of(k, f, s, seconds), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def newest_pages(sent: DataFrame) -> DataFrame:
+    """(transcript_id, page, cues, text) of all rows sent: each page as it last stood."""
+    last = sent.where(F.col("state") != LATE).groupBy("transcript_id", "page").agg(F.max(F.struct("cues", "text")).alias("x"))
+    return last.select("transcript_id", "page", "x.cues", "x.text")
+
+
+def rejected(sent: DataFrame) -> DataFrame:
+    """(transcript_id, text) of the cues that came too late."""
+    return sent.where(F.col("state") == LATE).select("transcript_id", "text")
 
 
 def run(spark: SparkSession, source: str, folder: str, seconds: float = 120.0) -> DataFrame:
-    """All cues of conversations there are now, 45 s apart; pages closed by the stream, and those still open from the rest."""
+    """Rows sent for all cues of conversations there are now, 45 s apart. Run again on the same folder, it takes in new files."""
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")  # a pattern, so a table may be a file or a folder
     start = (F.col("turn") * 45).cast("double")
-    cues = stream.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("idx"), start.alias("start_s"), F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("]: "), F.coalesce("text", F.lit(""))).alias("line"), F.timestamp_seconds(start).alias("event_time"))
+    cues = stream.select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("idx"), start.alias("start_s"), F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("]: "), F.coalesce("text", F.lit(""))).alias("line"), F.timestamp_seconds(start + STARTED).alias("event_time"))
     query = page_stream(cues, seconds).writeStream.format("parquet").option("path", f"{folder}/pages").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    sent = spark.read.schema(OUT).parquet(f"{folder}/pages").where("not late")
-    # Pages still open when the stream stops: numbered by the batch operator, those not sent are added.
-    from ..operators.transcripts import window_numbers
-
-    rows = spark.read.parquet(source).select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("idx"), start.alias("start_s"))
-    still_open = window_numbers(rows, seconds).groupBy("transcript_id", "page").agg(F.count(F.lit(1)).cast("int").alias("cues")).join(sent, ["transcript_id", "page"], "left_anti")
-    return sent.select("transcript_id", "page", "cues").unionByName(still_open)
+    return spark.read.schema(OUT).parquet(f"{folder}/pages")

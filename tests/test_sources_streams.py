@@ -75,17 +75,39 @@ class State:
 @pytest.mark.parametrize("split", [1, 2, 4])
 def test_live_pages_equal_the_batch(split):
     starts = [0.0, 100.0, 130.0, 240.0, 260.0, 500.0]
-    frame = pd.DataFrame({"idx": range(6), "start_s": starts, "line": [f"l{i}" for i in range(6)]})
+    frame = pd.DataFrame({"idx": range(6), "start_s": starts, "line": [f"l{i}" for i in range(6)], "event_ms": [int(1000 * x) for x in starts]})
     state, out = State(), []
     for part in (frame[:split], frame[split:]):
         for f in live_pages.pages_of((7,), iter([part]), state):
             out += f.to_dict("records")
-    late = pd.DataFrame({"idx": [9], "start_s": [5.0], "line": ["late"]})
+    late = pd.DataFrame({"idx": [9], "start_s": [5.0], "line": ["late"], "event_ms": [5000]})
     out += [r for f in live_pages.pages_of((7,), iter([late]), state) for r in f.to_dict("records")]
     state.hasTimedOut = True
     out += [r for f in live_pages.pages_of((7,), iter([]), state) for r in f.to_dict("records")]
-    assert [(r["page"], r["cues"]) for r in out if not r["late"]] == [(1, 2), (2, 2), (3, 1), (4, 1)]
-    assert [r["text"] for r in out if r["late"]] == ["late"] and not state.exists
+    assert [(r["page"], r["cues"]) for r in out if r["state"] == "closed"] == [(1, 2), (2, 2), (3, 1), (4, 1)]
+    assert [r["text"] for r in out if r["state"] == "late"] == ["late"] and state.timer == 620000
+    state.hasTimedOut = False
+    more = pd.DataFrame({"idx": [10, 11], "start_s": [510.0, 700.0], "line": ["behind", "again"], "event_ms": [510000, 700000]})
+    out = [r for f in live_pages.pages_of((7,), iter([more]), state) for r in f.to_dict("records")]
+    assert [(r["page"], r["text"], r["state"]) for r in out] == [(5, "behind", "late"), (5, "again", "open")]
+
+
+def test_live_pages_over_files_that_arrive_one_after_another(spark, tmp_path):
+    """Pages of the stream alone equal the batch operator's; a cue that comes too late is returned, so no cue is lost."""
+    turns = [(c, t) for c in (1, 2, 3) for t in range(11 + c)]
+    late = (2, 0)
+    parts = [[x for x in turns if x[1] < 4 and x != late], [x for x in turns if 4 <= x[1] < 8], [x for x in turns if x[1] >= 8] + [late]]
+    src, folder = str(tmp_path / "cues"), str(tmp_path / "live")
+    for part in parts:
+        spark.createDataFrame([(c, t, "user" if t % 2 else None, f"said {t}") for c, t in part], "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(src)
+        sent = live_pages.run(spark, src, folder)
+    on_time = spark.read.parquet(src).where("not (conv_id = 2 and turn = 0)").select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("idx"), (F.col("turn") * 45).cast("double").alias("start_s"))
+    want = {(r["transcript_id"], r["page"]): r["count"] for r in transcripts.window_numbers(on_time).groupBy("transcript_id", "page").count().collect()}
+    got = live_pages.newest_pages(sent).collect()
+    assert {(r["transcript_id"], r["page"]): r["cues"] for r in got} == want
+    assert all(len(r["text"].split("\n")) == r["cues"] for r in got)
+    assert [(r["transcript_id"], r["text"]) for r in live_pages.rejected(sent).collect()] == [(2, "[]: said 0")]
+    assert sum(want.values()) + 1 == len(turns)
 
 
 def test_latest_status_wins(spark):
