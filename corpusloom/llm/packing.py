@@ -27,6 +27,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,8 @@ class Encoder:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         splits = [None if self.whole.search(t) else self.split(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
+            # What came first is what comes often: that half stays.
+            self.known = dict(islice(self.known.items(), KEPT_WORDS // 2))
         self.learn(list(set().union(*(s for s in splits if s)).difference(self.known)))
         for text, s in zip(texts, splits, strict=True):
             yield self.plain(text) if s is None else b"".join(map(self.known.__getitem__, s))
