@@ -3,12 +3,12 @@
 Anchors are runs of ``ANCHOR`` words that start at places of a difference cover modulo ``PERIOD``: whatever the places of
 two equal windows, some step under PERIOD puts both on cover places, and an anchor from there still lies inside the
 window. So equal windows share an aligned anchor, though only 3 of 7 places are hashed and sent. An anchor that another
-document holds is then extended to the windows around it, which are compared by 128 bits in order of documents.
+document holds is then extended to the windows around it, which are compared by 96 bits in order of documents.
 
 Both rounds combine before they shuffle: of an anchor or window that several documents of one step (a few megabytes of
-text) share, only the smallest document's is sent on, the others are settled on the spot. So a passage in a third of all
-documents sends one row a step, not one a document. Exact copies of whole texts take no part: they lose all their words
-to the copy of the smallest id.
+text) share, only the smallest document's row is open, the others are settled on the spot. So a passage in a third of all
+documents brings one open row a step to its key, not one a document; settled rows go anywhere, their key mixed with a
+hash of the document. Exact copies of whole texts take no part: they lose all their words to the copy of the smallest id.
 
 Defined cases: a null, empty or wordless text has no words; texts under ``width`` words lose nothing; rows with a null
 ``doc_id`` are kept whole and count for nothing; repeated rows of an id get equal results and do not count against each
@@ -33,7 +33,7 @@ from .vectext import mix64, text_bytes, word_hashes, word_spans
 PERIOD, COVER = 7, (1, 2, 4)
 #: Bytes of text whose anchors or windows are combined before they are sent.
 STEP = 8 << 20
-#: Rows of copies that are broadcast; more are left out by a shuffled join.
+#: Ids of documents that are broadcast, to leave texts out of a shuffle; more ids are joined by it.
 BROADCAST_ROWS = 500_000
 _KEYS = np.random.default_rng(1313).integers(0, 1 << 64, (2, 512), dtype=np.uint64) | np.uint64(1)
 
@@ -47,6 +47,19 @@ def _rolled(h: np.ndarray, width: int, which: int) -> np.ndarray:
     return mix64(out)
 
 
+def _spread(doc: np.ndarray) -> np.ndarray:
+    """Hash of ids; xor with it makes a settled row's key, and gives back the key it had."""
+    return mix64(doc.view(np.uint64) + np.uint64(PERIOD)).view(np.int64)
+
+
+def _listed(lists: pa.ListArray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.StructArray]:
+    """Where each document's keys begin, all keys as they were before settled ones were mixed, and the rows they are from."""
+    cuts, rows = lists.offsets.to_numpy(), lists.flatten()
+    cuts = cuts - cuts[0]
+    key, settled = rows.field("key").to_numpy(), rows.field("settled").to_numpy(zero_copy_only=False).astype(bool)
+    return cuts, np.where(settled, key ^ _spread(np.repeat(doc, np.diff(cuts))), key), rows
+
+
 def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, each text's first word, all bytes, starts, ends)"""
     data, offsets = text_bytes(part.column("text"))
@@ -54,12 +67,25 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return word_hashes(data, starts, ends), first, data, starts, ends
 
 
+def _named(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for each window."""
+    return _rolled(h, width, 0).view(np.int64), (_rolled(h, width, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _inside(first: np.ndarray, run: int, n: int) -> np.ndarray:
     """Whether the run that starts at each place ends in the same text."""
     left = np.repeat(first[1:], np.diff(first)) - np.arange(first[-1])
     return left[:n] >= run
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, keys: np.ndarray, mores: np.ndarray) -> np.ndarray:
+    """Whether each (a, b) is one of (keys, mores)."""
+    pair = np.dtype([("a", np.int64), ("b", np.int32)])
+    own, listed = np.empty(len(a), pair), np.empty(len(keys), pair)
+    own["a"], own["b"], listed["a"], listed["b"] = a, b, keys, mores
+    return np.isin(own, listed)
+
+
 def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     """Words joined by one space."""
     if not len(starts):
@@ -83,8 +109,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchors(width: int):
-    """(anchor, doc_id, many, settled): of an anchor that many documents of a step hold, only the first row is open."""
-    anchor, names = width - PERIOD + 1, ["h", "doc_id", "many", "settled"]
+    """(key, doc_id, many, settled): of an anchor that many documents of a step hold, only the first row is open."""
+    anchor, names = width - PERIOD + 1, ["key", "doc_id", "many", "settled"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,6 +128,7 @@ def _anchors(width: int):
                 new = new_key | np.append(True, doc[1:] != doc[:-1])[: len(key)]
                 key, doc, new_key = key[new], doc[new], new_key[new]
                 many = new_key & np.append(~new_key[1:], False)[: len(key)]
+                key = np.where(new_key, key, key ^ _spread(doc))
                 for x in range(0, len(key), 200_000):
                     cut = slice(x, x + 200_000)
                     yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(doc[cut]), pa.array(many[cut]), pa.array(~new_key[cut])], names=names)
@@ -110,8 +137,8 @@ def _anchors(width: int):
 
 
 def _windows(width: int):
-    """Windows around shared anchors: (w1, w2, doc_id, th, place, settled); of those a step holds twice, the smallest document's are open."""
-    anchor, names = width - PERIOD + 1, ["w1", "w2", "doc_id", "th", "place", "settled"]
+    """Windows around shared anchors: (key, more, doc_id, settled); of those that documents of a step share, the smallest's is open."""
+    anchor, names = width - PERIOD + 1, ["key", "more", "doc_id", "settled"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,30 +150,31 @@ def _windows(width: int):
                 row = np.repeat(np.arange(len(part)), np.diff(first))
                 place = np.arange(len(h)) - first[:-1][row]
                 hit = np.zeros(len(r) + 1, np.int64)
-                shared = part.column("shared")
-                cuts, flat = shared.offsets.to_numpy(), shared.values.to_numpy().view(np.uint64)
+                cuts, flat, _ = _listed(part.column("shared"), part.column("doc_id").to_numpy())
+                flat = flat.view(np.uint64)
                 for k, (x, y) in enumerate(zip(first[:-1], first[1:] - anchor + 1, strict=True)):
                     if y > x:
                         hit[x + 1 : y + 1] = np.isin(r[x:y], flat[cuts[k] : cuts[k + 1]]) & np.isin(place[x:y] % PERIOD, COVER)
                 hit = np.cumsum(hit)
                 at = np.flatnonzero(_inside(first, width, n) & (hit[PERIOD : n + PERIOD] > hit[:n])) if n else np.empty(0, np.int64)
-                w1, w2 = (_rolled(h, width, k)[at].view(np.int64) for k in (0, 1))
-                ids, th = part.column("doc_id").to_numpy()[row[at]], part.column("th").to_numpy()[row[at]]
-                order = np.lexsort((place[at], th, ids, w2, w1))
-                w1, w2, ids, th, at = (x[order] for x in (w1, w2, ids, th, place[at]))
-                differ = [np.append(True, x[1:] != x[:-1])[: len(x)] for x in (w1, w2, ids, th)]
+                key, more = _named(h, width)
+                key, more, ids = key[at], more[at], part.column("doc_id").to_numpy()[row[at]]
+                order = np.lexsort((ids, more, key))
+                key, more, ids = (x[order] for x in (key, more, ids))
+                differ = [np.append(True, x[1:] != x[:-1])[: len(x)] for x in (key, more, ids)]
                 new = differ[0] | differ[1]
-                once = new | differ[2] | differ[3]
                 least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
-                cols = [x[once] for x in (w1, w2, ids, th, at, ids > least)]
-                for x in range(0, len(cols[0]), 200_000):
+                once = new | differ[2]
+                key, more, ids, settled = (x[once] for x in (key, more, ids, ids > least))
+                cols = [np.where(settled, key ^ _spread(ids), key), more, ids, settled]
+                for x in range(0, len(key), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 200_000]) for c in cols], names=names)
 
     return run
 
 
 def _removed(width: int):
-    """Texts with places of windows to remove: spans of words that go, and the words that stay."""
+    """Texts with windows to remove: spans of words that go, and the words that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,11 +182,13 @@ def _removed(width: int):
                 part = batch.slice(a, z - a)
                 h, first, data, starts, ends = _words(part)
                 out = []
-                for x, y, places in zip(first[:-1], first[1:], part.column("places").to_pylist(), strict=True):
-                    key = np.empty(y - x - width + 1, [("a", np.uint64), ("b", np.uint64)])
-                    key["a"], key["b"] = _rolled(h[x:y], width, 0), _rolled(h[x:y], width, 1)
-                    _, same = np.unique(key, return_inverse=True)
-                    gone = np.isin(same, same[places])  # a window stands for its repeats in the text
+                cuts, keys, lists = _listed(part.column("names"), part.column("doc_id").to_numpy())
+                mores = lists.field("more").to_numpy()
+                key, more = _named(h, width)
+                for k, (x, y) in enumerate(zip(first[:-1], first[1:], strict=True)):
+                    listed = slice(cuts[k], cuts[k + 1])
+                    own = slice(x, max(x, y - width + 1))
+                    gone = _pairs(key[own], more[own], keys[listed], mores[listed])
                     edge = np.zeros(y - x + 1, np.int64)
                     edge[: len(gone)] += gone
                     edge[width : width + len(gone)] -= gone
@@ -174,13 +204,15 @@ def _removed(width: int):
 
 def _shared_anchors(texts: DataFrame, width: int) -> DataFrame:
     """doc_id and the anchors that it shares with another document."""
-    sent = texts.mapInArrow(_anchors(width), "h long, doc_id long, many boolean, settled boolean")
-    # settled rows go anywhere; the open ones of an anchor meet
-    dealt = sent.withColumn("at", F.when(F.col("settled"), F.xxhash64("h", "doc_id")).otherwise(F.col("h")))
-    meet = Window.partitionBy("at")
-    held = [F.when(~F.col("settled"), F.col("doc_id"))]
-    rows = dealt.withColumns({"low": F.min(held[0]).over(meet), "high": F.max(held[0]).over(meet), "more": F.max(F.col("many")).over(meet)})
-    return rows.where("settled or more or low < high").select("doc_id", "h")
+    sent = texts.mapInArrow(_anchors(width), "key long, doc_id long, many boolean, settled boolean")
+    meet, open_id = Window.partitionBy("key"), F.when(~F.col("settled"), F.col("doc_id"))
+    rows = sent.withColumns({"low": F.min(open_id).over(meet), "high": F.max(open_id).over(meet), "more": F.max("many").over(meet)})
+    return rows.where("settled or more or low < high").select("doc_id", "key", "settled")
+
+
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows of the ids: others stay out of later shuffles, if the ids are few enough to broadcast; else the join to come leaves them out."""
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_ROWS else rows
 
 
 def shared_windows(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -195,12 +227,11 @@ def shared_windows(docs: DataFrame, width: int = 13) -> DataFrame:
     copies = judged.where("copy").select("doc_id", "th").distinct()
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     own = texts.where("doc_id is not null").join(copies, ["doc_id", "th"], "left_anti")
-    shared = _shared_anchors(own, width).groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
-    sent = own.join(shared, "doc_id").select("doc_id", "th", "text", "shared").mapInArrow(_windows(width), "w1 long, w2 long, doc_id long, th long, place long, settled boolean")
-    dealt = sent.withColumn("at", F.when(F.col("settled"), F.xxhash64("doc_id", "place")).otherwise(F.col("w1")))
-    least = F.min(F.when(~F.col("settled"), F.col("doc_id"))).over(Window.partitionBy("at", "w1", "w2"))
-    gone = dealt.withColumn("least", least).where("settled or doc_id > least").groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))
-    changed = texts.join(written(gone, "places"), ["doc_id", "th"]).select("doc_id", "th", "text", "places")
+    shared = written(_shared_anchors(own, width).groupBy("doc_id").agg(F.collect_list(F.struct("key", "settled")).alias("shared")), "shared")
+    sent = _of(own, shared.select("doc_id")).join(shared, "doc_id").select("doc_id", "text", "shared").mapInArrow(_windows(width), "key long, more int, doc_id long, settled boolean")
+    least = F.min(F.when(~F.col("settled"), F.col("doc_id"))).over(Window.partitionBy("key", "more"))
+    gone = written(sent.withColumn("least", least).where("settled or doc_id > least").groupBy("doc_id").agg(F.collect_list(F.struct("key", "more", "settled")).alias("names")), "gone")
+    changed = _of(own, gone.select("doc_id")).join(gone, "doc_id").select("doc_id", "th", "text", "names")
     cut = changed.mapInArrow(_removed(width), "doc_id long, th long, n_removed long, spans array<struct<start:long,stop:long>>, sha string").dropDuplicates(["doc_id", "th"]).withColumnRenamed("sha", "cut_sha")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
     return judged.join(cut, ["doc_id", "th"], "left").select(
