@@ -42,6 +42,8 @@ SUMMARIES = Rule(("tenant_id", "client_id"), ("summary", "topics", "source_stats
 def fold_batch(batch: DataFrame, rule: Rule, seq: str = "seq") -> DataFrame:
     """One row for each key, as if the batch's rows came one after another in order of seq."""
     aggs = [F.max_by(c, seq).alias(c) for c in rule.overwrite if c in batch.columns]
+    if "_at" in batch.columns:
+        aggs += [F.min_by("_at", seq).alias("_first_at"), F.max_by("_at", seq).alias("_last_at")]
     aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in rule.keep_old if c in batch.columns]
     out = batch.groupBy(*rule.key).agg(F.count(F.lit(1)).alias("_times"), *aggs)
     for c in (c for c in rule.merge if c in batch.columns):
@@ -54,10 +56,13 @@ def fold_batch(batch: DataFrame, rule: Rule, seq: str = "seq") -> DataFrame:
     return out
 
 
-def upsert(target: DataFrame, batch: DataFrame, rule: Rule, as_of: str, seq: str = "seq") -> DataFrame:
-    """The table after the batch. Null keys are equal to null keys here; rows of other keys stay as they are."""
-    now = F.lit(as_of).cast(target.schema["updated_at"].dataType)
+def upsert(target: DataFrame, batch: DataFrame, rule: Rule, as_of: str | None, seq: str = "seq") -> DataFrame:
+    """The table after the batch. Null keys are equal to null keys here; rows of other keys stay as they are.
+
+    With as_of None each row of the batch brings its own time in ``_at``, so that one upsert does for many batches.
+    """
     new = fold_batch(batch, rule, seq)
+    first, now = (F.col("n._first_at"), F.col("n._last_at")) if as_of is None else (F.lit(as_of).cast(target.schema["updated_at"].dataType),) * 2
     t, n = target.alias("t"), new.alias("n")
     same = reduce(and_, [F.col(f"t.{k}").eqNullSafe(F.col(f"n.{k}")) for k in rule.key])
     joined = t.withColumn("_t", F.lit(True)).alias("t").join(n, same, "full")
@@ -80,7 +85,7 @@ def upsert(target: DataFrame, batch: DataFrame, rule: Rule, as_of: str, seq: str
         elif c in ("updated_at", "last_seen_at"):
             value = F.when(is_new, now).otherwise(old)
         elif c == "created_at":
-            value = F.coalesce(old, now)
+            value = F.coalesce(old, first)
         else:
             value = old
         # Nested columns stay as they are: a cast may not drop that what they hold can be null.

@@ -7,8 +7,9 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..operators import context as C
+from .ingest_queries import chunks_sql, norm_sql
 from .registry import query
-from .views import read, view
+from .views import VIEWS, read, view
 
 
 @query(
@@ -144,18 +145,25 @@ def c15_check_results(spark, d):
     return C.check_results(results, docs.select(i.alias("client_id"), "text"))
 
 
-@query("select document_id, count(*) as chunks from f_chunks group by document_id", ("f_chunks",))
+@query(
+    chunks_sql(f"select document_id, chunk_index + 1 as page, {norm_sql('content')} as text from f_chunks", 200, 30)
+    + " select c.document_id, source_type, chunk_index, c.text as content, start_page as page_start, end_page as page_end, token_count as content_tokens from chunks c join f_documents f on c.document_id = f.id",
+    ("f_chunks", "f_documents"),
+)
 def r1_incremental_ingest(spark, d):
-    """Documents read as a stream, one chunk a line, upserted by document and index: equal to the batch."""
+    """Documents read as a stream, one page a line; every chunk's text, and its document's type, as the tables hold them after it."""
     from ..session import work_folder
     from ..streaming import ingest
 
-    def chunks(docs):
-        rows = docs.select(F.col("lang").alias("tenant_id"), F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
-        return rows.where("trim(content) <> ''")
+    def prepare(batch):
+        rows = batch.sparkSession.sql(VIEWS["f_documents"][1].replace("from documents", "from {documents}"), documents=batch)
+        found = rows.select("tenant_id", "client_id", "source_uri", "source_type", F.lit(None).cast("string").alias("title"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("metadata"))
+        lines = rows.select("tenant_id", F.col("id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("page", "text"))
+        return found, lines.where("trim(text) <> ''").withColumn("page", F.col("page") + 1)
 
-    target = ingest.run(spark, f"{d}/documents.parquet", chunks, work_folder(spark, "ingest"), "2024-01-20")
-    return target.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    documents, chunks = ingest.run(spark, f"{d}/documents.parquet", prepare, work_folder(spark, "ingest"), "2024-01-20", 200, 30, buckets=16)
+    kinds = documents.select(F.col("metadata")["id"].cast("long").alias("document_id"), "source_type")
+    return chunks.join(kinds, "document_id").select("document_id", "source_type", "chunk_index", "content", "page_start", "page_end", "content_tokens")
 
 
 @query(

@@ -30,29 +30,50 @@ U1_SQL = """with new as (select n_key as k, count(*) as times, arg_max(nm, seq)
     case when old.k is not null then cast(old.k as varchar) end as p_old, cast(new.last as varchar) as p_new, case when new.k is not null then 'new' else 'old' end as p_both, new.k is not null as touched from old full join new on old.k = new.k"""
 
 
-@query(U1_SQL)
-def u1_upsert_nodes(spark, d):
-    """The old table's nodes are even or divisible by three, the batch repeats keys."""
+def node_tables(spark, d):
+    """(old nodes, batch of new ones with seq): the old table's nodes are even or divisible by three, the batch repeats keys."""
     e = read(spark, d, "embeddings")
     base = lambda df, name, p: df.select(F.lit("t0").alias("tenant_id"), F.lit(None).cast("string").alias("client_id"), F.col("k").cast("string").alias("node_key"), F.lit("Chunk").alias("type"), name.alias("name"), F.lit(None).cast("string").alias("description"), F.lit("active").alias("status"), p.alias("properties"), "seq")
     target = base(e.where("vec_id % 2 = 0 or vec_id % 3 = 0").withColumns({"k": F.col("vec_id"), "seq": F.lit(0)}), F.concat(F.lit("old "), F.col("k").cast("string")), props(("old", F.col("k")), ("both", F.lit("old")))).drop("seq")
     target = clock(target).withColumns({"embedding": F.lit(None).cast("array<float>"), "seen_count": F.lit(1).cast("long"), "last_seen_at": F.col("updated_at")})
     batch = base(e.where("vec_id % 2 = 1").withColumns({"k": F.col("vec_id") % 400, "seq": F.col("vec_id")}), F.concat(F.lit("new "), F.col("seq").cast("string")), props(("new", F.col("seq")), ("both", F.lit("new"))))
-    out = U.upsert(target, batch, U.NODES, AS_OF)
+    return target, batch
+
+
+def node_rows(out):
     p = F.col("properties")
     return out.select("node_key", "name", "seen_count", p["old"].alias("p_old"), p["new"].alias("p_new"), p["both"].alias("p_both"), (F.col("updated_at") == F.lit(AS_OF).cast("timestamp_ntz")).alias("touched"))
 
 
+@query(U1_SQL)
+def u1_upsert_nodes(spark, d):
+    target, batch = node_tables(spark, d)
+    return node_rows(U.upsert(target, batch, U.NODES, AS_OF))
+
+
 @query(U1_SQL)
 def s10_published_nodes(spark, d):
-    """The old nodes published as a version, the merged ones as the next, which is read."""
+    """The old nodes in a table of buckets; two writers that start from the same version upsert half of the batch each, one
+    compacts while the other commits, and what is read is what one upsert of the whole batch gives."""
     from ..session import work_folder
-    from ..sources.readers import current, publish
+    from ..sources.tables import BucketTable, Conflict
 
+    target, batch = node_tables(spark, d)
+    batch = batch.withColumn("embedding", F.lit(None).cast("array<float>"))
     folder = work_folder(spark, "nodes")
-    publish(u1_upsert_nodes(spark, d).where("false"), folder)
-    publish(u1_upsert_nodes(spark, d), folder)
-    return current(spark, folder)
+    one, other = (BucketTable(spark, folder, U.NODES, target.schema, buckets=16) for _ in range(2))
+    one.load(target)
+    one.append(batch.where("seq % 4 = 1"), AS_OF, "halves", 0)
+    staged = one.staged_compaction({0, 1, 2, 3})
+    other.append(batch.where("seq % 4 = 3"), AS_OF, "halves", 1)
+    other.append(batch.where("seq % 4 = 3"), AS_OF, "halves", 1)  # repeated by its writer: counts once
+    other.compact({3, 4})
+    try:
+        staged()
+    except Conflict:  # bucket 3 was merged by the other writer
+        one.compact({0, 1, 2, 3})
+    one.vacuum(keep=1, hours=0)
+    return node_rows(one.read())
 
 
 @query(

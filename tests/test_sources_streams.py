@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import pages, transcripts
 from corpusloom.sources import readers
-from corpusloom.streaming import ingest, live_pages, live_status
+from corpusloom.streaming import live_pages, live_status
 
 
 def test_scraped_sites(spark, tmp_path):
@@ -37,18 +37,6 @@ def test_outputs_get_an_expiry(spark, tmp_path):
     assert got.count() == 4 and str(got.first()["expires_at"])[:10] == "2024-01-27"
 
 
-def test_incremental_ingest_over_two_files(spark, tmp_path):
-    src = tmp_path / "docs"
-    rows = lambda v: spark.createDataFrame([(1, "t", f"{v} a\n{v} b"), (2, "t", f"{v} c")] if v == "v1" else [(1, "t", "v2 a")], "document_id long, tenant_id string, text string")
-    chunk = lambda d: d.select("tenant_id", "document_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
-    rows("v1").coalesce(1).write.parquet(str(src))
-    folder = str(tmp_path / "target")
-    assert ingest.run(spark, str(src), chunk, folder, "2024-01-01").count() == 3
-    rows("v2").coalesce(1).write.mode("append").parquet(str(src))
-    got = ingest.run(spark, str(src), chunk, folder, "2024-01-02")
-    assert sorted((r["document_id"], r["chunk_index"], r["content"]) for r in got.collect()) == [(1, 0, "v2 a"), (1, 1, "v1 b"), (2, 0, "v1 c")]
-
-
 class State:
     """The part of a group's state that the page function uses."""
 
