@@ -61,7 +61,7 @@ def route_sources(sources: DataFrame, existing: DataFrame) -> tuple[DataFrame, D
 
 
 def valid_embeddings(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:
-    """df with is_valid; an embedding given as text "[0.1,...]" is decoded."""
+    """df with is_valid: of the given length, all components finite. An embedding given as text "[0.1,...]" is decoded."""
     if dict(df.dtypes)[col] == "string":
         df = df.withColumn(col, F.from_json(col, "array<double>"))
-    return df.withColumn("is_valid", F.coalesce((F.size(col) == dim) & ~F.exists(col, lambda x: x.isNull()), F.lit(False)))
+    return df.withColumn("is_valid", F.coalesce((F.size(col) == dim) & ~F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)))

@@ -3,6 +3,7 @@
 import re
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,3 +271,78 @@ def test_numbers_and_booleans_of_answers(spark):
     typed = spark.createDataFrame([(True, 2.0, 0), (False, 0.0, 7), (None, None, None)], "b boolean, x double, n int")
     out = [tuple(r) for r in typed.select(stats.to_double(F.col("b")), stats.to_double(F.col("x")), stats.to_bool(F.col("b")), stats.to_bool(F.col("x")), stats.to_bool(F.col("n"))).collect()]
     assert out == [(1.0, 2.0, True, True, False), (0.0, 0.0, False, False, True), (None,) * 5]
+
+
+def plain_edges(vectors, threshold, most):
+    """Edges by comparing all with all; vectors: id -> array of finite numbers."""
+    ids = sorted(vectors)
+    unit = {i: np.asarray(vectors[i]) / (np.linalg.norm(vectors[i]) or 1.0) for i in ids}
+    out = {}
+    for i in ids:
+        w = sorted(((-float(unit[i] @ unit[j]), j) for j in ids if j != i and unit[i] @ unit[j] >= threshold))
+        out.update({(i, j): -x for x, j in w[:most]})
+    return out
+
+
+def edge_rows(df):
+    return {(r["src_id"], r["dst_id"]): r["weight"] for r in df.collect()}
+
+
+def vector_rows(n=300, d=6, seed=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(9, d))
+    return {i: centres[i % 9] + 0.35 * rng.normal(size=d) for i in range(n)}
+
+
+def frame_of(spark, vectors):
+    return spark.createDataFrame([(i, "t", None if v is None else [None if x is None else float(x) for x in v]) for i, v in vectors.items()], "id long, tenant_id string, embedding array<double>")
+
+
+@pytest.mark.parametrize("held", [20, 40, 100])
+@pytest.mark.parametrize("threshold", [-1.0, 0.2, 0.8])
+def test_edges_with_pivots_and_bad_vectors(spark, monkeypatch, held, threshold):
+    """Vectors that are no numbers, infinite, null or of another length lose no other's edge; the pivots' tree changes nothing."""
+    monkeypatch.setattr(graph, "HELD", held)
+    monkeypatch.setattr(graph, "ANGLE_BYTES", 2048)
+    monkeypatch.setattr(graph, "SENT", 37)
+    good = vector_rows() | {900: np.zeros(6), 901: np.full(6, 1e200), 902: np.full(6, 1e-200)}
+    nan, inf = float("nan"), float("inf")
+    bad = {1000: [nan] * 6, 1001: [inf, 0, 0, 0, 0, 0], 1002: [-inf] * 6, 1003: [1.0, 2.0], 1004: None, 1005: [None] * 6}
+    frame = frame_of(spark, good | bad)
+    scaled = good | {901: np.ones(6), 902: np.ones(6)}
+    got, want = edge_rows(graph.similarity_edges(frame, threshold, 10)), plain_edges(scaled, threshold, 10)
+    assert len(got) == len(want)
+    if threshold > 0:
+        assert got == pytest.approx(want)
+    why = {r["id"]: r["reject_reason"] for r in graph.rejected_vectors(frame).collect()}
+    assert set(why) == set(bad) and why[1003] == "another length" and why[1004] == "no vector" and why[1000] == why[1001] == "null or non-finite component"
+
+
+def test_the_tree_bounds_what_a_step_holds():
+    """1e8 sources: their pivots, centres and one block of angles, by the same code as in a task."""
+    n, d = 100_000_000, 64
+    pivots = np.random.default_rng(1).normal(size=(n // graph.HELD, d))
+    tree = graph.Tree(pivots / np.linalg.norm(pivots, axis=1, keepdims=True))
+    block = next(iter(tree.blocks(10_000)))
+    assert (block.stop - block.start) * max(len(tree.centres), int(np.diff(tree.first).max())) * 8 <= graph.ANGLE_BYTES
+    assert tree.pivots.nbytes < 2 << 20 and len(tree.centres) < 120 and sorted(tree.pivots[:, 0]) == sorted(pivots[:, 0] / np.linalg.norm(pivots, axis=1))
+
+
+def test_extended_edges_equal_a_full_build(spark):
+    good = vector_rows(120)
+    want = plain_edges(good, 0.3, 5)
+    parts = [{i: v for i, v in good.items() if i % 3 == k} for k in range(3)]
+    so_far, edges = parts[0], graph.similarity_edges(frame_of(spark, parts[0]), 0.3, 5)
+    for p in parts[1:]:
+        edges = graph.extend_edges(frame_of(spark, so_far), edges, frame_of(spark, p), 0.3, 5)
+        so_far = so_far | p
+    assert edge_rows(edges) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("threshold", [-0.5, 0.0, 0.6, 0.99, 1.0])
+def test_theta_pairs(spark, threshold):
+    good = vector_rows(60) | {900: np.zeros(6), 901: vector_rows(1)[0] * 3}
+    bad = {1000: [float("nan")] * 6, 1001: [1.0], 1002: None}
+    got = edge_rows(graph.theta_pairs(frame_of(spark, good | bad), threshold - 1e-9, 2))
+    assert got == pytest.approx(plain_edges(good, threshold - 1e-9, 10_000), abs=1e-9)
+    assert graph.theta_pairs(frame_of(spark, {1: None}), 0.5).count() == 0
