@@ -8,12 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences
+
 #: What each profile style shows, as (label, field, behind it).
 PROFILE_STYLES = {
     "strategic": ("Company / Client Profile:\n", [("Industry", "industry", ""), ("Headcount", "headcount", ""), ("Target age range", "demographic.age_range", ""), ("Income bracket", "demographic.income_bracket", ""), ("Occupation", "demographic.occupation", ""), ("Location", "demographic.location", "")], "\n"),
     "survey": ("\n\nOrganization profile:\n", [("Industry", "industry", ""), ("Headcount", "headcount", " employees"), ("Revenue", "revenue", ""), ("Company", "company_name", ""), ("Target persona", "persona", ""), ("Respondent age range", "demographic.age_range", ""), ("Income bracket", "demographic.income_bracket", ""), ("Respondent occupation", "demographic.occupation", ""), ("Location", "demographic.location", "")], ""),
 }
 UUID = r"(?i)^\{?(urn:uuid:)?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
+#: Fixed value: a fenced block in a model's answer.
 FENCE = r"```(?:json)?\s*([\s\S]*?)```"
 
 
@@ -154,21 +157,33 @@ def type_instructions(types: Column, instructions: dict[str, str]) -> Column:
     return F.array_join(F.array_compact(F.transform(types, lambda t: F.element_at(known, t))), "\n")
 
 
-#: Result fields and their defaults, by kind.
+#: Result fields by kind, and the values that some of them may take.
 RESULT_SCHEMAS = {
-    "strategic": "executive_summary string, convergent_themes array<string>, action_points array<struct<action:string,priority:string,evidence:string>>, future_recommendations array<string>",
-    "sentiment": "overall_sentiment struct<positive:double,negative:double,neutral:double>, dominant_sentiment string, themes array<string>, notable_quotes array<string>, summary string",
-    "insights": "summary string, actionable_insights array<struct<insight:string,category:string,priority:string,source_quote:string>>",
+    "strategic": "executive_summary string, convergent_themes array<string>, action_points array<struct<title:string,description:string,priority:string,evidence:array<string>>>, future_recommendations array<string>",
+    "sentiment": "overall_sentiment struct<positive:double,negative:double,neutral:double>, dominant_sentiment string, themes array<struct<theme:string,sentiment:string,confidence:double,description:string>>, notable_quotes array<struct<quote:string,sentiment:string,theme:string>>, summary string",
+    "insights": "summary string, actionable_insights array<struct<title:string,description:string,category:string,source_quote:string,priority:string>>",
 }
+SENTIMENTS = ["positive", "negative", "neutral"]
+PRIORITIES = ["high", "medium", "low"]
+CATEGORIES = ["feature_request", "pain_point", "improvement", "workflow", "ux", "other"]
+QUESTION_TYPES = ["multiple_choice", "checkbox", "short_text", "long_text", "rating", "yes_no", "nps", "ranking", "card_sort"]
+QUESTION_FORM = "id string, type string, label string, required boolean, options array<string>, items array<string>, categories array<string>, min int, max int, lowLabel string, highLabel string"
 
 
 def project_result(df: DataFrame, col: str, kind: str) -> DataFrame:
-    """df with the result's fields: from JSON in col (fenced or not), defaults where missing, the raw text as summary if there is none."""
+    """df with the result's fields: from JSON in col (fenced or not), defaults where missing, the raw text as summary if there is none.
+
+    An insight without a priority is of medium priority, an action point without evidence has an empty list.
+    """
     schema, raw = RESULT_SCHEMAS[kind], F.col(col)
     text = json_text(raw)
     parsed = F.from_json(text, schema)
     summary = "executive_summary" if kind == "strategic" else "summary"
     thirds = F.struct(F.lit(0.33).alias("positive"), F.lit(0.33).alias("negative"), F.lit(0.34).alias("neutral"))
+    given = {
+        "actionable_insights": lambda x: x.withField("priority", F.coalesce(x["priority"], F.lit("medium"))),
+        "action_points": lambda x: x.withField("evidence", F.coalesce(x["evidence"], F.array().cast("array<string>"))),
+    }
     out = {}
     for name, kind_of in [(f.name, f.dataType) for f in _fields(schema)]:
         value = parsed[name]
@@ -179,6 +194,7 @@ def project_result(df: DataFrame, col: str, kind: str) -> DataFrame:
         elif name == "overall_sentiment":
             out[name] = F.when(text.isNull(), thirds).otherwise(value)
         else:
+            value = F.transform(value, given[name]) if name in given else value
             out[name] = F.coalesce(value, F.array().cast(kind_of))
     return df.withColumns(out)
 
@@ -189,19 +205,70 @@ def _fields(schema: str) -> list:
     return StructType.fromDDL(schema).fields
 
 
-def check_results(results: DataFrame, texts: DataFrame) -> DataFrame:
-    """(client_id, violation) of sentiment results: fractions that do not sum to 1, a dominant label that is not the largest
-    fraction, 3 to 8 themes, 3 to 6 quotes, and quotes that the client's transcript text does not hold.
+def _violations(rows: DataFrame, key: str, tests: dict[str, Column]) -> DataFrame:
+    found = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests.items()]))
+    return rows.select(key, F.explode(found).alias("violation"))
+
+
+def _any(col: str, field: str, bad: Callable[[Column], Column]) -> Column:
+    """Whether some element's field is bad, or null."""
+    return F.exists(col, lambda x: F.coalesce(bad(x[field]), F.lit(True)))
+
+
+def check_results(results: DataFrame, texts: DataFrame, kind: str = "sentiment") -> DataFrame:
+    """(client_id, violation) of the results that ``project_result`` gives, against the texts that they were made from.
 
-    results: client_id and the sentiment fields; texts: client_id, text.
+    sentiment: fractions sum to 1, the dominant label is the largest fraction, 3 to 8 themes, 3 to 6 quotes that the text
+    holds word for word, confidences between 0 and 1, known sentiments. insights: 3 to 10 insights of a known category and
+    priority, quotes, where given, that the text holds, a summary of 3 to 6 sentences. strategic: known priorities.
+
+    results: client_id and the kind's fields; texts: client_id, text. A missing value breaks the rule that needs it.
     """
+    rows = results.join(texts, "client_id", "left")
+    holds = lambda q: F.coalesce(F.col("text").contains(q), F.lit(False))
+    if kind == "insights":
+        return _violations(rows, "client_id", {
+            "insights not 3 to 10": ~F.size("actionable_insights").between(3, 10),
+            "unknown category": _any("actionable_insights", "category", lambda c: ~c.isin(CATEGORIES)),
+            "unknown priority": _any("actionable_insights", "priority", lambda p: ~p.isin(PRIORITIES)),
+            "quote not in the transcript": F.exists("actionable_insights", lambda x: x["source_quote"].isNotNull() & ~holds(x["source_quote"])),
+            "summary not 3 to 6 sentences": ~F.size(sentences(F.col("summary"))).between(3, 6),
+        })
+    if kind == "strategic":
+        return _violations(rows, "client_id", {"unknown priority": _any("action_points", "priority", lambda p: ~p.isin(PRIORITIES))})
     s = F.col("overall_sentiment")
-    best = F.greatest(s["positive"], s["negative"], s["neutral"])
-    dominant = F.when(F.col("dominant_sentiment") == "positive", s["positive"]).when(F.col("dominant_sentiment") == "negative", s["negative"]).otherwise(s["neutral"])
-    tests = {
+    best = F.greatest(*[s[x] for x in SENTIMENTS])
+    dominant = F.coalesce(*[F.when(F.col("dominant_sentiment") == x, s[x]) for x in SENTIMENTS])
+    return _violations(rows, "client_id", {
         "fractions do not sum to 1": F.abs(s["positive"] + s["negative"] + s["neutral"] - 1) > 1e-6, "dominant is not the largest": dominant < best,
         "themes not 3 to 8": ~F.size("themes").between(3, 8), "quotes not 3 to 6": ~F.size("notable_quotes").between(3, 6),
-        "quote not in the transcript": F.exists("notable_quotes", lambda q: ~F.coalesce(F.col("text").contains(q), F.lit(False))),
-    }
-    rows = results.join(texts, "client_id", "left")
-    return rows.select("client_id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))).alias("violation"))
+        "quote not in the transcript": _any("notable_quotes", "quote", lambda q: ~holds(q)),
+        "confidence not between 0 and 1": _any("themes", "confidence", lambda c: ~c.between(0.0, 1.0)),
+        "unknown sentiment": _any("themes", "sentiment", lambda x: ~x.isin([*SENTIMENTS, "mixed"])) | _any("notable_quotes", "sentiment", lambda x: ~x.isin(SENTIMENTS)),
+    })
+
+
+def check_questions(questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """(question_id, violation) of form questions, given as JSON in ``question``: what each type of question needs and may have.
+
+    A choice has 3 to 6 options, a ranking 3 to 6 items, a card sort 3 to 6 items and 2 to 4 categories with ids of their
+    own, a rating whole bounds in order and both labels; the other types have none of these. Ids are UUIDs of version 4.
+    """
+    q = F.from_json("question", QUESTION_FORM)
+    rows = questions.select(key, q.alias("q"))
+    kind = F.col("q.type")
+    of = lambda *types: F.coalesce(kind.isin(*types), F.lit(False))
+    count = lambda c: F.when(F.col(f"q.{c}").isNull(), 0).otherwise(F.size(f"q.{c}"))
+    part_ids = F.transform(F.concat(*[F.coalesce(f"q.{c}", F.array().cast("array<string>")) for c in ("items", "categories")]), lambda x: F.get_json_object(x, "$.id"))
+    version4 = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    given = F.col("q.min").isNotNull() | F.col("q.max").isNotNull() | F.col("q.lowLabel").isNotNull() | F.col("q.highLabel").isNotNull()
+    return _violations(rows, key, {
+        "unknown type": ~kind.isin(QUESTION_TYPES), "no label": F.trim("q.label") == "", "required is not a boolean": F.col("q.required").isNull(),
+        "id is not a UUID of version 4": ~F.col("q.id").rlike(version4),
+        "options not 3 to 6": of("multiple_choice", "checkbox") & ~count("options").between(3, 6),
+        "items not 3 to 6": of("ranking", "card_sort") & ~count("items").between(3, 6),
+        "categories not 2 to 4": of("card_sort") & ~count("categories").between(2, 4),
+        "card ids not unique UUIDs": of("card_sort") & (F.exists(part_ids, lambda i: F.coalesce(~i.rlike(version4), F.lit(True))) | (F.size(F.array_distinct(part_ids)) < F.size(part_ids))),
+        "rating bounds or labels missing": of("rating") & F.coalesce(~((F.col("q.min") < F.col("q.max")) & F.col("q.lowLabel").isNotNull() & F.col("q.highLabel").isNotNull()), F.lit(True)),
+        "fields of another type": ((count("options") > 0) & ~of("multiple_choice", "checkbox")) | ((count("items") > 0) & ~of("ranking", "card_sort")) | ((count("categories") > 0) & ~of("card_sort")) | (given & ~of("rating")),
+    })

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import context as C
@@ -125,24 +127,88 @@ def c13_type_instructions(spark, d):
     return e.select("event_id", C.type_instructions(t, {"purchase": "buy", "signup": "sign"}).alias("text"))
 
 
-@query("select event_id, case when event_id % 3 = 2 then 'no JSON: ' || event_type else '' end as summary, 'neutral' as dominant_sentiment, 0 as themes, case when event_id % 3 = 2 then 0.34::double end as neutral from events")
+QUOTE = "substring(coalesce(text, ''), 5, 60)"
+
+
+def answers(spark, d):
+    """(doc_id, kind, raw): answers in the form that the prompts ask for, plain, fenced, as text without JSON, and with fields missing."""
+    docs = read(spark, d, "documents").withColumn("quote", F.expr(QUOTE))
+    s = lambda **fields: F.struct(*[(v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in fields.items()])
+    n = F.col("doc_id").cast("string")
+    full = {
+        "sentiment": s(overall_sentiment=s(positive=0.5, negative=0.25, neutral=0.25), dominant_sentiment="positive", themes=F.array(s(theme=F.col("lang"), sentiment="mixed", confidence=0.85, description=F.col("source")), s(theme="second", sentiment="neutral", confidence=0.5, description="d")), notable_quotes=F.array(s(quote=F.col("quote"), sentiment="neutral", theme=F.col("lang"))), summary=F.concat(F.lit("Summary of "), n)),
+        "insights": s(summary=F.concat(F.lit("Insights of "), n), actionable_insights=F.array(s(title=F.concat(F.lit("Title "), n), description=F.col("source"), category="ux", source_quote=F.col("quote"), priority="high"))),
+        "strategic": s(executive_summary=F.concat(F.lit("Plan of "), n), convergent_themes=F.array(F.col("lang"), F.col("source")), action_points=F.array(s(title=F.concat(F.lit("Do "), n), description=F.col("quote"), priority="low", evidence=F.array(F.col("source"), F.lit("doc")))), future_recommendations=F.array(F.lit("next"))),
+    }
+    bare = {"sentiment": '{"dominant_sentiment": "negative"}', "insights": '{"actionable_insights": [{"title": "T"}]}', "strategic": '{"action_points": [{"title": "T"}]}'}
+    k, out = F.col("doc_id") % 4, []
+    for kind, fields in full.items():
+        body = F.to_json(fields)
+        raw = F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\n"))).when(k == 2, F.concat(F.lit("No JSON for "), n)).otherwise(F.lit(bare[kind]))
+        out.append(docs.select("doc_id", F.lit(kind).alias("kind"), raw.alias("raw")))
+    return out
+
+
+@query(
+    f"""with d as (select doc_id, doc_id % 4 as k, lang, source, {QUOTE} as quote, cast(doc_id as varchar) as n from documents)
+    select doc_id, 'sentiment' as kind, case when k < 2 then 'Summary of ' || n when k = 2 then 'No JSON for ' || n else '' end as summary,
+      case when k < 2 then 'positive;0.5,0.25,0.25;' || lang || '/mixed/0.85/' || source || '|second/neutral/0.5/d;' || quote || '/neutral/' || lang when k = 2 then 'neutral;0.33,0.33,0.34;;' else 'negative;-;;' end as body from d
+    union all select doc_id, 'insights', case when k < 2 then 'Insights of ' || n when k = 2 then 'No JSON for ' || n else '' end, case when k < 2 then 'Title ' || n || '/' || source || '/ux/' || quote || '/high' when k = 2 then '' else 'T/-/-/-/medium' end from d
+    union all select doc_id, 'strategic', case when k < 2 then 'Plan of ' || n when k = 2 then 'No JSON for ' || n else '' end, case when k < 2 then lang || ',' || source || ';Do ' || n || '/' || quote || '/low/' || source || '+doc;next' when k = 2 then ';;' else ';T/-/-/;' end from d"""
+)
 def c14_project_result(spark, d):
-    rows = C.project_result(raw_outputs(spark, d), "raw", "sentiment")
-    return rows.select("event_id", "summary", "dominant_sentiment", F.size("themes").alias("themes"), F.col("overall_sentiment.neutral").alias("neutral"))
+    """All fields of the three kinds of results, each as one line of text."""
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    line = lambda *fields: lambda x: F.concat_ws("/", *[text(x[f]) for f in fields])
+    each = lambda col, *fields: F.array_join(F.transform(col, line(*fields)), "|")
+    sentiment, insights, strategic = (C.project_result(rows, "raw", kind) for rows, kind in zip(answers(spark, d), ("sentiment", "insights", "strategic"), strict=True))
+    s = F.col("overall_sentiment")
+    shares = F.when(s.isNull(), "-").otherwise(F.concat_ws(",", s["positive"], s["negative"], s["neutral"]))
+    points = F.array_join(F.transform("action_points", lambda x: F.concat_ws("/", text(x["title"]), text(x["description"]), text(x["priority"]), F.array_join(x["evidence"], "+"))), "|")
+    parts = [
+        sentiment.select("doc_id", "kind", "summary", F.concat_ws(";", "dominant_sentiment", shares, each("themes", "theme", "sentiment", "confidence", "description"), each("notable_quotes", "quote", "sentiment", "theme")).alias("body")),
+        insights.select("doc_id", "kind", "summary", each("actionable_insights", "title", "description", "category", "source_quote", "priority").alias("body")),
+        strategic.select("doc_id", "kind", F.col("executive_summary").alias("summary"), F.concat_ws(";", F.array_join("convergent_themes", ","), points, F.array_join("future_recommendations", ",")).alias("body")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
-    """select doc_id as client_id, unnest(list_filter([case when doc_id % 2 = 0 then 'fractions do not sum to 1' end, case when doc_id % 3 = 0 then 'dominant is not the largest' end, case when doc_id % 5 = 0 then 'themes not 3 to 8' end, case when doc_id % 7 = 0 then 'quote not in the transcript' end], lambda x: x is not null)) as violation from documents where length(text) > 0"""
+    """with d as (select doc_id as i from documents where length(text) > 64)
+    select i as client_id, unnest(list_filter([case when i % 2 = 0 then 'fractions do not sum to 1' end, case when i % 3 = 0 then 'dominant is not the largest' end, case when i % 5 = 0 then 'themes not 3 to 8' end, case when i % 7 = 0 then 'quote not in the transcript' end, case when i % 11 = 0 then 'confidence not between 0 and 1' end, case when i % 13 = 0 then 'unknown sentiment' end], lambda x: x is not null)) as violation, 'sentiment' as kind from d
+    union all select i, unnest(list_filter([case when i % 2 = 0 then 'insights not 3 to 10' end, case when i % 3 = 0 then 'unknown category' end, case when i % 5 = 0 then 'unknown priority' end, case when i % 7 = 0 then 'quote not in the transcript' end, case when i % 11 = 0 then 'summary not 3 to 6 sentences' end], lambda x: x is not null)), 'insights' from d"""
 )
 def c15_check_results(spark, d):
-    docs = read(spark, d, "documents").where("length(text) > 0")
+    """Results with real quotes of 60 characters, each rule broken for some documents."""
+    docs = read(spark, d, "documents").where("length(text) > 64").withColumn("quote", F.expr(QUOTE))
     i = F.col("doc_id")
-    s = F.struct(F.when(i % 2 == 0, 0.6).otherwise(0.5).alias("positive"), F.lit(0.25).alias("negative"), F.lit(0.25).alias("neutral"))
-    quote = F.substring("text", 1, 12)
-    quotes = F.array(quote, quote, F.when(i % 7 == 0, "~never~").otherwise(quote))
-    themes = F.when(i % 5 == 0, F.array(F.lit("a"))).otherwise(F.array(*map(F.lit, "abc")))
-    results = docs.select(i.alias("client_id"), s.alias("overall_sentiment"), F.when(i % 3 == 0, "negative").otherwise("positive").alias("dominant_sentiment"), themes.alias("themes"), quotes.alias("notable_quotes"))
-    return C.check_results(results, docs.select(i.alias("client_id"), "text"))
+    s = lambda **fields: F.struct(*[(v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in fields.items()])
+    quote = lambda q: s(quote=q, sentiment=F.when(i % 13 == 0, "furious").otherwise("neutral"), theme=F.lit(None).cast("string"))
+    theme = s(theme="t", sentiment="mixed", confidence=F.when(i % 11 == 0, 1.5).otherwise(0.5), description="d")
+    told = docs.select(
+        i.alias("client_id"), s(positive=F.when(i % 2 == 0, 0.6).otherwise(0.5), negative=0.25, neutral=0.25).alias("overall_sentiment"), F.when(i % 3 == 0, "negative").otherwise("positive").alias("dominant_sentiment"),
+        F.when(i % 5 == 0, F.array(theme)).otherwise(F.array(theme, theme, theme)).alias("themes"), F.array(quote(F.col("quote")), quote(F.col("quote")), quote(F.when(i % 7 == 0, "~never~").otherwise(F.col("quote")))).alias("notable_quotes"),
+    )
+    insight = s(title="t", description="d", category=F.when(i % 3 == 0, "wish").otherwise("ux"), source_quote=F.when(i % 7 == 0, "~never~").otherwise(F.col("quote")), priority=F.when(i % 5 == 0, "urgent").otherwise("low"))
+    summary = F.when(i % 11 == 0, "One. Two.").otherwise("One. Two. Three.")
+    found = docs.select(i.alias("client_id"), summary.alias("summary"), F.when(i % 2 == 0, F.array(insight, insight)).otherwise(F.array(insight, insight, insight)).alias("actionable_insights"))
+    texts = docs.select(i.alias("client_id"), "text")
+    return C.check_results(told, texts).withColumn("kind", F.lit("sentiment")).unionByName(C.check_results(found, texts, "insights").withColumn("kind", F.lit("insights")))
+
+
+@query(
+    """with o as (select o_orderkey as i from orders)
+    select i as question_id, unnest(list_filter([case when i % 5 = 0 then 'unknown type' end, case when i % 7 = 0 then 'no label' end, case when i % 3 = 0 then 'id is not a UUID of version 4' end, case when i % 5 <> 0 and i % 2 = 0 then 'options not 3 to 6' end,
+      case when i % 5 = 0 then 'fields of another type' end], lambda x: x is not null)) as violation from o"""
+)
+def c15_check_questions(spark, d):
+    """Choice questions made of orders: types, labels, ids and numbers of options out of order for some."""
+    i = F.col("o_orderkey")
+    version = F.when(i % 3 == 0, "1").otherwise("4")
+    uuid = F.concat(F.lit("00000000-0000-"), version, F.lit("000-8000-"), F.lpad(i.cast("string"), 12, "0"))
+    options = F.when(i % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    q = F.struct(uuid.alias("id"), F.when(i % 5 == 0, "essay").otherwise("checkbox").alias("type"), F.when(i % 7 == 0, " ").otherwise("Which?").alias("label"), F.lit(True).alias("required"), options.alias("options"))
+    return C.check_questions(read(spark, d, "orders").select(i.alias("question_id"), F.to_json(q).alias("question")))
 
 
 @query(

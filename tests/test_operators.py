@@ -1,5 +1,6 @@
 """Goldens worked out by hand, and plain-Python versions of the stateful folds."""
 
+import json
 import re
 import statistics
 
@@ -346,3 +347,50 @@ def test_theta_pairs(spark, threshold):
     got = edge_rows(graph.theta_pairs(frame_of(spark, good | bad), threshold - 1e-9, 2))
     assert got == pytest.approx(plain_edges(good, threshold - 1e-9, 10_000), abs=1e-9)
     assert graph.theta_pairs(frame_of(spark, {1: None}), 0.5).count() == 0
+
+
+def test_form_questions_by_type(spark):
+    ident = lambda k: f"00000000-0000-4000-8000-{k:012d}"
+    base = {"id": ident(0), "label": "L?", "required": False}
+    cards = lambda n, k: [{"id": ident(k + i), "label": "c"} for i in range(n)]
+    cases = [
+        ({"type": "card_sort", "items": cards(3, 1), "categories": cards(2, 50)}, set()),
+        ({"type": "card_sort", "items": cards(3, 1), "categories": cards(5, 1)}, {"categories not 2 to 4", "card ids not unique UUIDs"}),
+        ({"type": "card_sort", "items": ["a", "b", "c"], "categories": cards(2, 50)}, {"card ids not unique UUIDs"}),
+        ({"type": "ranking", "items": ["a", "b", "c"]}, set()),
+        ({"type": "ranking", "options": ["a", "b", "c"]}, {"items not 3 to 6", "fields of another type"}),
+        ({"type": "rating", "min": 1, "max": 5, "lowLabel": "l", "highLabel": "h"}, set()),
+        ({"type": "rating", "min": 5, "max": 1, "lowLabel": "l"}, {"rating bounds or labels missing"}),
+        ({"type": "nps"}, set()),
+        ({"type": "nps", "min": 0}, {"fields of another type"}),
+        ({"type": "yes_no", "required": None}, {"required is not a boolean"}),
+        ({"type": "multiple_choice", "options": list("abcdefg")}, {"options not 3 to 6"}),
+    ]
+    frame = spark.createDataFrame([(k, json.dumps(base | q)) for k, (q, _) in enumerate(cases)] + [(99, "no JSON")], "question_id long, question string")
+    got = {}
+    for r in context.check_questions(frame).collect():
+        got.setdefault(r["question_id"], set()).add(r["violation"])
+    assert [got.get(k, set()) for k in range(len(cases))] == [want for _, want in cases]
+    assert {"unknown type", "no label", "id is not a UUID of version 4"} <= got[99]
+
+
+def test_results_keep_their_objects(spark):
+    raw = {"summary": "One. Two. Three.", "actionable_insights": [{"title": "T", "description": "D", "category": "ux", "source_quote": "said so"}] * 3}
+    frame = spark.createDataFrame([(1, json.dumps(raw)), (2, json.dumps(raw | {"actionable_insights": [raw["actionable_insights"][0] | {"source_quote": None, "category": None}] * 3}))], "client_id long, raw string")
+    out = context.project_result(frame, "raw", "insights")
+    (first,) = out.where("client_id = 1").select("actionable_insights").first()
+    assert first[0].asDict() == {"title": "T", "description": "D", "category": "ux", "source_quote": "said so", "priority": "medium"}
+    texts = spark.createDataFrame([(1, "She said so."), (2, "x")], "client_id long, text string")
+    assert rows(context.check_results(out, texts, "insights"), "client_id", "violation") == [(2, "unknown category")]
+    plan = spark.createDataFrame([(1, '{"action_points": [{"title": "T", "description": "D", "priority": "high", "evidence": ["a", "b"]}, {"title": "U", "priority": "now"}]}')], "client_id long, raw string")
+    out = context.project_result(plan, "raw", "strategic")
+    assert [x.asDict() for x in out.first()["action_points"]] == [{"title": "T", "description": "D", "priority": "high", "evidence": ["a", "b"]}, {"title": "U", "description": None, "priority": "now", "evidence": []}]
+    assert rows(context.check_results(out, texts, "strategic")) == [(1, "unknown priority")]
+
+
+def test_strip_is_linear_and_unicode(spark):
+    odd = "\u00a0\u2003 \t\n"
+    assert one(spark, text.strip, odd + "a  b" + odd) == "a  b" and one(spark, text.strip, odd) == ""
+    long = "a" + " " * 1_000_000 + "b" + " " * 1_000_000
+    assert len(one(spark, text.strip, long)) == 1_000_002
+    assert one(spark, text.normalize_text, long) == "a b"
