@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import html
-import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, strip
+from .numbering import numbered
 
 
 def number_pages(pages: DataFrame) -> DataFrame:
     """Page text with its title and address, numbered from 1 within a site; blank pages dropped first.
 
-    pages: site, ordinal, title, url, text.
+    pages: site, ordinal, title, url, text. A site of any size spreads over tasks.
     """
     kept = pages.where(strip(F.coalesce("text", F.lit(""))) != "")
     body = F.concat(F.lit("Title: "), F.coalesce("title", F.lit("")), F.lit("\n\nURL: "), F.coalesce("url", F.lit("")), F.lit("\n\n"), "text")
-    return kept.select("site", F.row_number().over(Window.partitionBy("site").orderBy("ordinal", "url")).alias("page"), body.alias("text"))
+    rows = kept.select("site", "ordinal", "url", body.alias("text"))
+    return numbered(rows, ["site"], ["ordinal", "url"], "page").select("site", F.col("page").cast("int").alias("page"), "text")
 
 
 def paragraph_pages(paragraphs: DataFrame, n: int = 8) -> DataFrame:
@@ -67,13 +67,43 @@ def decoded(col: Column) -> Column:
     return F.when(col.contains("&"), unescaped(F.when(col.contains("&"), col))).otherwise(col)
 
 
+#: Elements that hold no main text.
+HIDDEN = ["script", "style", "nav", "header", "footer", "noscript", "head"]
+#: Openers that may each be searched to the page's end; a character that no text holds.
+FEW, MARK = 64, "\ufdd0"
+
+
+def _marked(col: Column) -> Column:
+    """The page with a mark in each opener of a hidden element or comment that no end tag follows, so that none is searched for.
+
+    Every other opener has an end behind it and is consumed with it, so one search over the page is linear.
+    """
+    pairs = [*((rf"{name}\b", rf"</{name}\s*>") for name in HIDDEN), ("!--", "-->")]
+    ends = F.array(*[F.struct(F.lit(rf"(?i)<(?={opener})").alias("opener"), F.lit(f"(?is)^.*{closer}").alias("closed")) for opener, closer in pairs])
+
+    def step(page: Column, x: Column) -> Column:
+        closed = F.call_function("regexp_extract", page, x["closed"], F.lit(0))
+        return F.concat(closed, F.regexp_replace(F.substring(page, F.length(closed) + 1, F.length(page)), x["opener"], F.lit(f"<{MARK}")))
+
+    return F.aggregate(ends, col, step)
+
+
 def extract_html(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, text, links) from stored pages; scripts, styles and navigation go, tags become blanks."""
-    h = F.coalesce("html", F.lit(""))
-    body = F.regexp_replace(h, r"(?is)<(script|style|nav|header|footer|noscript|head)\b.*?</\1\s*>|<!--.*?-->", " ")
-    text = decoded(F.regexp_replace(body, r"(?s)<[^>]*>", " "))
-    text = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    return pages.select("page_id", "url", strip(decoded(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"), text.alias("text"), F.regexp_extract_all(h, F.lit(r"(?i)<a\s[^>]*href=[\"']([^\"']*)"), F.lit(1)).alias("links"))
+    """(page_id, url, title, text, links) from stored pages; scripts, styles and navigation go, tags become blanks.
+
+    Time is linear in a page's length, however its tags are broken.
+    """
+    h, names = F.coalesce("html", F.lit("")), "|".join(HIDDEN)
+    rows = pages.select("page_id", "url", h.alias("h"))
+    rows = rows.withColumn("m", F.when(F.regexp_count("h", F.lit(rf"(?i)<({names})\b|<!--")) > FEW, _marked(F.col("h"))).otherwise(F.col("h")))
+    rows = rows.withColumn("body", F.regexp_replace("m", rf"(?is)<({names})\b.*?</\1\s*>|<!--.*?-->", " "))
+    rows = rows.withColumn("tags", F.regexp_extract("body", "(?s)^.*>", 0))  # what follows the last ">" holds no tag
+    plain = F.concat(F.regexp_replace("tags", r"(?s)<[^>]*>", " "), F.substring("body", F.length("tags") + 1, F.length("body")))
+    text = strip(F.regexp_replace(decoded(F.replace(plain, F.lit(MARK), F.lit(""))), r"(?U)\s+", " "))
+    titled = F.regexp_extract("h", "(?is)^.*</title>", 0)  # up to the last end of a title: the first opener has one
+    title = strip(decoded(F.regexp_extract(titled, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    linked = F.regexp_extract("h", r"(?is)^.*href=[\"'][^\"']*", 0)
+    return rows.select("page_id", "url", title.alias("title"), text.alias("text"), F.regexp_extract_all(linked, F.lit(r"(?i)<a\s[^>]*href=[\"']([^\"']*)"), F.lit(1)).alias("links"))
 
 
 def link_frontier(pages: DataFrame, visited: DataFrame, cap: int | None = 20) -> DataFrame:
@@ -95,26 +125,17 @@ def link_frontier(pages: DataFrame, visited: DataFrame, cap: int | None = 20) ->
 
 
 def json_strings(df: DataFrame, col: str, min_len: int = 30) -> DataFrame:
-    """df with ``strings``: every string value of at least min_len characters at any depth, in document order."""
-
-    @F.pandas_udf("array<string>")
-    def harvest(values: pd.Series) -> pd.Series:
-        def walk(v) -> Iterator[str]:
-            stack = [v]
-            while stack:
-                x = stack.pop()
-                if isinstance(x, str):
-                    if len(x) >= min_len:
-                        yield x
-                elif isinstance(x, (list, dict)):
-                    stack.extend(reversed(list(x.values()) if isinstance(x, dict) else x))
-
-        def one(text):
-            try:
-                return list(walk(json.loads(text)))
-            except (TypeError, ValueError):
-                return []
-
-        return values.map(one)
-
-    return df.withColumn("strings", harvest(col))
+    """df with ``strings``: every string value of at least min_len characters at any depth, in document order.
+
+    In text that is valid JSON a string is a key if a colon follows it, else a value, whatever it is nested in: one search
+    takes all strings in order, with what follows each, and the values are decoded together as one array. Text that is no
+    JSON has none; of an object's equal keys all values count.
+    """
+    text = F.col(col)
+    sound = F.try_parse_json(text).isNotNull() | F.json_object_keys(text).isNotNull()
+    token = F.lit(r'(?s)"([^"\\]*+(?:\\.[^"\\]*+)*+)"(\s*+:)?')
+    both = F.arrays_zip(F.regexp_extract_all(text, token, F.lit(1)).alias("said"), F.regexp_extract_all(text, token, F.lit(2)).alias("colon"))
+    values = F.transform(F.filter(both, lambda x: x["colon"] == ""), lambda x: F.concat(F.lit('"'), x["said"], F.lit('"')))
+    found = F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>")
+    kept = F.filter(found, lambda x: F.length(x) >= min_len)
+    return df.withColumn("strings", F.coalesce(F.when(sound, kept), F.array().cast("array<string>")))

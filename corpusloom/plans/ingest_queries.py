@@ -280,10 +280,11 @@ def t12_link_frontier(spark, d):
     return pages.link_frontier(pages.extract_html(read(spark, d, "pages")), read(spark, d, "pages").select("url"))
 
 
-@query("select page_id, list_filter([length(url), length(html), length(url)], lambda x: x >= 30) as lengths from pages")
+@query("select page_id, cast(k as int) as k, s from (select page_id, unnest(l) as s, generate_subscripts(l, 1) as k from (select page_id, list_filter([url, html, url], lambda x: length(x) >= 30) as l from pages))")
 def t13_json_strings(spark, d):
+    """Every string of a nested JSON text, escapes decoded, in order."""
     rows = read(spark, d, "pages").select("page_id", F.to_json(F.struct("url", F.struct(F.col("html").alias("body"), F.array("url", F.lit("short")).alias("more")).alias("x"))).alias("j"))
-    return pages.json_strings(rows, "j").select("page_id", F.transform("strings", F.length).alias("lengths"))
+    return pages.json_strings(rows, "j").select("page_id", F.posexplode("strings").alias("k", "s")).withColumn("k", F.col("k") + 1)
 
 
 @query("select e.event_id, case when position(e.event_type in e.props) > 0 then e.props else concat(e.props, chr(10), chr(10), e.event_type) end as text from events e")

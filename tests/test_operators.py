@@ -394,3 +394,49 @@ def test_strip_is_linear_and_unicode(spark):
     long = "a" + " " * 1_000_000 + "b" + " " * 1_000_000
     assert len(one(spark, text.strip, long)) == 1_000_002
     assert one(spark, text.normalize_text, long) == "a b"
+
+
+def test_json_strings_of_odd_texts(spark):
+    """Against a walk over Python's own parse: escapes, strings that look like JSON, keys, nesting, long texts with many escapes."""
+    def walk(v):
+        if isinstance(v, str):
+            return [v]
+        return [s for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else []) for s in walk(x)]
+
+    values = [{"b": ["x", {"z": "q\u00e9\n\t\"\\", "a": "[1, \"no\"]"}], "a": {"k: \"v\"": "", ":": ":"}}, [], {}, ["", [["deep"]]], "alone", 3, None, {"long": "\n\"" * 30_000 + "é"}, [f"s{k}" for k in range(3000)]]
+    texts = [json.dumps(v, ensure_ascii=k % 2 == 0, indent=k % 3 or None) for k, v in enumerate(values)] + ["{broken", "", '["a"', None]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, j string")
+    got = [r["strings"] for r in pages.json_strings(frame, "j", 0).orderBy("id").collect()]
+    assert got == [walk(v) for v in values] + [[]] * 4
+
+
+def test_broken_pages_take_linear_time(spark):
+    """A megabyte of tags, comments and elements without an end; and the same result as a plain search on small ones."""
+    import time
+
+    parts = ["<nav ", "<!-- ", "<script>", "<title>", "<", "<a href=", "<a ", "</nav>", "<nav>x</nav>", "text ", "> ", "<p>one</p>", "<style>s</style>", "--> ", "<title>T</title>"]
+    small = ["".join(parts[(k * 7 + j * j * (k + 1)) % len(parts)] for j in range(200)) for k in range(30)]
+    hidden = re.compile(r"(?is)<(script|style|nav|header|footer|noscript|head)\b.*?</\1\s*>|<!--.*?-->")
+    want = [re.sub(r"\s+", " ", re.sub(r"(?s)<[^>]*>", " ", hidden.sub(" ", h))).strip() for h in small]
+    frame = spark.createDataFrame([(k, "u", h) for k, h in enumerate(small)], "page_id long, url string, html string")
+    assert [r["text"] for r in pages.extract_html(frame).orderBy("page_id").collect()] == want
+    large = [part * (1_000_000 // len(part)) for part in ("<nav ", "<!-- ", "<title>", "<script><p>", "<", "<a href='x")]
+    frame = spark.createDataFrame([(k, "u", h) for k, h in enumerate(large)], "page_id long, url string, html string")
+    begun = time.time()
+    assert pages.extract_html(frame).where("length(text) >= 0").count() == len(large)
+    assert len(pages.extract_html(frame).collect()) == len(large) and time.time() - begun < 60
+
+
+def test_a_large_site_spreads_over_ranges(spark):
+    from corpusloom.operators.numbering import numbered
+
+    rows_ = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("s"), F.col("id") % 7)).when(F.col("id") % 10 == 1, None).otherwise("hot").alias("site"), (F.col("id") * 7919 % 40_000).alias("at"))
+    got = numbered(rows_, ["site"], [F.desc("at")], "n")
+    sites = {}
+    for r in got.collect():
+        sites.setdefault(r["site"], []).append((r["n"], r["at"]))
+    assert sum(map(len, sites.values())) == 40_000 and len(sites["hot"]) == 32_000 and len(sites[None]) == 4000
+    for x in sites.values():
+        assert [a for _, a in sorted(x)] == sorted((a for _, a in x), reverse=True) and sorted(n for n, _ in x) == list(range(1, len(x) + 1))
+    ranges = rows_.repartitionByRange(4, "site", F.desc("at")).where("site = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) > 1 and max(r["count"] for r in ranges) < 20_000
