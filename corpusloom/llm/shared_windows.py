@@ -32,7 +32,7 @@ from .vectext import mix64, text_bytes, word_hashes, word_spans
 #: Every difference modulo 7 is one of two of these places.
 PERIOD, COVER = 7, (1, 2, 4)
 #: Bytes of text whose anchors or windows are combined before they are sent.
-STEP = 8 << 20
+STEP = 4 << 20
 #: Ids of documents that are broadcast, to leave texts out of a shuffle; more ids are joined by it.
 BROADCAST_ROWS = 500_000
 _KEYS = np.random.default_rng(1313).integers(0, 1 << 64, (2, 512), dtype=np.uint64) | np.uint64(1)
@@ -223,6 +223,7 @@ def shared_windows(docs: DataFrame, width: int = 13) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     known = written(texts.mapInArrow(_described, "doc_id long, th long, n_words long, sha string"), "known")
     firsts = known.where(f"n_words >= {width}").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    firsts = written(firsts, "firsts")  # a join of two plain tables can be split where one sha has very many rows
     judged = written(known.join(firsts, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))).drop("first_id"), "judged")
     copies = judged.where("copy").select("doc_id", "th").distinct()
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
