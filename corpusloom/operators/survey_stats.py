@@ -6,7 +6,7 @@ options are joined to their question's total.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import MIN_SAMPLE, sample_warning, t_critical, wilson
@@ -83,14 +83,46 @@ def ranking_ci(responses: DataFrame, options: DataFrame | None = None, level: fl
 def confidence_intervals(responses: DataFrame, level: float = 0.95) -> DataFrame:
     """All quantitative questions of a mixed table, one row for each estimate; other types are left out.
 
+    The table is read once: each answer becomes rows of (total or not, option, value), and one grouping gives the counts and
+    moments that every type's interval needs.
+
     responses: question_id, question_type, value_num, value_bool, value_str, value_list.
     """
     if not 0.5 <= level <= 0.99:
         raise ValueError("level must lie in 0.50 to 0.99")
-    of = lambda *kinds: responses.where(F.col("question_type").isin(*kinds))
-    none = F.lit(None)
-    means = mean_ci(of("rating", "nps"), level).select("question_id", none.cast("string").alias("option"), "n", F.col("mean").alias("estimate"), "ci_lower", "ci_upper")
-    shares = yes_no_ci(of("yes_no"), level).unionByName(choice_ci(of("multiple_choice"), None, level)).unionByName(checkbox_ci(of("checkbox"), None, level))
-    shares = shares.select("question_id", "option", "n", F.col("proportion").alias("estimate"), "ci_lower", "ci_upper")
-    ranks = ranking_ci(of("ranking"), None, level).select("question_id", "option", "n", F.col("mean").alias("estimate"), "ci_lower", "ci_upper")
-    return means.unionByName(shares).unionByName(ranks)
+    kind = F.col("question_type")
+    part = lambda total, option, x: F.struct(F.lit(total).alias("total"), option.cast("string").alias("option"), x.cast("double").alias("x"))
+    none, one = F.lit(None), F.lit(1.0)
+    picks, ranks = F.array_distinct("value_list"), F.col("value_list")
+    parts = (
+        F.when(kind.isin("rating", "nps"), F.array(part(False, none, F.col("value_num"))))
+        .when(kind == "yes_no", F.array(part(False, none, F.col("value_bool").cast("int"))))
+        .when((kind == "multiple_choice") & F.col("value_str").isNotNull(), F.array(part(True, none, one), part(False, F.col("value_str"), one)))
+        .when((kind == "checkbox") & ranks.isNotNull(), F.concat(F.array(part(True, none, one)), F.transform(picks, lambda o: part(False, o, one))))
+        .when((kind == "ranking") & (F.size(ranks) > 0), F.concat(F.array(part(True, none, one)), F.transform(ranks, lambda o, k: part(False, o, k + 1))))
+    )
+    kinds = F.when(kind == "nps", "rating").otherwise(kind)
+    moments = responses.select("question_id", kinds.alias("kind"), F.explode(parts).alias("p")).groupBy("question_id", "kind", "p.total", "p.option").agg(
+        F.count("p.x").alias("n"), F.sum("p.x").alias("sum"), F.avg("p.x").alias("mean"), F.stddev_samp("p.x").alias("sd"), F.count(F.lit(1)).alias("rows")
+    )
+    answers = F.max(F.when(F.col("total"), F.col("rows"))).over(Window.partitionBy("question_id", "kind"))
+    found = moments.withColumn("answers", answers).where(~F.col("total"))
+    found = found.withColumn("t", t_critical(level)(F.when(F.col("n") >= MIN_SAMPLE, F.col("n") - 1).cast("double")))
+    few, half = F.col("n") < MIN_SAMPLE, F.col("t") * F.col("sd") / F.sqrt("n")
+
+    def estimate(option: Column, n: Column, value: Column, low: Column, high: Column) -> Column:
+        return F.struct(option.alias("option"), n.alias("n"), F.round(value, 4).alias("estimate"), F.round(low, 4).alias("ci_lower"), F.round(high, 4).alias("ci_upper"))
+
+    def share(option: Column, count: Column, n: Column) -> Column:
+        w = wilson(count, n, level)
+        return estimate(option, n, count / n, w["lo"], w["hi"])
+
+    bounds = F.col("mean"), F.col("mean") - half, F.col("mean") + half
+    option, yes, total = F.col("option"), F.col("sum").cast("long"), F.col("answers")
+    out = (
+        F.when(F.col("kind") == "rating", F.array(estimate(none.cast("string"), F.col("n"), *[F.when(~few, b) for b in bounds])))
+        .when(F.col("kind") == "yes_no", F.when(~few, F.array(share(F.lit("Yes"), yes, F.col("n")), share(F.lit("No"), F.col("n") - yes, F.col("n")))))
+        .when(F.col("kind") == "ranking", F.when(total >= MIN_SAMPLE, F.array(estimate(option, F.col("n"), *[F.when(few, 0.0).otherwise(b) for b in bounds]))))
+        .otherwise(F.when(total >= MIN_SAMPLE, F.array(share(option, F.col("rows"), total))))
+    )
+    return found.select("question_id", F.explode(out).alias("e")).select("question_id", "e.*")

@@ -51,7 +51,7 @@ def chunk_id():
 @query(
     """select 'chunk:' || (cast(c.document_id as bigint) * 4294967296 + chunk_index) as node_key, d.client_id, 'Chunk ' || chunk_index as name, case when length(t) > 80 then substring(t, 1, 80) || '…' else t end as description, cast(c.document_id as varchar) as doc
     from (select *, replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') as t from f_chunks) c join f_documents d on d.id = c.document_id""",
-    ("f_chunks", "f_documents"), also=("k1_all_chunk_nodes",))
+    ("f_chunks", "f_documents"))
 def k1_chunk_nodes(spark, d):
     """A node for every chunk."""
     chunks = view(spark, d, "f_chunks").withColumn("id", chunk_id())
@@ -66,7 +66,7 @@ STORED = "tenant_id string, client_id string, {}, properties map<string,string>,
     c as (select cast(f.document_id as bigint) * 4294967296 + f.chunk_index as id, f.tenant_id, e.embedding from f_chunks f left join firsts using (document_id, chunk_index) left join embeddings e on e.vec_id = firsts.document_id), v as (select * from c where embedding is not null),
     e as (select a.id as src, b.id as dst from v a join v b on a.tenant_id = b.tenant_id and a.id <> b.id where {COS} >= 0.25 qualify row_number() over (partition by a.id order by {COS} desc, b.id) <= 10)
     select (select count(*) from c) as fetched, (select count(*) from v) as valid, (select count(*) from c) - (select count(*) from v) as skipped, (select count(*) from e) as edges, (select count(*) from v) as nodes, (select count(distinct id) from v) as stored_nodes, (select count(*) from (select distinct src, dst from e)) as stored_edges""",
-    ("f_chunks",), also=("k4_all_build_graph",))
+    ("f_chunks",))
 def k4_build_graph(spark, d):
     """The build over every chunk, merged into empty tables, and its summary (A6). A document's vector is its first chunk's; the others are skipped."""
     chunks = view(spark, d, "f_chunks")
@@ -148,7 +148,7 @@ def hydrated(spark, d):
     return R.hydrate(searched(spark, d), texts)
 
 
-@query("with " + HYDRATED + " select * from hydrated", HYDRATED_VIEWS, also=("g4_all_result_rows",))
+@query("with " + HYDRATED + " select * from hydrated", HYDRATED_VIEWS)
 def g4_result_rows(spark, d):
     """Results with their text, by fallbacks (J7)."""
     return hydrated(spark, d)
@@ -172,7 +172,7 @@ def g7_retry(spark, d):
 @query(
     "with " + HYDRATED + """ select query_id, cast(count(*) as int) as n, string_agg('- ' || coalesce(cast(document_id as varchar), 'unknown') || ' (chunk ' || coalesce(cast(chunk_index as varchar), '?') || ')', chr(10) order by pos) filter (where pos < 5) as listing,
     string_agg('[' || source || ' | Score: ' || coalesce(cast(similarity as varchar), 'N/A') || '] ' || substring(content, 1, 500), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as scored from hydrated group by query_id""",
-    HYDRATED_VIEWS, also=("g9_all_format_sources",))
+    HYDRATED_VIEWS)
 def g9_format_sources(spark, d):
     return R.format_sources(hydrated(spark, d)).select("query_id", F.size("sources").alias("n"), "listing", "scored")
 
@@ -197,12 +197,12 @@ def c1_assemble_context(spark, d):
     return R.assemble_context(view(spark, d, "f_chunks").select(F.col("document_id").alias("query_id"), F.col("chunk_index").alias("pos"), "content"))
 
 
-@query("with " + HYDRATED + " select query_id, string_agg('[Chunk ' || (pos + 1) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context from hydrated group by query_id", HYDRATED_VIEWS, also=("a10_all_ordered_text",))
+@query("with " + HYDRATED + " select query_id, string_agg('[Chunk ' || (pos + 1) || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by pos) as context from hydrated group by query_id", HYDRATED_VIEWS)
 def a10_ordered_text(spark, d):
     """The variant that keeps blank texts."""
     return R.assemble_context(hydrated(spark, d), "Chunk", skip_blank=False)
 
 
-@query("with " + HYDRATED + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_VIEWS, also=("a11_all_retrieval_stats",))
+@query("with " + HYDRATED + " select query_id, count(distinct document_id) as documents_retrieved, cast(sum(length(content)) as bigint) as context_length from hydrated group by query_id", HYDRATED_VIEWS)
 def a11_retrieval_stats(spark, d):
     return source_stats(hydrated(spark, d))

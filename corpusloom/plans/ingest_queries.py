@@ -36,13 +36,13 @@ def html_sql() -> str:
     regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']*)', 1) as links, lower(regexp_extract(url, '://([^/?#]*)', 1)) as site from pages)"""
 
 
-EMBEDDED = "select c.document_id, c.tenant_id, d.client_id, c.chunk_index, length(c.content) as n from f_chunks c join embeddings e on e.vec_id = c.document_id and c.chunk_index < 3 join f_documents d on d.id = c.document_id"
+EMBEDDED = "select c.document_id, c.tenant_id, d.client_id, c.chunk_index, length(c.content) as n from f_chunks c join embeddings e on e.vec_id = c.document_id join f_documents d on d.id = c.document_id"
 
 
 def embedded(spark, d):
-    """Chunks whose document has a vector; the first three chunks of each carry it."""
+    """Chunks with the vector of their document, where it has one."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("_e"))
-    return view(spark, d, "f_chunks").join(e, "document_id", "left").withColumn("embedding", F.when(F.col("chunk_index") < 3, F.col("_e"))).drop("_e")
+    return view(spark, d, "f_chunks").join(e, "document_id", "left").withColumnRenamed("_e", "embedding")
 
 
 @query(EMBEDDED, ("f_chunks", "f_documents"))

@@ -6,16 +6,15 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(sql: str | None = None, views: tuple[str, ...] = (), also: tuple[str, ...] = ()):
-    """Registers a query under its function's name, and under further names that it had before."""
+def query(sql: str | None = None, views: tuple[str, ...] = ()):
+    """Registers a query under its function's name."""
 
     def add(f):
         from .views import oracle
 
-        for name in (f.__name__, *also):
-            QUERIES[name] = f
-            if sql:
-                ORACLE_SQL[name] = oracle(sql, *views)
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = oracle(sql, *views)
         return f
 
     return add

@@ -101,7 +101,6 @@ _SHARE = f"(case when {_DF} % 2 = 0 then {_EVEN} else {_ODD} end)"
 @query(
     f"""with recursive sizes as (select distinct count(*) as n from orders group by o_custkey having count(*) >= 2), steps(n, low, high, i) as (select n, 0.0::double, 1000.0::double, 0 from sizes union all
     select n, case when {_SHARE} < 0.95 then (low + high) / 2 else low end, case when {_SHARE} < 0.95 then high else (low + high) / 2 end, i + 1 from steps where i < 60) select n, round(low, 3) as t from steps where i = 60""",
-    also=("n9_all_t_table",),
 )
 def n9_t_table(spark, d):
     """Critical values for the sample sizes, two or more, that customers' orders give."""

@@ -1,6 +1,7 @@
 """Goldens worked out by hand, and plain-Python versions of the stateful folds."""
 
 import json
+import random
 import re
 import statistics
 
@@ -67,49 +68,60 @@ def test_time_windows_start_anew(spark, starts, want):
     assert [p for _, _, p in rows(transcripts.window_numbers(cues), "idx")] == want
 
 
-def plain_chunks(sentence_pages, most, overlap):
-    count = lambda s: len(re.findall(r"\w+|[^\w\s]", s))
-    out, buf, n, start, last = [], [], 0, None, None
-    for page, s in sentence_pages:
-        last, t = page, count(s)
-        if t > most:
-            tmp = []
-            for w in s.split():
-                tmp.append(w)
-                if count(" ".join(tmp)) >= most:
-                    out.append((" ".join(tmp), page, page, count(" ".join(tmp))))
-                    tmp = []
-            if tmp:
-                out.append((" ".join(tmp), page, page, count(" ".join(tmp))))
-            continue
-        if buf and n + t > most:
-            out.append((" ".join(buf), start, page, n))
-            keep, k = [], 0
-            for x in reversed(buf):
-                if overlap <= 0 or (keep and k + count(x) > overlap):
-                    break
-                keep.insert(0, x)
-                k += count(x)
-            buf, n, start = keep, k, page
-        if not buf:
-            start = page
-        buf.append(s)
-        n += t
-    if buf:
-        out.append((" ".join(buf), start, last, n))
-    return out
+def tokens(x):
+    return len(re.findall(r"\w+|[^\w\s]", x))
 
 
-@pytest.mark.parametrize(("most", "overlap"), [(12, 4), (5, 0), (30, 10), (3, 2)])
-def test_chunker_against_plain_version(spark, most, overlap):
-    body = {1: ["One two three. Four five! Six seven eight nine ten eleven twelve thirteen fourteen.", "A b. C d e f g h."], 2: ["Short.", "", "Ünï cödé? Yes, it is; really."]}
-    data = [(d, p + 1, t) for d, ps in body.items() for p, t in enumerate(ps)]
-    got = rows(chunking.chunk_pages(spark.createDataFrame(data, "document_id long, page int, text string"), most, overlap), "document_id", "chunk_index")
-    want = []
-    for d, ps in body.items():
-        sents = [(p + 1, s.strip()) for p, t in enumerate(ps) for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
-        want += [(d, i, *c) for i, c in enumerate(plain_chunks(sents, most, overlap))]
-    assert got == want
+def held_to_the_rules(sentences, chunks, most, overlap):
+    """Chunks (text, start page, end page, tokens) of one document's (page, sentence), all different, against what is said of them."""
+    short = [(k, p, x) for k, (p, x) in enumerate(sentences) if tokens(x) <= most]
+    size = lambda a, z: sum(tokens(x) for _, _, x in short[a:z])
+    ranges = {" ".join(x for _, _, x in short[a:z]): (a, z) for a in range(len(short)) for z in range(a + 1, len(short) + 1)}
+    pieces, taken, before, flushed = {}, [], (0, 0), []
+    for text_, start, end, n in chunks:
+        assert n == tokens(text_)
+        if text_ not in ranges:  # a part of a long sentence
+            ((k, page),) = [(k, p) for k, (p, x) in enumerate(sentences) if tokens(x) > most and text_ in " ".join(x.split())]
+            assert start == end == page
+            pieces.setdefault(k, []).append(text_)
+            flushed.append(k)
+            continue
+        a, z = ranges[text_]
+        first_new = before[1]
+        assert a <= first_new < z and (n <= most or z == first_new + 1), "longest that fits, one new sentence at least"
+        assert z == len(short) or size(a, z + 1) > most
+        if taken and overlap <= 0:
+            assert a == first_new
+        elif taken:
+            assert size(a, first_new) <= overlap or a == first_new - 1, "what is repeated fits the overlap, or is one sentence"
+            assert a == before[0] or size(a - 1, first_new) > overlap, "and is the longest such run"
+        else:
+            assert a == 0
+        assert start == short[first_new][1], "the page of the first new sentence"
+        assert end == (short[z][1] if z < len(short) else sentences[-1][0]), "the page of the sentence that did not fit, or the last"
+        taken.append((a, z))
+        flushed.append(short[z][0] if z < len(short) else len(sentences))
+        before = (a, z)
+    assert before[1] == len(short) and flushed == sorted(flushed)
+    for k, (_, x) in enumerate(sentences):
+        if tokens(x) > most:
+            assert " ".join(pieces[k]) == " ".join(x.split())
+            assert all(tokens(y) >= most and tokens(" ".join(y.split()[:-1])) < most for y in pieces[k][:-1]) and tokens(" ".join(pieces[k][-1].split()[:-1])) < most
+
+
+@pytest.mark.parametrize(("most", "overlap"), [(12, 4), (5, 0), (30, 10), (3, 2), (9, 9)])
+def test_chunks_hold_to_the_rules(spark, most, overlap):
+    rng = random.Random(most)
+    docs = {d: [" ".join(f"{'Ünï' if k % 5 == 0 else 'w'}{d}x{p}x{k}{',' if k % 4 == 0 else ''} " + " ".join(f"v{p}q{k}q{j}z" for j in range(rng.choice([0, 1, 2, 3, 5, 8, 40]))) + rng.choice(".!?") for k in range(rng.randint(0, 9))) for p in range(6)] for d in range(12)}
+    data = [(d, p + 1, t) for d, ps in docs.items() for p, t in enumerate(ps)]
+    got = {}
+    for d, k, *chunk in rows(chunking.chunk_pages(spark.createDataFrame(data, "document_id long, page int, text string"), most, overlap), "document_id", "chunk_index"):
+        assert k == len(got.setdefault(d, []))
+        got[d].append(chunk)
+    for d, ps in docs.items():
+        sents = [(p + 1, x.strip()) for p, t in enumerate(ps) for x in re.split(r"(?<=[.!?])\s+", t) if x.strip()]
+        if sents and sents[-1][0] == len(ps):  # else the document's last page holds no sentence
+            held_to_the_rules(sents, got[d], most, overlap)
 
 
 def test_chunker_with_no_pages(spark):
