@@ -19,17 +19,17 @@ def long_tables(spark, tmp_path_factory):
 
 
 def test_every_chunk_has_a_node_of_its_own(spark, long_tables):
-    got = QUERIES["k1_all_chunk_nodes"](spark, long_tables).collect()
+    got = QUERIES["k1_chunk_nodes"](spark, long_tables).collect()
     assert len(got) == 1203 == len({r["node_key"] for r in got})
     assert sorted(r["name"] for r in got if r["doc"] != "1") == ["Chunk 0", "Chunk 1", "Chunk 2"]
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert QUERIES["k1_all_chunk_nodes"](spark, SF).count() == sum(x.strip(" ") != "" for t in texts if t is not None for x in t.split("\n"))
+    assert QUERIES["k1_chunk_nodes"](spark, SF).count() == sum(x.strip(" ") != "" for t in texts if t is not None for x in t.split("\n"))
 
 
 def test_the_build_takes_every_chunk_and_is_merged(spark, long_tables):
     vectors = [(i, [1.0] + [0.0] * 62 + [float(i)], 0) for i in (1, 2, 3)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{long_tables}/embeddings.parquet")
-    got = QUERIES["k4_all_build_graph"](spark, long_tables).first().asDict()
+    got = QUERIES["k4_build_graph"](spark, long_tables).first().asDict()
     assert got == {"fetched": 1203, "valid": 3, "skipped": 1200, "nodes": 3, "edges": 6, "stored_nodes": 3, "stored_edges": 6}
 
 
@@ -46,7 +46,7 @@ def test_a_second_build_adds_no_rows(spark):
 
 def test_results_have_the_whole_text(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = [r for r in QUERIES["g4_all_result_rows"](spark, SF).collect() if r["node_id"] in texts and r["node_id"] % 5]
+    got = [r for r in QUERIES["g4_result_rows"](spark, SF).collect() if r["node_id"] in texts and r["node_id"] % 5]
     assert any("\n" in r["content"] for r in got)
     assert all(r["content"] == texts[r["node_id"]] for r in got if texts[r["node_id"]])
 
@@ -55,4 +55,4 @@ def test_critical_values_of_small_samples(spark, tmp_path):
     """Two-sided 95 % values from printed tables."""
     known = {2: 12.706, 3: 4.303, 4: 3.182, 6: 2.571, 11: 2.228, 31: 2.042}
     spark.createDataFrame([(n,) for n in [1, *known] for _ in range(n)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    assert {r["n"]: r["t"] for r in QUERIES["n9_all_t_table"](spark, str(tmp_path)).collect()} == known
+    assert {r["n"]: r["t"] for r in QUERIES["n9_t_table"](spark, str(tmp_path)).collect()} == known
