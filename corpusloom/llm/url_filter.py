@@ -78,7 +78,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFra
 
     rules: (host, path, verdict); path is a prefix such as ``/en/``, or ``/`` for all of a host. listed: (url).
     """
-    rules = rules.groupBy(F.concat(F.lower("host"), F.lit("|"), F.col("path")).alias("key"), F.lower("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
+    host = F.translate("host", string.ascii_uppercase, string.ascii_lowercase)  # A-Z only, as of URLs
+    rules = rules.groupBy(F.concat(host, F.lit("|"), F.col("path")).alias("key"), host.alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
     rules = rules.withColumn("r_rule", F.concat("r_host", "r_path"))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     n_rules = rules.count()

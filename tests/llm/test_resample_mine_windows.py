@@ -237,3 +237,12 @@ def test_shared_windows_of_nothing(spark):
     assert shared_windows.shared_windows(spark.createDataFrame([], DOCS)).count() == 0
     with pytest.raises(ValueError, match="width"):
         shared_windows.shared_windows(spark.createDataFrame([], DOCS), 7)
+
+
+def test_rule_hosts_lower_like_urls(spark):
+    from corpusloom.llm.url_filter import judge_urls
+
+    pages = spark.createDataFrame([(1, "http://\u0130.ORG/a"), (2, "http://x.example/")], "page_id long, url string")
+    rules = spark.createDataFrame([("\u0130.Org", "/", "block")], "host string, path string, verdict string")
+    got = judge_urls(pages, rules, spark.createDataFrame([], "url string")).collect()
+    assert {r["page_id"]: (r["verdict"], r["rule"]) for r in got} == {1: ("block", "\u0130.org/"), 2: ("allow", None)}
