@@ -1,12 +1,14 @@
 """HTML extraction: main text by a linear-chain conditional random field over a page's leaf blocks.
 
 A page is cut into leaf blocks, runs of text between block-level tags in page order. Each block has features of its
-ancestors (tags, words of class, id and role), of its text (length, links, stops) and of its neighbours' links; a
+ancestors (tags, words of class, id and role, and what these say in turn from the outside in: junk, form, header or content;
+so a block named as junk inside of an article can be told from an article inside of a page so named), of its text (length, links, stops) and of its neighbours' links; a
 two-label CRF scores blocks and the steps between them, and Viterbi picks the labels. The CRF is fitted by gradient
 steps on exact forward-backward marginals over labelled pages, a bounded sample (``SAMPLE``) of two kinds: pages whose
 author marks the article with ``<article>`` or ``<main>``, once as they are and once with these marks hidden, so that the
 other features have to tell; and pages composed of the sample's texts in other layouts (sidebars, notices, forms,
-comments, tables, columns, plain text), labelled as they are made. Every page is extracted, whole.
+comments, tables, columns, plain text), labelled as they are made. Pages of over ``FIT_BYTES`` are not fitted on, so the sample is bounded in
+bytes. Every page is extracted, whole.
 
 Defined cases: a null or empty html has empty text; unclosed tags, comments and scripts end with the page; a quote that
 is never closed is no quote; text before any tag, or without any, is a block; pages are read once from left to right, so
@@ -32,6 +34,8 @@ from .common import small_batches
 
 #: Pages that are sampled and composed, gradient steps, blocks of a labelled page that are fitted as one sequence (a longer page is several).
 SAMPLE, COMPOSED, STEPS, SEQUENCE = 250, 700, 200, 200
+#: Bytes of the longest page of the sample.
+FIT_BYTES = 1 << 16
 #: Elements whose text is never shown, elements that don't end a block, elements without an end tag.
 HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "ruby", "rt", "rp"}
@@ -42,6 +46,32 @@ TAG, STOP = re.compile(r"(/?)([a-zA-Z][^\s/>]*)"), re.compile("[>\"']")
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in HIDDEN}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Names that say what a text is about.
+TOPICS = re.compile(r"\b(?:category|tag|topic)-[^\s\"']+")
+
+
+#: Words in names, and elements, of what stands in a page but is no article.
+JUNK = set(
+    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright"
+    " disclaimer discussion disqus foot footer gdpr legal login menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popular popup"
+    " promo promotion promotions recommended recommendations related replies reply respond responses search share sharing sidebar signup social sponsor sponsored"
+    " subscribe subscription taboola tags teaser toc trending widget widgets".split()
+)
+JUNK_TAGS = {"aside", "dialog", "footer", "menu", "nav"}
+#: The same of articles.
+CONTENT = set("article articlebody body content entry main post story text".split())
+CONTENT_TAGS = {"article", "main"}
+
+
+def kind_of(tag: str, names: list[str]) -> str | None:
+    """What an element says of its content: junk, form, header or content; None: nothing. The whole page's names say nothing."""
+    if tag in ("html", "body", "head"):
+        return None
+    if tag in JUNK_TAGS or not JUNK.isdisjoint(names):
+        return "junk"
+    if tag in ("form", "header"):
+        return tag
+    return "content" if tag in CONTENT_TAGS or not CONTENT.isdisjoint(names) else None
 
 
 class Block:
@@ -100,12 +130,17 @@ class Open:
 
     def __init__(self, known: set[str] | None):
         self.stack: list[tuple[str, list[str]]] = []
+        self.kinds: list[tuple[int, str]] = []  # places in the stack where what elements say changes
         self.outer: list[int] = []  # places in the stack of block-level elements
         self.tags, self.features, self.known, self.held = Counter(), Counter(), known, frozenset()
 
     def push(self, tag: str, attrs: str) -> None:
-        features = [f"name={w}" for a in NAMES.findall(attrs) for w in WORD.findall(a.lower())]
+        names = [w for a in NAMES.findall(attrs) for w in WORD.findall(TOPICS.sub("", a.lower()))] if attrs else []
+        features = [f"name={w}" for w in names]
         if tag not in INLINE:
+            kind = kind_of(tag, names)
+            if kind and (not self.kinds or self.kinds[-1][1] != kind):
+                self.kinds.append((len(self.stack), kind))
             self.outer.append(len(self.stack))
             features.append(f"in={tag}")
         features = [f for f in features if self.known is None or f in self.known]
@@ -121,6 +156,8 @@ class Open:
             self.features.subtract(features)
         while self.outer and self.outer[-1] >= k:
             self.outer.pop()
+        while self.kinds and self.kinds[-1][0] >= k:
+            self.kinds.pop()
         self.held = None
 
     def close(self, tag: str) -> None:
@@ -136,7 +173,9 @@ class Open:
     def inside(self) -> frozenset[str]:
         if self.held is None:
             self.features = +self.features
-            self.held = frozenset(self.features)
+            said = [kind for _, kind in self.kinds[-3:]]
+            # What the ancestors say, from the outside in, and the innermost word of it: names decide over places.
+            self.held = frozenset((*self.features, f"path={'>'.join(said)}", f"nearest={said[-1] if said else 'none'}"))
         return self.held
 
 
@@ -376,7 +415,7 @@ def compose(rng: random.Random, prose: list[str], notes: list[str]) -> tuple[str
 def fit(pages: DataFrame) -> Crf:
     total = pages.count()
     draw = F.pmod(F.xxhash64(F.lit(31), "page_id", "url"), F.lit(1 << 30)) / float(1 << 30)
-    sample = [r["html"] for r in pages.where("html is not null").where(draw < SAMPLE / max(1, total)).select("page_id", "html").orderBy("page_id").limit(4 * SAMPLE).collect()]
+    sample = [r["html"] for r in pages.where(F.octet_length("html") <= FIT_BYTES).where(draw < SAMPLE / max(1, total)).select("page_id", "html").orderBy("page_id").limit(4 * SAMPLE).collect()]
     return fit_sample(sample)
 
 

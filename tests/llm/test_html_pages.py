@@ -20,6 +20,25 @@ PAGES = {
     "form and notice": (f"<body><div class=cookie-banner><p>We use cookies to make this site better for you.</p><button>OK</button></div><form action=/s><label>Find</label><input name=q></form><article><h1>Bridge shut</h1><p>{A}</p><form><label>Your mail</label><button>Send</button></form><p>{B}</p></article></body>", f"Bridge shut {A} {B}"),
 }
 
+TALK = "I have crossed it every day for years, and it always shook. Nobody at the council ever listened to us."
+INSIDE = {
+    "newsletter": f"<div class=newsletter><p>{TALK}</p><p>Get our letter each morning, with the stories that matter most to you.</p></div>",
+    "related": f"<div class='related-stories'><h3>Read next</h3><p>{TALK}</p><p><a href=/9>The harbour is to be dredged again</a></p></div>",
+    "share": "<div class=share><p>Tell your friends about this story, they will thank you for it.</p><a href=#>Send it</a></div>",
+    "advert": f"<div class=ad><p>{TALK}</p></div>",
+    "form": "<form action=/mail><p>Write to us about this story. We read every letter that we get.</p><label>Your mail</label><button>Send</button></form>",
+    "aside": f"<aside><p>{TALK}</p></aside>",
+    "comments": f"<div class=comments><p>{TALK}</p><p>The ferry is full by seven in the morning.</p></div>",
+}
+AROUND = {"article": "<article>{}</article>", "main": "<main>{}</main>", "named": "<div class='post-content'>{}</div>"}
+BESIDE = {
+    "footer": f"<div id=footer><p>The Paper is printed in Ford Street. {B}</p></div>",
+    "sidebar": f"<div id=sidebar><p>{TALK}</p><p>Most of our readers live by the river.</p></div>",
+    "thread": f"<div id=disqus_thread><p>{TALK}</p><p>The ferry is full by seven in the morning.</p></div>",
+    "related": f"<section class=recommended><h2>More from the region</h2><p>{TALK}</p></section>",
+    "banner": "<div class='cookie-consent'><p>We store cookies to count our readers. You may refuse them at any time.</p></div>",
+}
+
 
 @pytest.fixture(scope="module")
 def pages():
@@ -37,6 +56,32 @@ def test_layouts(crf, name):
     assert html_text.main_text(crf, page) == want
 
 
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("name", INSIDE)
+def test_junk_inside_the_article(crf, name, around):
+    body = f"<h1>Bridge shut</h1><p>{A}</p>{INSIDE[name]}<p>{B}</p>"
+    page = f"<html><body><nav><ul>{LINKS}</ul></nav>{AROUND[around].format(body)}<footer>&copy; The Paper</footer></body></html>"
+    assert html_text.main_text(crf, page) == f"Bridge shut {A} {B}"
+
+
+@pytest.mark.parametrize("around", ["article", "division"])
+@pytest.mark.parametrize("name", BESIDE)
+def test_junk_behind_the_article(crf, name, around):
+    body = f"<h1>Bridge shut</h1><p>{A}</p><p>{B}</p>"
+    body = f"<article>{body}</article>" if around == "article" else f"<div id=page>{body}</div>"
+    assert html_text.main_text(crf, f"<html><body><ul class=menu>{LINKS}</ul>{body}{BESIDE[name]}</body></html>") == f"Bridge shut {A} {B}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='has-sidebar single-post'><article><h1>Bridge shut</h1><p>{A}</p><p>{B}</p></article></body>",
+    f"<body><article class='post category-legal tag-social-media'><h1>Bridge shut</h1><p>{A}</p><p>{B}</p></article></body>",
+    f"<body><form id=aspnetForm action=/p><div id=content><h1>Bridge shut</h1><p>{A}</p><p>{B}</p></div></form></body>",
+    f"<body><div class='layout sidebar-right'><main><h1>Bridge shut</h1><p>{A}</p><p>{B}</p></main></div></body>",
+])
+def test_names_of_junk_around_an_article_do_not_hide_it(crf, page):
+    assert html_text.main_text(crf, page) == f"Bridge shut {A} {B}"
+
+
 def test_marked_pages_kept_out_of_fitting_with_their_marks_hidden(crf, pages):
     right = total = 0
     for page in pages[60:]:
