@@ -10,9 +10,8 @@ Content-Length tells the payload's bytes.
 
 Defined cases: a null html is an empty payload; a null url is written as the record's own URN and read back as null;
 payloads of fewer than ``min_payload`` bytes are never revisits; a null page_id gets a record that nothing refers to;
-repeated rows of a page get a record with an id each, the repeats being revisits only if another page holds the payload
-under a smaller id; two payloads under one page_id are judged each by itself; of equal payloads the smallest page_id is
-the response; a payload of any length is one record, in a frame of its own if it is longer than a frame; other columns
+repeated rows of a page get a record with an id each, and the later ones of equal payload revisit the first; two payloads
+under one page_id are judged each by itself; of equal payloads the smallest page_id is the response; a payload of any length is one record, in a frame of its own if it is longer than a frame; other columns
 are ignored; an empty table gives no bundle.
 """
 
@@ -42,16 +41,21 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def warc_record(record_id: str, kind: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def warc_record(record_id: str, kind: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), ("WARC-Target-URI", record_id if url is None else url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if kind == "revisit":
-        head += [("WARC-Refers-To", f"<{page_urn(refers_to)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        head += [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     block = http + (payload if kind == "response" else b"")
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
+def page_of(urn: str) -> int:
+    """The page that a URN names."""
+    return int(urn.split(":")[2])
+
+
 def page_urn(page_id: int | None, repeat: int | None = None) -> str:
     """The URN of a page's record; repeat tells further rows of the page apart."""
     return f"urn:page:{'none' if page_id is None else page_id}{'' if repeat is None else f':{repeat}'}"
@@ -127,9 +131,10 @@ def _bundles(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.Record
     for batch in batches:
         for r in batch.to_pylist():
             payload = (r["html"] or "").encode()
-            kind = "response" if r["refers_to"] is None else "revisit"
+            kind = "response" if r["first"] is None else "revisit"
             urn = page_urn(r["page_id"], r["repeat"])
-            writer.add(urn, r["page_id"], warc_record(urn, kind, r["url"], payload, sha1_base32(payload), r["refers_to"], date))
+            first = None if r["first"] is None else page_urn(r["first"]["page_id"], r["first"]["repeat"])
+            writer.add(urn, r["page_id"], warc_record(urn, kind, r["url"], payload, sha1_base32(payload), first, date))
             if writer.written >= BUNDLE_BYTES:
                 yield out()
     if writer.index:
@@ -140,20 +145,20 @@ def write_warc(pages: DataFrame, min_payload: int = 0, date: str = "2024-01-01T0
     """Write every page's record; the written table of bundles with their record index. date: when pages were fetched."""
     small_batches(pages.sparkSession)
     pages, html = pages.select("page_id", "url", "html"), F.coalesce("html", F.lit(""))
-    keyed = pages.where("page_id is not null").select("page_id", F.sha1(html).alias("digest"), F.octet_length(html).alias("n"))
-    long = keyed.where(F.col("n") >= min_payload)
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page")).where("first_page < last_page").drop("last_page")
-    revisits = long.join(first, "digest").where("page_id > first_page").select("page_id", "digest", F.col("first_page").alias("refers_to")).distinct()
-    revisits = revisits.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "refers_to"))).alias("of"))  # as many as a page has payloads
-    records = pages.join(revisits, "page_id", "left").select("page_id", "url", "html", F.try_element_at("of", F.sha1(html)).alias("refers_to"))
+    named = pages.where("page_id is not null")
     # Pages given more than once, no row as a rule: their first row keeps the plain URN, the others are numbered.
-    repeated = written(keyed.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id"), "repeated-pages")
-    alone = records.withColumn("repeat", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()))
+    repeated = written(named.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id"), "repeated-pages")
+    rows = pages.withColumn("repeat", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()))
     if not repeated.isEmpty():
         number = F.row_number().over(Window.partitionBy("page_id").orderBy("url", F.sha1(html)))
-        numbered = records.join(repeated, "page_id", "left_semi").withColumn("repeat", F.when(number > 1, number.cast("long")))
-        alone = alone.join(repeated, "page_id", "left_anti").unionByName(numbered)
-    records = alone
+        numbered = named.join(repeated, "page_id", "left_semi").withColumn("repeat", F.when(number > 1, number.cast("long")))
+        rows = rows.join(repeated, "page_id", "left_anti").unionByName(numbered)
+    # The first record of each payload that several records hold; a page's plain record has no number and comes first.
+    at = F.struct("page_id", "repeat")
+    long = rows.where(F.col("page_id").isNotNull() & (F.octet_length(html) >= min_payload)).select(F.sha1(html).alias("digest"), at.alias("at"))
+    first = long.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    revisits = long.join(first, "digest").where(~F.col("at").eqNullSafe(F.col("first"))).select(F.col("at.page_id").alias("r_page"), F.col("at.repeat").alias("r_repeat"), "first")
+    records = rows.join(revisits, (F.col("page_id") == F.col("r_page")) & F.col("repeat").eqNullSafe(F.col("r_repeat")), "left").drop("r_page", "r_repeat")
 
     def run(batches):
         yield from _bundles(batches, date)
@@ -183,10 +188,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, _, payload = block.partition(b"\r\n\r\n")
                 size = int(dict(h.split(b": ", 1) for h in head.split(b"\r\n")[1:])[b"Content-Length"])
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                refers = fields.get("WARC-Refers-To", "").removeprefix("<urn:page:").rstrip(">")
+                refers = fields.get("WARC-Refers-To", "").strip("<>")
                 if not refers and (len(payload) != size or sha1_base32(payload) != digest):
                     raise ValueError(f"payload of {x['record_id']} is damaged")
-                rows.append({"page_id": x["page_id"], "url": None if fields["WARC-Target-URI"] == x["record_id"] else fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": int(refers) if refers else None, "payload_bytes": size, "payload_digest": digest, "payload": payload})
+                rows.append({"page_id": x["page_id"], "url": None if fields["WARC-Target-URI"] == x["record_id"] else fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": page_of(refers) if refers else None, "payload_bytes": size, "payload_digest": digest, "payload": payload})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, decontaminate, html_text, line_dedup, media, near_dedup, packing, quality, repeats, url_filter, vectext, warc
@@ -498,7 +499,7 @@ def test_warc(spark):
     got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in out}
     digest = lambda t: warc.sha1_base32((t or "").encode())
     x = digest("<p>x</p>")
-    assert got == {(5, "revisit", 3, 8, x), (3, "response", None, 8, x), (None, "response", None, 8, x), (7, "response", None, 0, digest("")), (8, "revisit", 7, 0, digest("")), (9, "response", None, 2000, digest("é" * 1000)), (10, "response", None, 600000, digest("z" * 600_000))}
+    assert got == {(5, "revisit", 3, 8, x), (3, "response", None, 8, x), (3, "revisit", 3, 8, x), (None, "response", None, 8, x), (7, "response", None, 0, digest("")), (8, "revisit", 7, 0, digest("")), (9, "response", None, 2000, digest("é" * 1000)), (10, "response", None, 600000, digest("z" * 600_000))}
     assert [bytes(r["payload"]) for r in warc.read_record(bundles, "urn:page:9").collect()] == [("é" * 1000).encode()]
     for b in bundles.collect():
         frames = warc.seek_table(bytes(b["bundle"]))
@@ -509,6 +510,17 @@ def test_warc(spark):
     small = {r["page_id"]: r["record_type"] for r in warc.read_warc(warc.write_warc(pages, min_payload=9)).collect()}
     assert small[5] == small[8] == "response"
     assert warc.read_warc(warc.write_warc(pages.where("false"))).count() == 0
+    # Two payloads under one page, each repeated: the later records name the record that holds their payload.
+    twice = [(4, u, h) for u in "ab" for h in ("<p>x</p>", "<p>y</p>")] + [(6, "c", "<p>y</p>")]
+    bundles = warc.write_warc(spark.createDataFrame(twice, "page_id long, url string, html string").repartition(3))
+    found = [f for b in bundles.collect() for f, _, _ in strict_records(zstandard.ZstdDecompressor().stream_reader(bytes(b["bundle"]), read_across_frames=True).read())]
+    ids = {f["WARC-Record-ID"]: f for f in found}
+    later = [f for f in found if f["WARC-Type"] == "revisit"]
+    assert len(ids) == 5 and len(later) == 3
+    for f in later:
+        first = ids[f["WARC-Refers-To"]]
+        assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+    assert [r["refers_to"] for r in warc.read_warc(bundles).where("record_type = 'revisit'").collect()] == [4, 4, 4]
 
 
 def strict_records(data: bytes):
@@ -535,8 +547,6 @@ def strict_records(data: bytes):
 
 
 def test_warc_bundles_by_another_reader(spark):
-    import zstandard
-
     rows = [(i, f"http://h/{i}", ["<p>a</p>", "<p>b</p>", "é" * (i + 1), None][i % 4]) for i in range(40)]
     bundles = warc.write_warc(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")).collect()
     found = [r for b in bundles for r in strict_records(zstandard.ZstdDecompressor().stream_reader(bytes(b["bundle"]), read_across_frames=True).read())]
