@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -107,20 +108,63 @@ def document_text(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(joined.alias("text"))
 
 
-def lexicon_scorer(positive: list[str], negative: list[str]):
-    """A native scorer: shares of positive and of negative words among a window's words, the rest neutral."""
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[ \n]"), lambda w: w != "")
+
+
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % buckets
+
+
+def fit_scorer(texts: DataFrame, labels: DataFrame, buckets: int = 16384, sure: float = 3.0):
+    """A native scorer fitted on texts (document_id, text) and their labels (document_id, label: positive, negative or neutral).
+
+    Each hashed word weighs its log odds in a label's texts against all labelled texts, in thousandths, with one added to each
+    count, and nothing if these are less than ``sure`` standard deviations from even; a window's shares are the softmax of its
+    words' sums and the labels' own odds. Words are counted in Spark, map-side first: 3 * buckets counts reach the driver and
+    as many weights each task, however many texts there are. Other labels and null texts are left out; a text with several
+    labels counts for each; without labels all shares are a third.
+    """
+    classes = ("positive", "negative", "neutral")
+    known = labels.where(F.col("label").isin(*classes)).select("document_id", "label")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = texts.select("document_id", F.explode(_words(F.col("text"))).alias("w")).select("document_id", _bucket(F.col("w"), buckets).alias("b"))
+    per_text = words.groupBy("document_id", "b").agg(F.count(F.lit(1)).alias("n")).join(known, "document_id")
+    counts = {c: [0] * buckets for c in classes}
+    for r in per_text.groupBy("label", "b").agg(F.sum("n").alias("n")).collect():
+        counts[r["label"]][r["b"]] = r["n"]
+    every = [sum(x) for x in zip(*counts.values(), strict=True)]
+    total = sum(every) + buckets
+
+    def weight(n: int, a: int, size: int) -> int:
+        odds = math.log((n + 1) * total / ((a + 1) * size))
+        return 0 if abs(odds) < sure * math.sqrt(1 / (n + 1) + 1 / (a + 1)) else math.floor(1000 * odds)
+
+    def weights(c: str) -> Column:
+        size = sum(counts[c]) + buckets
+        return F.split(F.lit(",".join(str(weight(n, a, size)) for n, a in zip(counts[c], every, strict=True))), ",").cast("array<bigint>")  # folded into one literal
+
+    held = {c: weights(c) for c in classes}
+    prior = {c: math.floor(1000 * math.log((sizes.get(c, 0) + 1) / (sum(sizes.values()) + 3))) for c in classes}
 
     def score(words: Column) -> Column:
-        n = F.size(words).cast("double")
-        share = lambda known: F.size(F.filter(words, lambda w: w.isin(known))) / n
-        return F.struct(share(positive).alias("positive"), share(negative).alias("negative"))
+        places = F.transform(words, lambda w: _bucket(w, buckets).cast("int"))
+        start = F.struct(*[F.lit(prior[c]).cast("long").alias(c) for c in classes])
+
+        def shares(z: Column) -> Column:
+            top = F.greatest(*[z[c] for c in classes])
+            e = {c: F.exp((z[c] - top) / 1000) for c in classes}
+            whole = e["positive"] + e["negative"] + e["neutral"]
+            return F.struct(*[(e[c] / whole).alias(c) for c in ("positive", "negative")])
+
+        return F.aggregate(places, start, lambda a, b: F.struct(*[(a[c] + F.get(held[c], b)).alias(c) for c in classes]), shares)
 
     return score
 
 
 def sentiment(texts: DataFrame, scorer, window: int = 510) -> DataFrame:
     """(document_id, positive, negative, neutral): mean over windows of ``window`` words, rounded to 2; null if empty."""
-    words = F.filter(F.split(F.lower("text"), r"[ \n]"), lambda w: w != "")
+    words = _words(F.col("text"))
     cut = texts.select("document_id", words.alias("w")).select("document_id", F.explode_outer(F.when(F.size("w") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / window).cast("int")), lambda i: F.slice("w", i * window + 1, window)))).alias("words"))
     scored = cut.withColumn("s", F.when(F.col("words").isNotNull(), scorer(F.col("words"))))
     mean = scored.groupBy("document_id").agg(F.avg("s.positive").alias("p"), F.avg("s.negative").alias("n"))

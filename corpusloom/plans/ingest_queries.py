@@ -380,16 +380,25 @@ def v7_shared_context(spark, d):
     return transcripts.shared_context(view(spark, d, "f_documents"), view(spark, d, "f_chunks"), summaries(spark, d))
 
 
-#: The queries' lexicon.
-POSITIVE, NEGATIVE = ["the", "la", "die", "and", "que"], ["of", "der", "de", "stupid", "trash", "idiot"]
-SENTIMENT_SQL = """with w as (select doc_id, unnest(words) as w, generate_subscripts(words, 1) - 1 as pos from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\n]'), lambda x: x <> '') as words from documents)),
-    s as (select doc_id, pos // 510 as win, avg(case when w in ('the', 'la', 'die', 'and', 'que') then 1.0 else 0 end) as p, avg(case when w in ('of', 'der', 'de', 'stupid', 'trash', 'idiot') then 1.0 else 0 end) as n from w group by all),
-    scores as (select d.doc_id as document_id, round(avg(p), 2) as positive, round(avg(n), 2) as negative, round(1 - avg(p) - avg(n) + 1e-9, 2) as neutral from documents d left join s using (doc_id) group by d.doc_id)"""
+#: Windows of 510 words scored by log odds of hashed words, which are fitted on all labels: toxic negative, good positive, others neutral.
+SENTIMENT_SQL = """with w as (select doc_id, pos // 510 as win, ('0x' || md5(w)[1:8])::bigint % 16384 as b from (select doc_id, unnest(words) as w, generate_subscripts(words, 1) - 1 as pos from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\n]'), lambda x: x <> '') as words from documents))),
+    l as (select doc_id, case when toxic = 1 then 'n' when quality = 1 then 'p' else 'z' end as c from labels where toxic is not null and quality is not null),
+    k as (select b, count(*) filter (c = 'p') as p, count(*) filter (c = 'n') as n, count(*) filter (c = 'z') as z from w join l using (doc_id) group by b),
+    g as (select *, p + n + z as a from (select range as b, coalesce(p, 0) as p, coalesce(n, 0) as n, coalesce(z, 0) as z from range(16384) left join k on b = range)),
+    t as (select sum(p)::bigint + 16384 as p, sum(n)::bigint + 16384 as n, sum(z)::bigint + 16384 as z, sum(a)::bigint + 16384 as a from g),
+    r as (select b, g.a, g.p, g.n, g.z, ln((g.p + 1) * t.a / ((g.a + 1) * t.p)) as rp, ln((g.n + 1) * t.a / ((g.a + 1) * t.n)) as rn, ln((g.z + 1) * t.a / ((g.a + 1) * t.z)) as rz from g, t),
+    o as (select b, case when abs(rp) < 3 * sqrt(1 / (p + 1) + 1 / (a + 1)) then 0 else floor(1000 * rp) end as p, case when abs(rn) < 3 * sqrt(1 / (n + 1) + 1 / (a + 1)) then 0 else floor(1000 * rn) end as n, case when abs(rz) < 3 * sqrt(1 / (z + 1) + 1 / (a + 1)) then 0 else floor(1000 * rz) end as z from r),
+    d as (select floor(1000 * ln((count(*) filter (c = 'p') + 1) / (count(*) + 3))) as p, floor(1000 * ln((count(*) filter (c = 'n') + 1) / (count(*) + 3))) as n, floor(1000 * ln((count(*) filter (c = 'z') + 1) / (count(*) + 3))) as z from l),
+    s as (select doc_id, win, sum(o.p) + any_value(d.p) as p, sum(o.n) + any_value(d.n) as n, sum(o.z) + any_value(d.z) as z from w join o using (b), d group by all),
+    e as (select doc_id, exp((p - greatest(p, n, z)) / 1000) as p, exp((n - greatest(p, n, z)) / 1000) as n, exp((z - greatest(p, n, z)) / 1000) as z from s),
+    scores as (select d.doc_id as document_id, round(avg(p / (p + n + z)), 2) as positive, round(avg(n / (p + n + z)), 2) as negative, round(1 - avg(p / (p + n + z)) - avg(n / (p + n + z)) + 1e-9, 2) as neutral from documents d left join e using (doc_id) group by d.doc_id)"""
 
 
 def scores(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    return transcripts.sentiment(docs, transcripts.lexicon_scorer(POSITIVE, NEGATIVE))
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    labels = read(spark, d, "labels").where("toxic is not null and quality is not null").select(F.col("doc_id").alias("document_id"), label.alias("label"))
+    return transcripts.sentiment(docs, transcripts.fit_scorer(docs, labels))
 
 
 @query(SENTIMENT_SQL + " select * from scores")

@@ -452,3 +452,28 @@ def test_a_large_site_spreads_over_ranges(spark):
         assert [a for _, a in sorted(x)] == sorted((a for _, a in x), reverse=True) and sorted(n for n, _ in x) == list(range(1, len(x) + 1))
     ranges = rows_.repartitionByRange(4, "site", F.desc("at")).where("site = 'hot'").groupBy(F.spark_partition_id()).count().collect()
     assert len(ranges) > 1 and max(r["count"] for r in ranges) < 20_000
+
+
+def test_a_fitted_scorer_tells_texts_kept_out_of_fitting(spark):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("document_id"), label.alias("label"))
+    out = F.col("document_id") % 5 == 1
+    told = transcripts.sentiment(docs.join(labels.where(out), "document_id", "left_semi"), transcripts.fit_scorer(docs, labels.where(~out)))
+    best = F.when(F.col("negative") > F.greatest("positive", "neutral"), "negative").when(F.col("positive") > F.col("neutral"), "positive").otherwise("neutral")
+    rows = told.where("positive is not null").join(labels, "document_id").groupBy("label").agg(F.avg((best == F.col("label")).cast("int")).alias("right"), F.count(F.lit(1)).alias("n")).collect()
+    right = {r["label"]: r["right"] for r in rows}
+    print({r["label"]: (r["right"], r["n"]) for r in rows})
+    # Chance is a third. Measured: 0.91 positive, 0.51 negative, 0.85 neutral; toxic texts differ from good ones in few words,
+    # which the mean over windows thins out. The bounds are set below these figures, to notice a loss.
+    assert right["positive"] >= 0.85 and right["negative"] >= 0.45 and right["neutral"] >= 0.8, right
+
+
+def test_a_scorer_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, "good day"), (2, "bad day"), (3, "a day"), (4, None), (5, ""), (6, " \n "), (7, "good " * 5000), (8, "bad")], "document_id long, text string")
+    labels = spark.createDataFrame([(1, "positive"), (2, "negative"), (3, "neutral"), (4, "positive"), (3, "unknown"), (None, "positive"), (9, None)], "document_id long, label string")
+    got = {r["document_id"]: r for r in transcripts.sentiment(docs, transcripts.fit_scorer(docs, labels, sure=0.0)).collect()}
+    assert got[7]["positive"] == 1 and got[8]["negative"] > got[8]["neutral"] and all(got[i]["positive"] is None for i in (4, 5, 6))
+    even = transcripts.sentiment(docs, transcripts.fit_scorer(docs, labels.where("false"))).where("document_id = 1").first()
+    assert even["positive"] == even["negative"] == 0.33 and transcripts.sentiment(docs.where("false"), transcripts.fit_scorer(docs.where("false"), labels)).count() == 0
