@@ -128,7 +128,8 @@ def fit_scorer(texts: DataFrame, labels: DataFrame, buckets: int = 16384, sure:
     classes = ("positive", "negative", "neutral")
     known = labels.where(F.col("label").isin(*classes)).select("document_id", "label")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words = texts.select("document_id", F.explode(_words(F.col("text"))).alias("w")).select("document_id", _bucket(F.col("w"), buckets).alias("b"))
+    labelled = texts.join(known, "document_id", "left_semi")
+    words = labelled.select("document_id", F.explode(_words(F.col("text"))).alias("w")).select("document_id", _bucket(F.col("w"), buckets).alias("b"))
     per_text = words.groupBy("document_id", "b").agg(F.count(F.lit(1)).alias("n")).join(known, "document_id")
     counts = {c: [0] * buckets for c in classes}
     for r in per_text.groupBy("label", "b").agg(F.sum("n").alias("n")).collect():
