@@ -97,22 +97,25 @@ def normalize_questions(df: DataFrame, col: str) -> DataFrame:
         made = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
         return F.when(given.rlike(UUID), given).otherwise(made)
 
-    def one(q: Column, i: Column) -> Column:
-        kind = F.coalesce(get(q, "type"), F.lit("multiple_choice"))
+    def read(q: Column) -> Column:
         label = F.coalesce(F.when(get(q, "label") != "", get(q, "label")), get(q, "text"), F.lit(""))
+        return F.struct(q.alias("q"), F.coalesce(get(q, "type"), F.lit("multiple_choice")).alias("kind"), label.alias("label"), get(q, "id").alias("id"))
+
+    def one(x: Column, i: Column) -> Column:
+        q, kind, label = x["q"], x["kind"], x["label"]
         of = lambda kinds, value: F.when(kind.isin(*kinds), value)
         strings = lambda p: F.coalesce(get(q, p, "array<string>"), F.array().cast("array<string>"))
         cards = lambda p: named(F.coalesce(get(q, p, "array<variant>"), F.array().cast("array<variant>")), p)
         return F.struct(
-            _id(get(q, "id"), F.concat(i.cast("string"), F.lit("|"), label)).alias("id"), kind.alias("type"), label.alias("label"), F.coalesce(get(q, "required", "boolean"), F.lit(False)).alias("required"),
+            _id(x["id"], F.concat(i.cast("string"), F.lit("|"), label)).alias("id"), kind.alias("type"), label.alias("label"), F.coalesce(get(q, "required", "boolean"), F.lit(False)).alias("required"),
             of(["multiple_choice", "checkbox"], strings("options")).alias("options"), of(["rating"], F.coalesce(get(q, "min", "int"), F.lit(1))).alias("min"), of(["rating"], F.coalesce(get(q, "max", "int"), F.lit(5))).alias("max"),
             of(["rating"], F.coalesce(get(q, "lowLabel"), F.lit("Poor"))).alias("lowLabel"), of(["rating"], F.coalesce(get(q, "highLabel"), F.lit("Excellent"))).alias("highLabel"),
             of(["ranking"], strings("items")).alias("items"), of(["card_sort"], cards("items")).alias("cards"), of(["card_sort"], cards("categories")).alias("categories"),
         )
 
-    # explode(array(x)) has x made once: the planner would else repeat it in every field that reads it.
+    # explode(array(x)) has x made once: the planner would else repeat it in every field that reads it. So has the inner transform.
     out = df.withColumn("_v", F.explode(F.array(json_variant(F.col(col))))).withColumn("_q", F.explode(F.array(unwrap_questions(F.col("_v")))))
-    return out.withColumns({"questions": F.transform("_q", one), "status": F.when(F.col("_q").isNull(), "parse_error").otherwise("complete")}).drop("_q", "_v")
+    return out.withColumns({"questions": F.transform(F.transform("_q", read), one), "status": F.when(F.col("_q").isNull(), "parse_error").otherwise("complete")}).drop("_q", "_v")
 
 
 def render_survey(questions: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def document_text(chunks: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[ \n]"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[ \n]"), "")
 
 
 def _bucket(word: Column, buckets: int) -> Column:
@@ -128,11 +128,9 @@ def fit_scorer(texts: DataFrame, labels: DataFrame, buckets: int = 16384, sure:
     classes = ("positive", "negative", "neutral")
     known = labels.where(F.col("label").isin(*classes)).select("document_id", "label")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    labelled = texts.join(known, "document_id", "left_semi")
-    words = labelled.select("document_id", F.explode(_words(F.col("text"))).alias("w")).select("document_id", _bucket(F.col("w"), buckets).alias("b"))
-    per_text = words.groupBy("document_id", "b").agg(F.count(F.lit(1)).alias("n")).join(known, "document_id")
+    words = texts.select("document_id", "text").join(known, "document_id").select("label", F.explode(_words(F.col("text"))).alias("w"))
     counts = {c: [0] * buckets for c in classes}
-    for r in per_text.groupBy("label", "b").agg(F.sum("n").alias("n")).collect():
+    for r in words.groupBy("label", _bucket(F.col("w"), buckets).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["label"]][r["b"]] = r["n"]
     every = [sum(x) for x in zip(*counts.values(), strict=True)]
     total = sum(every) + buckets
