@@ -37,47 +37,89 @@ def test_outputs_get_an_expiry(spark, tmp_path):
     assert got.count() == 4 and str(got.first()["expires_at"])[:10] == "2024-01-27"
 
 
-class State:
-    """The part of a group's state that the page function uses."""
+class Store:
+    """A value, a list and timers in memory, as the processor's handle gives them."""
 
     def __init__(self):
-        self.value, self.hasTimedOut, self.exists = None, False, False
+        self.value, self.rows, self.timers = None, [], set()
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return self.Rows(self)
+
+    class Rows:
+        def __init__(self, store):
+            self.store = store
+
+        def get(self):
+            return iter(self.store.rows)
+
+        def put(self, rows):
+            self.store.rows = list(rows)
+
+        def appendList(self, rows):
+            self.store.rows += rows
+
+        def clear(self):
+            self.store.rows = []
 
-    @property
     def get(self):
         return self.value
 
-    def update(self, v):
-        self.value, self.exists = v, True
+    def update(self, value):
+        self.value = value
 
-    def remove(self):
-        self.value, self.exists = None, False
+    def registerTimer(self, at):
+        self.timers.add(at)
 
-    def setTimeoutTimestamp(self, t):
-        self.timer = t
+    def deleteTimer(self, at):
+        self.timers.remove(at)
 
-    def getCurrentWatermarkMs(self):
+    def getCurrentWatermarkInMs(self):
         return 0
 
+    def getExpiryTimeInMs(self):
+        return min(self.timers)
+
+
+def live(store, starts, first=0):
+    """Rows that a transcript sends for cues at these starts."""
+    pages_ = live_pages.Pages()
+    pages_.init(store)
+    frame = pd.DataFrame({"start_s": starts, "idx": range(first, first + len(starts)), "line": [f"l{first + i}" for i in range(len(starts))], "event_ms": [0 if x is None else int(1000 * x) for x in starts]})
+    return [r for f in pages_.handleInputRows((7,), iter([frame]), store) for r in f.to_dict("records")]
+
+
+def idle(store):
+    pages_ = live_pages.Pages()
+    pages_.init(store)
+    return [r for f in pages_.handleExpiredTimer((7,), store, store) for r in f.to_dict("records")]
+
 
 @pytest.mark.parametrize("split", [1, 2, 4])
 def test_live_pages_equal_the_batch(split):
     starts = [0.0, 100.0, 130.0, 240.0, 260.0, 500.0]
-    frame = pd.DataFrame({"idx": range(6), "start_s": starts, "line": [f"l{i}" for i in range(6)], "event_ms": [int(1000 * x) for x in starts]})
-    state, out = State(), []
-    for part in (frame[:split], frame[split:]):
-        for f in live_pages.pages_of((7,), iter([part]), state):
-            out += f.to_dict("records")
-    late = pd.DataFrame({"idx": [9], "start_s": [5.0], "line": ["late"], "event_ms": [5000]})
-    out += [r for f in live_pages.pages_of((7,), iter([late]), state) for r in f.to_dict("records")]
-    state.hasTimedOut = True
-    out += [r for f in live_pages.pages_of((7,), iter([]), state) for r in f.to_dict("records")]
+    store = Store()
+    out = live(store, starts[:split]) + live(store, starts[split:], split) + live(store, [5.0], 9)
+    assert store.timers == {620000}
+    out += idle(store)
     assert [(r["page"], r["cues"]) for r in out if r["state"] == "closed"] == [(1, 2), (2, 2), (3, 1), (4, 1)]
-    assert [r["text"] for r in out if r["state"] == "late"] == ["late"] and state.timer == 620000
-    state.hasTimedOut = False
-    more = pd.DataFrame({"idx": [10, 11], "start_s": [510.0, 700.0], "line": ["behind", "again"], "event_ms": [510000, 700000]})
-    out = [r for f in live_pages.pages_of((7,), iter([more]), state) for r in f.to_dict("records")]
-    assert [(r["page"], r["text"], r["state"]) for r in out] == [(5, "behind", "late"), (5, "again", "open")]
+    assert [r["text"] for r in out if r["state"] == "late"] == ["l9"]
+    out = live(store, [510.0, 700.0], 10)
+    assert [(r["page"], r["text"], r["state"]) for r in out] == [(5, "l10", "late"), (5, "l11", "open")]
+
+
+def test_live_cues_out_of_order_stand_by_start_and_those_without_one_are_rejected():
+    store = Store()
+    live(store, [0.0, 90.0])
+    out = live(store, [60.0, None, 130.0, 60.0, -1.0], 2)
+    assert [(r["text"], r["state"]) for r in out] == [("l3", "late"), ("l6", "late"), ("l0\nl2\nl5\nl1", "closed"), ("l4", "open")]
+    assert store.rows == [(130.0, 4, "l4")] and store.value[:3] == (2, 130.0, 1)
+    out = live(store, [200.0], 7)
+    assert out[0]["text"] == "l4\nl7" and len(store.rows) == 2 and store.timers == {320000}
+    assert live(store, [None], 8)[0]["state"] == "late" and live(store, []) == [] and len(store.rows) == 2
 
 
 def test_live_pages_over_files_that_arrive_one_after_another(spark, tmp_path):
