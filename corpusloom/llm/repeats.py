@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_steps, written
+from .common import small_batches, text_steps
 from .vectext import INVERSE, mix64, powers, prefix_hash, text_bytes
 
 GRAM = 24
@@ -200,10 +200,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """The rows that take part. Both joins that need texts start from this very plan, so Spark shuffles texts once for both."""
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
 def repeat_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, th, spans): spans array<struct<s,e>> of bytes to remove, not yet merged, of documents that have some."""
     small_batches(docs.sparkSession)
-    docs = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    docs = hashed(docs)
     size = F.octet_length("text").cast("long")
     first = docs.groupBy("th", size.alias("size")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("size") >= length))
     copies = docs.select("doc_id", "th", size.alias("size")).join(first, ["th", "size"]).where("doc_id > lo").select("doc_id", "th", F.lit(0).cast("long").alias("s"), F.col("size").alias("e"))
@@ -229,7 +234,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs; kept is what is left, as bytes."""
-    spans = written(repeat_spans(docs, length), "spans").withColumnsRenamed({"doc_id": "s_id", "th": "s_th"})
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    rows = rows.join(spans, (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = repeat_spans(docs, length)
+    rows = hashed(docs).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    whole = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return rows.unionByName(whole).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -238,6 +238,14 @@ def test_exact_repeats_with_a_passage_in_every_document(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute_repeats(texts)
 
 
+def test_exact_repeats_shuffle_texts_once(docs):
+    """The join with runs and the join with spans read one shuffle of the texts."""
+    out = repeats.remove_repeats(docs)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange \[doc_id#\d+L, th#\d+L, text#\d+\]", plan)
+
+
 def test_sorted_runs_hold_what_was_put():
     import numpy as np
 
