@@ -9,7 +9,8 @@ each ranked by itself after the counts of the blocks before it, so a length that
 many tasks.
 
 Tokens are those of the tokenizer file, its added tokens included. The tokenizer splits a text before it merges, and
-merges within a split only, so each distinct split is encoded once and kept in a worker (``KEPT_WORDS`` at most); texts
+merges within a split only, so each distinct split is encoded once and kept in a worker (``KEPT_WORDS`` at most). Many
+texts are split at once in numpy, and splits of up to ``SHORT`` bytes are looked up by their bytes in a hash table; texts
 with letters beyond Latin ones, or with an added token, go to the tokenizer whole.
 
 Defined cases: a null or empty text is one piece holding only the end token; a document longer than ``size`` is cut
@@ -21,13 +22,12 @@ like any others; other columns are ignored; an empty table packs into no sequenc
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +36,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import KEPT, small_batches, text_steps, written
+from .vectext import mix64, text_bytes
 
 #: Pieces of one length that a task ranks, about; blocks of lengths that are broadcast, beyond which they are joined by a shuffle.
 BLOCK_ROWS, BROADCAST_ROWS = 200_000, 1_000_000
 #: Encoded splits a worker keeps, and the code points whose classes splitting knows.
 KEPT_WORDS, KNOWN = 400_000, 0x250
+#: Bytes of splits that the hash table holds, its slots (a power of two), how many of them a split may lie in, and splits looked up at once.
+SHORT, SLOTS, PROBES, STEP_WORDS = 15, 1 << 20, 4, 1 << 19
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-
-
-def _letters(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(KNOWN) if unicodedata.category(chr(c))[0] == kind)
-
-
-def splitter() -> re.Pattern:
-    """The byte-level tokenizer's splits of a text of known code points: contractions, letters, digits, signs, white space."""
-    letter, digit, space = _letters("L"), _letters("N"), r"\t-\r \x85\xa0"
-    return re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+LETTER, DIGIT, SPACE, SIGN = range(4)
+#: The letters that byte-level vocabularies write bytes as: visible ones as they are, others from U+0100 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in VISIBLE], range(256, 512)))
+#: The low 0 to 8 bytes of a number.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _classes() -> np.ndarray:
+    found = np.array([{"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], SIGN) for c in range(KNOWN)], np.uint8)
+    found[[*range(9, 14), 32, 0x85, 0xA0]] = SPACE
+    return found
+
+
+CLASSES = _classes()
+BYTE_CLASSES = np.append(CLASSES[:128], np.full(128, SIGN, np.uint8))
+
+
+def split_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the byte-level tokenizer's splits of texts of known code points start: contractions, letters, digits, signs, white space.
+
+    A split is a run of one class. The last white space before others stands alone, or, if it is a blank, goes with them;
+    an apostrophe that starts a split makes one of its own with s, t, m, d, ll, ve or re."""
+    n = len(data)
+    kind = BYTE_CLASSES[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    kind[lead] = kind[lead + 1] = CLASSES[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+    first = np.zeros(n + 3, bool)  # of a text; what follows the last one counts as another
+    first[offsets] = first[n:] = True
+    start = first.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE)) + 1
+    after = after[~first[after]]
+    start[after - np.where(data[after - 1] < 128, 1, 2)] = True
+    start[after[data[after - 1] == 32]] = False
+    mark = np.flatnonzero(data == 39)
+    mark = mark[start[mark] & ~first[mark + 1]]
+    one = data[mark + 1]
+    two = np.where(first[mark + 2], 0, data[np.minimum(mark + 2, n - 1)])
+    size = np.where(np.isin(one, list(b"stmd")), 2, np.where((one == two) & (one == 108) | np.isin(one, list(b"vr")) & (two == 101), 3, 0))
+    mark, size = mark[size > 0], size[size > 0]
+    start[mark + 1] = False
+    start[mark + size] = True
+    return np.flatnonzero(start[:n])
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    """With zeros behind, so that eight bytes can be read from each place and eight on."""
+    return np.append(data, np.zeros(16, np.uint8))
 
 
 class Encoder:
@@ -61,37 +103,113 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([rf"[^\x00-{chr(KNOWN - 1)}]", *map(re.escape, added)]))
-        self.split, self.known = splitter().findall, {}
-        self.line_end = self.plain("\n")
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes splits of a text many at a time, a line each: a line end is a split of its own between others than white space."""
-        for w in [w for w in words if w.isspace()]:
-            self.known[w] = self.plain(w)
-        words = [w for w in words if not w.isspace()]
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
-            ids = np.frombuffer(self.plain("\n".join(some)), "<u4")
-            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0]), len(ids))
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer does not keep lines apart")
-            body, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
-            self.known.update((w, body[4 * x : 4 * z]) for w, x, z in zip(some, starts.tolist(), ends.tolist(), strict=True))
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        splits = [None if self.whole.search(t) else self.split(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        way, self.merge = self.tokenizer.pre_tokenizer, self.tokenizer.model.tokenize
+        #: Whether splits are those of split_starts; else every text goes to the tokenizer whole.
+        self.known = self.tokenizer.normalizer is None and type(way).__name__ == "ByteLevel" and way.use_regex and not way.add_prefix_space
+        self.keep([], [])
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def keep(self, words: list[bytes], ids: list) -> None:
+        """Forget all splits but these."""
+        self.number: dict[bytes, int] = {}
+        self.all_ids, self.first = np.empty(0, "<u4"), np.zeros(1, np.int64)  # ids of split k: all_ids[first[k] : first[k + 1]]
+        self.slots = np.zeros((2, SLOTS), np.uint64), np.full(SLOTS, -1, np.int32)
+        self.add(words, ids)
+
+    def add(self, words: list[bytes], ids: list) -> None:
+        if not words:
+            return
+        base = len(self.number)
+        self.number.update(zip(words, range(base, base + len(words))))
+        self.all_ids = np.append(self.all_ids, np.fromiter(chain.from_iterable(ids), "<u4"))
+        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in ids]))
+        sizes = np.array([len(w) for w in words])
+        keys = self.keys(padded(np.frombuffer(b"".join(words), np.uint8)), np.cumsum(sizes) - sizes, sizes)
+        slot, left = self.slot(keys), np.flatnonzero(sizes <= SHORT)
+        for k in range(PROBES):
+            at, some = np.unique((slot[left] + k) % SLOTS, return_index=True)
+            free = self.slots[1][at] < 0
+            at, some = at[free], some[free]
+            self.slots[0][:, at], self.slots[1][at] = keys[:, left[some]], base + left[some]
+            left = np.delete(left, some)
+
+    @staticmethod
+    def keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Two numbers that hold the bytes and the size of each split of up to SHORT bytes; data is padded."""
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        low = eight[starts] & LOW[np.minimum(sizes, 8)]
+        high = eight[starts + 8 * (sizes > 8)] & LOW[np.clip(sizes - 8, 0, 7)]
+        return np.stack([low, high | np.minimum(sizes, 255).astype(np.uint64) << np.uint64(56)])
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys[0] ^ keys[1] * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each split; new ones are encoded."""
+        keys = self.keys(data, starts, sizes)
+        found, left, slot = np.full(len(starts), -1, np.int64), np.flatnonzero(sizes <= SHORT), self.slot(keys)
+        for k in range(PROBES):
+            at = (slot[left] + k) % SLOTS
+            hit = (self.slots[1][at] >= 0) & (self.slots[0][0][at] == keys[0][left]) & (self.slots[0][1][at] == keys[1][left])
+            found[left[hit]] = self.slots[1][at[hit]]
+            left = left[~hit]
+            if not len(left):
+                break
+        rest = np.flatnonzero(found < 0)
+        if len(rest):
+            body = memoryview(data)
+            words = [bytes(body[a : a + n]) for a, n in zip(starts[rest].tolist(), sizes[rest].tolist(), strict=True)]
+            new = list(dict.fromkeys(w for w in words if w not in self.number))
+            self.add(new, [[t.id for t in self.merge(w.decode("latin-1").translate(BYTE_LETTERS))] for w in new])
+            found[rest] = [self.number[w] for w in words]
+        return found
+
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold a code point that splitting does not know, or perhaps an added token."""
+        if not self.known:
+            return np.ones(len(offsets) - 1, bool)
+        odd = [np.flatnonzero(data >= 0xC9)]
+        odd[0] = odd[0][(data[odd[0]] > 0xC9) | (data[np.minimum(odd[0] + 1, len(data) - 1)] >= 0x90)]
+        body = data.tobytes()
+        for token in self.added:
+            at = body.find(token)
+            while at >= 0:
+                odd.append(np.array([at]))
+                at = body.find(token, at + 1)
+        found = np.zeros(len(offsets) - 1, bool)
+        found[np.searchsorted(offsets, np.concatenate(odd), "right") - 1] = True
+        return found
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, null being empty, as little-endian unsigned 32-bit numbers."""
+        data, offsets = text_bytes(texts)
+        whole = self.whole(data, offsets)
+        if whole.any():
+            data, offsets = text_bytes(texts.filter(pa.array(~whole)))
+        if len(self.number) > KEPT_WORDS:
             # What came first is what comes often: that half stays.
-            self.known = dict(islice(self.known.items(), KEPT_WORDS // 2))
-        self.learn(list(set().union(*(s for s in splits if s)).difference(self.known)))
-        for text, s in zip(texts, splits, strict=True):
-            yield self.plain(text) if s is None else b"".join(map(self.known.__getitem__, s))
+            half = KEPT_WORDS // 2
+            self.keep(list(self.number)[:half], np.split(self.all_ids[: self.first[half]], self.first[1:half]))
+        starts = split_starts(data, offsets)
+        sizes, data = np.diff(starts, append=len(data)), padded(data)
+        found, counts = [np.empty(0, "<u4")], [np.zeros(1, np.int64)]
+        for a in range(0, len(starts), STEP_WORDS):
+            k = self.numbers(data, starts[a : a + STEP_WORDS], sizes[a : a + STEP_WORDS])
+            counts.append(n := self.first[k + 1] - self.first[k])
+            found.append(self.all_ids[np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        found = np.concatenate(found)
+        cuts = np.cumsum(np.concatenate(counts))[np.searchsorted(starts, offsets)].tolist()
+        rows = zip(cuts, cuts[1:])
+        for i, own in enumerate(whole.tolist()):
+            if own:
+                yield self.plain(texts[i].as_py() or "").tobytes()
+            else:
+                a, z = next(rows)
+                yield found[a:z].tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -112,7 +230,7 @@ def _pieces(path: str, size: int, end_id: int):
             for x, z in text_steps(batch, "text"):
                 part = batch.slice(x, z - x)
                 rows: list[tuple] = []
-                for doc_id, found in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc_id, found in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids = found + end
                     n = len(ids) // 4
                     cuts = [0, *range(n % size or size, n + 1, size)]

@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -299,6 +300,64 @@ def test_packing(docs, none, bpe):
     assert packing.pack(none, bpe).count() == 0
 
 
+def odd_texts(seed, n):
+    """Texts of signs that splits turn on, some with code points that splitting does not know."""
+    rng = random.Random(seed)
+    signs = ["'", "s", "t", "ll", "ve", "re", "m", "d", "'s", "'LL", "'re", " ", " ", "  ", "\n", "\t", "\u00a0", "\u0085", "é", "Ł", "ª", "²", "½", "1", "23", "abc", "L", "?", "...", "\0", "\x1c", "ǅ", "ɏ", "_", "x" * 14, "x" * 17, "\r\n"]
+    far = ["кот", "日", "<|endoftext|>", "<|endoftext|", "\u2009", "😀", "ɐ"]
+    texts = ["".join(rng.choice(signs if rng.random() < 0.995 else far) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+    return [*texts, None, "'", "s", "'l", "l", " ", "a", "é", "<|endoft", "ext|>", ""]
+
+
+def ids_of(encoder, texts):
+    return list(encoder.ids(pa.array(texts, pa.string())))
+
+
+def test_splits_are_the_tokenizers_own(bpe, monkeypatch):
+    """Also with a small table, in which splits crowd each other out and are forgotten, and looked up a few at a time."""
+    for kept, slots, step in ((packing.KEPT_WORDS, packing.SLOTS, packing.STEP_WORDS), (300, 64, 50)):
+        for name, value in (("KEPT_WORDS", kept), ("SLOTS", slots), ("STEP_WORDS", step)):
+            monkeypatch.setattr(packing, name, value)
+        encoder = packing.Encoder(bpe)
+        for k in range(10):
+            texts = odd_texts(k, 1000)
+            assert ids_of(encoder, texts) == [encoder.plain(t or "").tobytes() for t in texts]
+        assert ids_of(encoder, []) == [] and ids_of(encoder, [None]) == [b""]
+
+
+def test_tokenizers_with_other_splits_get_texts_whole(bpe, tmp_path):
+    import json
+
+    with open(bpe) as f:
+        plain = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": plain["pre_tokenizer"] | {"use_regex": False}}):
+        path = tmp_path / "tokenizer.json"
+        path.write_text(json.dumps(plain | change))
+        encoder = packing.Encoder(str(path))
+        texts = ["Two WORDS", "it's", *odd_texts(3, 50)]
+        assert ids_of(encoder, texts) == [encoder.plain(t or "").tobytes() for t in texts]
+
+
+def test_known_splits_cost_a_tenth_of_tokenizing(spark, bpe):
+    """CPU time, the least of three runs each; before splits were found and looked up in numpy it was about a fifth."""
+    import time
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    encoder = packing.Encoder(bpe)
+
+    def least(run):
+        run()
+        times = []
+        for _ in range(3):
+            before = time.thread_time()
+            run()
+            times.append(time.thread_time() - before)
+        return min(times)
+
+    column = pa.array(texts, pa.string())
+    assert least(lambda: list(encoder.ids(column))) < 0.1 * least(lambda: [encoder.plain(t or "") for t in texts])
+
+
 def test_packing_the_documents_table_at_full_length(spark, bpe, monkeypatch):
     """Ids are the tokenizer's own; as few sequences as a plain best-fit packing of the same pieces at most, close to the bound."""
     from tokenizers import Tokenizer
