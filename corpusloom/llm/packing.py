@@ -43,7 +43,7 @@ BLOCK_ROWS, BROADCAST_ROWS = 200_000, 1_000_000
 #: Encoded splits a worker keeps, and the code points whose classes splitting knows.
 KEPT_WORDS, KNOWN = 400_000, 0x250
 #: Bytes of splits that the hash table holds, its slots (a power of two), how many of them a split may lie in, and splits looked up at once.
-SHORT, SLOTS, PROBES, STEP_WORDS = 15, 1 << 20, 4, 1 << 19
+SHORT, SLOTS, PROBES, STEP_WORDS = 15, 1 << 20, 4, 1 << 17
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LETTER, DIGIT, SPACE, SIGN = range(4)
 #: The letters that byte-level vocabularies write bytes as: visible ones as they are, others from U+0100 on.
@@ -107,23 +107,25 @@ class Encoder:
         way, self.merge = self.tokenizer.pre_tokenizer, self.tokenizer.model.tokenize
         #: Whether splits are those of split_starts; else every text goes to the tokenizer whole.
         self.known = self.tokenizer.normalizer is None and type(way).__name__ == "ByteLevel" and way.use_regex and not way.add_prefix_space
-        self.keep([], [])
+        #: Splits kept, and the numbers of those that are not in the table.
+        self.count, self.number = 0, {}
+        self.all_ids, self.first = np.empty(0, "<u4"), np.zeros(1, np.int64)  # ids of split k: all_ids[first[k] : first[k + 1]]
+        self.slots = np.zeros((2, SLOTS), np.uint64), np.full(SLOTS, -1, np.int32)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def keep(self, words: list[bytes], ids: list) -> None:
-        """Forget all splits but these."""
-        self.number: dict[bytes, int] = {}
-        self.all_ids, self.first = np.empty(0, "<u4"), np.zeros(1, np.int64)  # ids of split k: all_ids[first[k] : first[k + 1]]
-        self.slots = np.zeros((2, SLOTS), np.uint64), np.full(SLOTS, -1, np.int32)
-        self.add(words, ids)
+    def forget(self, kept: int) -> None:
+        """Forget all splits but the first ones."""
+        self.count, self.number = kept, {w: k for w, k in self.number.items() if k < kept}
+        self.all_ids, self.first = self.all_ids[: self.first[kept]].copy(), self.first[: kept + 1].copy()
+        self.slots[1][self.slots[1] >= kept] = -1
 
-    def add(self, words: list[bytes], ids: list) -> None:
+    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
+        """Splits that the table has no place for go to a dictionary."""
         if not words:
             return
-        base = len(self.number)
-        self.number.update(zip(words, range(base, base + len(words))))
+        base, self.count = self.count, self.count + len(words)
         self.all_ids = np.append(self.all_ids, np.fromiter(chain.from_iterable(ids), "<u4"))
         self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in ids]))
         sizes = np.array([len(w) for w in words])
@@ -135,6 +137,7 @@ class Encoder:
             at, some = at[free], some[free]
             self.slots[0][:, at], self.slots[1][at] = keys[:, left[some]], base + left[some]
             left = np.delete(left, some)
+        self.number.update((words[k], base + k) for k in [*left.tolist(), *np.flatnonzero(sizes > SHORT).tolist()])
 
     @staticmethod
     def keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -164,8 +167,9 @@ class Encoder:
             body = memoryview(data)
             words = [bytes(body[a : a + n]) for a, n in zip(starts[rest].tolist(), sizes[rest].tolist(), strict=True)]
             new = list(dict.fromkeys(w for w in words if w not in self.number))
+            fresh = dict(zip(new, range(self.count, self.count + len(new))))
             self.add(new, [[t.id for t in self.merge(w.decode("latin-1").translate(BYTE_LETTERS))] for w in new])
-            found[rest] = [self.number[w] for w in words]
+            found[rest] = [fresh[w] if w in fresh else self.number[w] for w in words]
         return found
 
     def whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -190,10 +194,9 @@ class Encoder:
         whole = self.whole(data, offsets)
         if whole.any():
             data, offsets = text_bytes(texts.filter(pa.array(~whole)))
-        if len(self.number) > KEPT_WORDS:
+        if self.count > KEPT_WORDS:
             # What came first is what comes often: that half stays.
-            half = KEPT_WORDS // 2
-            self.keep(list(self.number)[:half], np.split(self.all_ids[: self.first[half]], self.first[1:half]))
+            self.forget(KEPT_WORDS // 2)
         starts = split_starts(data, offsets)
         sizes, data = np.diff(starts, append=len(data)), padded(data)
         found, counts = [np.empty(0, "<u4")], [np.zeros(1, np.int64)]
