@@ -30,6 +30,9 @@ from ..functions.text import preview
 #: Sources that a task holds, candidates that it compares at least before work is dealt to another one, the most
 #: bytes of pivots, of angles in one step, and rows in a batch that is sent on.
 HELD, PART, PIVOT_BYTES, ANGLE_BYTES, SENT = 32_768, 4096, 64 << 20, 32 << 20, 16_384
+#: Sources and candidates that are multiplied at once, bytes of vectors whose cosines are worked out at once, and pairs
+#: that are found before they are sent on or the best are picked.
+STEP, PAIR_BYTES, FOUND = 1024, 8 << 20, 65_536
 #: Kinds of nodes.
 NODE_TYPES = ["WebPage", "PDF", "Image", "PowerPoint", "Docx", "VideoTranscript", "ChatTranscript", "ChatSnapshot", "Chunk"]
 
@@ -42,34 +45,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def theta_pairs(vectors: DataFrame, threshold: float, prefix: int = 8) -> DataFrame:
-    """(src_id, dst_id, weight), both ways: all pairs of rows (id, embedding) whose cosine is at or over the threshold, in expressions only.
+    """(src_id, dst_id, weight), both ways: all pairs of rows (id, embedding) whose cosine is at or over the threshold.
 
-    Unit vectors of a cosine of t or more lie at most sqrt(2 - 2t) apart, and so do their projections on any direction: rows
-    meet over strips of that width, each row in its own, one side in the neighbours too. Of pairs that meet, the cosine over
-    the first ``prefix`` components plus the product of the norms of the rest (Cauchy-Schwarz) is compared first, so most
-    pairs under the threshold are left before the rest is multiplied. Rejected vectors take no part.
+    The blocked form of the join (see above): every pair is multiplied, in memory bounded by HELD sources and a step of
+    candidates, and dealt over tasks. Rejected vectors and rows without an id take no part. ``prefix`` is kept for
+    callers of the form in expressions, which compared so many components first; it has no bearing on the result.
     """
-    size = vector_size(vectors)
-    if size is None:
-        return vectors.sparkSession.createDataFrame([], "src_id long, dst_id long, weight double")
-    square = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    rows = vectors.where("embedding is not null").where(~_unsound() & (F.size("embedding") == size))
-    e = F.col("embedding").cast("array<double>")
-    rows = rows.select(F.col("id").cast("long").alias("id"), e.alias("e"), F.sqrt(square(e)).alias("norm"))
-    unit = F.transform("e", lambda x: x / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")))
-    rows = rows.select("id", unit.alias("u")).select("id", "u", F.slice("u", 1, prefix).alias("head"), F.slice("u", prefix + 1, size).alias("tail"))
-    # the direction of projection: alternate signs over all components
-    side = F.aggregate(F.transform("u", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)), F.lit(0.0), lambda s, v: s + v) / size**0.5
-    width = max(1e-6, (2 - 2 * min(1.0, threshold)) ** 0.5) * (1 + 1e-9)
-    rows = rows.select("*", F.sqrt(square("tail")).alias("left"), F.floor(side / width).alias("strip"))
-    one = rows.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "head", "tail", "left")], F.explode(F.array(*[F.col("strip") + k for k in (-1, 0, 1)])).alias("strip"))
-    other = rows.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "head", "tail", "left")], "strip")
-    first = dot(F.col("a_head"), F.col("b_head"))
-    met = one.join(other, "strip").where(F.col("a_id") < F.col("b_id")).withColumn("first", first)
-    near = met.where(F.col("first") + F.col("a_left") * F.col("b_left") + 1e-9 >= threshold).withColumn("weight", F.col("first") + dot(F.col("a_tail"), F.col("b_tail")))
-    ends = F.explode(F.array(*[F.struct(F.col(x).alias("src_id"), F.col(y).alias("dst_id")) for x, y in (("a_id", "b_id"), ("b_id", "a_id"))]))
-    return near.where(F.col("weight") >= threshold).select(ends.alias("p"), "weight").select("p.*", "weight")
+    rows = vectors.where("id is not null").select("id", "embedding")
+    return best_pairs(rows, rows, None, threshold, True, None)
 
 
 def validate_node_type(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -244,12 +227,20 @@ def _dealt(held, size: int, sources: bool, threshold: float):
 
 
 class _Best:
-    """A band's sources and, as candidates come, each source's best k at or over the threshold; all of them where k is None."""
+    """A band's sources and, as candidates come, each source's best k at or over the threshold; all of them where k is None.
+
+    A block of sources meets a step of candidates in single precision first. What lies under a source's bound by more than
+    single precision can err is left; only the other pairs' cosines are worked out in double, component by component in the
+    same order for every pair, so that equal vectors tie wherever they stand. The bound is the threshold or, once k
+    candidates have been met, what the k-th best of these reaches, so few pairs are kept however many are compared.
+    """
 
     def __init__(self, k: int | None, threshold: float, same: bool, size: int):
         self.k, self.threshold, self.same, self.size = k, threshold, same, size
+        self.err = (size + 16) * 2.0**-23  # twice what rounding to float32 and summing in it can come to
         self.ids, self.rows, self.x = [], [], None
-        self.found: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count = 0
 
     def hold(self, ids: list[int], rows: list[bytes]) -> None:
         self.ids += ids
@@ -258,33 +249,61 @@ class _Best:
     def meet(self, ids: list[int], rows: list[bytes]) -> Iterator[pa.RecordBatch]:
         if self.x is None:
             self.x, self.ids, self.rows = np.frombuffer(b"".join(self.rows), np.float64).reshape(-1, self.size), np.array(self.ids, np.int64), []
-        if not len(self.x):
-            return
+            self.single, self.bound = self.x.astype(np.float32), np.full(len(self.x), self.threshold)
+            self.last = np.full(len(self.x), np.inf), np.zeros(len(self.x), np.int64)  # weight and id of the k-th best
         b, y = np.array(ids, np.int64), np.frombuffer(b"".join(rows), np.float64).reshape(-1, self.size)
-        for a in range(0, len(b), 512):
-            w = self.x @ y[a : a + 512].T
-            ok = w >= self.threshold
+        for a in range(0, len(b), STEP):
+            z = min(len(b), a + STEP)
+            step = y[a:z].astype(np.float32).T
+            for s in range(0, len(self.x), STEP):
+                self.pairs(s, self.single[s : s + STEP] @ step, b[a:z], y[a:z])
+                if self.count > (FOUND if self.k is None else max(FOUND, 2 * self.k * len(self.x))):
+                    if self.k is None:
+                        yield self.out()
+                    else:
+                        self.cut()
+
+    def pairs(self, s: int, w: np.ndarray, b: np.ndarray, y: np.ndarray) -> None:
+        """Adds the pairs of a block, sources from s on, that may stand; w: their cosines in single precision."""
+        own = slice(s, s + len(w))
+        reached = lambda: np.flatnonzero(w >= (self.bound[own] - self.err).astype(np.float32)[:, None])
+        at = reached()
+        if self.k is not None and len(at) > 4 * self.k * len(w) and len(b) > self.k:
+            if self.same:
+                w[self.ids[own][:, None] == b] = -np.inf
+            self.bound[own] = np.maximum(self.bound[own], np.partition(w, -self.k, axis=1)[:, -self.k].astype(np.float64) - self.err)
+            at = reached()
+        piece = max(1, PAIR_BYTES // (8 * self.size))
+        for k in range(0, len(at), piece):
+            i, j = np.divmod(at[k : k + piece], len(b))
+            i += s
+            exact, id_ = np.einsum("ij,ij->i", self.x[i], y[j]), b[j]
+            keep = exact >= np.maximum(self.bound[i], self.threshold)
+            keep &= (exact != self.last[0][i]) | (id_ < self.last[1][i])
             if self.same:
-                ok &= self.ids[:, None] != b[None, a : a + 512]
-            i, j = np.nonzero(ok)
-            self.found = [np.concatenate(p) for p in zip(self.found, (i, b[a + j], w[i, j]), strict=True)]
-            if self.k is None:
-                yield self.out()
-            elif len(self.found[0]) > 4 * self.k * len(self.x):
-                self.cut()
+                keep &= self.ids[i] != id_
+            self.found.append((i[keep], id_[keep], exact[keep]))
+            self.count += len(self.found[-1][0])
 
     def cut(self) -> None:
-        i, j, w = self.found
+        i, j, w = (np.concatenate(p) for p in zip(*self.found, strict=True))
         order = np.lexsort((j, -w, i))
         i = i[order]
-        keep = order[np.arange(len(i)) - np.searchsorted(i, i) < self.k]
-        self.found = [p[keep] for p in self.found]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = place < self.k
+        i, j, w = i[keep], j[order[keep]], w[order[keep]]
+        self.found, self.count = [(i, j, w)], 0
+        full = place[keep] == self.k - 1
+        self.bound[i[full]] = np.maximum(self.bound[i[full]], w[full])
+        self.last[0][i[full]], self.last[1][i[full]] = w[full], j[full]
 
     def out(self) -> pa.RecordBatch:
-        if self.k is not None:
+        if not self.found:
+            self.found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        elif self.k is not None:
             self.cut()
-        i, j, w = self.found
-        self.found = [x[:0] for x in self.found]
+        i, j, w = (np.concatenate(p) for p in zip(*self.found, strict=True))
+        self.found, self.count = [], 0
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(self.ids, np.int64)[i]), pa.array(j), pa.array(w)], names=["src_id", "dst_id", "weight"])
 
 
