@@ -61,7 +61,7 @@ def cut_pages(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["t11_extract_html", "t10_web_pages"])
+@pytest.mark.parametrize("name", ["t11_extract_html", "t10_web_pages", "s12_number_pages"])
 def test_references_cut_short_are_those_of_the_sql(spark, cut_pages, name):
     import duckdb
 
