@@ -90,10 +90,14 @@ def rejected_vectors(vectors: DataFrame, key: str = "id") -> DataFrame:
     return vectors.select(F.col(key).alias("id"), why.alias("reject_reason")).where("reject_reason is not null")
 
 
-def _unit(vectors: DataFrame, group: str | None, key: str = "id") -> DataFrame:
-    """(grp, id, x): vectors of unit length as float64 bytes; rejected ones are left out."""
+def _sound(vectors: DataFrame, group: str | None, key: str = "id") -> DataFrame:
+    """(grp, id, e): vectors as doubles; rejected ones are left out, but for those of another length."""
     grp = F.col(group).cast("string") if group else F.lit("")
-    rows = vectors.where("embedding is not null").where(~_unsound()).select(F.coalesce(grp, F.lit("")).alias("grp"), F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    return vectors.where("embedding is not null").where(~_unsound()).select(F.coalesce(grp, F.lit("")).alias("grp"), F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+
+
+def _unit(rows: DataFrame) -> DataFrame:
+    """(grp, id, x): vectors of unit length as float64 bytes. rows: grp, id, e."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +198,8 @@ def _by_group(batch: pa.RecordBatch, size: int) -> Iterator[tuple[str, np.ndarra
 
 
 def _dealt(held, size: int, sources: bool, threshold: float):
-    """Rows with the (band, part) that they go to: a source to all parts of its band, a candidate to one part of each band in reach."""
+    """Rows with the (band, part) that they go to: a source to all parts of its band, a candidate to one part of each band in
+    reach. Parts are numbered on over a group's bands."""
     alone = Bands(None, np.array([np.pi]), np.array([np.pi]), np.array([1]), 1)
     most = np.arccos(max(-1.0, threshold)) + 1e-9
 
@@ -219,9 +224,9 @@ def _dealt(held, size: int, sources: bool, threshold: float):
                 for at, band, part in met:
                     for k in range(0, len(at), SENT):
                         cut = slice(k, k + SENT)
-                        take = pa.array(rows[at[cut]])
+                        take, slot = pa.array(rows[at[cut]]), band[cut] * b.parts + part[cut]
                         side = pa.array(np.full(len(take), 0 if sources else 1, np.int32))
-                        yield pa.RecordBatch.from_arrays([batch.column("grp").take(take), pa.array(band[cut].astype(np.int32)), pa.array(part[cut].astype(np.int32)), side, batch.column("id").take(take), batch.column("x").take(take)], names=["grp", "band", "part", "side", "id", "x"])
+                        yield pa.RecordBatch.from_arrays([batch.column("grp").take(take), pa.array(band[cut].astype(np.int32)), pa.array(slot.astype(np.int32)), side, batch.column("id").take(take), batch.column("x").take(take)], names=["grp", "band", "part", "side", "id", "x"])
 
     return run
 
@@ -333,11 +338,13 @@ def _matched(k: int | None, threshold: float, same: bool, size: int):
     return run
 
 
-def _bands(sources: DataFrame, candidates: DataFrame, size: int, threshold: float) -> dict[str, Bands]:
-    """Bands of the groups that have more than a task's work: a row for each PART candidates or sources reaches the driver at most."""
-    spark = sources.sparkSession
+def _bands(rows_a: DataFrame, rows_b: DataFrame, size: int, threshold: float) -> dict[str, Bands]:
+    """Bands of the groups that have more than a task's work: a row for each PART candidates or sources reaches the driver at
+    most. rows_a, rows_b: sources and candidates as _sound has them; they are counted without Python."""
+    spark, sources = rows_a.sparkSession, _unit(rows_a)
     count = lambda df: {r["grp"]: r["n"] for r in df.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).collect()}
-    n_a, n_b = count(sources), count(candidates)
+    n_a = count(rows_a)
+    n_b = n_a if rows_b is rows_a else count(rows_b)
     wide = {g: n for g, n in n_a.items() if n > HELD and threshold > -1}
     pivots: dict[str, Tree] = {}
     if wide:
@@ -374,12 +381,16 @@ def best_pairs(sources: DataFrame, candidates: DataFrame, k: int | None, thresho
     size = vector_size(sources)
     if size is None:
         return spark.createDataFrame([], "src_id long, dst_id long, weight double")
-    a = _unit(sources, group)
-    b = a if candidates is sources else _unit(candidates, group)
-    held = spark.sparkContext.broadcast(_bands(a, b, size, threshold))
+    rows_a = _sound(sources, group)
+    rows_b = rows_a if candidates is sources else _sound(candidates, group)
+    bands = _bands(rows_a, rows_b, size, threshold)
+    held, a = spark.sparkContext.broadcast(bands), _unit(rows_a)
+    b = a if rows_b is rows_a else _unit(rows_b)
     schema = "grp string, band int, part int, side int, id long, x binary"
     rows = a.mapInArrow(_dealt(held, size, True, threshold), schema).unionByName(b.mapInArrow(_dealt(held, size, False, threshold), schema))
-    rows = rows.repartition("grp", "band", "part").sortWithinPartitions("grp", "band", "part", "side")
+    # A group's parts go to one partition after the other, so that no task gets two while another has none.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(int(x.subs.sum()) * x.parts for x in bands.values()))
+    rows = rows.repartitionById(tasks, (F.pmod(F.xxhash64("grp"), F.lit(tasks)) + F.col("part")).cast("int")).sortWithinPartitions("grp", "band", "part", "side")
     found = rows.mapInArrow(_matched(k, threshold, same, size), "src_id long, dst_id long, weight double")
     if k is None:
         return found

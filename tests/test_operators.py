@@ -381,6 +381,32 @@ def test_theta_pairs_of_many_vectors(spark):
     assert graph.theta_pairs(spark.createDataFrame([(None, [1.0]), (1, [1.0]), (2, [2.0])], "id long, embedding array<double>"), 0.5).count() == 2
 
 
+@pytest.mark.parametrize(("k", "same"), [(5, False), (50, False), (3, True)])
+def test_best_of_many_candidates(k, same):
+    """60 million pairs without a threshold, of which few may be sorted; equal vectors tie to the smaller id, wherever they stand."""
+    import time
+
+    rng = np.random.default_rng(5)
+    y = np.tile(rng.normal(size=(10_000, 64)), (4, 1))
+    y = y / np.linalg.norm(y, axis=1)[:, None]
+    ids = rng.permutation(40_000)
+    x, own = (y[:1500], ids[:1500]) if same else (y[rng.permutation(1500) + 7], -1 - np.arange(1500))
+    best, begun = graph._Best(k, -2.0, same, 64), time.process_time()
+    best.hold(own.tolist(), [r.tobytes() for r in x])
+    for a in range(0, 40_000, 7777):
+        assert not list(best.meet(ids[a : a + 7777].tolist(), [r.tobytes() for r in y[a : a + 7777]]))
+    got = best.out().to_pandas()
+    assert time.process_time() - begun < 40
+    found = got.groupby("src_id").agg(list)
+    assert len(found) == 1500
+    for i in range(0, 1500, 10):
+        w = (y[:10_000] * x[i]).sum(axis=1)
+        near = np.argsort(-w)[: k + 2]
+        every = sorted((-round(w[j], 12), int(ids[j + 10_000 * c])) for j in near for c in range(4))
+        want = [e for e in every if not same or e[1] != own[i]][:k]
+        assert sorted((-round(a, 12), b) for a, b in zip(found.weight[own[i]], found.dst_id[own[i]])) == want
+
+
 def test_form_questions_by_type(spark):
     ident = lambda k: f"00000000-0000-4000-8000-{k:012d}"
     base = {"id": ident(0), "label": "L?", "required": False}
