@@ -73,6 +73,39 @@ def test_references_cut_short_are_those_of_the_sql(spark, cut_pages, name):
     assert as_list(got) == as_list(want.fetchall()) and len(got) == 9
 
 
+@pytest.fixture(scope="module")
+def many_vectors(spark, tmp_path_factory):
+    """Two equal halves of 20,000 vectors, of which every twentieth asks."""
+    import os
+
+    import numpy as np
+    import pandas as pd
+
+    d = str(tmp_path_factory.mktemp("vectors"))
+    x = np.tile(np.random.default_rng(6).normal(size=(20_000, 16)).astype(np.float32), (2, 1))
+    frame = pd.DataFrame({"vec_id": range(40_000), "embedding": list(x), "label": 0})
+    spark.createDataFrame(frame, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    for t in ("documents", "events"):
+        os.symlink(f"{SF}/{t}.parquet", f"{d}/{t}.parquet")
+    return d
+
+
+#: Rows of each search over many_vectors, where they hang on no other table.
+SEARCHES = {"g7_retry": 10_000}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_sort_few_of_their_pairs(spark, many_vectors, name):
+    """73 million pairs within a time in which they can be compared but not sorted."""
+    import time
+
+    QUERIES[name](spark, SF).collect()  # what starts once
+    begun = time.time()
+    got = QUERIES[name](spark, many_vectors).collect()
+    assert time.time() - begun < 15
+    assert len({r["query_id"] for r in got}) == 2000 and SEARCHES[name] in (None, len(got))
+
+
 def test_critical_values_of_small_samples(spark, tmp_path):
     """Two-sided 95 % values from printed tables."""
     known = {2: 12.706, 3: 4.303, 4: 3.182, 6: 2.571, 11: 2.228, 31: 2.042}
