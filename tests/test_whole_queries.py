@@ -91,7 +91,7 @@ def many_vectors(spark, tmp_path_factory):
 
 
 #: Rows of each search over many_vectors, where they hang on no other table.
-SEARCHES = {"g7_retry": 10_000}
+SEARCHES = {"g7_retry": 10_000, "g6_confidence_gate": 2_000}
 
 
 @pytest.mark.parametrize("name", SEARCHES)
