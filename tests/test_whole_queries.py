@@ -91,7 +91,7 @@ def many_vectors(spark, tmp_path_factory):
 
 
 #: Rows of each search over many_vectors, where they hang on no other table.
-SEARCHES = {"g7_retry": 10_000, "g6_confidence_gate": 2_000, "g8_all_nodes": 100_000, "g3_graph_search": None, "g4_result_rows": None, "g9_format_sources": 2_000, "a11_retrieval_stats": 2_000, "a10_ordered_text": 2_000}
+SEARCHES = {"g7_retry": 10_000, "g6_confidence_gate": 2_000, "g8_all_nodes": 100_000, "g3_graph_search": None, "g4_result_rows": None, "g9_format_sources": 2_000, "a11_retrieval_stats": 2_000, "a10_ordered_text": 2_000, "g1_semantic_search": 10_000}
 
 
 @pytest.mark.parametrize("name", SEARCHES)
