@@ -1,6 +1,6 @@
 """Graph building: chunk nodes and cosine-similarity edges.
 
-Vectors are compared in numpy, as float64 products. Sources are dealt into bands of about ``HELD`` rows, where there are many
+Vectors are compared in numpy, screened as float32 and worked out as float64 products. Sources are dealt into bands of about ``HELD`` rows, where there are many
 by a tree of pivots, and each band is held in memory while candidates stream by. A candidate is sent only to bands it can
 reach the threshold in (angles obey the triangle inequality: none is lost), and not at all twice to a band; a band is
 split over tasks by dealing its candidates out, each part keeps the best ``k`` of each source, and the parts' bests are
